@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
 
@@ -89,24 +90,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def append_columns(df: DataFrame, inputs: list[Column], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], schema: str) -> DataFrame:
-    """``row`` (all columns of ``df`` in a struct, so no name can clash) beside the columns that ``make()``'s function returns.
+def append_columns(df: DataFrame, inputs: list[Column], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], schema: str, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns of ``df``, or those named in ``carry``, in a struct, so no name can clash) beside new columns.
 
-    ``make`` runs once per task; its function gets batches of ``inputs``, named ``_0``, ``_1`` and so on.
+    ``make`` runs once per task; its function gets batches of ``inputs`` and returns the arrays of ``schema``.
     """
-    packed = df.select(F.struct("*").alias("row"), *[c.alias(f"_{i}") for i, c in enumerate(inputs)])
-    row_type = packed.schema["row"].dataType.simpleString()
-    names = [x.split()[0] for x in schema.split(", ")]
+    packed = df.select(F.struct(*(carry or ["*"])).alias("row"), *[c.alias(f"_{i}") for i, c in enumerate(inputs)])
+    out = StructType([packed.schema["row"], *StructType.fromDDL(schema).fields])
+    names = out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *step(batch.select(range(1, batch.num_columns)))], names=["row", *names])
-
-    from pyspark.sql.types import StructType
+            yield pa.RecordBatch.from_arrays([batch.column(0), *step(batch.select(range(1, batch.num_columns)))], names=names)
 
-    out = StructType([packed.schema["row"], *StructType.fromDDL(schema).fields])
-    assert row_type
     return packed.mapInArrow(run, out)
 
 

@@ -116,3 +116,68 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = {k: of_kind(k) for k in KINDS}
     base = F.filter("spans", lambda s: s["kind"] != "random")
     return found.select(F.col("id").alias("doc_id"), count["assign"], count["access"], count["hex"], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), count["random"])
+
+
+def _tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query("op1_bpe")
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; digests of the ids and of the decoded text."""
+    from docketspark.llm.bpe import encode
+
+    found = encode(table(spark, sf_dir, "documents"), _tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"), carry=["doc_id"])
+    return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@_query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the documents that are not held out."""
+    from docketspark.llm.language_id import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs), carry=["doc_id"])
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@_query(
+    "op5_decontaminate",
+    r"""
+    WITH w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    bw AS (
+      SELECT DISTINCT item_id, least(13, len(ws)) AS k, array_to_string(ws[i : i + least(13, len(ws)) - 1], ' ') AS win
+      FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS i FROM b WHERE len(ws) > 0)),
+    ks AS (SELECT DISTINCT k FROM bw),
+    dw AS (
+      SELECT doc_id, i, k, array_to_string(ws[i : i + k - 1], ' ') AS win
+      FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w CROSS JOIN ks WHERE len(ws) >= k)),
+    m AS (SELECT doc_id, i, dw.k, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.k = bw.k),
+    h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(it, ',' ORDER BY it) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS it FROM m) GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+    FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
+)
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item."""
+    from docketspark.llm.decontaminate import contaminated, find_passages, n_hit
+
+    found = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select(
+        "row.doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated")
+    )
+
+
+@_query("op8_minhash_dedup")
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near copies."""
+    from docketspark.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
