@@ -181,3 +181,27 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketspark.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, written to flat token streams, counted by a scan of those streams for separators alone."""
+    from docketspark.llm.token_counts import count_tokens, pack
+
+    end_id = 49_408  # the first id the vocabulary leaves free, so no text can hold it
+    blocks, order = pack(table(spark, sf_dir, "documents"), _tokenizer_path(), end_id)
+    found = count_tokens(blocks, end_id)
+    return found.join(order, ["stream", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens", "stream", "ordinal", "start")
+
+
+@_query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade (0 to 2) and probability of the best, learned from the rated ones not held out."""
+    from docketspark.llm.language_id import held_out
+    from docketspark.llm.quality import fit, grade_of, rate
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).cast("int").alias("grade")).filter(~held_out(F.col("doc_id")))
+    found = rate(docs, fit(docs, ratings, n_grades=3), level=2, carry=["doc_id"])
+    kept = F.coalesce(F.col("tail") >= 0.5, F.lit(True))
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "expected_grade", F.col("tail").alias("p_best"), kept.alias("kept"))
