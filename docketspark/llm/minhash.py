@@ -7,10 +7,12 @@
 2. Documents of equal sets are one class; only one row of a class goes on, whatever the number of copies.
 3. Band keys with more than one class are buckets. In every bucket each class is paired with one centre; the centres are
    the same for a group in most of its buckets, so there are few different pairs. Signatures rule out pairs far below the
-   threshold (estimate under 0.53 where 0.75 is wanted: five standard deviations), the rest are confirmed on full sets.
-4. Confirmed links give components. Buckets whose members are not all in one component go round again with other
-   centres, from the bucket's largest component. After ``ROUNDS`` rounds, what still is apart is compared in full: pairs of
-   different components in one bucket. So no pair of a bucket is left out unless its ends are linked already.
+   threshold (estimate under 0.67 where 0.75 is wanted: 4.7 standard deviations), the rest are confirmed on full sets.
+4. Confirmed links give components. Buckets whose members are not all in one component go round again, from the
+   bucket's largest component. What still is apart is compared in full: the members of such a bucket, in blocks of
+   ``BLOCK``, signature against signature; a pair of different components is named in its first common band only and
+   confirmed on full sets. So no pair of a bucket is left out unless its ends are linked already, and only pairs
+   that may be links become rows.
 
 Full sets are computed again only for the classes that have to be confirmed; a bitmap of their ids, of fixed size,
 picks their rows, so texts are not shuffled. Links and components stay distributed; every loop's state is a table in the
@@ -34,11 +36,12 @@ from docketspark.llm.common import bitmap, ended_buffer, filled, in_bitmap, mix,
 from docketspark.session import cut
 
 WORDS = 5
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 80, 8
 COORDINATES = BANDS * ROWS
 LOG2_PLACES = 22
-LEAST_ESTIMATE = 0.53
-ROUNDS = 3
+LEAST_ESTIMATE = 0.67
+ROUNDS = 2
+BLOCK = 512
 LOG2_BITS = 22
 
 _U = np.uint64
@@ -59,7 +62,7 @@ def pi_slices() -> np.ndarray:
     return _PI["pi"]
 
 
-def signature(shingles: np.ndarray, block: int = 4096) -> np.ndarray:
+def signature(shingles: np.ndarray, block: int = 1024) -> np.ndarray:
     table = pi_slices()
     out = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
     places = (mix(shingles, 11) >> _U(64 - LOG2_PLACES)).astype(np.int64)
@@ -97,38 +100,31 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(shingles, seed).sum(dtype=np.uint64).astype(np.int64)) for seed in (21, 22)) if len(shingles) else (0, 0)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    folded = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        folded = mix(folded ^ sig[k::ROWS].astype(np.uint64), 31 + k)
-    return folded.view(np.int64)
-
-
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, node and check (the set's fingerprint), bands, sig (the coordinates' low bytes)."""
+    """Per row: id, n_shingles, node and check (the set's fingerprint), sig (the coordinates' low bytes)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, checks, bands, sigs = [], [], [], [], []
+            sizes, nodes, checks, sigs = [], [], [], []
             for s in shingle_sets(filled(batch.column("text"))):
                 sizes.append(len(s))
                 a, b = fingerprint(s)
                 nodes.append(a)
                 checks.append(b)
-                if len(s):
-                    sig = signature(s)
-                    bands.append(band_keys(sig))
-                    sigs.append(sig.astype(np.uint8).tobytes())
-                else:
-                    bands.append(None)
-                    sigs.append(None)
+                sigs.append(signature(s).astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["id", "n_shingles", "node", "check", "bands", "sig"],
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sigs, pa.binary())],
+                names=["id", "n_shingles", "node", "check", "sig"],
             )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, node long, check long, bands array<bigint>, sig binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, node long, check long, sig binary")
+
+
+def bands_of(sig) -> list:
+    """Columns band and bucket, one row a band."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(k, F.substring(sig, k * ROWS + 1, F.lit(ROWS))).alias("bucket")))
+    return F.inline(keys)
 
 
 def full_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,6 +155,59 @@ def _likely(pairs: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _apart_in_blocks(members: DataFrame, share: tuple[int, int], least: float = LEAST_ESTIMATE) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket that may be links.
+
+    ``members``: bucket, band, i, j, side (0: block i, 1: block j), node, comp, n, sig. A cell (bucket, i, j) holds two blocks
+    at most; cells come one after another from sorted partitions, so a task holds one cell at a time.
+    """
+
+    def pairs_in(cell: list) -> tuple[list[int], list[int]]:
+        side, band, node, comp, n, sig = (np.concatenate([c[k] for c in cell]) for k in range(6))
+        inner = not side.any()
+        left = np.flatnonzero(side == 0)
+        a, b = [], []
+        for x in left.tolist():
+            others = np.arange(x) if inner else np.flatnonzero(side == 1)
+            others = others[(comp[others] != comp[x]) & (share[0] * np.minimum(n[others], n[x]) >= share[1] * np.maximum(n[others], n[x]))]
+            if not len(others):
+                continue
+            same = sig[others] == sig[x]
+            near = same.mean(1) >= least
+            if near.any():
+                first = same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]
+                found = node[others[near][first]]
+                a += np.minimum(found, node[x]).tolist()
+                b += np.maximum(found, node[x]).tolist()
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: list = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
+            columns = [batch.column(c).to_numpy() for c in ("side", "band", "node", "comp", "n")]
+            columns.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES))
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            a, b = [], []
+            for p, q in zip(edges, edges[1:], strict=False):
+                if key is not None and tuple(keys[p]) != key:
+                    x, y = pairs_in(cell)
+                    a += x
+                    b += y
+                    cell = []
+                key = tuple(keys[p])
+                cell.append([c[p:q] for c in columns])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if cell:
+            a, b = pairs_in(cell)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return members.mapInArrow(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Of pairs (a, b, set_a, set_b) those with share[0] * intersection >= share[1] * union."""
 
@@ -206,11 +255,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: id, n_shingles, component_id (the least id reachable), kept."""
     rows = cut(sketches(docs, id_col, text_col), "sketches")
     classes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n"))
-    bands = rows.filter("n_shingles > 0").select("node", F.explode("bands").alias("bucket"))
-    order = F.struct(F.xxhash64("node").alias("h"), "node")
-    # copies of a class fall into the same buckets; distinct ends are counted by least and greatest
-    shared = bands.groupBy("bucket").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first != last").select("bucket", F.col("first.node").alias("centre"))
-    members = cut(bands.join(shared, "bucket").select("bucket", "node", "centre").distinct(), "members")
+    bands = rows.filter("n_shingles > 0").select("node", bands_of(F.col("sig")))
+    # copies of a class fall into the same buckets; a node is a hash, so the least one is as good as a random centre
+    shared = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre != last").select("bucket", "centre")
+    members = cut(bands.join(shared, "bucket").select("bucket", "band", "node", "centre").distinct(), "members")
     known = cut(classes.join(members.select("node").distinct(), "node", "left_semi"), "candidates")
     sig = cut(rows.filter("n_shingles > 0").select("node", "sig", F.col("n_shingles").alias("n")).join(known.select("node"), "node", "left_semi").dropDuplicates(["node"]), "signatures")
 
@@ -219,42 +267,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     picked = docs.filter(in_bitmap(bits.scalar(), F.xxhash64(F.col(id_col)), LOG2_BITS))
     sets = cut(full_sets(picked, id_col, text_col).join(known.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
+    def likely(pairs: DataFrame, name: str) -> DataFrame:
         fits = (share[0] * F.least("n_a", "n_b")) >= (share[1] * F.greatest("n_a", "n_b"))
         with_a = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a")), "a")
         with_b = with_a.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b")), "b")
-        likely = cut(_likely(with_b.filter(fits).select("a", "b", "sig_a", "sig_b")), f"likely-{name}")
-        full = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-        return cut(_confirmed(full.select("a", "b", "set_a", "set_b"), share), f"links-{name}")
+        return cut(_likely(with_b.filter(fits).select("a", "b", "sig_a", "sig_b")), f"likely-{name}")
 
-    def ordered(a: str, b: str) -> list:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    def confirm(pairs: DataFrame, name: str) -> DataFrame:
+        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+        return cut(_confirmed(full.select("a", "b", "set_a", "set_b"), share), f"links-{name}")
 
-    tested = cut(members.filter("node != centre").select(*ordered("node", "centre")).distinct(), "pairs-0")
+    ends = [F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")]
+    tested = likely(members.filter("node != centre").select(*ends).distinct(), "0")
     state = components(cut(known.select("node", F.col("node").alias("comp")), "nodes"), confirm(tested, "0"))
-    apart = members.select("bucket", "node")
+    apart = members.select("bucket", "band", "node")
     for k in range(1, rounds + 1):
-        apart = apart.join(state, "node").select("bucket", "node", "comp")
-        split = apart.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
-        apart = cut(apart.join(split, "bucket", "left_semi"), f"apart-{k}")
+        apart = apart.join(state, "node")
+        split = apart.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n_members")).filter("low != high").select("bucket", "n_members")
+        apart = cut(apart.join(split, "bucket").select("bucket", "band", "node", "comp", "n_members"), f"apart-{k}")
         if apart.isEmpty():
             break
         if k < rounds:
             largest = (
                 apart.groupBy("bucket", "comp")
-                .agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")).alias("one"))
+                .agg(F.count("*").alias("n"), F.max("node").alias("one"))
                 .groupBy("bucket")
                 .agg(F.max(F.struct("n", "comp", "one")).alias("top"))
-                .select("bucket", F.col("top.comp").alias("main"), F.col("top.one.node").alias("centre"))
+                .select("bucket", F.col("top.comp").alias("main"), F.col("top.one").alias("centre"))
             )
-            pairs = apart.join(largest, "bucket").filter("comp != main").select(*ordered("node", "centre")).distinct()
+            pairs = apart.join(largest, "bucket").filter("comp != main").select(*ends).distinct()
+            pairs = likely(pairs.join(tested, ["a", "b"], "left_anti"), str(k))
         else:
-            other = apart.select("bucket", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-            pairs = apart.join(other, "bucket").filter("comp < other_comp").select(*ordered("node", "other")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{k}")
+            blocks = F.ceil(F.col("n_members") / BLOCK)
+            placed = apart.join(sig, "node").select("bucket", "band", "node", "comp", "n", "sig", F.pmod(F.xxhash64("node"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+            cells = placed.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "n", "sig")
+            ordered = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+            pairs = cut(_apart_in_blocks(ordered, share).join(tested, ["a", "b"], "left_anti"), "likely-rest")
         tested = tested.union(pairs)
         state = components(state, confirm(pairs, str(k)))
-        apart = apart.select("bucket", "node")
+        apart = apart.select("bucket", "band", "node")
 
     by_node = classes.select("node", "least").join(state, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "least")
     named = by_node.groupBy("comp").agg(F.min("least").alias("component_id"))
