@@ -15,9 +15,11 @@ rows are encoded each; an empty table gives no rows; all columns of the table co
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,12 @@ from docketspark.llm.common import append_columns, ended_buffer, filled, mix, sl
 
 WINDOW = 16
 LEAST_CHUNK = 256
+MARKS = ".,;:!?"
+_MARKED = re.compile(rb"([0-9A-Za-z])([.,;:!?])(?=[\x20\t-\r]|\Z)")
+_FIRST = re.compile(rb"[^\x20\t-\r]*")
 MASK = np.uint32(0x3FF << 22)  # a cut about every 1,024 bytes
-MOST_WORDS, LONGEST_WORD = 300_000, 64
-STORE_BYTES = 48 << 20
+MOST_WORDS, LONGEST_WORD = 800_000, 64
+STORE_BYTES = 32 << 20
 
 _GEAR = (mix(np.arange(256, dtype=np.uint64), 7) >> np.uint64(32)).astype(np.uint32)
 
@@ -66,86 +71,176 @@ class Store(dict):
             self.clear()
             self.bytes = 0
         self[key] = value
-        self.bytes += 12 * len(key) + 400
+        self.bytes += 4 * len(key) + 400
 
 
 class Coder:
-    """Encodes and decodes whole texts. A piece is (number of tokens, decimal ids, ids as 4-byte integers, decoded text)."""
-
-    EMPTY = (0, "", b"", "")
+    """Encodes whole texts to ids (packed four-byte integers) and spells ids out. One a worker."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.set_threshold(1_000_000, 50, 1000)  # the stores hold no cycles, and scanning them again and again is dear
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.words: dict[bytes, tuple] = {}
+        if not self._agrees("ab \n cd", "ab cd"):
+            raise ValueError("chunks are joined at white space, which this tokenizer does not drop")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.joins_only = self.tokenizer.decoder is None  # then decoding joins the tokens with spaces
+        self.ends = np.array([bool(suffix) and t.endswith(suffix) for t in tokens])
+        # a text without "<|" holds no special token; there case and a sign at a word's end can be set apart at once
+        marked = all(t.startswith("<|") for t in special)
+        self.folds_case = marked and self._agrees("Ab Zz", "ab zz")
+        self.parts_marks = marked and all(self._agrees(f"ab{m} 7{m}", f"ab {m} 7 {m}") for m in MARKS)
+        self.decimal_table = _spelling([str(i).encode() for i in range(size)])
+        self.token_table = _spelling([t.encode() for t in tokens])
+        self.words: dict[bytes, bytes] = {}
         self.store = Store()
         self.encoded = self.reused = 0
 
-    def _new(self, words: Iterable[bytes]) -> dict[bytes, tuple]:
-        words = list(words)
-        out = {}
-        for w, e in zip(words, self.batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            ids = e.ids
-            out[w] = (len(ids), " ".join(map(str, ids)), np.array(ids, np.uint32).tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False))
+    def _agrees(self, a: str, b: str) -> bool:
+        return self.tokenizer.encode(a, add_special_tokens=False).ids == self.tokenizer.encode(b, add_special_tokens=False).ids
+
+    # -- words
+
+    def _split(self, part: bytes) -> list[bytes]:
+        """Words that are encoded each on its own; ``part`` begins and ends at white space or a text's edge."""
+        if b"<|" not in part:
+            if self.parts_marks:
+                part = _MARKED.sub(rb"\1 \2", part)
+            if self.folds_case:
+                part = part.lower()
+        return part.split()
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out = self._encode_letters([w for w in words if w.isalpha() or (len(w) <= LONGEST_WORD and w.decode().isalpha())])
+        rest = [w for w in words if w not in out]
+        for w, e in zip(rest, self.batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            out[w] = np.array(e.ids, np.uint32).tobytes()
         return out
 
-    def _pieces(self, words: list[bytes]) -> list[tuple]:
-        known = self.words
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            if len(known) > MOST_WORDS:
-                known.clear()
-            new = self._new(dict.fromkeys(w for w in words if w not in known))
-            known.update((w, p) for w, p in new.items() if len(w) <= LONGEST_WORD)
-            return [known[w] if w in known else new[w] for w in words]
+    def _encode_letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words of letters only, encoded in one go: each has one token that ends a word, unless normalisation breaks it up."""
+        if len(words) < 2:
+            return {}
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return {}
+        raw, stops = ids.tobytes(), (4 * ends).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *stops], stops, strict=False)}
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not met before; all but very long ones are kept, in a store of bounded size."""
+        new = self._encode(words)
+        if len(self.words) > MOST_WORDS:
+            self.words.clear()
+        self.words.update(new if max(map(len, new), default=0) <= LONGEST_WORD else {w: p for w, p in new.items() if len(w) <= LONGEST_WORD})
+        return new
+
+    def _joined(self, words: list[bytes], found: list, learned: dict[bytes, bytes]) -> bytes:
+        return b"".join([learned[w] if p is None else p for w, p in zip(words, found, strict=True)] if None in found else found)
+
+    # -- chunks
 
     @staticmethod
-    def _join(pieces: list[tuple]) -> tuple:
-        pieces = [p for p in pieces if p[0]]
-        return (sum(p[0] for p in pieces), " ".join([p[1] for p in pieces]), b"".join([p[2] for p in pieces]), " ".join([p[3] for p in pieces]))
-
-    def chunk(self, chunk: bytes) -> tuple:
-        """(head, piece between, tail) of a chunk, or (chunk, None, b"") if it has no white space."""
-        if (found := self.store.find(chunk)) is not None:
-            self.reused += 1
-            return found
-        self.encoded += 1
-        words = chunk.split()
-        head = b"" if not words or chunk[:1].isspace() else words.pop(0)
-        tail = b"" if not words or chunk[-1:].isspace() else words.pop()
-        found = (chunk, None, b"") if head == chunk else (head, self._join(self._pieces(words)) if words else self.EMPTY, tail)
-        self.store.keep(chunk, found)
-        return found
+    def _parts(chunk: bytes) -> tuple[bytes, bytes | None, bytes]:
+        """What stands before a chunk's first white space, between, and after its last; (chunk, None, b"") without any."""
+        first, last = _FIRST.match(chunk).end(), len(chunk) - _FIRST.match(chunk[::-1]).end()
+        return (chunk, None, b"") if first == len(chunk) else (chunk[:first], chunk[first:last], chunk[last:])
+
+    def _chunks(self, chunks: list[bytes]) -> dict[bytes, tuple]:
+        """(head, ids between, tail) of each chunk: from the store, or encoded once and stored."""
+        out, new = {}, {}
+        get = self.words.get
+        missing: dict[bytes, None] = {}
+        for c in chunks:
+            if c in out or c in new:
+                self.reused += 1
+            elif (found := self.store.find(c)) is not None:
+                out[c] = found
+                self.reused += 1
+            else:
+                head, between, tail = self._parts(c)
+                words = self._split(between) if between else []
+                found = list(map(get, words))
+                if None in found:
+                    missing.update(dict.fromkeys(w for w, p in zip(words, found, strict=True) if p is None))
+                new[c] = (head, words if between is not None else None, tail, found)
+        learned = self._learn(list(missing)) if missing else {}
+        for c, (head, words, tail, found) in new.items():
+            out[c] = (head, None if words is None else self._joined(words, found, learned), tail)
+            self.store.keep(c, out[c])
+        self.encoded += len(new)
+        return out
 
-    def texts(self, texts: pa.Array) -> Iterator[tuple]:
-        """A piece for each text."""
+    def slices(self, texts: pa.Array) -> Iterator[list[bytes]]:
+        """Packed ids of the texts, some texts at a time."""
         for i, j in slices(texts):
             data, offsets = ended_buffer(texts.slice(i, j - i))
             at = cuts(data)
             raw = data.tobytes()
+            chunked = []
             for start, end in zip(offsets[:-1].tolist(), (offsets[1:] - 1).tolist(), strict=True):
-                own = at[np.searchsorted(at, start + WINDOW) : np.searchsorted(at, end)].tolist()
-                pieces, carry, begin = [], b"", start
-                for cut in [*own, end]:
-                    if cut - begin < LEAST_CHUNK and cut != end:
-                        continue
-                    head, between, tail = self.chunk(raw[begin:cut])
-                    begin = cut
+                own, begin = [], start
+                for cut in [*at[np.searchsorted(at, start + WINDOW) : np.searchsorted(at, end)].tolist(), end]:
+                    if cut - begin >= LEAST_CHUNK or cut == end:
+                        own.append(raw[begin:cut])
+                        begin = cut
+                chunked.append(own)
+            encoded = self._chunks([c for own in chunked for c in own])
+            # joins: what lies between the inner parts of two chunks, from white space to white space, is encoded again
+            texts_parts: list[list] = []
+            joins: list[bytes] = []
+            for own in chunked:
+                parts, carry = [], b""
+                for c in own:
+                    head, between, tail = encoded[c]
                     carry += head
                     if between is not None:
-                        if carry:
-                            pieces += self._pieces([carry])
-                        pieces.append(between)
+                        parts += [carry, between]
+                        joins.append(carry)
                         carry = tail
-                if carry:
-                    pieces += self._pieces([carry])
-                yield self._join(pieces)
+                parts.append(carry)
+                joins.append(carry)
+                texts_parts.append(parts)
+            split = {c: self._split(c) for c in dict.fromkeys(joins)}
+            repaired: dict[bytes, bytes] = {w: self.words.get(w) for words in split.values() for w in words}
+            if missing := [w for w, p in repaired.items() if p is None]:
+                repaired |= self._learn(missing)
+            again = {c: b"".join([repaired[w] for w in words]) for c, words in split.items()}
+            yield [b"".join([p if k & 1 else again[p] for k, p in enumerate(parts)]) for parts in texts_parts]
+
+    # -- spelling
+
+    def spelled(self, packed: list[bytes], table: tuple) -> list[memoryview]:
+        """The ids of each text written with ``table``'s strings, one space between."""
+        starts, lengths, letters = table
+        ids = np.frombuffer(b"".join(packed), np.uint32)
+        own = lengths[ids]
+        ends = np.cumsum(own, dtype=np.int64)
+        at = np.repeat(starts[ids] - (ends - own), own)
+        at += np.arange(len(at))
+        out = memoryview(letters[at].tobytes())
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *(len(p) // 4 for p in packed)])].tolist()
+        return [out[a : max(a, b - 1)] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def decoded(self, packed: list[bytes]) -> list[bytes | memoryview]:
+        if self.joins_only:
+            return self.spelled(packed, self.token_table)
+        return [self.tokenizer.decode(np.frombuffer(p, np.uint32).tolist(), skip_special_tokens=False).encode() for p in packed]
+
+
+def _spelling(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each string, a space after it, begins in one buffer; its length; the buffer."""
+    lengths = np.array([len(x) + 1 for x in strings], np.int64)
+    return np.cumsum(lengths) - lengths, lengths, np.frombuffer(b" ".join(strings) + b" ", np.uint8)
 
 
 _CODERS: dict[int, Coder] = {}
@@ -160,16 +255,14 @@ def coder_for(tokenizer: str) -> Coder:
     return _CODERS[key]
 
 
-#: What the operator can give for a text: type, and how it is had from a piece.
+#: What the operator can give for a text: type, and how it is had from (coder, packed ids of some texts).
 OUTPUTS = {
-    "n_tokens": ("long", lambda p: p[0]),
-    "ids": ("array<int>", lambda p: np.frombuffer(p[2], np.uint32).astype(np.int32)),
-    "ids_bytes": ("binary", lambda p: p[2]),
-    "decoded": ("string", lambda p: p[3]),
-    "ids_sha256": ("string", lambda p: hashlib.sha256(p[1].encode()).hexdigest()),
-    "decoded_sha256": ("string", lambda p: hashlib.sha256(p[3].encode()).hexdigest()),
+    "n_tokens": ("long", lambda c, ps: pa.array([len(p) // 4 for p in ps], pa.int64())),
+    "ids": ("array<int>", lambda c, ps: pa.array([np.frombuffer(p, np.int32) for p in ps], pa.list_(pa.int32()))),
+    "decoded": ("string", lambda c, ps: pa.array([bytes(x).decode() for x in c.decoded(ps)], pa.string())),
+    "ids_sha256": ("string", lambda c, ps: pa.array([hashlib.sha256(x).hexdigest() for x in c.spelled(ps, c.decimal_table)], pa.string())),
+    "decoded_sha256": ("string", lambda c, ps: pa.array([hashlib.sha256(x).hexdigest() for x in c.decoded(ps)], pa.string())),
 }
-_ARROW = {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "binary": pa.binary(), "string": pa.string()}
 
 
 def encode(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, ...] = ("n_tokens", "ids"), text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -184,11 +277,11 @@ def encode(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, ...] = ("n_
         coder = coder_for(sent.value)
 
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
-            columns: list[list] = [[] for _ in outputs]
-            for piece in coder.texts(filled(batch.column(0))):
+            columns: list[list[pa.Array]] = [[] for _ in outputs]
+            for packed in coder.slices(filled(batch.column(0))):
                 for column, name in zip(columns, outputs, strict=True):
-                    column.append(OUTPUTS[name][1](piece))
-            return [pa.array(c, _ARROW[OUTPUTS[n][0]]) for c, n in zip(columns, outputs, strict=True)]
+                    column.append(OUTPUTS[name][1](coder, packed))
+            return [pa.concat_arrays(c) if c else pa.array([], "int64" if OUTPUTS[n][0] == "long" else pa.string()) for c, n in zip(columns, outputs, strict=True)]
 
         return step
 

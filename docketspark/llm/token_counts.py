@@ -70,11 +70,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_i
         for batch in batches:
             id_type = batch.column("id").type
             parts = [rest]
-            for piece in coder_for(sent.value).texts(filled(batch.column("text"))):
-                ids = np.frombuffer(piece[2], np.uint32)
-                if len(ids) and ids.max() > 0xFFFF:
-                    raise ValueError("an id does not fit two bytes")
-                parts += [ids.astype(np.uint16), end]
+            for packed in coder_for(sent.value).slices(filled(batch.column("text"))):
+                for ids in (np.frombuffer(p, np.uint32) for p in packed):
+                    if len(ids) and ids.max() > 0xFFFF:
+                        raise ValueError("an id does not fit two bytes")
+                    parts += [ids.astype(np.uint16), end]
             tokens = np.concatenate(parts)
             whole = len(tokens) // block_tokens * block_tokens
             if whole:
