@@ -1,6 +1,6 @@
 """The query catalogue: importing the modules fills the registry."""
 
-from docketspark.plans import relational  # noqa: F401
+from docketspark.plans import relational, retrieval, text  # noqa: F401
 from docketspark.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

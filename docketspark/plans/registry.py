@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketspark.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -15,7 +18,13 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         if key in QUERIES:
             raise ValueError(f"{key} is registered already")
-        QUERIES[key] = f
+
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql:
             ORACLE_SQL[key] = sql
         return f
