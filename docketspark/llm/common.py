@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from docketspark.session import cut
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 5

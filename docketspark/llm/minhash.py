@@ -10,8 +10,8 @@
    threshold (estimate under 0.67 where 0.75 is wanted: 4.7 standard deviations), the rest are confirmed on full sets.
 4. Confirmed links give components. Buckets whose members are not all in one component go round again, from the
    bucket's largest component. What still is apart is compared in full: the members of such a bucket, in blocks of
-   ``BLOCK``, signature against signature; a pair of different components is named in its first common band only and
-   confirmed on full sets. So no pair of a bucket is left out unless its ends are linked already, and only pairs
+   ``BLOCK``, signature against signature. First only each node's likeliest partner is confirmed; after that has merged
+   what belongs together, every pair of different components is named, in its first common band, and confirmed. So no pair of a bucket is left out unless its ends are linked already, and only pairs
    that may be links become rows.
 
 Full sets are computed again only for the classes that have to be confirmed; a bitmap of their ids, of fixed size,
@@ -40,7 +40,7 @@ BANDS, ROWS = 80, 8
 COORDINATES = BANDS * ROWS
 LOG2_PLACES = 22
 LEAST_ESTIMATE = 0.67
-ROUNDS = 2
+ROUNDS = 3
 BLOCK = 512
 LOG2_BITS = 22
 
@@ -155,8 +155,8 @@ def _likely(pairs: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _apart_in_blocks(members: DataFrame, share: tuple[int, int], least: float = LEAST_ESTIMATE) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that may be links.
+def _apart_in_blocks(members: DataFrame, share: tuple[int, int], likeliest: bool, least: float = LEAST_ESTIMATE) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket that may be links; ``likeliest``: only the best one of each node and cell.
 
     ``members``: bucket, band, i, j, side (0: block i, 1: block j), node, comp, n, sig. A cell (bucket, i, j) holds two blocks
     at most; cells come one after another from sorted partitions, so a task holds one cell at a time.
@@ -173,8 +173,13 @@ def _apart_in_blocks(members: DataFrame, share: tuple[int, int], least: float =
             if not len(others):
                 continue
             same = sig[others] == sig[x]
-            near = same.mean(1) >= least
-            if near.any():
+            agree = same.mean(1)
+            near = agree >= least
+            if likeliest and near.any():
+                best = node[others[agree.argmax()]]
+                a.append(min(best, node[x]))
+                b.append(max(best, node[x]))
+            elif near.any():
                 first = same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]
                 found = node[others[near][first]]
                 a += np.minimum(found, node[x]).tolist()
@@ -287,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = cut(apart.join(split, "bucket").select("bucket", "band", "node", "comp", "n_members"), f"apart-{k}")
         if apart.isEmpty():
             break
-        if k < rounds:
+        if k == 1:
             largest = (
                 apart.groupBy("bucket", "comp")
                 .agg(F.count("*").alias("n"), F.max("node").alias("one"))
@@ -302,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             placed = apart.join(sig, "node").select("bucket", "band", "node", "comp", "n", "sig", F.pmod(F.xxhash64("node"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
             cells = placed.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "n", "sig")
             ordered = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-            pairs = cut(_apart_in_blocks(ordered, share).join(tested, ["a", "b"], "left_anti"), "likely-rest")
+            pairs = cut(_apart_in_blocks(ordered, share, k < rounds).distinct().join(tested, ["a", "b"], "left_anti"), "likely-rest")
         tested = tested.union(pairs)
         state = components(state, confirm(pairs, str(k)))
         apart = apart.select("bucket", "band", "node")
