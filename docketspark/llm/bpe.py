@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import append_columns, ended_buffer, filled, mix, slices
+from docketspark.llm.common import append_columns, claim, ended_buffer, filled, mix, slices
 
 WINDOW = 16
 LEAST_CHUNK = 256
@@ -34,8 +34,8 @@ MARKS = ".,;:!?"
 _MARKED = re.compile(rb"([0-9A-Za-z])([.,;:!?])(?=[\x20\t-\r]|\Z)")
 _FIRST = re.compile(rb"[^\x20\t-\r]*")
 MASK = np.uint32(0x3FF << 22)  # a cut about every 1,024 bytes
-MOST_WORDS, LONGEST_WORD = 800_000, 64
-STORE_BYTES = 32 << 20
+MOST_WORDS, LONGEST_WORD = 300_000, 64
+STORE_BYTES = 16 << 20
 
 _GEAR = (mix(np.arange(256, dtype=np.uint64), 7) >> np.uint64(32)).astype(np.uint32)
 
@@ -243,16 +243,14 @@ def _spelling(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.cumsum(lengths) - lengths, lengths, np.frombuffer(b" ".join(strings) + b" ", np.uint8)
 
 
-_CODERS: dict[int, Coder] = {}
-
-
 def coder_for(tokenizer: str) -> Coder:
     """One coder a worker, so its stores outlive a task."""
+    coders = claim("bpe")
     key = hash(tokenizer)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(tokenizer)
-    return _CODERS[key]
+    if key not in coders:
+        coders.clear()
+        coders[key] = Coder(tokenizer)
+    return coders[key]
 
 
 #: What the operator can give for a text: type, and how it is had from (coder, packed ids of some texts).

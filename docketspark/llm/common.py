@@ -19,6 +19,21 @@ from docketspark.session import cut
 
 SLICE_BYTES = 1 << 20
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What one operator keeps in a Python worker between tasks."""
+    return _CACHES.setdefault(name, {})
+
+
+def claim(name: str) -> dict:
+    """The operator's cache; what other operators left in this worker goes, so a worker holds one operator's tables at a time."""
+    for other, kept in _CACHES.items():
+        if other != name:
+            kept.clear()
+    return worker_cache(name)
+
 _U = np.uint64
 _BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 5
 _BASE_INV = pow(_BASE, -1, 1 << 64)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import append_columns, ended_buffer, filled, mix, slices, word_spans
+from docketspark.llm.common import append_columns, claim, ended_buffer, filled, mix, slices, word_spans
 
 WINDOW = 13
 BLOCK = 8
@@ -217,18 +217,15 @@ def _blocks(stated: DataFrame, most_items: int) -> list[list[tuple[str, str]]]:
     return blocks
 
 
-_SEARCHERS: dict[str, Searcher] = {}
-
-
 def _judge(items: list[tuple[str, str]], spark, window: int):
     sent = spark.sparkContext.broadcast(items)  # one block of items, of a stated size
     name = hashlib.sha256(repr(items).encode()).hexdigest()
 
     def make():
-        if name not in _SEARCHERS:
-            _SEARCHERS.clear()
-            _SEARCHERS[name] = Searcher(windows(sent.value, window))
-        searcher, ids = _SEARCHERS[name], [i for i, _ in sent.value]
+        searchers = claim("decontaminate")
+        if name not in searchers:
+            searchers[name] = Searcher(windows(sent.value, window))
+        searcher, ids = searchers[name], [i for i, _ in sent.value]
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
         def step(batch: pa.RecordBatch) -> list[pa.Array]:

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import append_columns, ended_buffer, filled, slices
+from docketspark.llm.common import append_columns, claim, ended_buffer, filled, slices
 
 UNKNOWN = "und"
 PAD = "\x00\x00\x00"
 BITS = 1 << 16
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 MOST_LANGUAGES = 64
 SCORE_BYTES = 32
 
@@ -144,14 +144,12 @@ class Tables:
         return out
 
 
-_TABLES: dict[str, Tables] = {}
-
-
 def _tables(st: Statistics) -> Tables:
-    if st.key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[st.key] = Tables(st)
-    return _TABLES[st.key]
+    tables = claim("language_id")
+    if st.key not in tables:
+        tables.clear()
+        tables[st.key] = Tables(st)
+    return tables[st.key]
 
 
 class Model:

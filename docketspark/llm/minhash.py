@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import bitmap, ended_buffer, filled, in_bitmap, mix, slices, word_hashes, word_spans
+from docketspark.llm.common import bitmap, claim, ended_buffer, filled, in_bitmap, mix, slices, word_hashes, word_spans
 from docketspark.session import cut
 
 WORDS = 5
@@ -50,16 +50,14 @@ _SEPARATOR[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_PI: dict[str, np.ndarray] = {}
-
-
 def pi_slices() -> np.ndarray:
     """Row p: pi at p, p + 1, ... around the circle, for all coordinates. A view of one table of 2**22 values."""
-    if "pi" not in _PI:
+    kept = claim("minhash")
+    if "pi" not in kept:
         places = 1 << LOG2_PLACES
         pi = np.random.default_rng(20240607).permutation(places).astype(np.uint32)
-        _PI["pi"] = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:COORDINATES]]), COORDINATES)
-    return _PI["pi"]
+        kept["pi"] = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:COORDINATES]]), COORDINATES)
+    return kept["pi"]
 
 
 def signature(shingles: np.ndarray, block: int = 1024) -> np.ndarray:
