@@ -36,7 +36,7 @@ query(_knn_sql("list_inner_product(qv, v)"), "knn_ip")(_knn("ip"))
 def knn_ivf(spark, d):
     """The same by an index of inverted lists; its recall against the exact search is tested."""
     rows = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    found = R.IvfIndex(rows, DIMS).search(rows.filter("id % 20 = 0"), 10, probes=8)
+    found = R.IvfIndex(rows, DIMS).search(rows.filter("id % 20 = 0"), 10, probes=12)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 

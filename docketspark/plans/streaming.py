@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docketspark.plans.registry import query
 from docketspark.session import shared_dir, table
@@ -19,14 +20,15 @@ def _to_the_end(spark, stream, mode: str):
         rows.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    out = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(out).option("basePath", f"{base}/out").parquet(f"{base}/out")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def streaming_windows(spark, d):
     """Stage events counted by hour, as a stream in complete mode; the last batch holds the whole answer."""
     like = table(spark, d, "events")
-    stream = I.table_stream(spark, f"{d}/events.parquet", like)
+    stream = I.table_stream(spark, f"{d}/events.parquet", like).withColumn("ts", F.col("ts").cast("timestamp"))
     found = _to_the_end(spark, I.windowed_counts(stream), "complete")
     last = found.agg(F.max("batch")).scalar()
     return found.filter(F.col("batch") == last).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))

@@ -19,8 +19,13 @@ def new_files(spark: SparkSession, root: str, delay: str = "7 days") -> DataFram
 
 
 def table_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """A stream over the Parquet files of ``path``."""
-    return spark.readStream.schema(like.schema).parquet(path)
+    """A stream over the Parquet files of ``path``, a folder or one file of its folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(like.schema)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def ingest(stream: DataFrame, known_path: str, checkpoint: str, store: Callable[[DataFrame], None], key: str = "sha256") -> StreamingQuery:
