@@ -78,8 +78,9 @@ class Statistics:
             orders = []
             gram, usable = s, s > 0
             for order in range(4):
-                if order:
-                    gram = gram + np.concatenate([np.zeros(order, np.int64), s[:-order]]) * a**order
+                if order:  # the start of a text and bytes not in the sample, both 0, are in no context
+                    before = np.concatenate([np.zeros(order, np.int64), s[:-order]])
+                    gram, usable = gram + before * a**order, usable & (before > 0)
                 orders.append(np.unique(gram[usable], return_counts=True))
             self.grams.append(orders)
         contexts = np.unique(np.concatenate([g[3][0] // a for g in self.grams]))
