@@ -11,8 +11,7 @@
 4. Confirmed links give components. Buckets whose members are not all in one component go round again, from the
    bucket's largest component. What still is apart is compared in full: the members of such a bucket, in blocks of
    ``BLOCK``, signature against signature. First only each node's likeliest partner is confirmed; after that has merged
-   what belongs together, every pair of different components is named, in its first common band, and confirmed. So no pair of a bucket is left out unless its ends are linked already, and only pairs
-   that may be links become rows.
+   what belongs together, every pair of different components that may be a link is confirmed in its first common band. So no pair of a bucket is left out unless its ends are linked already, and only links become rows.
 
 Full sets are computed again only for the classes that have to be confirmed; a bitmap of their ids, of fixed size,
 picks their rows, so texts are not shuffled. Links and components stay distributed; every loop's state is a table in the
@@ -42,6 +41,7 @@ LOG2_PLACES = 22
 LEAST_ESTIMATE = 0.67
 ROUNDS = 3
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 LOG2_BITS = 22
 
 _U = np.uint64
@@ -153,35 +153,50 @@ def _likely(pairs: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _apart_in_blocks(members: DataFrame, share: tuple[int, int], likeliest: bool, least: float = LEAST_ESTIMATE) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that may be links; ``likeliest``: only the best one of each node and cell.
+def _apart_in_blocks(members: DataFrame, share: tuple[int, int], least: float = LEAST_ESTIMATE) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket, from cells of two blocks at most.
 
-    ``members``: bucket, band, i, j, side (0: block i, 1: block j), node, comp, n, sig. A cell (bucket, i, j) holds two blocks
-    at most; cells come one after another from sorted partitions, so a task holds one cell at a time.
+    ``members``: bucket, i, j, side (0: block i, 1: block j), band, node, comp, n, sig and maybe shingles, sorted by cell, so a
+    task holds one cell at a time. Without shingles: each node's likeliest partner, to be confirmed. With them: links, confirmed
+    here on full sets, the likeliest first and none between what the cell has linked by then.
     """
+    exact = "shingles" in members.columns
+    fixed = ("side", "band", "node", "comp", "n")
+
+    def joined(a: int, b: int, shingles: list) -> bool:
+        both = len(np.intersect1d(shingles[a], shingles[b], assume_unique=True))
+        return share[0] * both >= share[1] * (len(shingles[a]) + len(shingles[b]) - both)
 
     def pairs_in(cell: list) -> tuple[list[int], list[int]]:
         side, band, node, comp, n, sig = (np.concatenate([c[k] for c in cell]) for k in range(6))
+        shingles = [np.frombuffer(x, np.uint64) for c in cell for x in c[6]] if exact else []
+        comp = comp.copy()
         inner = not side.any()
-        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1)
         a, b = [], []
-        for x in left.tolist():
-            others = np.arange(x) if inner else np.flatnonzero(side == 1)
+
+        def keep(x: int, y: int) -> None:
+            a.append(min(node[x], node[y]))
+            b.append(max(node[x], node[y]))
+
+        for x in np.flatnonzero(side == 0).tolist():
+            others = np.arange(x) if inner else right
             others = others[(comp[others] != comp[x]) & (share[0] * np.minimum(n[others], n[x]) >= share[1] * np.maximum(n[others], n[x]))]
             if not len(others):
                 continue
             same = sig[others] == sig[x]
             agree = same.mean(1)
-            near = agree >= least
-            if likeliest and near.any():
-                best = node[others[agree.argmax()]]
-                a.append(min(best, node[x]))
-                b.append(max(best, node[x]))
-            elif near.any():
-                first = same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]
-                found = node[others[near][first]]
-                a += np.minimum(found, node[x]).tolist()
-                b += np.maximum(found, node[x]).tolist()
+            if not exact:
+                if agree.max() >= least:
+                    keep(x, others[agree.argmax()])
+                continue
+            near = np.flatnonzero(agree >= least)
+            # a pair belongs to its first common band, so that no other bucket looks at it again
+            near = near[same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]]
+            for y in others[near[np.argsort(-agree[near], kind="stable")]].tolist():
+                if comp[y] != comp[x] and joined(x, y, shingles):
+                    keep(x, y)
+                    comp[comp == comp[y]] = comp[x]
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +206,10 @@ def _apart_in_blocks(members: DataFrame, share: tuple[int, int], likeliest: bool
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
-            columns = [batch.column(c).to_numpy() for c in ("side", "band", "node", "comp", "n")]
+            columns: list = [batch.column(c).to_numpy() for c in fixed]
             columns.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES))
+            if exact:
+                columns.append(batch.column("shingles").to_pylist())
             edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             a, b = [], []
             for p, q in zip(edges, edges[1:], strict=False):
@@ -301,11 +318,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = apart.join(largest, "bucket").filter("comp != main").select(*ends).distinct()
             pairs = likely(pairs.join(tested, ["a", "b"], "left_anti"), str(k))
         else:
-            blocks = F.ceil(F.col("n_members") / BLOCK)
-            placed = apart.join(sig, "node").select("bucket", "band", "node", "comp", "n", "sig", F.pmod(F.xxhash64("node"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-            cells = placed.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "n", "sig")
-            ordered = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-            pairs = cut(_apart_in_blocks(ordered, share, k < rounds).distinct().join(tested, ["a", "b"], "left_anti"), "likely-rest")
+            last = k == rounds
+            rows_of = apart.join(sig, "node")
+            if last:
+                # blocks of so many members, or so many shingles, as a task can hold
+                weight = rows_of.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+                rows_of = rows_of.join(weight, "bucket").join(sets, "node")
+            else:
+                rows_of = rows_of.withColumn("blocks", F.ceil(F.col("n_members") / BLOCK))
+            carried = ["bucket", "band", "node", "comp", "n", "sig", *(["shingles"] if last else [])]
+            placed = rows_of.select(*carried, F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+            cells = placed.select(*carried, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+            found = _apart_in_blocks(cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), share)
+            if last:
+                state = components(state, cut(found, "links-rest"))
+                break
+            pairs = cut(found.distinct().join(tested, ["a", "b"], "left_anti"), "likely-rest")
         tested = tested.union(pairs)
         state = components(state, confirm(pairs, str(k)))
         apart = apart.select("bucket", "band", "node")
