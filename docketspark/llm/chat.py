@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketspark.llm.common import lean
+
 ERROR = "error"
 
 
@@ -95,7 +97,7 @@ def format_turns(conversations: DataFrame, template: Template | None = None, con
             )
 
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
-    return ordered.mapInArrow(run, f"conv {conv_type}, segments array<struct<text: string, loss: boolean>>, state string, valid boolean, first boolean")
+    return ordered.mapInArrow(lean(run), f"conv {conv_type}, segments array<struct<text: string, loss: boolean>>, state string, valid boolean, first boolean")
 
 
 def read_back(turns: DataFrame, template: Template | None = None) -> DataFrame:
@@ -140,4 +142,4 @@ def read_back(turns: DataFrame, template: Template | None = None) -> DataFrame:
         if open_conv is not None:
             yield closed([open_conv])
 
-    return turns.mapInArrow(run, f"conv {conv_type.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return turns.mapInArrow(lean(run), f"conv {conv_type.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

@@ -6,6 +6,9 @@ depend on how many rows or how long a key's group is.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,8 +43,24 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches small enough that a batch of long texts fits beside the heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Arrow batches so small that batches of long texts, which both sides hold outside the heap, fit beside it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def lean(run: Callable) -> Callable:
+    """A task's function that gives memory back when it ends: workers outlive tasks, and what they hold adds to the executor's."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
 
 
 def filled(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -121,7 +140,7 @@ def append_columns(df: DataFrame, inputs: list[Column], make: Callable[[], Calla
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *step(batch.select(range(1, batch.num_columns)))], names=names)
 
-    return packed.mapInArrow(run, out)
+    return packed.mapInArrow(lean(run), out)
 
 
 # --- bitmaps of keys: a fixed number of bits, so what is embedded in a plan never grows with the data

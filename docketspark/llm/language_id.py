@@ -95,7 +95,7 @@ class Tables:
 
     def __init__(self, st: Statistics):
         a, n_lang = st.size, len(st.languages)
-        low = np.full((1, a, n_lang), 8.0)
+        low = np.full((1, a, n_lang), 8.0, np.float32)
         for order in range(3):  # the table of order k over all a**k contexts
             n_ctx = a**order
             table = np.tile(low, (n_ctx // low.shape[0], 1, 1)) if order else low.copy()

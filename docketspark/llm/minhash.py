@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import bitmap, claim, ended_buffer, filled, in_bitmap, mix, slices, word_hashes, word_spans
+from docketspark.llm.common import bitmap, claim, ended_buffer, filled, in_bitmap, lean, mix, slices, word_hashes, word_spans
 from docketspark.session import cut
 
 WORDS = 5
@@ -116,7 +116,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 names=["id", "n_shingles", "node", "check", "sig"],
             )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, node long, check long, sig binary")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, node long, check long, sig binary")
 
 
 def bands_of(sig) -> list:
@@ -136,7 +136,7 @@ def full_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, shingles binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "node long, shingles binary")
 
 
 def _likely(pairs: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
@@ -150,7 +150,7 @@ def _likely(pairs: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
             keep = pa.array((left == right).mean(1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(lean(run), "a long, b long")
 
 
 def _apart_in_blocks(members: DataFrame, share: tuple[int, int], least: float = LEAST_ESTIMATE) -> DataFrame:
@@ -225,7 +225,7 @@ def _apart_in_blocks(members: DataFrame, share: tuple[int, int], least: float =
             a, b = pairs_in(cell)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return members.mapInArrow(run, "a long, b long")
+    return members.mapInArrow(lean(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -241,7 +241,7 @@ def _confirmed(pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(lean(run), "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import filled
+from docketspark.llm.common import filled, lean
 
 # fixed values: the patterns of the contract; ASCII letters only are matched in either case
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -101,7 +101,7 @@ def scan_secrets(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str =
                 out.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, kind)], names=["id", "spans"])
 
-    return rows.mapInArrow(run, f"id {id_type}, spans array<struct<start: long, end: long, kind: string>>")
+    return rows.mapInArrow(lean(run), f"id {id_type}, spans array<struct<start: long, end: long, kind: string>>")
 
 
 def sha256_hex(text: str) -> str:

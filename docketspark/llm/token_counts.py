@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import filled
+from docketspark.llm.common import filled, lean
 from docketspark.session import cut
 
 BLOCK_TOKENS = 1 << 16
@@ -86,7 +86,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_i
         if len(rest):
             yield blocks_of([rest])
 
-    packed = cut(rows.mapInArrow(run, f"stream long, block long, data binary, ordinal long, id {rows.schema['id'].dataType.simpleString()}"), "token-streams")
+    packed = cut(rows.mapInArrow(lean(run), f"stream long, block long, data binary, ordinal long, id {rows.schema['id'].dataType.simpleString()}"), "token-streams")
     return packed.filter("block is not null").select("stream", "block", "data"), packed.filter("ordinal is not null").select("stream", "ordinal", "id")
 
 
@@ -104,7 +104,7 @@ def separators(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("stream"), batch.column("block"), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["stream", "block", "n_tokens", "ends"])
 
     given = blocks.select("stream", "block", "data")
-    return given.mapInArrow(run, f"stream {given.schema['stream'].dataType.simpleString()}, block {given.schema['block'].dataType.simpleString()}, n_tokens long, ends array<bigint>")
+    return given.mapInArrow(lean(run), f"stream {given.schema['stream'].dataType.simpleString()}, block {given.schema['block'].dataType.simpleString()}, n_tokens long, ends array<bigint>")
 
 
 def count_tokens(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
