@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docketspark.operators import fulltext
 from docketspark.operators import retrieval as R
 from docketspark.plans.registry import query
 from docketspark.session import table
@@ -99,3 +100,10 @@ def hybrid_retrieve(spark, d):
 def cover_density(spark, d):
     """Full-text rank by cover density; tested against a brute-force search for covers."""
     return R.cover_density(table(spark, d, "documents"), ["the", "that"], 50, "doc_id")
+
+
+@query(r"""WITH h AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS hay FROM documents)
+       SELECT doc_id FROM h WHERE (contains(hay, ' of the ') AND contains(hay, ' that ') AND NOT contains(hay, ' is ')) OR contains(hay, ' der ')""")
+def fulltext_match(spark, d):
+    """Documents that satisfy a web-style query with a phrase, a negation and an alternative."""
+    return table(spark, d, "documents").filter(fulltext.matches(F.col("text"), '"of the" that -is OR der')).select("doc_id")

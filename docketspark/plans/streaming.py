@@ -32,3 +32,12 @@ def streaming_windows(spark, d):
     found = _to_the_end(spark, I.windowed_counts(stream), "complete")
     last = found.agg(F.max("batch")).scalar()
     return found.filter(F.col("batch") == last).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+       s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+       SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
+def user_sessions(spark, d):
+    """Sessions of users; the same function serves a stream."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return I.user_sessions(events, "6 hours")

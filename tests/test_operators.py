@@ -189,3 +189,13 @@ def test_dates_and_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, line_no int, text string, page_number int, font_size double, is_bold boolean")
     assert S.parse_sections(empty).count() == 0
     assert facts(spark).count() == 0 and LN.resolve(facts(spark)).count() == 0
+
+
+def test_web_queries(spark):
+    from docketspark.operators import fulltext
+
+    assert fulltext.parse('a "b c" -d or -"e f" OR') == [[fulltext.Clause(("a",), False), fulltext.Clause(("b", "c"), False), fulltext.Clause(("d",), True)], [fulltext.Clause(("e", "f"), True)]]
+    df = spark.createDataFrame([("The sign area, of a wall.",), ("area sign",), (None,)], "t string")
+    got = [r[0] for r in df.select(fulltext.matches(F.col("t"), '"sign area" -roof')).collect()]
+    assert got == [True, False, False]
+    assert [r[0] for r in df.select(fulltext.matches(F.col("t"), " - ")).collect()] == [False] * 3
