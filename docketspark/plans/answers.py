@@ -43,7 +43,7 @@ _FACTS = """f AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 97 <> 0 THEN '
 
 
 @query(f"""WITH {_FACTS} SELECT parent, child, kind AS relation_type, CASE WHEN n = 1 THEN 0.85 ELSE 0.4 END AS confidence FROM r
-       UNION ALL SELECT a.id, b.id, CASE WHEN b.kind = 'consolidated' THEN 'consolidates' ELSE 'replaces' END, 0.75 FROM k a JOIN k b ON a.slug = b.slug AND a.key = b.key AND b.newness = 1 AND a.newness > 1""")
+       UNION ALL SELECT a.id, b.id, CASE WHEN b.kind = 'consolidated' THEN 'consolidates' ELSE 'replaces' END, 0.75 FROM k a JOIN k b ON a.slug = b.slug AND a.key = b.key AND b.newness = 1 AND a.newness > 1""", confidence="DOUBLE")
 def lineage_edges(spark, d):
     """Who amends, repeals, consolidates and replaces whom."""
     return LN.edges(order_facts(spark, d))

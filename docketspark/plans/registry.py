@@ -13,7 +13,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
+def typed(sql: str, **types: str) -> str:
+    """The SQL with columns cast to the types that the query gives them."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())}) FROM ({sql})"
+
+
+def query(sql: str | None = None, name: str | None = None, **types: str):
     def register(f):
         key = name or f.__name__
         if key in QUERIES:
@@ -26,7 +31,7 @@ def query(sql: str | None = None, name: str | None = None):
 
         QUERIES[key] = run
         if sql:
-            ORACLE_SQL[key] = sql
+            ORACLE_SQL[key] = typed(sql, **types) if types else sql
         return f
 
     return register

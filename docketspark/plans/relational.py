@@ -75,7 +75,7 @@ def status_histogram(spark, d):
 
 
 @query("""WITH s AS (SELECT l_returnflag AS flag, round(l_discount, 2) AS mode, sum(CAST(l_quantity AS BIGINT)) AS weight, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY 1, 2)
-       SELECT flag, mode, weight FROM s QUALIFY row_number() OVER (PARTITION BY flag ORDER BY weight DESC, pos) = 1""")
+       SELECT flag, mode, weight FROM s QUALIFY row_number() OVER (PARTITION BY flag ORDER BY weight DESC, pos) = 1""", weight="BIGINT")
 def weighted_mode(spark, d):
     """Modal font size by the text set in it: the value of the greatest summed weight, the first one met on ties."""
     lines = table(spark, d, "lineitem").withColumn("flag", F.col("l_returnflag"))
@@ -117,7 +117,7 @@ def latest_state(spark, d):
 @query("""WITH now AS (SELECT max(ts) - INTERVAL 7 DAY AS t FROM events),
        c AS (SELECT user_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
        SELECT n_nationkey AS user_id, CASE WHEN c.ts IS NULL THEN 'miss' WHEN c.ts + INTERVAL 5 DAY <= t THEN 'stale' ELSE 'fresh' END AS outcome
-       FROM nation CROSS JOIN now LEFT JOIN c ON c.user_id = n_nationkey""")
+       FROM nation CROSS JOIN now LEFT JOIN c ON c.user_id = n_nationkey""", user_id="BIGINT")
 def ttl_cache(spark, d):
     """Cached lookups: fresh, stale or missing at a given time. The time is the table's last, not the clock's."""
     events = table(spark, d, "events")
@@ -134,7 +134,7 @@ def newest_documents(spark, d):
     return R.top_k(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), 500, F.desc("o_orderdate"), F.asc("o_orderkey"))
 
 
-@query("SELECT o_custkey, o_orderkey, o_totalprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
+@query("SELECT o_custkey, o_orderkey, o_totalprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3", rank="INTEGER")
 def per_city_topk(spark, d):
     """The top three of each city."""
     return R.top_k_per(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), 3, ["o_custkey"], F.desc("o_totalprice"), F.asc("o_orderkey"))
@@ -257,7 +257,7 @@ def constraint_quarantine(spark, d):
 
 @query("""SELECT conv_id, turn, CAST(coalesce(sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start,
        row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn,
-       count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS heading FROM conversations""")
+       count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS heading FROM conversations""", ordinal="INTEGER")
 def running_offsets(spark, d):
     """Character offsets over lines, ordinals, the next heading and the heading a line belongs to."""
     w = W.partitionBy("conv_id").orderBy("turn")

@@ -28,9 +28,9 @@ def _knn(metric):
     return run
 
 
-query(_knn_sql("list_cosine_similarity(qv, v)"), "knn_cosine")(_knn("cosine"))
-query(_knn_sql("-list_distance(qv, v)"), "knn_l2")(_knn("l2"))
-query(_knn_sql("list_inner_product(qv, v)"), "knn_ip")(_knn("ip"))
+query(_knn_sql("list_cosine_similarity(qv, v)"), "knn_cosine", rank="INTEGER")(_knn("cosine"))
+query(_knn_sql("-list_distance(qv, v)"), "knn_l2", rank="INTEGER")(_knn("l2"))
+query(_knn_sql("list_inner_product(qv, v)"), "knn_ip", rank="INTEGER")(_knn("ip"))
 
 
 @query()
@@ -49,7 +49,7 @@ _BM25 = f"""t AS (SELECT doc_id AS id, len({_TOKENS}) AS size, unnest([{', '.joi
        bm AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 50)"""
 
 
-@query(f"WITH {_BM25} SELECT id, round(score, 6) AS score, rank FROM bm")
+@query(f"WITH {_BM25} SELECT id, round(score, 6) AS score, rank FROM bm", rank="INTEGER")
 def bm25_topk(spark, d):
     """The top 50 documents by BM25."""
     return R.bm25(table(spark, d, "documents"), TERMS, 50, "doc_id").select("id", F.round("score", 6).alias("score"), "rank")
@@ -69,7 +69,7 @@ _DENSE = """q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id
 _FUSED = """f AS (SELECT coalesce(dn.id, bm.id) AS id, dn.rank AS dense_rank, bm.rank AS sparse_rank, coalesce(0.5 / (60 + dn.rank), 0) + coalesce(0.5 / (60 + bm.rank), 0) AS fused FROM dn FULL OUTER JOIN bm ON dn.id = bm.id)"""
 
 
-@query(f"WITH {_DENSE}, {_BM25}, {_FUSED} SELECT id, dense_rank, sparse_rank, round(fused, 9) AS fused FROM f ORDER BY fused DESC, id LIMIT 50")
+@query(f"WITH {_DENSE}, {_BM25}, {_FUSED} SELECT id, dense_rank, sparse_rank, round(fused, 9) AS fused FROM f ORDER BY fused DESC, id LIMIT 50", dense_rank="INTEGER", sparse_rank="INTEGER")
 def rrf_fusion(spark, d):
     """Two rankings fused; rows of one side stay."""
     rows = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
@@ -85,7 +85,7 @@ _HYBRID_DOCS = "SELECT doc_id, text FROM documents JOIN embeddings ON doc_id = v
        {_DENSE.replace('FROM embeddings CROSS JOIN q', 'FROM embeddings CROSS JOIN q WHERE vec_id IN (SELECT doc_id FROM documents)')}, {_BM25}, {_FUSED},
        p AS (SELECT * FROM f ORDER BY round(fused, 12) DESC, id LIMIT 50),
        z AS (SELECT p.*, len(list_intersect([{', '.join(f"'{t}'" for t in TERMS)}], {_TOKENS})) / {float(len(TERMS))} AS final FROM p JOIN documents ON doc_id = id)
-       SELECT id AS chunk_id, dense_rank, sparse_rank, round(fused, 9) AS fused, round(final, 6) AS final, row_number() OVER (ORDER BY final DESC, id) AS rank FROM z QUALIFY row_number() OVER (ORDER BY final DESC, id) <= 5""")
+       SELECT id AS chunk_id, dense_rank, sparse_rank, round(fused, 9) AS fused, round(final, 6) AS final, row_number() OVER (ORDER BY final DESC, id) AS rank FROM z QUALIFY row_number() OVER (ORDER BY final DESC, id) <= 5""", dense_rank="INTEGER", sparse_rank="INTEGER", rank="INTEGER")
 def hybrid_retrieve(spark, d):
     """Filters, dense and sparse top 50, fusion, rerank, top 5 with all signals kept."""
     docs = table(spark, d, "documents").filter(F.col("lang").isin("en", "fr") & (F.col("source") != "src3"))

@@ -40,7 +40,7 @@ _SECTIONS = [
 _SCHEMA = "doc_id long, line_no int, text string, page_number int, font_size double, is_bold boolean"
 
 
-@query(f"SELECT * FROM (VALUES {values(*_SECTIONS)}) t(doc_id, idx, section_number, heading, level, parent_index, full_path, page_start, page_end, ordinal, body)")
+@query(f"SELECT * FROM (VALUES {values(*_SECTIONS)}) t(doc_id, idx, section_number, heading, level, parent_index, full_path, page_start, page_end, ordinal, body)", doc_id="BIGINT", idx="BIGINT")
 def section_tree(spark, d):
     """The tree of a small bylaw: siblings stay siblings, text before the first heading belongs to none."""
     return S.parse_sections(rows(spark, _SCHEMA, *_LINES))

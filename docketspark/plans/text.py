@@ -39,7 +39,7 @@ def token_estimate_and_hash(spark, d):
        w AS (SELECT doc_id, length(t) AS n, len(regexp_extract_all(t, '[\x{FFFD}\x00-\x08\x0b\x0c\x0e-\x1f]')) / greatest(length(t), 1) AS bad, regexp_extract_all(t, '[A-Za-z]{2,}') AS ws FROM b),
        q AS (SELECT doc_id, n, bad, CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_filter(ws, lambda w: length(w) <= 40 AND (length(w) <= 6 OR regexp_matches(w, '[aeiouyAEIOUY]')))) / len(ws) END AS p, least(1.0, n / 480) AS dens FROM w)
        SELECT doc_id, n AS n_chars, round(p, 6) AS plausibility, CASE WHEN n = 0 THEN 0.0 WHEN n < 120 THEN round_even(0.4 * dens, 3) WHEN bad > 0.05 THEN round_even(greatest(0, 0.4 - bad), 3)
-         WHEN p < 0.5 THEN round_even(0.8 * p, 3) ELSE round_even(least(1.0, 0.55 + 0.25 * dens + 0.2 * p - bad), 3) END AS confidence FROM q""")
+         WHEN p < 0.5 THEN round_even(0.8 * p, 3) ELSE round_even(least(1.0, 0.55 + 0.25 * dens + 0.2 * p - bad), 3) END AS confidence FROM q""", n_chars="INTEGER")
 def page_quality(spark, d):
     """Quality of every text layer."""
     q = T.page_quality(F.col("text"))
@@ -78,7 +78,7 @@ _LIMITS = [
 ]
 
 
-@query(f"SELECT id, value, unit, is_ratio FROM (VALUES {values(*[(i, v, u, r) for i, _, _, v, u, r in _LIMITS])}) t(id, value, unit, is_ratio)")
+@query(f"SELECT id, value, unit, is_ratio FROM (VALUES {values(*[(i, v, u, r) for i, _, _, v, u, r in _LIMITS])}) t(id, value, unit, is_ratio)", value="DOUBLE")
 def extract_limits(spark, d):
     """Limits of literal rule sentences."""
     given = rows(spark, "id int, text string, units string", *[x[:3] for x in _LIMITS])
