@@ -1,10 +1,10 @@
 """MinHash near-dedup with circulant signatures, banding and exact verification on full sets.
 
-1. One pass over the texts: words, five-word shingles, the set's 128-bit fingerprint and its signature. The signature is
+1. One pass over the texts: words, five-word shingles, the set's 64-bit fingerprint and its signature. The signature is
    circulant: one permutation (sigma) places a shingle among 2**22 positions, a second one (pi) is shifted by one position
    per coordinate, so a shingle's values for all coordinates are one slice of pi's table, and the signature is the
    minimum of the slices. 128 coordinates in 32 bands of 4 miss a pair of similarity 0.75 once in 200,000.
-2. Documents of equal sets are one class; only one row of a class goes on, whatever the number of copies.
+2. Documents of equal fingerprints are one class (10**9 different sets collide once with a chance of 3 in 100); only one row of a class goes on, whatever the number of copies.
 3. Band keys with more than one class are buckets. In every bucket each class is paired with one centre; the centres are
    the same for a group in most of its buckets, so there are few different pairs. Signatures rule out pairs far below the
    threshold (estimate under 0.67 where 0.75 is wanted: 4.7 standard deviations), the rest are confirmed on full sets.
