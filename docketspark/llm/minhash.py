@@ -3,15 +3,18 @@
 1. One pass over the texts: words, five-word shingles, the set's 64-bit fingerprint and its signature. The signature is
    circulant: one permutation (sigma) places a shingle among 2**22 positions, a second one (pi) is shifted by one position
    per coordinate, so a shingle's values for all coordinates are one slice of pi's table, and the signature is the
-   minimum of the slices. 128 coordinates in 32 bands of 4 miss a pair of similarity 0.75 once in 200,000.
-2. Documents of equal fingerprints are one class (10**9 different sets collide once with a chance of 3 in 100); only one row of a class goes on, whatever the number of copies.
+   minimum of the slices, of which the low bytes are kept. 640 coordinates in 80 bands of 8 miss a pair of similarity
+   0.75 twice in 10,000 and one of 0.8 less than once in a million.
+2. Documents of equal fingerprints are one class (10**9 different sets collide once with a chance of 3 in 100); only one
+   row of a class goes on, whatever the number of copies.
 3. Band keys with more than one class are buckets. In every bucket each class is paired with one centre; the centres are
    the same for a group in most of its buckets, so there are few different pairs. Signatures rule out pairs far below the
    threshold (estimate under 0.67 where 0.75 is wanted: 4.7 standard deviations), the rest are confirmed on full sets.
 4. Confirmed links give components. Buckets whose members are not all in one component go round again, from the
    bucket's largest component. What still is apart is compared in full: the members of such a bucket, in blocks of
    ``BLOCK``, signature against signature. First only each node's likeliest partner is confirmed; after that has merged
-   what belongs together, every pair of different components that may be a link is confirmed in its first common band. So no pair of a bucket is left out unless its ends are linked already, and only links become rows.
+   what belongs together, every pair of different components that may be a link is confirmed in its first common band.
+   So no pair of a bucket is left out unless its ends are linked already, and only links become rows.
 
 Full sets are computed again only for the classes that have to be confirmed; a bitmap of their ids, of fixed size,
 picks their rows, so texts are not shuffled. Links and components stay distributed; every loop's state is a table in the
