@@ -34,8 +34,9 @@ MARKS = ".,;:!?"
 _MARKED = re.compile(rb"([0-9A-Za-z])([.,;:!?])(?=[\x20\t-\r]|\Z)")
 _FIRST = re.compile(rb"[^\x20\t-\r]*")
 MASK = np.uint32(0x3FF << 22)  # a cut about every 1,024 bytes
-MOST_WORDS, LONGEST_WORD = 300_000, 64
-STORE_BYTES = 16 << 20
+MOST_WORDS, LONGEST_WORD = 200_000, 64
+SLICE_BYTES = 1 << 18  # spelling takes some 50 bytes of memory for each
+STORE_BYTES = 8 << 20
 
 _GEAR = (mix(np.arange(256, dtype=np.uint64), 7) >> np.uint64(32)).astype(np.uint32)
 
@@ -182,7 +183,7 @@ class Coder:
 
     def slices(self, texts: pa.Array) -> Iterator[list[bytes]]:
         """Packed ids of the texts, some texts at a time."""
-        for i, j in slices(texts):
+        for i, j in slices(texts, SLICE_BYTES):
             data, offsets = ended_buffer(texts.slice(i, j - i))
             at = cuts(data)
             raw = data.tobytes()

@@ -109,7 +109,10 @@ class Tables:
             self._put(top[:, :, j], (g[3][0][kept], g[3][1][kept]), a, contexts)
         self.size = a
         self.symbols = st.symbols.astype(np.int32)
-        self.cost = np.round(np.concatenate([top, low]).reshape(-1, n_lang) * BITS).astype(np.int32)
+        self.cost = np.empty(((len(contexts) + a * a) * a, n_lang), np.int32)
+        for part, where in ((top, self.cost[: top.size // n_lang]), (low, self.cost[top.size // n_lang :])):
+            np.rint(np.multiply(part, BITS, out=part), out=part)
+            where[:] = part.reshape(-1, n_lang)
         self.row = (len(contexts) + np.arange(a**3) % (a * a)).astype(np.int32)
         self.row[contexts] = np.arange(len(contexts))
 
