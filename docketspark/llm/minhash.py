@@ -344,7 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = apart.select("bucket", "band", "node")
 
     by_node = classes.select("node", "least").join(state, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "least")
-    named = by_node.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = cut(by_node.groupBy("comp").agg(F.min("least").alias("component_id")), "names")
     answer = cut(by_node.join(named, "comp").select("node", "component_id"), "answer")
     plain = rows.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     joined = plain.join(answer, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
