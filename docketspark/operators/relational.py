@@ -82,12 +82,12 @@ def overlap_share(line: Column, box: Column) -> Column:
 def conflict_groups(rows: DataFrame, by: list[str], source: str, title: str, position: str) -> DataFrame:
     """Groups that more than one source speaks to, with the distinct titles in the order they are met.
 
-    Titles are reduced to their first position per group before anything is gathered.
+    One scan: rows are reduced to a first position per source and title before anything is gathered.
     """
-    firsts = rows.groupBy(*by, title).agg(F.min(position).alias("_at"))
-    titles = firsts.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", title))), lambda x: x[title].cast("string")), "|").alias("titles"))
-    counts = rows.groupBy(*by).agg(F.count_distinct(source).alias("n_sources")).filter("n_sources >= 2")
-    return counts.join(titles, by)
+    firsts = rows.groupBy(*by, F.col(source).alias("_source"), F.col(title).alias("_title")).agg(F.min(position).alias("_at"))
+    met = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_title"))), lambda x: x["_title"].cast("string"))
+    groups = firsts.groupBy(*by).agg(F.count_distinct("_source").alias("n_sources"), F.array_join(F.array_distinct(met), "|").alias("titles"))
+    return groups.filter("n_sources >= 2")
 
 
 def margin(best: Column, total: Column, n: Column) -> Column:
