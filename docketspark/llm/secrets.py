@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings that no pattern names.
 
 A string of letters and digits that a tokenizer breaks into many pieces for its length has no words in it. Runs of
-``[A-Za-z0-9+/_-]`` of 20 signs and more that hold digits and letters are encoded with a tiktoken vocabulary, and those
-with fewer than ``most_ratio`` characters a token are reported as ``random``, unless they are known digests (hex of the
-length of MD5, SHA-1, SHA-256 or SHA-512, UUIDs) or identifiers (words or numbers joined by ``_``, ``-`` or ``/`` or by
-capitals). Spans of the patterns stay whatever the test says; a run that overlaps one is not reported again.
+``[A-Za-z0-9+/_-]`` of 20 signs and more that hold letters are encoded with a tiktoken vocabulary, and those with fewer
+than ``most_ratio`` characters a token are reported as ``random``, unless they are known digests (hex of the length of
+MD5, SHA-1, SHA-256 or SHA-512, UUIDs) or identifiers: words or numbers joined by ``_``, ``-``, ``/``, ``+`` or by
+capitals, where most letters are in words of three letters and more that reach ``most_ratio`` by themselves. Runs without
+a letter are numbers. Spans of the patterns stay whatever the test says; a run that overlaps one is not reported again.
 
 Defined cases: null text is empty and has no spans; spans are in code points, end exclusive; repeated rows are scanned
 each; an empty table gives no rows; extra columns are ignored.
@@ -32,9 +33,11 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_RUN = 6, 20, 20
 
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})")
-IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+)[/_+-]?)+")
+PIECE = re.compile(r"[A-Za-z0-9]+")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 MOST_RATIO = 2.2
+LEAST_WORD, WORD_SHARE = 3, 0.75
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -51,20 +54,30 @@ def _order(span: tuple[int, int, str]) -> tuple[int, int]:
 
 
 def candidate_runs(text: str) -> list[tuple[int, int]]:
-    """Runs that could be random strings: digits and letters, no known digest, no identifier."""
-    found = []
-    for m in RUN.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not DIGEST.fullmatch(run) and not IDENTIFIER.fullmatch(run):
-            found.append(m.span())
-    return found
+    """Runs that could be random strings: with a letter, no known digest."""
+    return [m.span() for m in RUN.finditer(text) if WORD.search(m[0]) and not DIGEST.fullmatch(m[0])]
+
+
+def is_identifier(run: str, count_tokens, most_ratio: float = MOST_RATIO) -> bool:
+    """Whether most letters are in words. Codes of two letters between joining signs (``en/fr``) say nothing either way."""
+    letters = in_words = 0
+    for piece in PIECE.findall(run):
+        if len(piece) < LEAST_WORD and piece.isalpha():
+            continue
+        for word in WORD.findall(piece):
+            letters += len(word)
+            if len(word) >= LEAST_WORD and len(word) >= most_ratio * count_tokens(word):
+                in_words += len(word)
+    return in_words >= WORD_SHARE * letters
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]], count_tokens, most_ratio: float = MOST_RATIO) -> list[tuple[int, int, str]]:
     return [
         (start, end, "random")
         for start, end in candidate_runs(text)
-        if all(end <= s or e <= start for s, e, _ in base) and (end - start) < most_ratio * count_tokens(text[start:end])
+        if all(end <= s or e <= start for s, e, _ in base)
+        and (end - start) < most_ratio * count_tokens(text[start:end])
+        and not is_identifier(text[start:end], count_tokens, most_ratio)
     ]
 
 
@@ -94,10 +107,9 @@ def scan_secrets(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str =
             out = []
             for text in filled(batch.column("text")).to_pylist():
                 spans = base_spans(text)
-                if runs := candidate_runs(text):
+                if candidate_runs(text):
                     count = count or token_counter(sent.value, pattern)
-                    if runs:
-                        spans = sorted(spans + random_spans(text, spans, count, most_ratio), key=_order)
+                    spans = sorted(spans + random_spans(text, spans, count, most_ratio), key=_order)
                 out.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, kind)], names=["id", "spans"])
 

@@ -419,6 +419,37 @@ def test_token_efficiency_finds_random_strings_only(spark):
     assert secrets.scan_secrets(empty_docs(spark), vocabulary, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.fixture(scope="module")
+def count_tokens():
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return secrets.token_counter(f.read(), public_tokenizers.PATTERN)
+
+
+UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+@pytest.mark.parametrize("signs", [UPPER + "234567", UPPER.lower() + DIGITS, UPPER + DIGITS, UPPER.lower(), UPPER, UPPER + UPPER.lower(), UPPER + UPPER.lower() + DIGITS + "-_"], ids=["base32", "base36", "BASE36", "lower", "upper", "letters", "base64url"])
+@pytest.mark.parametrize("length", [20, 32, 64])
+def test_random_strings_of_every_alphabet_are_found(count_tokens, signs, length):
+    rng = random.Random(length)
+    made = ["".join(rng.choice(signs) for _ in range(length)) for _ in range(1000)]
+    found = [s for s in made if secrets.random_spans(f"key {s} end", [], count_tokens) == [(4, 4 + length, "random")]]
+    assert len(found) >= 0.98 * len(made)
+
+
+def test_words_and_identifiers_are_not_random(count_tokens):
+    for run in ("src/main/java/com/foo/bar_baz", "en/us/de/fr/it/es/nl/pl", "max_doc_len_2024_05_17_v", "anticonstitutionnellement", "Donaudampfschifffahrtsgesellschaft", "x" * 70_000, "12345678901234567890", "-" * 30):
+        assert secrets.random_spans(run, [], count_tokens) == [], run[:60]
+
+
+def test_long_runs_take_linear_time(count_tokens):
+    import time
+
+    began = time.monotonic()
+    secrets.random_spans("Ab" * 50_000 + "B1 " + "a" * 60_000 + "B1", [], count_tokens)
+    assert time.monotonic() - began < 10
+
+
 # --- 10: quality
 
 
