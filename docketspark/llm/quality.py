@@ -6,7 +6,9 @@ presence of the text's runs of word or sign characters, hashed into 2**18 column
 two places before; a text's values are scaled to length one over its known features.
 
 The fit takes at most ``docs_per_grade`` rated documents of each grade, of at most ``longest`` bytes, by a hash of the id;
-both are parameters, and the documents that the fold holds out are never among them. Scoring reads every whole text.
+both are parameters, and the documents that the fold holds out are never among them. A sampled document weighs as many as
+it stands for, its grade's ratings by those sampled, so the thresholds follow the grades' shares among all ratings, whatever
+their number. Scoring reads every whole text.
 
 Defined cases: null or empty text has no features and gets the thresholds' prior; no ratings: expected grade null, tail null, kept; a
 document rated twice counts twice; unrated and null ratings are not learned from; an empty table gives no rows.
@@ -14,6 +16,7 @@ document rated twice counts twice; unrated and null ratings are not learned from
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -72,27 +75,28 @@ class Cumulative:
         return at, np.concatenate(kept) if kept else np.zeros(0, np.int64), np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes)
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty: float = 0.003, steps: int = 400) -> Cumulative:
+    def fit(cls, rows: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty: float = 0.003, steps: int = 400, weights: np.ndarray | None = None) -> Cumulative:
+        """``weights``: what each row counts, one each if null; only their proportions matter."""
         n_columns = 1 << LOG2_COLUMNS
         docs = np.bincount(np.concatenate(rows), minlength=n_columns) if rows else np.zeros(n_columns, np.int64)
         known = docs >= LEAST_DOCS
         at, column, value = cls.scaled(rows, known)
         n = max(1, len(rows))
         above = (grades[:, None] > np.arange(n_grades - 1)).astype(float)
-        shares = (above.sum(0) + 0.5) / (n + 1)
+        each = np.ones(len(rows)) if weights is None else weights * (len(rows) / weights.sum())
+        shares = ((each @ above) + 0.5) / (n + 1)
         thresholds = np.maximum.accumulate(-np.log(shares / (1 - shares)))
         w, rate = np.zeros(n_columns), 4.0 / (n_grades - 1)
         ahead, ahead_t = w.copy(), thresholds.copy()
         for step in range(1, steps + 1):
             score = np.bincount(at, ahead[column] * value, n)[: len(rows)]
-            wrong = 1 / (1 + np.exp(-(score[:, None] - ahead_t))) - above
+            wrong = each[:, None] * (1 / (1 + np.exp(-(score[:, None] - ahead_t))) - above)
             slope = np.bincount(column, wrong.sum(1)[at] * value, n_columns) / n + penalty / n * 10 * ahead
             new, new_t = ahead - rate * slope, np.maximum.accumulate(ahead_t + rate * wrong.mean(0))
             pull = (step - 1) / (step + 2)
             ahead, ahead_t = new + pull * (new - w), new_t + pull * (new_t - thresholds)
             w, thresholds = new, new_t
-        weights = np.where(known, w, np.nan)
-        return cls(weights, thresholds)
+        return cls(np.where(known, w, np.nan), thresholds)
 
     def tails(self, rows: list[np.ndarray]) -> np.ndarray:
         """P(grade > k) for every row and k."""
@@ -107,13 +111,14 @@ def grade_of(quality, toxic):
     return quality + 1 - toxic
 
 
-def sample(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade_col: str, docs_per_grade: int, longest: int) -> tuple[list[str], np.ndarray]:
+def sample(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade_col: str, docs_per_grade: int, longest: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, their grades, and how many ratings of its grade each stands for."""
     rated = ratings.select(F.col(id_col).alias("rated_id"), F.col(grade_col).alias("grade")).filter("rated_id is not null and grade is not null")
     counts = {int(r["grade"]): r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).limit(33).collect()}
     if len(counts) > 32:
         raise ValueError("more than 32 grades")
     if not counts:
-        return [], np.zeros(0, np.int64)
+        return [], np.zeros(0, np.int64), np.zeros(0)
     share = F.lit(0.0)
     for grade, n in counts.items():
         share = F.when(F.col("grade") == grade, min(1.0, docs_per_grade / n)).otherwise(share)
@@ -121,7 +126,8 @@ def sample(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grad
     chosen = rated.filter(at < share)  # about docs_per_grade a grade: the side to broadcast has a stated size
     texts = docs.select(F.col(id_col).alias("rated_id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= longest)
     got = texts.join(F.broadcast(chosen), "rated_id").select("text", "grade").limit(4 * docs_per_grade * len(counts)).collect()
-    return [r["text"] for r in got], np.array([r["grade"] for r in got], np.int64)
+    sampled = Counter(int(r["grade"]) for r in got)
+    return [r["text"] for r in got], np.array([r["grade"] for r in got], np.int64), np.array([counts[int(r["grade"])] / sampled[int(r["grade"])] for r in got])
 
 
 class Model:
@@ -145,8 +151,8 @@ class Model:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", docs_per_grade: int = 2000, longest: int = 1 << 15) -> Model:
-    texts, grades = sample(docs, ratings, id_col, text_col, grade_col, docs_per_grade, longest)
-    fitted = Cumulative.fit(features(pa.array(texts, pa.string())), grades, n_grades) if texts else None
+    texts, grades, weights = sample(docs, ratings, id_col, text_col, grade_col, docs_per_grade, longest)
+    fitted = Cumulative.fit(features(pa.array(texts, pa.string())), grades, n_grades, weights=weights) if texts else None
     return Model(docs.sparkSession, fitted, n_grades)
 
 

@@ -481,6 +481,18 @@ def test_quality_edges(spark):
     assert quality.rate(empty_docs(spark), model, 2).count() == 0
 
 
+@pytest.mark.parametrize("docs_per_grade", [2000, 60])
+def test_quality_prior_does_not_depend_on_the_samples_limit(spark, docs_per_grade):
+    rng = random.Random(5)
+    grades = [2] * 450 + [1] * 130 + [0] * 20
+    rows = [(i, " ".join(f"w{rng.randint(0, 30)}" for _ in range(8)), g) for i, g in enumerate(grades)]
+    docs = spark.createDataFrame([*rows, (1000, "", None)], "doc_id long, text string, grade int")
+    model = quality.fit(docs.filter("text != ''"), docs.select("doc_id", "grade"), 3, docs_per_grade=docs_per_grade)
+    empty = quality.rate(docs.filter("doc_id = 1000"), model, 2).first()
+    assert empty["tail"] == pytest.approx(450 / 600, abs=0.08)
+    assert empty["expected_grade"] == pytest.approx((2 * 450 + 130) / 600, abs=0.15)
+
+
 # --- pipeline
 
 
