@@ -247,30 +247,43 @@ def _confirmed(pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
     return pairs.mapInArrow(lean(run), "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, comp) for all ``nodes`` (node, comp so far), after the components that ``links`` (a, b) join have merged.
 
-    Least-label propagation over the components so far, with pointer jumping; the state is a table written each round.
+    Boruvka's contraction over the components so far: in each round every component that has an edge takes its least one, by
+    a hash of both ends that is new in each round, and what these edges join becomes one. That at least halves the components
+    that have edges, whatever their labels and the length of chains, so rounds are logarithmic and end when no edge is left.
+    All states are written tables.
     """
     ends = links.join(nodes.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b").filter("x != y").select("x", "y")
     edges = cut(ends.union(ends.select("y", "x")).distinct(), "edges")
     if edges.isEmpty():
         return nodes
-    label = edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("to"))
-    label = cut(label, "labels")
-    for _ in range(most_rounds):
-        near = edges.join(label.select(F.col("x").alias("y"), F.col("to").alias("near")), "y").groupBy("x").agg(F.min("near").alias("near"))
-        stepped = label.join(near, "x", "left").select("x", F.least("to", "near").alias("next"), "to")
-        # pointer jumping: the label of my label
-        jumped = stepped.join(label.select(F.col("x").alias("next"), F.col("to").alias("far")), "next", "left").select("x", F.least("next", "far").alias("next"), "to")
-        new = cut(jumped, "labels")
-        changed = not new.filter("next != to").isEmpty()
-        label = new.select("x", F.col("next").alias("to"))
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    merged = label.select(F.col("x").alias("comp"), F.col("to").alias("merged"))
+    label = None
+    turn = 0
+    while not edges.isEmpty():
+        low, high = F.least("x", "y"), F.greatest("x", "y")
+        least = edges.groupBy("x").agg(F.min(F.struct(F.xxhash64(F.lit(turn), low, high).alias("weight"), low.alias("low"), high.alias("high"), F.col("y").alias("to"))).alias("edge"))
+        taken = cut(least.select("x", F.col("edge.to").alias("to")), "taken")
+        # least edges make no circle but that of two ends that take the same edge: the lesser end is the root
+        back = taken.join(taken.select(F.col("x").alias("to"), F.col("to").alias("back")), "to")
+        root = cut(back.select("x", F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("to")), F.col("x")).otherwise(F.col("to")).alias("to")), "roots")
+        while True:  # pointer jumping, which halves the depth
+            jumped = root.join(root.select(F.col("x").alias("to"), F.col("to").alias("far")), "to").select("x", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved"))
+            jumped = cut(jumped, "roots")
+            root = jumped.select("x", "to")
+            if jumped.filter("moved").isEmpty():
+                break
+        if label is None:
+            label = root
+        else:
+            step = root.select(F.col("x").alias("to"), F.col("to").alias("next"))
+            label = cut(label.join(step, "to", "left").select("x", F.coalesce("next", "to").alias("to")), "labels")
+        from_x, from_y = root.select("x", F.col("to").alias("new_x")), root.select(F.col("x").alias("y"), F.col("to").alias("new_y"))
+        edges = cut(edges.join(from_x, "x").join(from_y, "y").filter("new_x != new_y").select(F.col("new_x").alias("x"), F.col("new_y").alias("y")).distinct(), "edges")
+        turn += 1
+    least = cut(label.groupBy("to").agg(F.min("x").alias("merged")), "least")
+    merged = label.join(least, "to").select(F.col("x").alias("comp"), "merged")
     return cut(nodes.join(merged, "comp", "left").select("node", F.coalesce("merged", "comp").alias("comp")), "components")
 
 

@@ -383,6 +383,18 @@ def test_components_over_chains(spark):
     assert got == {i: 0 if i < 100 else i for i in range(200)}
 
 
+def test_components_over_long_chains_of_any_labels(spark):
+    rng = random.Random(3)
+    names = [rng.randint(-(2**63), 2**63 - 1) for _ in range(2300)]
+    pairs = [(names[i], names[i + k]) for i in range(1998) for k in (1, 2)]  # a chain, each linked to the next two
+    pairs += [(names[2000], names[i]) for i in range(2001, 2100)] + [(names[2100 + i], names[2101 + i]) for i in range(99)] + [(names[2100], names[2199])]  # a star, a circle
+    rng.shuffle(pairs)
+    nodes = cut(spark.createDataFrame([(n, n) for n in names], "node long, comp long"))
+    got = {r["node"]: r["comp"] for r in minhash.components(nodes, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    expected = {n: min(part) for part in (names[:2000], names[2000:2100], names[2100:2200]) for n in part}
+    assert got == {n: expected.get(n, n) for n in names}
+
+
 # --- 9: secrets
 
 
