@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketspark.llm.bpe import encode
-from docketspark.llm.common import drop_where, prepare
+from docketspark.llm.common import prepare
 from docketspark.llm.decontaminate import contaminated, find_passages
 from docketspark.llm.exact_dedup import drop_copies
 from docketspark.llm.language_id import UNKNOWN, fit, identify
-from docketspark.llm.minhash import near_duplicates
+from docketspark.llm.minhash import drop_near_copies
 from docketspark.session import cut, ship, table
 
 
@@ -31,10 +31,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least doc_id stays."""
+    """Of each component of near copies one row stays, with the least doc_id."""
     prepare(spark)
     ship(spark)
-    return drop_where(docs, near_duplicates(docs).filter("not kept").select("id"), "doc_id")
+    return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

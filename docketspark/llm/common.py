@@ -18,8 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docketspark.session import cut
-
 SLICE_BYTES = 1 << 20
 
 _CACHES: dict[str, dict] = {}
@@ -170,16 +168,3 @@ def in_bitmap(bits: Column, key: Column, log2_bits: int = 22) -> Column:
     bit = bit_of(key, log2_bits)
     word = F.get(bits, F.shiftrightunsigned(bit, 6).cast("int"))
     return F.call_function("shiftrightunsigned", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
-def drop_where(docs: DataFrame, gone: DataFrame, id_col: str, log2_bits: int = 22) -> DataFrame:
-    """``docs`` without the rows whose id is among ``gone`` (one column, id). All columns stay.
-
-    Only rows that a bitmap of those ids lets pass are shuffled for the exact answer; the others go straight through.
-    """
-    gone = cut(gone.distinct(), "gone")
-    bits = bitmap(gone, F.xxhash64("id"), log2_bits)
-    maybe = in_bitmap(bits.scalar(), F.xxhash64(F.col(id_col)), log2_bits)
-    suspects = docs.filter(maybe).select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"))
-    left = suspects.join(gone, F.col("own_id").eqNullSafe(F.col("id")), "left_anti").select("row.*")
-    return docs.filter(~maybe).unionByName(left)

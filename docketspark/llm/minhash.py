@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketspark.llm.common import bitmap, claim, ended_buffer, filled, in_bitmap, lean, mix, slices, word_hashes, word_spans
@@ -101,9 +101,9 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(shingles, seed).sum(dtype=np.uint64).astype(np.int64)) for seed in (21, 22)) if len(shingles) else (0, 0)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, node and check (the set's fingerprint), sig (the coordinates' low bytes)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """Per row: id, n_shingles, node and check (the set's fingerprint), sig (the coordinates' low bytes), and maybe the text's digest."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([_digest(text_col).alias("digest")] if digests else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,11 +115,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 checks.append(b)
                 sigs.append(signature(s).astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sigs, pa.binary())],
-                names=["id", "n_shingles", "node", "check", "sig"],
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sigs, pa.binary()), *batch.columns[2:]],
+                names=["id", "n_shingles", "node", "check", "sig", *batch.schema.names[2:]],
             )
 
-    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, node long, check long, sig binary")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, node long, check long, sig binary" + ", digest string" * digests)
 
 
 def bands_of(sig) -> list:
@@ -289,7 +289,48 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = (100, 75), rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the least id reachable), kept."""
-    rows = cut(sketches(docs, id_col, text_col), "sketches")
+    rows, by_node = _grouped(docs, id_col, text_col, share, rounds)
+    named = cut(by_node.groupBy("comp").agg(F.min("least").alias("component_id")), "names")
+    answer = cut(by_node.join(named, "comp").select("node", "component_id"), "answer")
+    plain = rows.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    joined = plain.join(answer, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return joined.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = LOG2_BITS) -> DataFrame:
+    """``docs`` with exactly one row of each component, one with the least id (null is larger than any). All columns stay.
+
+    Decisions are by row, not by id: rows of equal ids and different texts are different documents. Only rows that a
+    bitmap of the marked rows' ids lets pass are shuffled for the exact answer; the others go straight through.
+    """
+    rows, by_node = _grouped(docs, id_col, text_col, digests=True)
+    # written first: joins right above an aggregate are ones whose hot partitions adaptive execution does not split
+    found = cut(rows.filter("n_shingles > 0").select("id", "digest", "node").join(cut(by_node.select("node", "comp"), "answer"), "node").select("id", "digest", "comp"), "found")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
+    groups = cut(found.groupBy("comp").agg(first, F.count("*").alias("n")).filter("n > 1").select("comp", F.col("first.id").alias("first_id"), F.col("first.digest").alias("first_digest")), "groups")
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest"))
+    marked = cut(found.join(groups, "comp").select("id", "digest", stays.alias("stays")).groupBy("id", "digest", "stays").agg(F.count("*").alias("n")).filter("n > 1 or not stays"), "marked")
+    bits = bitmap(marked, F.xxhash64("id"), log2_bits)
+    maybe = in_bitmap(bits.scalar(), F.xxhash64(F.col(id_col)), log2_bits)
+    suspects = docs.filter(maybe).select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), _digest(text_col).alias("own"))
+
+    def same(part: DataFrame):
+        return suspects["own_id"].eqNullSafe(part["id"]) & (suspects["own"] == part["digest"])
+
+    gone, repeated = marked.filter("not stays"), marked.filter("stays")
+    left = suspects.join(gone, same(gone), "left_anti")
+    if not repeated.isEmpty():  # rows equal in id and text, one of which stays
+        left = left.join(repeated, same(repeated), "left_anti").unionByName(left.join(repeated, same(repeated), "left_semi").dropDuplicates(["own_id", "own"]))
+    return docs.filter(~maybe).unionByName(left.select("row.*"))
+
+
+def _digest(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, share: tuple[int, int] = (100, 75), rounds: int = ROUNDS, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and per class (node) of equal sets its component (comp) and its least id (least)."""
+    rows = cut(sketches(docs, id_col, text_col, digests), "sketches")
     classes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n"))
     bands = rows.filter("n_shingles > 0").select("node", bands_of(F.col("sig")))
     # copies of a class fall into the same buckets; a node is a hash, so the least one is as good as a random centre
@@ -357,8 +398,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = apart.select("bucket", "band", "node")
 
     by_node = classes.select("node", "least").join(state, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "least")
-    named = cut(by_node.groupBy("comp").agg(F.min("least").alias("component_id")), "names")
-    answer = cut(by_node.join(named, "comp").select("node", "component_id"), "answer")
-    plain = rows.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
-    joined = plain.join(answer, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return joined.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    return rows, by_node

@@ -539,3 +539,28 @@ def test_stages_keep_columns_and_edges(spark, small):
         after = stage(spark, docs, small)
         assert after.columns == docs.columns and after.count() <= docs.count()
         assert stage(spark, docs.limit(0), small).count() == 0
+
+
+def test_near_dedup_decides_by_row(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randint(0, 9000)}" for _ in range(200)] for _ in range(6)]
+
+    def near(k, word):
+        return " ".join([*base[k][:-1], word])
+
+    rows = [
+        *((1, near(0, "a")), (None, near(0, "b")), (None, near(1, "a"))),  # a copy without id; a clean text without id
+        *((2, near(2, "a")), (3, near(2, "b")), (3, near(3, "a"))),  # an id with a copy's and with a clean text
+        *((4, near(4, "a")), (4, near(4, "b")), (4, near(4, "B"))),  # copies that share an id, two of equal sets
+        *((None, near(5, "a")), (None, near(5, "b")), (None, near(5, "b"))),  # copies without ids
+        *((5, "one row twice"), (5, "one row twice"), (None, ""), (None, ""), (6, None), (6, None)),  # without words: linked with nothing
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("clash").alias("own"), F.lit("clash").alias("digest")).repartition(3)
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    expected = [(1, near(0, "a")), (2, near(2, "a")), (3, near(3, "a")), (5, "one row twice"), (6, None), (6, None)]
+    assert sorted((r for r in got if r[0] in (1, 2, 3, 5, 6)), key=str) == sorted(expected, key=str)
+    assert sum(r[0] == 4 for r in got) == 1
+    assert sorted(t for i, t in got if i is None and t not in (near(5, "a"), near(5, "b"))) == sorted(["", "", near(1, "a")])
+    assert sum(t in (near(5, "a"), near(5, "b")) for _, t in got) == 1
