@@ -1,14 +1,17 @@
 """Shared parts of the training-data operators: Arrow text buffers, vectorised word hashes, bitmaps of keys.
 
-Every Python function here works on one Arrow batch, or on slices of it of a few MB, so a worker's memory does not
-depend on how many rows or how long a key's group is.
+Every Python function here works on one Arrow batch, or on slices of it of about a MB; a longer text is worked on in pieces
+of that size. So a worker's memory does not depend on how many rows or how long a key's group is, and of a long text it
+holds the bytes and what the operator keeps of it, not the arrays in between.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -79,6 +82,30 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         start = stop
 
 
+def long_text(texts: pa.Array, i: int, j: int, most: int = SLICE_BYTES) -> np.ndarray | None:
+    """The bytes of row ``i`` if it is a range of its own that is longer than ``most``: a text to be worked on in pieces."""
+    if j - i != 1:
+        return None
+    raw = texts[i].as_buffer()
+    return np.frombuffer(raw, np.uint8) if len(raw) > most else None
+
+
+def pieces(data: np.ndarray, breaks: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of one text's bytes of at most ``most``, each but the last ending behind a byte that ``breaks`` (a table of 256)
+    marks. Only a run without such a byte makes a longer range."""
+    start, n = 0, len(data)
+    while start < n:
+        stop = min(start + most, n)
+        if stop < n:
+            at = np.flatnonzero(breaks[data[start:stop]])
+            while not len(at) and stop < n:
+                before, stop = stop, min(stop + most, n)
+                at = np.flatnonzero(breaks[data[before:stop]])[:1] + (before - start)
+            stop = start + int(at[-1]) + 1 if len(at) else n
+        yield start, stop
+        start = stop
+
+
 def ended_buffer(texts: pa.Array, end: str = "\n") -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, each followed by ``end``, and the offset at which each text begins (one more at the end)."""
     joined = pc.binary_join_element_wise(texts, pa.scalar(""), pa.scalar(end))
@@ -95,17 +122,18 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_POWERS: dict[str, np.ndarray] = {}
+POWER_BLOCK = 1 << 18
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for one block: 4 MB, however long texts are."""
+    out = []
+    for base in (_BASE, _BASE_INV):
+        steps = np.full(POWER_BLOCK + 1, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
 def word_spans(separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,13 +143,29 @@ def word_spans(separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``data``, from one prefix sum over the buffer and not word by word."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + _U(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span of ``data``, from prefix sums over blocks of the buffer and not word by word."""
+    up, down = _powers()
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + POWER_BLOCK, "right"))
+        if j > i:
+            block = data[base : ends[j - 1]]
+            sums = np.zeros(len(block) + 1, np.uint64)
+            np.cumsum((block.astype(np.uint64) + _U(1)) * up[: len(block)], out=sums[1:])
+            first, last = starts[i:j] - base, ends[i:j] - base
+            out[i:j] = (sums[last] - sums[first]) * down[first]
+            i = j
+            continue
+        total, scale, step = 0, 1, pow(_BASE, POWER_BLOCK, 1 << 64)  # one span that is longer than a block
+        for p in range(base, int(ends[i]), POWER_BLOCK):
+            block = data[p : min(p + POWER_BLOCK, int(ends[i]))].astype(np.uint64) + _U(1)
+            total += scale * int((block * up[: len(block)]).sum(dtype=np.uint64))
+            scale = scale * step & 0xFFFFFFFFFFFFFFFF
+        out[i] = total & 0xFFFFFFFFFFFFFFFF
+        i += 1
+    return mix(out + (ends - starts).astype(np.uint64)) if len(starts) else out
 
 
 def append_columns(df: DataFrame, inputs: list[Column], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], schema: str, carry: list[str] | None = None) -> DataFrame:
@@ -141,7 +185,14 @@ def append_columns(df: DataFrame, inputs: list[Column], make: Callable[[], Calla
     return packed.mapInArrow(lean(run), out)
 
 
-# --- bitmaps of keys: a fixed number of bits, so what is embedded in a plan never grows with the data
+# --- bitmaps of keys: bits in proportion to the keys up to a stated bound, so what is embedded in a plan is bounded
+
+LEAST_LOG2_BITS, MOST_LOG2_BITS = 16, 26
+
+
+def bits_for(n_keys: int, per_key: int = 16) -> int:
+    """The logarithm of a bitmap's size: ``per_key`` bits a key, at most 8 MB. Beyond that more keys pass that are not in it."""
+    return max(LEAST_LOG2_BITS, min(MOST_LOG2_BITS, math.ceil(math.log2(max(1, n_keys * per_key)))))
 
 
 def bit_of(key: Column, log2_bits: int) -> Column:
@@ -149,7 +200,7 @@ def bit_of(key: Column, log2_bits: int) -> Column:
     return F.shiftrightunsigned(key, 64 - log2_bits)
 
 
-def bitmap(keys: DataFrame, key: Column, log2_bits: int = 22) -> DataFrame:
+def bitmap(keys: DataFrame, key: Column, log2_bits: int) -> DataFrame:
     """One row with ``bits array<long>``: the bits of all keys, built by partial aggregation.
 
     At most ``2**log2_bits / 64`` words reach the last task, whatever the number of keys.
@@ -163,7 +214,7 @@ def bitmap(keys: DataFrame, key: Column, log2_bits: int = 22) -> DataFrame:
     return merged.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "value"))), lambda x: x["value"]).alias("bits"))
 
 
-def in_bitmap(bits: Column, key: Column, log2_bits: int = 22) -> Column:
+def in_bitmap(bits: Column, key: Column, log2_bits: int) -> Column:
     """True if the key's bit is set; false positives occur, false negatives do not."""
     bit = bit_of(key, log2_bits)
     word = F.get(bits, F.shiftrightunsigned(bit, 6).cast("int"))

@@ -1,13 +1,14 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash of the surviving groups only.
 
 Two scans of the texts and no shuffle of them. The first scan keeps (length, prefix hash) and finds, with partial
-aggregation, the pairs that occur more than once; they become a bitmap of a fixed number of bits. The second scan
+aggregation, the pairs that occur more than once; they become a bitmap sized by their number, of 8 MB at most. The second scan
 computes the full SHA-256 where the bitmap lets a row pass; all other rows are known to be alone. What is shuffled are
 narrow rows: id, length, two hashes. A hot group is aggregated map-side, and the join back to its rows is one whose
 skewed partitions adaptive execution splits.
 
 Defined cases: a null text equals the empty text; of rows that repeat the same id and text one stays; a null id never
-wins over another id; an empty table gives an empty result; extra columns are ignored whatever their names.
+wins over another id; texts of any length are hashed whole, as a stream; rows of one id with different texts are different
+documents; an empty table gives an empty result; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -15,33 +16,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import bitmap, in_bitmap
+from docketspark.llm.common import bitmap, bits_for, in_bitmap
 from docketspark.session import cut
 
 PREFIX_CHARS = 256
-LOG2_BITS = 22
 
 
-def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, log2_bits: int = LOG2_BITS, digest_all: bool = False) -> DataFrame:
-    """Narrow rows (id, n_bytes, prefix, full): ``full`` is null where length and prefix already tell a text from all others.
+def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, digest_all: bool = False) -> DataFrame:
+    """Narrow rows (id, n_bytes, prefix, survives, full): ``full`` is null where length and prefix already tell a text from all others.
 
     ``digest_all`` also fills ``full`` for the rows that are alone, for callers that report it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     shape = [F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix")]
     key = F.xxhash64("n_bytes", "prefix")
-    repeated = docs.select(*shape).groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
-    bits = bitmap(repeated, key, log2_bits)
+    repeated = cut(docs.select(*shape).groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes", "prefix"), "shapes")
+    log2_bits = bits_for(repeated.count())
     rows = docs.select(F.col(id_col).alias("id"), *shape, text.alias("body"))
-    survives: Column = in_bitmap(bits.scalar(), key, log2_bits)
+    survives: Column = in_bitmap(bitmap(repeated, key, log2_bits).scalar(), key, log2_bits)
     full = F.sha2("body", 256)
-    if digest_all:
-        return rows.select("id", "n_bytes", "prefix", survives.alias("survives"), full.alias("full"))
-    return rows.select("id", "n_bytes", "prefix", survives.alias("survives"), F.when(survives, full).alias("full"))
+    return rows.select("id", "n_bytes", "prefix", survives.alias("survives"), (full if digest_all else F.when(survives, full)).alias("full"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = True) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, full (SHA-256; null without ``digest_all`` where no hash was needed)."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, full (SHA-256; null where no hash was needed, unless ``digest_all``).
+
+    Rows that repeat the id and the text that stay are all marked ``kept``; ``drop_copies`` leaves one of them.
+    """
     rows = cut(refine(docs, id_col, text_col, digest_all=digest_all), "exact-dedup")
     groups = (
         rows.filter("survives")
@@ -65,15 +66,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = LOG2_BITS) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the copies: of equal texts one row stays, with the largest id. All columns stay.
 
-    Only rows whose id may belong to a group are shuffled; the bitmap of those ids has a fixed size.
+    Only rows that a bitmap of the groups' ids lets pass are shuffled for the exact answer. Of rows with equal id and
+    text one stays, whichever: their other columns do not decide.
     """
     found = cut(exact_dedup(docs, id_col, text_col).filter("group_size > 1").select("id", "keep_id", "full"), "copies")
-    bits = bitmap(found, F.xxhash64("id"), log2_bits)
+    log2_bits = bits_for(found.count())
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    maybe = in_bitmap(bits.scalar(), F.xxhash64("id"), log2_bits)
+    maybe = in_bitmap(bitmap(found, F.xxhash64("id"), log2_bits).scalar(), F.xxhash64("id"), log2_bits)
     alone = packed.filter(~maybe).select("row.*")
     suspects = packed.filter(maybe).select("row", "id", F.sha2("body", 256).alias("full"))
     dropped = found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("gone_id"), F.col("full").alias("gone_full")).distinct()

@@ -5,24 +5,28 @@
    per coordinate, so a shingle's values for all coordinates are one slice of pi's table, and the signature is the
    minimum of the slices, of which the low bytes are kept. 640 coordinates in 80 bands of 8 miss a pair of similarity
    0.75 twice in 10,000 and one of 0.8 less than once in a million.
-2. Documents of equal fingerprints are one class (10**9 different sets collide once with a chance of 3 in 100); only one
-   row of a class goes on, whatever the number of copies.
-3. Band keys with more than one class are buckets. In every bucket each class is paired with one centre; the centres are
-   the same for a group in most of its buckets, so there are few different pairs. Signatures rule out pairs far below the
-   threshold (estimate under 0.67 where 0.75 is wanted: 4.7 standard deviations), the rest are confirmed on full sets.
+2. Documents of equal fingerprints (128 bits) are one class with one row, its signature beside it. Only classes are
+   banded, so copies, however many, are never rows of a bucket.
+3. Band keys with more than one class are buckets; a bitmap of them keeps all other band rows from moving again. In every
+   bucket each class is paired with one centre; the centres are the same for a group in most of its buckets, so there are
+   few different pairs. Signatures rule out pairs far below the threshold (estimate under 0.67 where 0.75 is wanted: 4.7
+   standard deviations), the rest are confirmed on full sets.
 4. Confirmed links give components. Buckets whose members are not all in one component go round again, from the
    bucket's largest component. What still is apart is compared in full: the members of such a bucket, in blocks of
    ``BLOCK``, signature against signature. First only each node's likeliest partner is confirmed; after that has merged
    what belongs together, every pair of different components that may be a link is confirmed in its first common band.
    So no pair of a bucket is left out unless its ends are linked already, and only links become rows.
+5. Blocks of a bucket with more than ``HOT`` members apart would be many: such members, unlike each other but for a passage
+   that very many share, are dealt again by their rarest shingles. Sets of similarity t have one in common among the
+   n - ceil(t * n) + 1 rarest of each, in any fixed order, so this loses no link; a passage of many is in no set's rarest.
 
-Full sets are computed again only for the classes that have to be confirmed; a bitmap of their ids, of fixed size,
-picks their rows, so texts are not shuffled. Links and components stay distributed; every loop's state is a table in the
-shared folder.
+Full sets are computed again only for the classes that have to be confirmed; a bitmap of their ids picks their rows, so texts
+are not shuffled. Bitmaps are sized by the number of keys, 8 MB at most. Links and components stay distributed; every
+loop's state is a table in the shared folder.
 
 Defined cases: null text, and text without words: an empty set, linked with nothing; fewer words than a shingle: the
-whole sequence is the one shingle; repeated rows and rows of one id are linked if their sets are; a null id counts as larger
-than any other; an empty table gives no rows; extra columns are ignored.
+whole sequence is the one shingle; a text of any length is read whole, in pieces of 1 MB; repeated rows and rows of one id are
+linked if their sets are; a null id counts as larger than any other; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import bitmap, claim, ended_buffer, filled, in_bitmap, lean, mix, slices, word_hashes, word_spans
+from docketspark.llm.common import bitmap, bits_for, claim, ended_buffer, filled, in_bitmap, lean, long_text, mix, pieces, slices, word_hashes, word_spans
 from docketspark.session import cut
 
 WORDS = 5
@@ -45,7 +50,7 @@ LEAST_ESTIMATE = 0.67
 ROUNDS = 3
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
-LOG2_BITS = 22
+HOT = 8192
 
 _U = np.uint64
 _SEPARATOR = np.zeros(256, bool)
@@ -72,28 +77,47 @@ def signature(shingles: np.ndarray, block: int = 1024) -> np.ndarray:
     return out
 
 
+def _rolled(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all runs of ``words`` words."""
+    rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
+    for k in range(words):
+        rolled += mix(hashes[k : k + len(rolled)], k + 1)
+    return mix(rolled, words)
+
+
+def _whole(hashes: np.ndarray) -> np.ndarray:
+    """The one shingle of a text with fewer words than a shingle; none without words."""
+    total = np.zeros(1, np.uint64)
+    for k in range(len(hashes)):
+        total += mix(hashes[k : k + 1], k + 1)
+    return mix(total, 100 + len(hashes)) if len(hashes) else np.zeros(0, np.uint64)
+
+
+def _long_set(data: np.ndarray, words: int) -> np.ndarray:
+    """The set of one long text, piece by piece; the last words of a piece go on to the next."""
+    parts, held = [], np.zeros(0, np.uint64)
+    for a, b in pieces(data, _SEPARATOR):
+        piece = np.append(_LOWER[data[a:b]], np.uint8(10))
+        hashes = np.concatenate([held, word_hashes(piece, *word_spans(_SEPARATOR[piece]))])
+        parts.append(np.unique(_rolled(hashes, words)))
+        held = hashes[max(0, len(hashes) - words + 1) :]
+    return np.unique(np.concatenate(parts)) if any(map(len, parts)) else _whole(held)
+
+
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """Per text the sorted distinct hashes of its shingles."""
     for i, j in slices(texts):
+        if (long := long_text(texts, i, j)) is not None:
+            yield _long_set(long, words)
+            continue
         data, offsets = ended_buffer(texts.slice(i, j - i))
         data = _LOWER[data]
         starts, ends = word_spans(_SEPARATOR[data])
         hashes = word_hashes(data, starts, ends)
         bounds = np.searchsorted(starts, offsets)
-        rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
-        for k in range(words):
-            rolled += mix(hashes[k : k + len(rolled)], k + 1)
-        rolled = mix(rolled, words)
+        rolled = _rolled(hashes, words)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if b - a >= words:
-                yield np.unique(rolled[a : b - words + 1])
-            elif b > a:
-                whole = np.zeros(1, np.uint64)
-                for k in range(b - a):
-                    whole += mix(hashes[a + k : a + k + 1], k + 1)
-                yield mix(whole, 100 + b - a)
-            else:
-                yield np.zeros(0, np.uint64)
+            yield np.unique(rolled[a : b - words + 1]) if b - a >= words else _whole(hashes[a:b])
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -128,18 +152,18 @@ def bands_of(sig) -> list:
     return F.inline(keys)
 
 
-def full_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: node, shingles (sorted, 8 bytes each)."""
+def full_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Per row: node and check (the set's fingerprint), shingles (sorted, 8 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
+            marks, sets = [], []
             for s in shingle_sets(filled(batch.column("text"))):
-                nodes.append(fingerprint(s)[0])
+                marks.append(fingerprint(s))
                 sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([m[k] for m in marks], pa.int64()) for k in range(2)), pa.array(sets, pa.binary())], names=["node", "check", "shingles"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "node long, shingles binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "node long, check long, shingles binary")
 
 
 def _likely(pairs: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
@@ -156,8 +180,8 @@ def _likely(pairs: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
     return pairs.mapInArrow(lean(run), "a long, b long")
 
 
-def _apart_in_blocks(members: DataFrame, share: tuple[int, int], least: float = LEAST_ESTIMATE) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket, from cells of two blocks at most.
+def _apart_in_blocks(members: DataFrame, share: tuple[int, int], least: float = LEAST_ESTIMATE, banded: bool = True) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket, from cells of two blocks at most. ``banded``: buckets are of bands.
 
     ``members``: bucket, i, j, side (0: block i, 1: block j), band, node, comp, n, sig and maybe shingles, sorted by cell, so a
     task holds one cell at a time. Without shingles: each node's likeliest partner, to be confirmed. With them: links, confirmed
@@ -195,7 +219,8 @@ def _apart_in_blocks(members: DataFrame, share: tuple[int, int], least: float =
                 continue
             near = np.flatnonzero(agree >= least)
             # a pair belongs to its first common band, so that no other bucket looks at it again
-            near = near[same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]]
+            if banded:
+                near = near[same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]]
             for y in others[near[np.argsort(-agree[near], kind="stable")]].tolist():
                 if comp[y] != comp[x] and joined(x, y, shingles):
                     keep(x, y)
@@ -287,31 +312,32 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(nodes.join(merged, "comp", "left").select("node", F.coalesce("merged", "comp").alias("comp")), "components")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = (100, 75), rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = (100, 75), rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the least id reachable), kept."""
-    rows, by_node = _grouped(docs, id_col, text_col, share, rounds)
-    named = cut(by_node.groupBy("comp").agg(F.min("least").alias("component_id")), "names")
-    answer = cut(by_node.join(named, "comp").select("node", "component_id"), "answer")
-    plain = rows.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
-    joined = plain.join(answer, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    rows, classes = _grouped(docs, id_col, text_col, share, rounds, hot)
+    named = cut(classes.groupBy("comp").agg(F.min("least").alias("component_id")), "names")
+    answer = cut(classes.join(named, "comp").select("node", "check", "component_id"), "answer")
+    wordy = F.col("n_shingles") > 0
+    plain = rows.select("id", "n_shingles", F.when(wordy, F.col("node")).alias("node"), "check")
+    joined = plain.join(answer, ["node", "check"], "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return joined.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = LOG2_BITS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with exactly one row of each component, one with the least id (null is larger than any). All columns stay.
 
     Decisions are by row, not by id: rows of equal ids and different texts are different documents. Only rows that a
     bitmap of the marked rows' ids lets pass are shuffled for the exact answer; the others go straight through.
     """
-    rows, by_node = _grouped(docs, id_col, text_col, digests=True)
+    rows, classes = _grouped(docs, id_col, text_col, digests=True)
     # written first: joins right above an aggregate are ones whose hot partitions adaptive execution does not split
-    found = cut(rows.filter("n_shingles > 0").select("id", "digest", "node").join(cut(by_node.select("node", "comp"), "answer"), "node").select("id", "digest", "comp"), "found")
+    found = cut(rows.filter("n_shingles > 0").select("id", "digest", "node", "check").join(cut(classes.select("node", "check", "comp"), "answer"), ["node", "check"]).select("id", "digest", "comp"), "found")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
     groups = cut(found.groupBy("comp").agg(first, F.count("*").alias("n")).filter("n > 1").select("comp", F.col("first.id").alias("first_id"), F.col("first.digest").alias("first_digest")), "groups")
     stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest"))
     marked = cut(found.join(groups, "comp").select("id", "digest", stays.alias("stays")).groupBy("id", "digest", "stays").agg(F.count("*").alias("n")).filter("n > 1 or not stays"), "marked")
-    bits = bitmap(marked, F.xxhash64("id"), log2_bits)
-    maybe = in_bitmap(bits.scalar(), F.xxhash64(F.col(id_col)), log2_bits)
+    log2_bits = bits_for(marked.count())
+    maybe = in_bitmap(bitmap(marked, F.xxhash64("id"), log2_bits).scalar(), F.xxhash64(F.col(id_col)), log2_bits)
     suspects = docs.filter(maybe).select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), _digest(text_col).alias("own"))
 
     def same(part: DataFrame):
@@ -328,23 +354,29 @@ def _digest(text_col: str) -> Column:
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, share: tuple[int, int] = (100, 75), rounds: int = ROUNDS, digests: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows, and per class (node) of equal sets its component (comp) and its least id (least)."""
+def _grouped(
+    docs: DataFrame, id_col: str, text_col: str, share: tuple[int, int] = (100, 75), rounds: int = ROUNDS, hot: int = HOT, digests: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and per class (node, check) of equal sets its component (comp) and its least id (least)."""
     rows = cut(sketches(docs, id_col, text_col, digests), "sketches")
-    classes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n"))
-    bands = rows.filter("n_shingles > 0").select("node", bands_of(F.col("sig")))
-    # copies of a class fall into the same buckets; a node is a hash, so the least one is as good as a random centre
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre != last").select("bucket", "centre")
+    grouped = rows.filter("n_shingles > 0").groupBy("node", "check").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = cut(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")  # a number of its own, once written
+    bands = classes.select("cls", bands_of(F.col("sig")))
+    full = cut(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "buckets")
+    log2_bits = bits_for(full.count())
+    passing = cut(bands.filter(in_bitmap(bitmap(full, F.col("bucket"), log2_bits).scalar(), F.col("bucket"), log2_bits)), "passing")
+    # a class' number is given without regard to its set, so the least one is as good as a random centre
+    shared = cut(passing.groupBy("bucket").agg(F.min("cls").alias("centre"), F.max("cls").alias("last")).filter("centre != last").select("bucket", "centre"), "shared")
     # written first: a join right above an aggregate is one whose hot partitions adaptive execution does not split
-    shared = cut(shared, "buckets")
-    members = cut(bands.join(shared, "bucket").select("bucket", "band", "node", "centre").distinct(), "members")
-    known = cut(classes.join(members.select("node").distinct(), "node", "left_semi"), "candidates")
-    sig = cut(rows.filter("n_shingles > 0").select("node", "sig", F.col("n_shingles").alias("n")).join(known.select("node"), "node", "left_semi").dropDuplicates(["node"]), "signatures")
+    members = cut(passing.join(shared, "bucket").select("bucket", "band", F.col("cls").alias("node"), "centre"), "members")
+    known = cut(classes.withColumnRenamed("node", "sum").withColumnRenamed("cls", "node").join(members.select("node").distinct(), "node", "left_semi"), "candidates")
+    sig = known.select("node", "sig", "n")
 
     # full sets of the candidates, from the rows the bitmap lets pass
-    bits = bitmap(known, F.xxhash64("least"), LOG2_BITS)
-    picked = docs.filter(in_bitmap(bits.scalar(), F.xxhash64(F.col(id_col)), LOG2_BITS))
-    sets = cut(full_sets(picked, id_col, text_col).join(known.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    log2_ids = bits_for(known.count())
+    picked = docs.filter(in_bitmap(bitmap(known, F.xxhash64("least"), log2_ids).scalar(), F.xxhash64(F.col(id_col)), log2_ids))
+    marks = known.select(F.col("sum").alias("node"), "check", F.col("node").alias("cls"))
+    sets = cut(full_sets(picked, text_col).dropDuplicates(["node", "check"]).join(marks, ["node", "check"]).select(F.col("cls").alias("node"), "shingles"), "sets")
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
         fits = (share[0] * F.least("n_a", "n_b")) >= (share[1] * F.greatest("n_a", "n_b"))
@@ -356,6 +388,18 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, share: tuple[int, int]
         full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
         return cut(_confirmed(full.select("a", "b", "set_a", "set_b"), share), f"links-{name}")
 
+    def compared(rows_of: DataFrame, exact: bool, banded: bool = True) -> DataFrame:
+        """Pairs found among the members (bucket, band, node, comp, n, sig, blocks and maybe shingles), cell by cell."""
+        carried = ["bucket", "band", "node", "comp", "n", "sig", *(["shingles"] if exact else [])]
+        placed = rows_of.select(*carried, F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        cells = placed.select(*carried, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        return _apart_in_blocks(cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), share, banded=banded)
+
+    def with_blocks(rows_of: DataFrame) -> DataFrame:
+        """With sets, and as many blocks as make members and shingles of one fit a task."""
+        weight = rows_of.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+        return rows_of.join(weight, "bucket").join(sets, "node")
+
     ends = [F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")]
     tested = likely(members.filter("node != centre").select(*ends).distinct(), "0")
     state = components(cut(known.select("node", F.col("node").alias("comp")), "nodes"), confirm(tested, "0"))
@@ -377,25 +421,44 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, share: tuple[int, int]
             pairs = apart.join(largest, "bucket").filter("comp != main").select(*ends).distinct()
             pairs = likely(pairs.join(tested, ["a", "b"], "left_anti"), str(k))
         else:
-            last = k == rounds
-            rows_of = apart.join(sig, "node")
-            if last:
-                # blocks of so many members, or so many shingles, as a task can hold
-                weight = rows_of.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-                rows_of = rows_of.join(weight, "bucket").join(sets, "node")
-            else:
-                rows_of = rows_of.withColumn("blocks", F.ceil(F.col("n_members") / BLOCK))
-            carried = ["bucket", "band", "node", "comp", "n", "sig", *(["shingles"] if last else [])]
-            placed = rows_of.select(*carried, F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-            cells = placed.select(*carried, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-            found = _apart_in_blocks(cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), share)
-            if last:
-                state = components(state, cut(found, "links-rest"))
+            crowded = apart.filter(F.col("n_members") > hot).select("node", "comp").distinct()
+            if k == 2 and not crowded.isEmpty():
+                few = cut(_by_rarest(crowded, sets, sig, share), "rarest")
+                state = components(state, cut(compared(with_blocks(few), exact=True, banded=False), "links-rarest"))
+                apart = apart.drop("comp").join(state, "node")
+            rows_of = apart.filter(F.col("n_members") <= hot).join(sig, "node")
+            if k == rounds:
+                state = components(state, cut(compared(with_blocks(rows_of), exact=True), "links-rest"))
                 break
+            found = compared(rows_of.withColumn("blocks", F.ceil(F.col("n_members") / BLOCK)), exact=False)
             pairs = cut(found.distinct().join(tested, ["a", "b"], "left_anti"), "likely-rest")
         tested = tested.union(pairs)
         state = components(state, confirm(pairs, str(k)))
         apart = apart.select("bucket", "band", "node")
 
-    by_node = classes.select("node", "least").join(state, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "least")
-    return rows, by_node
+    by_class = classes.select("node", "check", "least", "cls").join(state.select(F.col("node").alias("cls"), "comp"), "cls", "left")
+    return rows, by_class.select("node", "check", "least", F.coalesce("comp", "cls").alias("comp"))
+
+
+def _by_rarest(members: DataFrame, sets: DataFrame, sig: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``members`` (node, comp) dealt by the rarest shingles of their sets: bucket, band (0), node, comp, n, sig.
+
+    Rarity is counted among ``members``. Of a set of n, the n - ceil(t * n) + 1 rarest shingles are taken, of those the
+    ones that another member has: two sets of similarity t have one of them in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, comp, shingles in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "shingles")), strict=True):
+                own = np.frombuffer(shingles, np.int64)
+                for k in range(0, len(own), 1 << 16):
+                    part = own[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), v)) for v in (node, comp, len(own))] + [pa.array(part)], names=["node", "comp", "n", "shingle"])
+
+    each = cut(members.join(sets, "node").mapInArrow(lean(run), "node long, comp long, n long, shingle long"), "shingles")
+    counts = cut(each.groupBy("shingle").agg(F.count("*").alias("owners")), "owners")
+    order = W.partitionBy("node").orderBy("owners", "shingle")
+    ranked = each.join(counts, "shingle").withColumn("place", F.row_number().over(order))
+    first = F.expr(f"n * {share[0] - share[1]} div {share[0]}") + 1
+    few = ranked.filter((F.col("place") <= first) & (F.col("owners") > 1)).select(F.col("shingle").alias("bucket"), F.lit(0).alias("band"), "node", "comp")
+    return few.join(sig, "node")
