@@ -2,15 +2,18 @@
 
 A rolling hash over the last 16 bytes cuts every text where the hash says so, so equal passages are cut alike wherever
 they stand. A worker encodes a chunk the first time it meets it and keeps the result in a store of bounded size; copies
-and shared passages cost a look-up. Joins are repaired: what a cut has severed, the end of one chunk up to its last
-white space and the start of the next up to its first, is put together and encoded again, growing over chunks without
-white space until both ends are white space. The tokenizer drops white space, no pattern or special token spans it,
-and normalisation does not reach over it, so from there on the encodings on both sides agree with that of the whole text.
-
-Inside a chunk the same holds word by word, so new chunks are put together from a bounded store of words.
-
-Defined cases: null text is empty and has no tokens; a text without white space is one word whatever its length; repeated
-rows are encoded each; an empty table gives no rows; all columns of the table come back in ``row`` untouched.
+and shared passages cost a look-up. Joins are repaired until there is exact agreement: what a cut has severed, the end of
+one chunk up to its last white space and the start of the next up to its first, is put together and encoded again, growing
+over chunks without white space. The repaired join is then encoded once more together with the words on its two sides, and
+must give those words' ids and its own. Where it does not, the window grows to twice as many words on each side, at last
+to the whole text, until both sides agree.
+
+Inside a chunk words are looked up in a bounded store of words, so new chunks cost as much as their new words. The tokenizer
+has to drop white space; one that keeps it is refused.
+
+Defined cases: null text is empty and has no tokens; a text without white space is one word whatever its length; a long text
+is encoded in pieces of 256 KB cut at white space, with the joins of pieces checked like those of chunks; repeated rows are
+encoded each; an empty table gives no rows; all columns of the table come back in ``row`` untouched.
 """
 
 from __future__ import annotations
@@ -26,17 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import append_columns, claim, ended_buffer, filled, mix, slices
+from docketspark.llm.common import append_columns, claim, ended_buffer, filled, long_text, mix, pieces, slices
 
 WINDOW = 16
 LEAST_CHUNK = 256
 MARKS = ".,;:!?"
 _MARKED = re.compile(rb"([0-9A-Za-z])([.,;:!?])(?=[\x20\t-\r]|\Z)")
 _FIRST = re.compile(rb"[^\x20\t-\r]*")
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 MASK = np.uint32(0x3FF << 22)  # a cut about every 1,024 bytes
 MOST_WORDS, LONGEST_WORD = 200_000, 64
 SLICE_BYTES = 1 << 18  # spelling takes some 50 bytes of memory for each
 STORE_BYTES = 8 << 20
+MOST_AGREED = 100_000
+HASHED_IDS = 1 << 16
 
 _GEAR = (mix(np.arange(256, dtype=np.uint64), 7) >> np.uint64(32)).astype(np.uint32)
 
@@ -103,7 +110,8 @@ class Coder:
         self.token_table = _spelling([t.encode() for t in tokens])
         self.words: dict[bytes, bytes] = {}
         self.store = Store()
-        self.encoded = self.reused = 0
+        self.agreed: dict[tuple, bool] = {}
+        self.encoded = self.reused = self.grown = 0  # chunks encoded, chunks found, joins that had to grow
 
     def _agrees(self, a: str, b: str) -> bool:
         return self.tokenizer.encode(a, add_special_tokens=False).ids == self.tokenizer.encode(b, add_special_tokens=False).ids
@@ -157,7 +165,7 @@ class Coder:
         return (chunk, None, b"") if first == len(chunk) else (chunk[:first], chunk[first:last], chunk[last:])
 
     def _chunks(self, chunks: list[bytes]) -> dict[bytes, tuple]:
-        """(head, ids between, tail) of each chunk: from the store, or encoded once and stored."""
+        """(head, ids between, tail, first word between, last one) of each chunk: from the store, or encoded once and stored."""
         out, new = {}, {}
         get = self.words.get
         missing: dict[bytes, None] = {}
@@ -176,47 +184,104 @@ class Coder:
                 new[c] = (head, words if between is not None else None, tail, found)
         learned = self._learn(list(missing)) if missing else {}
         for c, (head, words, tail, found) in new.items():
-            out[c] = (head, None if words is None else self._joined(words, found, learned), tail)
+            ends = (words[0], words[-1]) if words else (b"", b"")
+            out[c] = (head, None if words is None else self._joined(words, found, learned), tail, *ends)
             self.store.keep(c, out[c])
         self.encoded += len(new)
         return out
 
+    # -- joins
+
+    def _ids(self, part: bytes) -> bytes:
+        """Packed ids as the library gives them, without any store."""
+        return np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _check(self, joins: list[tuple[bytes, bytes, bytes]]) -> None:
+        """Whether each join (word before, what is between, word after), encoded as one, gives its three parts' ids."""
+        if len(self.agreed) > MOST_AGREED:
+            self.agreed.clear()
+        new = [j for j in dict.fromkeys(joins) if j not in self.agreed]
+        whole = self.batch([b" ".join(j).decode() for j in new], add_special_tokens=False)
+        for j, e in zip(new, whole, strict=True):
+            parts = b"".join([self.words.get(w) or self._ids(w) for part in j for w in self._split(part)])
+            self.agreed[j] = np.array(e.ids, np.uint32).tobytes() == parts
+
+    def _grow(self, text: bytes) -> bytes:
+        """Ids of a text of which some join did not agree: windows of twice as many words, until both sides agree."""
+        self.grown += 1
+        words = text.split()
+        size = 4
+        while size < len(words):
+            windows = [b" ".join(words[k : k + size]) for k in range(0, len(words), size)]
+            own = [self._ids(w) for w in windows]
+            if all(self._ids(a + b" " + b) == x + y for a, b, x, y in zip(windows, windows[1:], own, own[1:], strict=False)):
+                return b"".join(own)
+            size *= 2
+        return self._ids(text)
+
     def slices(self, texts: pa.Array) -> Iterator[list[bytes]]:
         """Packed ids of the texts, some texts at a time."""
         for i, j in slices(texts, SLICE_BYTES):
-            data, offsets = ended_buffer(texts.slice(i, j - i))
-            at = cuts(data)
-            raw = data.tobytes()
-            chunked = []
-            for start, end in zip(offsets[:-1].tolist(), (offsets[1:] - 1).tolist(), strict=True):
-                own, begin = [], start
-                for cut in [*at[np.searchsorted(at, start + WINDOW) : np.searchsorted(at, end)].tolist(), end]:
-                    if cut - begin >= LEAST_CHUNK or cut == end:
-                        own.append(raw[begin:cut])
-                        begin = cut
-                chunked.append(own)
-            encoded = self._chunks([c for own in chunked for c in own])
-            # joins: what lies between the inner parts of two chunks, from white space to white space, is encoded again
-            texts_parts: list[list] = []
-            joins: list[bytes] = []
-            for own in chunked:
-                parts, carry = [], b""
-                for c in own:
-                    head, between, tail = encoded[c]
-                    carry += head
-                    if between is not None:
-                        parts += [carry, between]
-                        joins.append(carry)
-                        carry = tail
-                parts.append(carry)
-                joins.append(carry)
-                texts_parts.append(parts)
-            split = {c: self._split(c) for c in dict.fromkeys(joins)}
-            repaired: dict[bytes, bytes] = {w: self.words.get(w) for words in split.values() for w in words}
-            if missing := [w for w, p in repaired.items() if p is None]:
-                repaired |= self._learn(missing)
-            again = {c: b"".join([repaired[w] for w in words]) for c, words in split.items()}
-            yield [b"".join([p if k & 1 else again[p] for k, p in enumerate(parts)]) for parts in texts_parts]
+            if (long := long_text(texts, i, j, SLICE_BYTES)) is None:
+                yield self._slice(texts.slice(i, j - i))
+            else:
+                yield [self._long(long)]
+
+    def _long(self, data: np.ndarray) -> bytes:
+        """A long text's ids, from pieces that end at white space."""
+        cut_up = [data[a:b].tobytes() for a, b in pieces(data, _SPACE, SLICE_BYTES)]
+        edges = [(a.split()[-1:], b.split()[:1]) for a, b in zip(cut_up, cut_up[1:], strict=False)]
+        joins = [(a[0], b"", b[0]) for a, b in edges if a and b]
+        self._check(joins)
+        if not all(self.agreed[j] for j in joins):
+            return self._grow(data.tobytes())
+        return b"".join([p for piece in cut_up for p in self._slice(pa.array([piece], pa.string()))])
+
+    def _slice(self, texts: pa.Array) -> list[bytes]:
+        data, offsets = ended_buffer(texts)
+        at = cuts(data)
+        raw = data.tobytes()
+        chunked = []
+        for start, end in zip(offsets[:-1].tolist(), (offsets[1:] - 1).tolist(), strict=True):
+            own, begin = [], start
+            for cut in [*at[np.searchsorted(at, start + WINDOW) : np.searchsorted(at, end)].tolist(), end]:
+                if cut - begin >= LEAST_CHUNK or cut == end:
+                    own.append(raw[begin:cut])
+                    begin = cut
+            chunked.append(own)
+        encoded = self._chunks([c for own in chunked for c in own])
+        # joins: what lies between the inner parts of two chunks, from white space to white space, is encoded again
+        texts_parts: list[list] = []
+        joins: list[bytes] = []
+        sides: list[list[tuple[bytes, bytes, bytes]]] = []  # of each text, its joins with the words on both sides
+        for own in chunked:
+            parts, carry, before, own_sides = [], b"", b"", []
+            for c in own:
+                head, between, tail, first, last = encoded[c]
+                carry += head
+                if between is not None:
+                    parts += [carry, between]
+                    joins.append(carry)
+                    if before and first:
+                        own_sides.append((before, carry, first))
+                    carry, before = tail, last or carry or before
+            parts.append(carry)
+            joins.append(carry)
+            if before and carry:
+                own_sides.append((before, carry, b""))
+            texts_parts.append(parts)
+            sides.append(own_sides)
+        split = {c: self._split(c) for c in dict.fromkeys(joins)}
+        repaired: dict[bytes, bytes] = {w: self.words.get(w) for words in split.values() for w in words}
+        if missing := [w for w, p in repaired.items() if p is None]:
+            repaired |= self._learn(missing)
+        again = {c: b"".join([repaired[w] for w in words]) for c, words in split.items()}
+        self._check([s for own in sides for s in own])
+        out = [b"".join([p if k & 1 else again[p] for k, p in enumerate(parts)]) for parts in texts_parts]
+        for k, own in enumerate(sides):
+            if not all(self.agreed.get(s, True) for s in own):
+                out[k] = self._grow(raw[offsets[k] : offsets[k + 1] - 1])
+        return out
 
     # -- spelling
 
@@ -232,6 +297,16 @@ class Coder:
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *(len(p) // 4 for p in packed)])].tolist()
         return [out[a : max(a, b - 1)] for a, b in zip(bounds, bounds[1:], strict=False)]
 
+    def digests(self, packed: list[bytes], table: tuple) -> list[str]:
+        """SHA-256 of each text's spelling; of a long one, part by part."""
+        if sum(map(len, packed)) <= 4 * HASHED_IDS or len(packed) > 1:
+            return [hashlib.sha256(x).hexdigest() for x in self.spelled(packed, table)]
+        sha = hashlib.sha256()
+        for k in range(0, len(packed[0]), 4 * HASHED_IDS):
+            sha.update(b" " * (k > 0))
+            sha.update(self.spelled([packed[0][k : k + 4 * HASHED_IDS]], table)[0])
+        return [sha.hexdigest()]
+
     def decoded(self, packed: list[bytes]) -> list[bytes | memoryview]:
         if self.joins_only:
             return self.spelled(packed, self.token_table)
@@ -259,8 +334,8 @@ OUTPUTS = {
     "n_tokens": ("long", lambda c, ps: pa.array([len(p) // 4 for p in ps], pa.int64())),
     "ids": ("array<int>", lambda c, ps: pa.array([np.frombuffer(p, np.int32) for p in ps], pa.list_(pa.int32()))),
     "decoded": ("string", lambda c, ps: pa.array([bytes(x).decode() for x in c.decoded(ps)], pa.string())),
-    "ids_sha256": ("string", lambda c, ps: pa.array([hashlib.sha256(x).hexdigest() for x in c.spelled(ps, c.decimal_table)], pa.string())),
-    "decoded_sha256": ("string", lambda c, ps: pa.array([hashlib.sha256(x).hexdigest() for x in c.decoded(ps)], pa.string())),
+    "ids_sha256": ("string", lambda c, ps: pa.array(c.digests(ps, c.decimal_table), pa.string())),
+    "decoded_sha256": ("string", lambda c, ps: pa.array(c.digests(ps, c.token_table) if c.joins_only else [hashlib.sha256(x).hexdigest() for x in c.decoded(ps)], pa.string())),
 }
 
 
