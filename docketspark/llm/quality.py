@@ -2,16 +2,19 @@
 
 P(grade > k) = sigmoid(w . x - t_k): one weight vector for all grades and ordered thresholds t_0 < t_1 < ... . It gives an
 expected grade and the probability of the grades from any level on, which is what selection thresholds. Features are the
-presence of the text's runs of word or sign characters, hashed into 2**18 columns, and of runs that repeat the run
-two places before; a text's values are scaled to length one over its known features.
-
-The fit takes at most ``docs_per_grade`` rated documents of each grade, of at most ``longest`` bytes, by a hash of the id;
-both are parameters, and the documents that the fold holds out are never among them. A sampled document weighs as many as
-it stands for, its grade's ratings by those sampled, so the thresholds follow the grades' shares among all ratings, whatever
-their number. Scoring reads every whole text.
-
-Defined cases: null or empty text has no features and gets the thresholds' prior; no ratings: expected grade null, tail null, kept; a
-document rated twice counts twice; unrated and null ratings are not learned from; an empty table gives no rows.
+presence of the text's runs of word or sign characters, hashed into 2**18 columns, and of how large a share of the runs
+repeats the run before. A feature's value is the log odds ratio with which it tells the sampled documents above a threshold
+from those below, the mean of the thresholds by their lesser side; so a few telling words stand out of a long text. A text's values are scaled to
+length one over its known features.
+
+The fit takes about ``docs_per_grade`` rated documents of each grade, by a hash of the id, and of each at most ``longest``
+bytes, a stretch at a place that the hash gives; both are parameters, and the documents that the fold holds out are never
+among them. A sampled document weighs as many as it stands for, its grade's ratings by those sampled, so the thresholds
+follow the grades' shares among all ratings, whatever their number. Scoring reads every whole text.
+
+Defined cases: null or empty text has no features and gets the thresholds' prior; no ratings: expected grade null, tail null,
+kept; ratings that are null or not of 0 to ``n_grades`` - 1 are not learned from; a document rated twice counts twice; equal
+texts have equal results; a text of any length is read whole, in pieces of 1 MB; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import append_columns, ended_buffer, filled, mix, slices, word_hashes
+from docketspark.llm.common import append_columns, ended_buffer, filled, long_text, mix, pieces, slices, word_hashes
 
 LOG2_COLUMNS = 18
 LEAST_DOCS = 4  # of the sample, that a column must occur in
@@ -36,53 +39,99 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+_REPEATS = (0.02, 0.1, 0.4)
+_MARKER = int(mix(np.array([99], np.uint64), 5)[0] >> np.uint64(64 - LOG2_COLUMNS))
+
+
+def _runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the runs of word or sign characters."""
+    kind = _CLASS[data]
+    edge = np.flatnonzero(np.diff(kind, prepend=np.uint8(0), append=np.uint8(0)))
+    starts, ends = edge[:-1], edge[1:]
+    solid = kind[starts] > 0 if len(starts) else np.zeros(0, bool)
+    return starts[solid], word_hashes(_LOWER[data], starts[solid], ends[solid])
+
+
+def _columns(found: np.ndarray, n_runs: int, n_again: int) -> np.ndarray:
+    """The columns of a text: of its runs, and of the shares of runs that repeat the one before."""
+    extra = [(_MARKER + k) % (1 << LOG2_COLUMNS) for k, share in enumerate(_REPEATS) if n_runs and n_again >= share * n_runs]
+    return np.union1d(found, extra).astype(np.int64) if extra else found
+
+
+def _column(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - LOG2_COLUMNS)).astype(np.int64)
+
+
+def _long_features(data: np.ndarray) -> np.ndarray:
+    found, n_runs, n_again, last = np.zeros(0, np.int64), 0, 0, None
+    for a, b in pieces(data, _CLASS == 0):
+        _, hashes = _runs(data[a:b])
+        if len(hashes):
+            n_again += int((hashes[1:] == hashes[:-1]).sum()) + (hashes[0] == last)
+            n_runs, last = n_runs + len(hashes), hashes[-1]
+            found = np.union1d(found, _column(hashes))
+    return _columns(found, n_runs, n_again)
+
+
 def features(texts: pa.Array) -> list[np.ndarray]:
     """Per text the sorted distinct columns that are present."""
     out: list[np.ndarray] = []
     for i, j in slices(texts):
+        if (long := long_text(texts, i, j)) is not None:
+            out.append(_long_features(long))
+            continue
         data, offsets = ended_buffer(texts.slice(i, j - i))
-        kind = _CLASS[data]
-        edge = np.flatnonzero(np.diff(kind, prepend=np.uint8(0), append=np.uint8(0)))
-        starts, ends = edge[:-1], edge[1:]
-        solid = kind[starts] > 0 if len(starts) else np.zeros(0, bool)
-        starts, ends = starts[solid], ends[solid]
-        hashes = word_hashes(_LOWER[data], starts, ends)
-        columns = (hashes >> np.uint64(64 - LOG2_COLUMNS)).astype(np.int64)
+        starts, hashes = _runs(data)
+        columns = _column(hashes)
         again = np.zeros(len(hashes), bool)
         again[1:] = hashes[1:] == hashes[:-1]
         bounds = np.searchsorted(starts, offsets)
-        marker = int(mix(np.array([99], np.uint64), 5)[0] >> np.uint64(64 - LOG2_COLUMNS))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            found = np.unique(columns[a:b])
-            n_again = int(again[a + 1 : b].sum()) if b > a else 0
-            extra = [(marker + k) % (1 << LOG2_COLUMNS) for k, share in enumerate((0.02, 0.1, 0.4)) if b > a and n_again >= share * (b - a)]
-            out.append(np.union1d(found, extra).astype(np.int64) if extra else found)
+        out += [_columns(np.unique(columns[a:b]), b - a, int(again[a + 1 : b].sum())) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     return out
 
 
 class Cumulative:
-    """Weights and thresholds; ``fit`` minimises the penalised likelihood by accelerated gradient steps."""
+    """Features' values, weights and thresholds; ``fit`` minimises the penalised likelihood by accelerated gradient steps."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, values: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
+        """``values``: 0 for features that are not known."""
+        self.values, self.weights, self.thresholds = values.astype(np.float32), weights.astype(np.float32), thresholds
 
     @staticmethod
-    def scaled(rows: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def telling(rows: list[np.ndarray], above: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Each known feature's mean log odds ratio over the thresholds, with one document added to every count."""
+        out, total = np.zeros(len(known)), 0
+        for high in above.T.astype(bool):
+            if high.all() or not high.any():
+                continue
+            shares = []
+            for side in (high, ~high):
+                n = np.bincount(np.concatenate([r for r, s in zip(rows, side, strict=True) if s]), minlength=len(known))
+                shares.append((n + 1) / (side.sum() + 2))
+            lesser = min(high.sum(), (~high).sum())
+            out, total = out + lesser * np.abs(np.log(shares[0] / shares[1])), total + lesser
+        return np.where(known, np.maximum(out / max(total, 1), 1e-3), 0.0)
+
+    @staticmethod
+    def scaled(rows: list[np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, column and value of the known features."""
-        kept = [r[known[r]] for r in rows]
-        sizes = np.array([len(r) for r in kept])
-        at = np.repeat(np.arange(len(kept)), sizes)
-        return at, np.concatenate(kept) if kept else np.zeros(0, np.int64), np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes)
+        kept = [r[values[r] > 0] for r in rows]
+        at = np.repeat(np.arange(len(kept)), [len(r) for r in kept])
+        column = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        value = values[column].astype(float)
+        return at, column, value / np.sqrt(np.bincount(at, value * value, len(kept)))[at]
 
     @classmethod
     def fit(cls, rows: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty: float = 0.003, steps: int = 400, weights: np.ndarray | None = None) -> Cumulative:
         """``weights``: what each row counts, one each if null; only their proportions matter."""
+        if n_grades < 2:
+            raise ValueError("grades are two at least")
         n_columns = 1 << LOG2_COLUMNS
         docs = np.bincount(np.concatenate(rows), minlength=n_columns) if rows else np.zeros(n_columns, np.int64)
-        known = docs >= LEAST_DOCS
-        at, column, value = cls.scaled(rows, known)
-        n = max(1, len(rows))
         above = (grades[:, None] > np.arange(n_grades - 1)).astype(float)
+        values = cls.telling(rows, above, docs >= LEAST_DOCS)
+        at, column, value = cls.scaled(rows, values)
+        n = max(1, len(rows))
         each = np.ones(len(rows)) if weights is None else weights * (len(rows) / weights.sum())
         shares = ((each @ above) + 0.5) / (n + 1)
         thresholds = np.maximum.accumulate(-np.log(shares / (1 - shares)))
@@ -96,12 +145,11 @@ class Cumulative:
             pull = (step - 1) / (step + 2)
             ahead, ahead_t = new + pull * (new - w), new_t + pull * (new_t - thresholds)
             w, thresholds = new, new_t
-        return cls(np.where(known, w, np.nan), thresholds)
+        return cls(values, w, thresholds)
 
     def tails(self, rows: list[np.ndarray]) -> np.ndarray:
         """P(grade > k) for every row and k."""
-        known = ~np.isnan(self.weights)
-        at, column, value = self.scaled(rows, known)
+        at, column, value = self.scaled(rows, self.values)
         score = np.bincount(at, self.weights[column] * value, len(rows))[: len(rows)] if len(rows) else np.zeros(0)
         return 1 / (1 + np.exp(-(score[:, None] - self.thresholds)))
 
@@ -111,12 +159,10 @@ def grade_of(quality, toxic):
     return quality + 1 - toxic
 
 
-def sample(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade_col: str, docs_per_grade: int, longest: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+def sample(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str, text_col: str, grade_col: str, docs_per_grade: int, longest: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts, their grades, and how many ratings of its grade each stands for."""
-    rated = ratings.select(F.col(id_col).alias("rated_id"), F.col(grade_col).alias("grade")).filter("rated_id is not null and grade is not null")
-    counts = {int(r["grade"]): r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).limit(33).collect()}
-    if len(counts) > 32:
-        raise ValueError("more than 32 grades")
+    rated = ratings.select(F.col(id_col).alias("rated_id"), F.col(grade_col).alias("grade")).filter(F.col("rated_id").isNotNull() & F.col("grade").between(0, n_grades - 1))
+    counts = {int(r["grade"]): r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # one row a grade
     if not counts:
         return [], np.zeros(0, np.int64), np.zeros(0)
     share = F.lit(0.0)
@@ -124,16 +170,18 @@ def sample(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grad
         share = F.when(F.col("grade") == grade, min(1.0, docs_per_grade / n)).otherwise(share)
     at = (F.xxhash64(F.lit("rated"), F.col("rated_id")) / F.lit(2.0**64)) + 0.5
     chosen = rated.filter(at < share)  # about docs_per_grade a grade: the side to broadcast has a stated size
-    texts = docs.select(F.col(id_col).alias("rated_id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= longest)
-    got = texts.join(F.broadcast(chosen), "rated_id").select("text", "grade").limit(4 * docs_per_grade * len(counts)).collect()
+    raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    start = F.pmod(F.xxhash64(F.lit("place"), "rated_id"), F.greatest(F.octet_length("raw") - longest, F.lit(0)) + 1).cast("int") + 1
+    texts = docs.select(F.col(id_col).alias("rated_id"), raw.alias("raw"))
+    got = texts.join(F.broadcast(chosen), "rated_id").select(F.substring("raw", start, F.lit(longest)).alias("raw"), "grade").limit(4 * docs_per_grade * len(counts)).collect()
     sampled = Counter(int(r["grade"]) for r in got)
-    return [r["text"] for r in got], np.array([r["grade"] for r in got], np.int64), np.array([counts[int(r["grade"])] / sampled[int(r["grade"])] for r in got])
+    return [bytes(r["raw"]) for r in got], np.array([r["grade"] for r in got], np.int64), np.array([counts[int(r["grade"])] / sampled[int(r["grade"])] for r in got])
 
 
 class Model:
     def __init__(self, spark: SparkSession, fitted: Cumulative | None, n_grades: int):
         self.n_grades = n_grades
-        self.sent = spark.sparkContext.broadcast(fitted)  # 2**18 weights, whatever the data
+        self.sent = spark.sparkContext.broadcast(fitted)  # 2**18 weights and values, whatever the data
 
     def columns(self, level: int) -> Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]:
         sent, n_grades = self.sent, self.n_grades
@@ -151,8 +199,10 @@ class Model:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", docs_per_grade: int = 2000, longest: int = 1 << 15) -> Model:
-    texts, grades, weights = sample(docs, ratings, id_col, text_col, grade_col, docs_per_grade, longest)
-    fitted = Cumulative.fit(features(pa.array(texts, pa.string())), grades, n_grades, weights=weights) if texts else None
+    if n_grades < 2:
+        raise ValueError("grades are two at least")
+    texts, grades, weights = sample(docs, ratings, n_grades, id_col, text_col, grade_col, docs_per_grade, longest)
+    fitted = Cumulative.fit(features(pa.array([t.decode("utf-8", "ignore") for t in texts], pa.string())), grades, n_grades, weights=weights) if texts else None
     return Model(docs.sparkSession, fitted, n_grades)
 
 
