@@ -7,8 +7,13 @@ for listed though it is not goes into level 1, and so on in turn, until a level
 key universe membership is then exact. Level 0 is sized by the rules and the number of urls so that about as many false
 positives as rules are expected, so all levels stay in proportion to the rule list.
 
-Defined cases: null url, or one without ``://``: host and path are empty and no rule fits; repeated urls are judged each;
-an empty rule list gives the default verdict; extra columns are ignored.
+Rules are a list in a program or, however many, a table (host, path, action). What grows with the rules is the filter, some
+bytes a rule; what is written into the plan is the rules' shape alone: the most labels of a host and the paths' lengths.
+
+Defined cases: null url, or one without ``://``: host and path are empty and no rule fits; urls of any length are judged, by
+as many candidate keys as the rules' shape has; rules' hosts are lower-cased (A-Z), null hosts or paths are empty; a rule with
+both actions allows; of two rules of one length that with the longer host wins; repeated urls are judged each; an empty rule
+list gives the default verdict; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,15 +125,21 @@ class Cascade:
 
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """The rule list as rows (key, action); its size is the length of the given list."""
-    rows = F.array(*[F.struct(F.lit(f"{r.host}\x00{r.path}").alias("key"), F.lit(r.action).alias("action")) for r in dict.fromkeys(rules)])
+    """A program's own list of rules as a table (host, path, action)."""
+    rows = F.array(*[F.struct(F.lit(r.host).alias("host"), F.lit(r.path).alias("path"), F.lit(r.action).alias("action")) for r in dict.fromkeys(rules)])
     return spark.range(1, numPartitions=1).select(F.inline(rows))
 
 
-def candidates(host: Column, path: Column, rules: list[Rule]) -> Column:
+def keyed(rules: DataFrame) -> DataFrame:
+    """Distinct rules: key, labels (of the host), length (of the path), action."""
+    host = F.translate(F.coalesce("host", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    path = F.coalesce("path", F.lit(""))
+    shaped = rules.select(F.concat(host, F.lit("\x00"), path).alias("key"), F.size(F.split(host, r"\.")).alias("labels"), F.length(path).alias("length"), "action")
+    return shaped.groupBy("key", "labels", "length").agg(F.min("action").alias("action"))  # allow is the lesser word
+
+
+def candidates(host: Column, path: Column, labels: int, lengths: list[int]) -> Column:
     """Keys a rule could have that fits, the longest first and of equal length that with the longer host."""
-    labels = max(r.host.count(".") + 1 for r in rules)
-    lengths = sorted({len(r.path) for r in rules})
     parts = F.split(host, r"\.")
     n = F.size(parts)
     hosts = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(labels))), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "."))
@@ -137,20 +148,21 @@ def candidates(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.transform(F.array_sort(pairs), lambda x: x["key"])
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per page: id, host, path, rule (host and path of the one that decides, or null), verdict."""
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    if not rules:
+    if isinstance(rules, list):
+        rules = rule_table(pages.sparkSession, rules) if rules else None
+    listed = cut(keyed(rules), "rules") if rules is not None else None
+    shape = listed.agg(F.count("*").alias("n"), F.count_if(F.col("action") == "allow").alias("n_allow"), F.max("labels").alias("labels"), F.sort_array(F.collect_set("length")).alias("lengths")).first() if listed is not None else None
+    if shape is None or not shape["n"]:
         return rows.select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    rows = rows.select("id", "host", "path", candidates(F.col("host"), F.col("path"), rules).alias("keys"))
-    listed = rule_table(pages.sparkSession, rules)
-    n_rules = len(dict.fromkeys(rules))
-    per_url = max(r.host.count(".") + 1 for r in rules) * len({len(r.path) for r in rules})
-    cascade = Cascade.build(listed.select("key"), rows.select(F.explode("keys").alias("key")), n_rules, pages.count() * per_url)
+    rows = rows.select("id", "host", "path", candidates(F.col("host"), F.col("path"), shape["labels"], shape["lengths"]).alias("keys"))
+    per_url = shape["labels"] * len(shape["lengths"])
+    keys = listed.select("key")
+    cascade = Cascade.build(keys, rows.select(F.explode("keys").alias("key")), shape["n"], pages.count() * per_url)
     # the rules' actions are a second, small membership question: which listed keys allow?
-    allowing = listed.filter(F.col("action") == "allow").select("key")
-    n_allow = len({r for r in rules if r.action == "allow"})
-    allows = Cascade.build(allowing, listed.select("key"), n_allow, n_rules, first_seed=1000)
+    allows = Cascade.build(listed.filter(F.col("action") == "allow").select("key"), keys, shape["n_allow"], shape["n"], first_seed=1000)
     # unrolled over the candidates, of which the rules' shape bounds the number: levels are subqueries, which lambdas can't hold
     at = [F.get("keys", F.lit(i)) for i in range(per_url)]
     found = rows.select("id", "host", "path", F.coalesce(*[F.when(k.isNotNull() & cascade.lists(k), k) for k in at]).alias("key"))
