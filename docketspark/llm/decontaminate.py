@@ -7,18 +7,21 @@ stands in no pattern's first m bytes lets it skip m - BLOCK + 1 positions. Where
 of some pattern's first m bytes; its bucket names the patterns, and direct comparison confirms an occurrence.
 
 The search runs in lockstep over many segments of a batch at once, so the jumps are array operations. Short patterns would
-shorten every jump, so patterns are put into classes of similar length, each with a table of its own. Patterns come in
-blocks of at most ``most_patterns``; a benchmark with more takes more passes, and their findings are summed per document,
-so what is broadcast never grows with the benchmark beyond that.
+shorten every jump, so patterns are put into classes of similar length, each with a table of its own. Items are streamed
+from the benchmark in blocks of at most ``most_items`` and ``most_bytes``; one with more takes more passes, and their
+findings are merged row by row. What is broadcast, and what a worker keeps, is one block a pass; after every
+``PASSES_AT_ONCE`` passes the state is a written table. Only a single item longer than ``most_bytes`` makes a larger block.
 
 Defined cases: null text has no words and is not contaminated; an item without words is no pattern; repeated items count
-each by their id; items of the same words are found together; an empty benchmark finds nothing; repeated rows are judged
-each; the columns of the table come back in ``row`` untouched.
+each by their id; an item without an id hits words but is not listed; items of the same words are found together; a long
+text is searched in pieces of 1 MB that overlap by the longest pattern; an empty benchmark finds nothing; repeated rows are
+judged each; an empty table gives no rows; the columns of the table come back in ``row`` untouched.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import append_columns, claim, ended_buffer, filled, mix, slices, word_spans
+from docketspark.llm.common import append_columns, claim, ended_buffer, filled, long_text, mix, pieces, slices, word_spans
+from docketspark.session import cut
 
 WINDOW = 13
 BLOCK = 8
 LOG2_SHIFTS = 22
 SEGMENT = 2048
+MOST_ITEMS, MOST_BYTES = 20_000, 1 << 20
+PASSES_AT_ONCE = 4
 SHORT = (12, 32)  # patterns shorter than these have tables of their own
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -144,6 +150,7 @@ class Searcher:
             patterns = [p for p in found if low <= len(p) < high]
             if patterns:
                 self.classes.append((ShiftTable(patterns), [found[p] for p in patterns], [p.count(b" ") - 1 for p in patterns]))
+        self.longest = max((max(n) for *_, n in self.classes), default=1)
 
     def judge(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int]], set[int]]]:
         """Per text: number of words, hit word ranges [from, to), items found."""
@@ -161,6 +168,21 @@ class Searcher:
             yield int(doc_words[doc + 1] - doc_words[doc]), union(ranges.get(doc, [])), items.get(doc, set())
 
 
+    def judge_long(self, data: np.ndarray) -> tuple[int, list[tuple[int, int]], set[int]]:
+        """As ``judge`` for one long text: piece by piece, each after the last words of the one before."""
+        total, ranges, items, held = 0, [], set(), []
+        for a, b in pieces(data, _FOLD == 32):
+            folded = _FOLD[data[a:b]].tobytes()
+            ((n, found, who),) = self.judge(pa.array([b" ".join([*held, folded])], pa.string()))
+            base = total - len(held)
+            ranges += [(base + x, base + y) for x, y in found]
+            items |= who
+            total = base + n
+            keep = self.longest - 1
+            held = [*held, *folded.rsplit(None, keep)[-keep:]][-keep:] if keep else []
+        return total, union(ranges), items
+
+
 def union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
@@ -174,20 +196,22 @@ def union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SCHEMA = "n_words long, hits array<struct<begin: long, end: long>>, items array<string>"
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_items: int = 20_000, carry: list[str] | None = None) -> DataFrame:
+def find_passages(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_items: int = MOST_ITEMS, most_bytes: int = MOST_BYTES, carry: list[str] | None = None
+) -> DataFrame:
     """``row`` (the columns of ``docs``, or those in ``carry``), n_words, hits (word ranges inside occurrences), items (ids found, sorted).
 
-    Up to ``most_items`` benchmark items are one block; the blocks' findings are merged row by row, so rows never move.
+    Items are searched for block by block; the blocks' findings are merged row by row, so rows never move.
     """
     stated = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
-    blocks = _blocks(stated, most_items)
-    if len(blocks) == 1:
-        return append_columns(docs, [F.col(text_col)], _judge(blocks[0], docs.sparkSession, window), SCHEMA, carry)
-    out = None
-    for block in blocks:
-        if out is None:
-            out = append_columns(docs, [F.col(text_col)], _judge(block, docs.sparkSession, window), SCHEMA)
-            continue
+    blocks = _blocks(stated, most_items, most_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return append_columns(docs, [F.col(text_col)], _judge(first, docs.sparkSession, window), SCHEMA, carry)
+    out = append_columns(docs, [F.col(text_col)], _judge(first, docs.sparkSession, window), SCHEMA)
+    for k, block in enumerate(itertools.chain([second], blocks), 1):
+        if k % PASSES_AT_ONCE == 0:
+            out = cut(out, "passages")
         more = append_columns(out, [F.col(f"row.{text_col}")], _judge(block, docs.sparkSession, window), SCHEMA)
         out = more.select("row.row", "row.n_words", F.concat("row.hits", "hits").alias("hits"), F.concat("row.items", "items").alias("items"))
     row = F.struct(*[F.col(f"row.{c}") for c in carry]).alias("row") if carry else F.col("row")
@@ -207,14 +231,18 @@ def merged(hits: str):
     return F.aggregate(F.array_sort(hits), empty, add)
 
 
-def _blocks(stated: DataFrame, most_items: int) -> list[list[tuple[str, str]]]:
+def _blocks(stated: DataFrame, most_items: int, most_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """The stated items, block by block; always one block at least."""
-    blocks: list[list[tuple[str, str]]] = [[]]
+    block: list[tuple[str, str]] = []
+    size = 0
     for r in stated.toLocalIterator():
-        if len(blocks[-1]) >= most_items:
-            blocks.append([])
-        blocks[-1].append((r["id"], r["text"]))
-    return blocks
+        own = len(r["text"] or "")
+        if block and (len(block) >= most_items or size + own > most_bytes):
+            yield block
+            block, size = [], 0
+        block.append((r["id"], r["text"]))
+        size += own
+    yield block
 
 
 def _judge(items: list[tuple[str, str]], spark, window: int):
@@ -224,6 +252,7 @@ def _judge(items: list[tuple[str, str]], spark, window: int):
     def make():
         searchers = claim("decontaminate")
         if name not in searchers:
+            searchers.clear()
             searchers[name] = Searcher(windows(sent.value, window))
         searcher, ids = searchers[name], [i for i, _ in sent.value]
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -232,7 +261,8 @@ def _judge(items: list[tuple[str, str]], spark, window: int):
             texts = filled(batch.column(0))
             n_words, hits, found = [], [], []
             for i, j in slices(texts):
-                for n, ranges, who in searcher.judge(texts.slice(i, j - i)):
+                long = long_text(texts, i, j)
+                for n, ranges, who in searcher.judge(texts.slice(i, j - i)) if long is None else [searcher.judge_long(long)]:
                     n_words.append(n)
                     hits.append([{"begin": a, "end": b} for a, b in ranges])
                     found.append(sorted({str(ids[k]) for k in who if ids[k] is not None}))
