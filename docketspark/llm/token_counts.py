@@ -6,8 +6,10 @@ the blocks' sums then says how many tokens and separators precede a block and wh
 documents that run over block ends. The scan has two levels, blocks within groups and groups within streams, so a
 stream that holds a third of all blocks is not one task's.
 
-Defined cases: an empty document has 0 tokens and still its separator; tokens after the last separator are a document that
-is not ended; an empty stream has none; blocks may be of any size, in any order; ids beyond the width are an error.
+Defined cases: an empty document, and a null text, has 0 tokens and still its separator; tokens after the last separator are
+a document that is not ended; an empty stream has none; blocks may be of any size, in any order, a null block is empty; bytes
+at a block's end that are no whole id are no token; a document may run over any number of blocks; repeated rows are documents
+of their own; ids beyond the width are an error, not a wrong count; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from docketspark.llm.common import filled, lean
 from docketspark.session import cut
@@ -27,13 +30,57 @@ BLOCK_TOKENS = 1 << 16
 GROUP_BLOCKS = 256
 
 
-def read_flat_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (stream, block, data) of the flat files under ``path``; one file is one stream. Files are up to 2 GB each."""
-    size = width * block_tokens
-    files = spark.read.format("binaryFile").load(path).filter("length > 0")
-    starts = F.sequence(F.lit(0).cast("long"), (F.col("length") - 1), F.lit(size).cast("long"))
-    cut_up = files.select("path", "content", F.explode(starts).alias("start"))
-    return cut_up.select(F.col("path").alias("stream"), F.expr(f"start div {size}").alias("block"), F.substring("content", F.col("start").cast("int") + 1, F.lit(size)).alias("data"))
+def read_flat_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS, split_bytes: int = 128 << 20) -> DataFrame:
+    """Blocks (stream, block, data) of the flat files under ``path``; one file is one stream, of any size.
+
+    Tasks read ranges of about ``split_bytes`` of a file, so a large file is many tasks' and none holds more than a block.
+    """
+
+    class Range(InputPartition):
+        def __init__(self, file: str, start: int, stop: int):
+            self.file, self.start, self.stop = file, start, stop
+
+    class Reader(DataSourceReader):
+        def __init__(self, options: dict):
+            self.path, self.size = options["path"], int(options["block_bytes"])
+            self.split = max(1, int(options["split_bytes"]) // self.size) * self.size
+
+        def store(self):
+            from pyarrow import fs
+
+            return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+
+        def partitions(self):
+            from pyarrow import fs
+
+            store, root = self.store()
+            top = store.get_file_info(root)
+            files = [top] if top.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
+            names = sorted((f.path, f.size) for f in files if f.is_file and f.size and not f.base_name.startswith((".", "_")))
+            return [Range(name, start, min(start + self.split, size)) for name, size in names for start in range(0, size, self.split)]
+
+        def read(self, partition):
+            import pyarrow as pa
+
+            store, _ = self.store()
+            with store.open_input_file(partition.file) as f:
+                for start in range(partition.start, partition.stop, self.size):
+                    data = f.read_at(min(self.size, partition.stop - start), start)
+                    yield pa.RecordBatch.from_arrays([pa.array([partition.file]), pa.array([start // self.size], pa.int64()), pa.array([data], pa.binary())], names=["stream", "block", "data"])
+
+    class FlatTokens(DataSource):
+        @classmethod
+        def name(cls):
+            return "flat_tokens"
+
+        def schema(self):
+            return "stream string, block long, data binary"
+
+        def reader(self, schema):
+            return Reader(self.options)
+
+    spark.dataSource.register(FlatTokens)
+    return spark.read.format("flat_tokens").option("block_bytes", str(width * block_tokens)).option("split_bytes", str(split_bytes)).load(path)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +145,8 @@ def separators(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
         for batch in batches:
             sizes, ends = [], []
             for data in batch.column("data"):
-                tokens = np.frombuffer(data.as_buffer(), kind) if data.is_valid else np.zeros(0, kind)
+                raw = data.as_buffer() if data.is_valid else b""
+                tokens = np.frombuffer(raw, kind, len(raw) // width)
                 sizes.append(len(tokens))
                 ends.append(np.flatnonzero(tokens == end_id))
             yield pa.RecordBatch.from_arrays([batch.column("stream"), batch.column("block"), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["stream", "block", "n_tokens", "ends"])
