@@ -4,12 +4,16 @@ The rows are dealt by conversation and sorted by turn; the machine then streams
 conversation at a time - the last role - so a conversation of any length needs no more memory than a turn. Escaping and
 formatting are per turn. Every turn becomes segments (text, loss): the turn's opening, its escaped text, its closing.
 
+The machine's transition says whether a turn's order is valid; from the first that is not, all turns of the conversation
+are invalid. The template declares which roles are learned from, and with ``learn_from_invalid`` whether also in invalid turns.
+
 Escaping: the control strings all begin with ``<|``. A backslash is put between the two signs, one more if some are
-there already; ``unescape`` takes one away. Nothing else in a text changes.
+there already; ``unescape`` takes one away. A line end in a role, which would end the opening, becomes ``<|lf|>``, which no
+escaped text holds. Nothing else changes.
 
 Defined cases: null text and null role are empty; turns are ordered by (turn, role, text), null turns first; repeated rows are
-turns of their own; roles unknown to the template are formatted without loss and put the machine into its error state,
-in which all later turns of the conversation are marked not valid; an empty table gives no rows.
+turns of their own; roles unknown to the template are formatted without loss and put the machine into its error state; a
+text of any length is one segment; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from docketspark.llm.common import lean
 
 ERROR = "error"
+LINE_END = "<|lf|>"
 
 
 @dataclass(frozen=True)
@@ -44,18 +49,21 @@ class Template:
         }
     )
     final: frozenset[str] = frozenset({"assistant"})
+    learn_from_invalid: bool = True
 
     def next_state(self, state: str, role: str) -> str:
         return role if role in self.transitions.get(state, ()) else ERROR
 
-    def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
-        return [(self.opening.format(role=escape(role)), False), (escape(text), role in self.loss_roles), (self.closing, False)]
+    def segments(self, state: str, role: str, text: str) -> list[tuple[str, bool]]:
+        """A turn's segments, after the machine has moved to ``state`` by its role."""
+        learned = role in self.loss_roles and (state != ERROR or self.learn_from_invalid)
+        return [(self.opening.replace("{role}", escape(role).replace("\n", LINE_END)), False), (escape(text), learned), (self.closing, False)]
 
     def read(self, formatted: str) -> tuple[str, str]:
         """Role and text of one formatted turn."""
         head, tail = self.opening.split("{role}")
         end = formatted.index(tail, len(head))
-        return unescape(formatted[len(head) : end]), unescape(formatted[end + len(tail) : len(formatted) - len(self.closing)])
+        return unescape(formatted[len(head) : end].replace(LINE_END, "\n")), unescape(formatted[end + len(tail) : len(formatted) - len(self.closing)])
 
 
 _CONTROL = re.compile(r"<(\\*)\|")
@@ -71,40 +79,40 @@ def unescape(text: str) -> str:
 
 
 def format_turns(conversations: DataFrame, template: Template | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Per turn, ordered within its partition: conv, segments array<struct<text, loss>>, state, valid (so far), first."""
+    """Per turn, ordered within its partition: conv, segments array<struct<text, loss>>, state, valid (so far), place (in its conversation)."""
     template = template or Template()
     rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     conv_type = rows.schema["conv"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: object = run  # no conversation
-        state = "start"
+        state, place = "start", 0
         kind = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
         for batch in batches:
-            segments, states, firsts = [], [], []
+            segments, states, places = [], [], []
             convs = batch.column("conv").to_pylist()
             for conv, role, text in zip(convs, batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                first = conv != current
-                if first:
-                    current, state = conv, "start"
+                if conv != current:
+                    current, state, place = conv, "start", 0
                 state = template.next_state(state, role)
-                segments.append([{"text": t, "loss": loss} for t, loss in template.segments(role, text)])
+                segments.append([{"text": t, "loss": loss} for t, loss in template.segments(state, role, text)])
                 states.append(state)
-                firsts.append(first)
+                places.append(place)
+                place += 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column("conv"), pa.array(segments, kind), pa.array(states, pa.string()), pa.array([s != ERROR for s in states], pa.bool_()), pa.array(firsts, pa.bool_())],
-                names=["conv", "segments", "state", "valid", "first"],
+                [batch.column("conv"), pa.array(segments, kind), pa.array(states, pa.string()), pa.array([s != ERROR for s in states], pa.bool_()), pa.array(places, pa.int64())],
+                names=["conv", "segments", "state", "valid", "place"],
             )
 
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
-    return ordered.mapInArrow(lean(run), f"conv {conv_type}, segments array<struct<text: string, loss: boolean>>, state string, valid boolean, first boolean")
+    return ordered.mapInArrow(lean(run), f"conv {conv_type}, segments array<struct<text: string, loss: boolean>>, state string, valid boolean, place long")
 
 
 def read_back(turns: DataFrame, template: Template | None = None) -> DataFrame:
     """From ``format_turns``' segments alone: one row per conversation with counts and digests of what they hold.
 
-    Reads the formatted turns in their order, so it must follow ``format_turns`` without a shuffle in between. SHA-256
-    is a chain, so one conversation is digested by one task, as a stream with the state of one conversation.
+    Reads the formatted turns in their order and checks it by their places, so turns that were dealt anew or filtered are an
+    error and not a wrong answer. SHA-256 is a chain: one task digests a conversation, as a stream. ``valid``: all turns are and the last may end it.
     """
     template = template or Template()
     conv_type = turns.schema["conv"].dataType
@@ -123,8 +131,10 @@ def read_back(turns: DataFrame, template: Template | None = None) -> DataFrame:
 
         for batch in batches:
             done = []
-            for conv, segments, state, valid, first in zip(*(batch.column(n).to_pylist() for n in ("conv", "segments", "state", "valid", "first")), strict=True):
-                if first or open_conv is None:
+            for conv, segments, state, valid, place in zip(*(batch.column(n).to_pylist() for n in ("conv", "segments", "state", "valid", "place")), strict=True):
+                if place != (open_conv[1] if open_conv is not None and place else 0) or (place and conv != open_conv[0]):
+                    raise ValueError("formatted turns are not in their order")
+                if not place:
                     if open_conv is not None:
                         done.append(open_conv)
                     open_conv = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True]

@@ -43,7 +43,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` with the row that stays for its text."""
     from docketspark.llm.exact_dedup import exact_dedup
 
-    found = exact_dedup(table(spark, sf_dir, "documents"))
+    found = exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)  # the report has every text's digest
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("full").alias("text_sha256"))
 
 
@@ -74,12 +74,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
       UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
       UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-    u AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS escaped, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') AS erole FROM t)
+    u AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS escaped, replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '<|lf|>') AS erole,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+                 coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), '') AS before FROM t)
     SELECT conv_id, count(*) AS n_turns,
            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-           CAST(sum(length('<|im_start|>') + length(erole) + 1 + length(escaped) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+           CAST(sum(length('<|im_start|>') + length(erole) + 1 + length(escaped) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars,
+           bool_and(CASE WHEN k = 1 THEN role IN ('system', 'user') WHEN before = 'user' THEN role = 'assistant' ELSE role = 'user' END AND (k < n OR role = 'assistant')) AS valid
     FROM u GROUP BY conv_id
     """,
 )
@@ -93,7 +96,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.inline(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(trap).alias("text")) for i, r in enumerate(("user", "assistant"))]))
     )
     found = read_back(format_turns(given.unionByName(added)))
-    return found.select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return found.select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
 
 
 @_query("op9_secret_scan")

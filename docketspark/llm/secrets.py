@@ -7,8 +7,9 @@ MD5, SHA-1, SHA-256 or SHA-512, UUIDs) or identifiers: words or numbers joined b
 capitals, where most letters are in words of three letters and more that reach ``most_ratio`` by themselves. Runs without
 a letter are numbers. Spans of the patterns stay whatever the test says; a run that overlaps one is not reported again.
 
-Defined cases: null text is empty and has no spans; spans are in code points, end exclusive; repeated rows are scanned
-each; an empty table gives no rows; extra columns are ignored.
+Defined cases: null text is empty and has no spans; spans are in code points, end exclusive; spans that begin together are
+in the order of ``KINDS``; texts and runs of any length are scanned whole, in time that is linear in them; repeated rows are
+scanned each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import filled, lean
+from docketspark.llm.common import claim, filled, lean
 
 # fixed values: the patterns of the contract; ASCII letters only are matched in either case
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -71,10 +72,10 @@ def is_identifier(run: str, count_tokens, most_ratio: float = MOST_RATIO) -> boo
     return in_words >= WORD_SHARE * letters
 
 
-def random_spans(text: str, base: list[tuple[int, int, str]], count_tokens, most_ratio: float = MOST_RATIO) -> list[tuple[int, int, str]]:
+def random_spans(text: str, base: list[tuple[int, int, str]], count_tokens, most_ratio: float = MOST_RATIO, runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str]]:
     return [
         (start, end, "random")
-        for start, end in candidate_runs(text)
+        for start, end in (candidate_runs(text) if runs is None else runs)
         if all(end <= s or e <= start for s, e, _ in base)
         and (end - start) < most_ratio * count_tokens(text[start:end])
         and not is_identifier(text[start:end], count_tokens, most_ratio)
@@ -101,15 +102,18 @@ def scan_secrets(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str =
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = None
+        kept = claim("secrets")  # the vocabulary is built once a worker
+        key = (hash(sent.value), pattern)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for batch in batches:
             out = []
             for text in filled(batch.column("text")).to_pylist():
                 spans = base_spans(text)
-                if candidate_runs(text):
-                    count = count or token_counter(sent.value, pattern)
-                    spans = sorted(spans + random_spans(text, spans, count, most_ratio), key=_order)
+                if runs := candidate_runs(text):
+                    if key not in kept:
+                        kept.clear()
+                        kept[key] = token_counter(sent.value, pattern)
+                    spans = sorted(spans + random_spans(text, spans, kept[key], most_ratio, runs), key=_order)
                 out.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, kind)], names=["id", "spans"])
 

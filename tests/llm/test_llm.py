@@ -18,11 +18,12 @@ from compare import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docketspark.llm import bpe, chat, decontaminate, exact_dedup, language_id, minhash, quality, secrets, token_counts, url_filter
+from docketspark.llm import bpe, chat, common, decontaminate, exact_dedup, language_id, minhash, quality, secrets, token_counts, url_filter
 from docketspark.llm.common import prepare
 from docketspark.llm.queries import ORACLE_SQL, QUERIES
 from docketspark.session import cut, ship
 
+SMALL = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CLASHING = ["row", "id", "node", "full", "lang_pred", "n_words", "hits", "key", "conv", "spans", "_0", "kept", "prefix"]
@@ -99,6 +100,41 @@ def test_shared_chunks_are_encoded_once():
     assert coder.encoded - first <= 3 and coder.reused >= first - 3
 
 
+@pytest.fixture(scope="module")
+def tokenizer_text():
+    return open(TOKENIZER, encoding="utf-8").read()
+
+
+def test_chunks_of_the_corpus_are_reused(tokenizer_text, texts):
+    """Copies and shared passages of the documents cost a look-up: chunks encoded are the distinct ones, no more."""
+    coder = bpe.Coder(tokenizer_text)
+    column = pa.array([t for t, _ in texts.values()], pa.string()).fill_null("")
+    packed = [p for part in coder.slices(column) for p in part]
+    assert [np.frombuffer(p, np.uint32).tolist() for p in packed] == [library(t)[0] for t, _ in texts.values()]
+    assert coder.reused > 0.05 * (coder.encoded + coder.reused) and coder.grown == 0
+    before = coder.encoded
+    small = pa.array([t for t in column.to_pylist() if len(t) < 3000][:50])
+    assert list(coder.slices(small)) == list(coder.slices(small)) and coder.encoded - before < 0.5 * sum(len(t) / bpe.LEAST_CHUNK + 1 for t in small.to_pylist())
+
+
+def test_joins_grow_until_both_sides_agree(tokenizer_text, monkeypatch):
+    coder = bpe.Coder(tokenizer_text)
+    text = " ".join(f"word{i} and more," for i in range(2000))
+    expected = np.array(library(text)[0], np.uint32).tobytes()
+    assert [p for part in coder.slices(pa.array([text])) for p in part] == [expected] and coder.agreed and coder.grown == 0
+    coder.agreed = dict.fromkeys(coder.agreed, False)  # as if no join agreed
+    assert [p for part in coder.slices(pa.array([text])) for p in part] == [expected] and coder.grown == 1
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(bpe, "HASHED_IDS", 100)
+    fresh = bpe.Coder(tokenizer_text)
+    for t in (text, "x" * 5000, text + "y" * 3000 + " z", "\n" * 4000 + "end"):
+        (got,) = [p for part in fresh.slices(pa.array([t])) for p in part]
+        ids, decoded = library(t)
+        assert np.frombuffer(got, np.uint32).tolist() == ids
+        assert fresh.digests([got], fresh.decimal_table) == [hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()]
+        assert fresh.digests([got], fresh.token_table) == [hashlib.sha256(decoded.encode()).hexdigest()]
+
+
 # --- 2: exact dedup
 
 
@@ -120,9 +156,18 @@ def test_exact_dedup_edges(spark):
 
 
 def test_exact_dedup_hashes_survivors_only(spark):
-    docs = docs_of(spark, "alone", "twice", "twice")
-    full = {r["id"]: r["full"] for r in exact_dedup.exact_dedup(docs.filter("doc_id > 0"), digest_all=False).collect()}
-    assert full[1] and full[2]
+    docs = docs_of(spark, "alone", "twice", "twice", "p" * 300 + "a", "p" * 300 + "b").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    hashed = {r["id"]: r["full"] is not None for r in exact_dedup.exact_dedup(docs).collect()}
+    assert hashed == {0: False, 1: True, 2: True, 3: True, 4: True}  # 3 and 4 agree in length and prefix
+    assert all(r["full"] for r in exact_dedup.exact_dedup(docs, digest_all=True).collect())
+
+
+def test_exact_dedup_decides_by_row(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "c"), (None, "c"), (3, "d"), (3, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("clash").alias("row"), F.lit("clash").alias("full")).repartition(3)
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(1, "b"), (2, "a"), (None, "c"), (3, "d")], key=str)
 
 
 # --- 3: language ID
@@ -137,10 +182,9 @@ def test_language_accuracy_on_held_out(spark, small, texts):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
-def test_code_lengths_equal_a_plain_model():
+def test_code_lengths_equal_a_plain_model(monkeypatch):
     sample = {"a": [b"abracadabra", b"abra ca"], "b": [b"banana band"]}
-    st = language_id.Statistics(sample, 1000)
-    tables = language_id.Tables(st)
+    tables = language_id.Tables(language_id.Statistics(sample))
 
     def plain(lang, text):
         counts = collections.defaultdict(collections.Counter)
@@ -166,10 +210,34 @@ def test_code_lengths_equal_a_plain_model():
                 bits += 8
         return bits
 
-    for text in (b"abra", b"band and z", b"a", b"\xff\xfe"):
-        data = np.frombuffer(text + b"\0\0\0", np.uint8)
-        got = tables.lengths(data, np.array([0, len(data)]))[0] / language_id.BITS
-        assert got == pytest.approx([plain("a", text), plain("b", text)], abs=0.01)
+    asked = [b"abra", b"band and z", b"a", b"\xff\xfe", b"", b"abracadabra banana " * 40]
+    for block in (language_id.BLOCK, 7, 64):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        data = np.frombuffer(b"".join(t + b"\0\0\0" for t in asked), np.uint8)
+        got = tables.lengths(data, np.cumsum([0, *(len(t) + 3 for t in asked)])) / language_id.BITS
+        for text, bits in zip(asked, got, strict=True):
+            assert bits == pytest.approx([plain("a", text), plain("b", text)], abs=0.05)
+
+
+def test_trees_keep_every_context_of_many_languages():
+    rng = random.Random(17)
+    made = {f"l{k:03}": [bytes(rng.choices(range(1 + k, 250), k=2000)) for _ in range(2)] for k in range(100)}
+    st = language_id.Statistics(made)
+    tables = language_id.Tables(st)
+    assert len(tables.levels[3].grams) == len({t[i : i + 4] for ts in made.values() for t in ts for i in range(len(t) - 3)})
+    assert sum(c.nbytes for c in tables.cost) < 400e6
+    own = [t for ts in made.values() for t in ts]
+    data = np.frombuffer(b"".join(t + b"\0\0\0" for t in own), np.uint8)
+    assert tables.lengths(data, np.cumsum([0, *(len(t) + 3 for t in own)])).argmin(1).tolist() == [k // 2 for k in range(200)]
+
+
+def test_long_and_tied_texts_are_told(spark):
+    long = "the quick brown fox " * 200_000
+    docs = spark.createDataFrame([(0, long, "en"), (1, "le renard brun " * 50_000, "fr"), (2, "xyz", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs.withColumn("doc_id", F.col("doc_id") + 10), longest=1000)
+    assert set(model.statistics.languages) <= {"en", "fr"} and model.statistics.languages
+    twins = language_id.Statistics({"a": [b"same text"], "b": [b"same text"]})
+    assert language_id.predict(twins, pa.array(["same", long[:3_000_000]]))[0].to_pylist() == ["a", "a"]
 
 
 def test_language_edges(spark):
@@ -203,6 +271,12 @@ def test_url_filter_against_brute_force(spark):
         fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
         best = max(fits, key=lambda r: (len(r.host + r.path), len(r.host)), default=None)
         assert got[i] == (host, path, best and best.host + best.path, best.action if best else "allow"), url
+    as_table = spark.createDataFrame([(r.host.upper(), r.path, r.action) for r in rules] * 2 + [(None, None, "block")], "host string, path string, action string")
+    assert {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, as_table.filter("host is not null")).collect()} == got
+    both = [url_filter.Rule("net", "/", "block"), url_filter.Rule("NET", "/", "allow")]
+    long = spark.createDataFrame([(1, "http://a.net/" + "x" * 200_000), (2, "http://" + "a." * 50_000 + "net/")], "page_id long, url string")
+    assert {(r["rule"], r["verdict"]) for r in url_filter.judge_urls(long, both).collect()} == {("net/", "allow")}
+    assert url_filter.judge_urls(pages, as_table.limit(0)).filter("verdict = 'allow'").count() == len(urls)
     assert url_filter.judge_urls(pages, []).filter("verdict = 'allow'").count() == len(urls)
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
@@ -254,6 +328,18 @@ def test_decontamination_against_brute_force(spark, most_items):
     assert decontaminate.find_passages(empty_docs(spark), benchmark).count() == 0
 
 
+def test_long_texts_are_searched_in_pieces(monkeypatch):
+    rng = random.Random(19)
+    vocabulary = ["a", "of", "the", "É", "x9", "word", "longerword"]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate((4, 13, 20, 30))]
+    made = [" ".join([items[3][1] if rng.random() < 0.02 else items[2][1] if rng.random() < 0.02 else rng.choice(vocabulary) for _ in range(1500)]), "word" * 3000, "... " * 2000, items[1][1] + " " * 3000 + items[1][1]]
+    monkeypatch.setattr(decontaminate, "pieces", lambda d, b: common.pieces(d, b, 500))
+    searcher = decontaminate.Searcher(decontaminate.windows(items))
+    for t in made:
+        n, ranges, who = searcher.judge_long(np.frombuffer(t.encode(), np.uint8))
+        assert (n, sum(b - a for a, b in ranges), sorted(map(str, who))) == plain_hits(t, items)
+
+
 # --- 6: chat
 
 
@@ -272,6 +358,25 @@ def test_chat_round_trip_and_states(spark):
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_machine_decides_validity_and_loss(spark):
+    odd = "user\nassistant <|lf|> \\ <|im_end|>"
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "assistant", "again"), (2, 0, odd, "t"), (2, 1, "assistant", "b"), (3, 0, "user", "q"), (3, 1, "assistant", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    strict = chat.Template(learn_from_invalid=False)
+    turns = chat.format_turns(df, strict)
+    assert {(r["conv"], r["place"]): (r["state"], r["valid"]) for r in turns.collect()} == {
+        (1, 0): ("user", True), (1, 1): ("assistant", True), (1, 2): ("error", False), (2, 0): ("error", False), (2, 1): ("error", False), (3, 0): ("user", True), (3, 1): ("assistant", True)
+    }
+    got = {r["conv"]: (r["valid"], r["loss_chars"], r["turns_sha256"]) for r in chat.read_back(turns, strict).collect()}
+    assert [got[k][:2] for k in (1, 2, 3)] == [(False, 1), (False, 0), (True, 1)]
+    assert got[2][2] == hashlib.sha256(f"{odd}\nt\nassistant\nb\n".encode()).hexdigest()
+    loose = {r["conv"]: r["loss_chars"] for r in chat.read_back(chat.format_turns(df)).collect()}
+    assert loose == {1: 6, 2: 1, 3: 1}
+    with pytest.raises(Exception, match="not in their order"):
+        chat.read_back(turns.filter("place > 0")).collect()
+
+
+
 # --- 7: token counts
 
 
@@ -280,6 +385,15 @@ def test_token_counts_equal_encoding(spark, small, texts):
     assert got == {i: len(library(t)[0]) for i, (t, _) in texts.items()}
 
 
+def test_blocks_with_odd_bytes_and_long_documents(spark):
+    data = np.array([5, 6, 99, 7] + [8] * 3000, "<u2").tobytes()
+    rows = [("s", k // 100, data[k : k + 100]) for k in range(0, len(data), 100)]
+    rows += [("s", len(rows), np.array([99], "<u2").tobytes() + b"x"), ("t", 0, None), ("t", 1, b"z")]
+    blocks = spark.createDataFrame(rows, "stream string, block long, data binary").select("*", F.lit("clash").alias("ends"), F.lit(0).alias("n_tokens")).repartition(4)
+    got = sorted((r["stream"], r["ordinal"], r["start"], r["n_tokens"], r["ended"]) for r in token_counts.count_tokens(blocks, 99).collect())
+    assert got == [("s", 0, 0, 2, True), ("s", 1, 3, 3001, True)]
+
+
 @pytest.mark.parametrize("block", [1, 3, 7, 1000])
 def test_separator_scan_of_flat_files(spark, tmp_path, block):
     rng = random.Random(block)
@@ -292,13 +406,13 @@ def test_separator_scan_of_flat_files(spark, tmp_path, block):
         starts = np.cumsum([0, *(n + 1 for n in sizes)]).tolist()
         expected += [(name, k, starts[k], n, True) for k, n in enumerate(sizes)]
         expected += [(name, len(sizes), starts[-1], tail, False)] if tail else []
-    blocks = token_counts.read_flat_files(spark, str(tmp_path), block_tokens=block)
+    blocks = token_counts.read_flat_files(spark, str(tmp_path), block_tokens=block, split_bytes=50)
     got = [(r["stream"].rsplit("/", 1)[1][0], r["ordinal"], r["start"], r["n_tokens"], r["ended"]) for r in token_counts.count_tokens(blocks, 99).collect()]
     assert sorted(got) == sorted(expected)
 
 
 def test_packing_edges(spark):
-    docs = docs_of(spark, *ODD[:5], "a b c")
+    docs = docs_of(spark, *ODD, "a b c")
     blocks, order = token_counts.pack(docs, TOKENIZER, 49_408, block_tokens=2)
     found = token_counts.count_tokens(blocks, 49_408).join(order, ["stream", "ordinal"])
     assert sorted(((r["id"], r["n_tokens"]) for r in found.collect()), key=str) == sorted(((r["doc_id"], len(library(r["text"])[0])) for r in docs.collect()), key=str)
@@ -359,6 +473,39 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == plain_components(rows)
 
 
+def test_near_duplicates_in_crowded_buckets(spark):
+    """Sets that share a passage and little else crowd its buckets; those over the limit are dealt by their rarest shingles."""
+    rng = random.Random(16)
+    passage = [f"p{i}" for i in range(60)]
+    made = [" ".join(passage + [f"w{rng.randint(0, 10**9)}" for _ in range(40)]) for _ in range(60)]
+    made += [" ".join(edited(t.split(), 0.02, rng)) for t in made[:30] for _ in range(2)]
+    rows = list(enumerate(made, 100))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = plain_components(rows)
+    assert len({c for _, c in expected.values()}) > 40
+    for hot in (20, minhash.HOT):
+        assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, hot=hot).collect()} == expected
+
+
+def test_recall_on_documents(spark, texts):
+    """Every link between documents is found, copies and near copies alike, and no other."""
+    rows = [(i, t) for i, (t, _) in texts.items()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op8_minhash_dedup"](spark, SMALL).collect()}
+    assert got == plain_components(rows)
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    rng = random.Random(21)
+    made = [" ".join(f"w{rng.randint(0, 900)}" for _ in range(3000)), "x" * 9000, "a " * 4000, "\n ".join(["b" * 3000, "C", "d", "e f", "g" * 5000, "h"]), "one two three", " " * 5000, "é" * 3000 + " ü"]
+    whole = [s.tolist() for s in minhash.shingle_sets(pa.array(made))]
+    monkeypatch.setattr(minhash, "slices", lambda t: [(i, i + 1) for i in range(len(t))])
+    monkeypatch.setattr(minhash, "long_text", lambda t, i, j: common.long_text(t, i, j, 100))
+    monkeypatch.setattr(minhash, "pieces", lambda d, b: common.pieces(d, b, 1000))
+    monkeypatch.setattr(common, "POWER_BLOCK", 512)
+    assert [s.tolist() for s in minhash.shingle_sets(pa.array(made))] == whole
+    assert [len(s) for s in whole] == [len(shingles(t)) for t in made]
+
+
 def test_near_duplicates_edges(spark):
     docs = docs_of(spark, *ODD)
     got = minhash.near_duplicates(docs).collect()
@@ -419,6 +566,14 @@ def test_secret_patterns_against_brute_force(spark, small, texts):
         assert got[i]["n_assign"] == sum(k == "assign" for *_, k in base)
 
 
+def test_secret_scan_edges(spark, count_tokens):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        vocabulary = f.read()
+    docs = docs_of(spark, *ODD, *SECRETS, "Q7" * 40_000, "word " * 200_000 + "token=abcdefgh")
+    got = collections.Counter((r["id"], tuple((s["start"], s["end"], s["kind"]) for s in r["spans"] if s["kind"] != "random")) for r in secrets.scan_secrets(docs, vocabulary, public_tokenizers.PATTERN).collect())
+    assert got == collections.Counter((r["doc_id"], tuple(plain_base(r["text"] or ""))) for r in docs.collect())
+
+
 def test_token_efficiency_finds_random_strings_only(spark):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         vocabulary = f.read()
@@ -465,11 +620,61 @@ def test_long_runs_take_linear_time(count_tokens):
 # --- 10: quality
 
 
-def test_quality_separates_clean_from_junk(spark, small, duck):
-    got = {r["doc_id"]: r for r in QUERIES["op10_quality"](spark, small).collect()}
-    rated = duck.sql("SELECT doc_id, quality, toxic FROM labels").fetchall()
-    clean = [got[i]["kept"] for i, q, t in rated if q and not t]
-    assert sum(clean) / len(clean) >= 0.95 and all(0 <= r["expected_grade"] <= 2 for r in got.values())
+def test_quality_tells_held_out_ratings_apart(spark, duck, small):
+    """On ratings the fit has not seen: the best grade's documents are kept, most others are not, and grades are ordered."""
+    where = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: r for r in QUERIES["op10_quality"](spark, where).collect()}
+    rated = duck.sql(f"SELECT doc_id, quality, toxic FROM '{where}/labels.parquet'").fetchall()
+    held = [(got[i], q + 1 - t) for i, q, t in rated if got[i]["held_out"]]
+    assert len(held) > 100
+    best, rest = ([r for r, g in held if (g == 2) == top] for top in (True, False))
+    assert sum(r["kept"] for r in best) >= 0.95 * len(best)
+    assert sum(not r["kept"] for r in rest) >= 0.85 * len(rest)
+    pairs = [(a["expected_grade"], b["expected_grade"]) for a, x in held for b, y in held if x > y]
+    assert sum(a > b for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(0 <= r["expected_grade"] <= 2 for r in got.values())
+
+
+def test_fit_equals_a_plain_optimiser():
+    rng = random.Random(23)
+    grades = np.array([rng.choice([0, 1, 1, 2]) for _ in range(160)])
+    rows = [np.array(sorted({rng.randint(0, 5) + 4 * int(g) for _ in range(4)})) for g in grades]
+    weights = np.array([rng.choice([1.0, 3.0]) for _ in rows])
+    penalty = 0.003
+    model = quality.Cumulative.fit(rows, grades, 3, penalty, steps=4000, weights=weights)
+    known = sorted({int(c) for r in rows for c in r if sum(int(c) in x for x in rows) >= quality.LEAST_DOCS})
+    odds = {}
+    for c in known:
+        has = np.array([c in r for r in rows])
+        lesser = [min((grades > k).sum(), (grades <= k).sum()) for k in (0, 1)]
+        ratios = [abs(np.log((has[grades > k].sum() + 1) / ((grades > k).sum() + 2) / (has[grades <= k].sum() + 1) * ((grades <= k).sum() + 2))) for k in (0, 1)]
+        odds[c] = np.dot(lesser, ratios) / sum(lesser)
+    x = np.array([[(c in r) * odds[c] for c in known] for r in rows])
+    x /= np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-9)
+    each = weights * len(rows) / weights.sum()
+
+    def loss(v):
+        tails = 1 / (1 + np.exp(-((x @ v[:-2])[:, None] - v[-2:])))
+        above = grades[:, None] > np.arange(2)
+        return -(each[:, None] * np.where(above, np.log(tails), np.log(1 - tails))).sum() / len(rows) + 10 * penalty / len(rows) / 2 * (v[:-2] ** 2).sum()
+
+    v, step = np.zeros(len(known) + 2), 1.0
+    for _ in range(6000):  # steepest descent by differences, with a step that adapts
+        slope = np.array([(loss(v + 1e-5 * e) - loss(v - 1e-5 * e)) / 2e-5 for e in np.eye(len(v))])
+        if np.abs(slope).max() < 1e-5:
+            break
+        while loss(v - step * slope) > loss(v) - 0.3 * step * (slope**2).sum():
+            step /= 2
+        v, step = v - step * slope, step * 1.5
+    fitted = np.concatenate([model.weights[known], model.thresholds])
+    assert loss(fitted) <= loss(v) + 1e-4 and np.abs(fitted - v).max() < 0.2
+
+
+def test_long_texts_have_the_same_features(monkeypatch):
+    made = ["word word, and so on. " * 300, "x" * 4000, " ".join(["again"] * 900), "a b  c\n" * 500 + "!" * 700, ""]
+    whole = [f.tolist() for f in quality.features(pa.array(made))]
+    monkeypatch.setattr(quality, "pieces", lambda d, b: common.pieces(d, b, 300))
+    assert [quality._long_features(np.frombuffer(t.encode(), np.uint8)).tolist() for t in made] == whole
 
 
 def test_cumulative_link_orders_grades():
@@ -491,6 +696,12 @@ def test_quality_edges(spark):
     none = quality.fit(docs, ratings.limit(0), 3)
     assert quality.rate(docs, none, 2).filter("tail is not null").count() == 0
     assert quality.rate(empty_docs(spark), model, 2).count() == 0
+    same = {r["tail"] for r in quality.rate(docs, model, 2).collect() if r["row"]["text"] == "same text here"}
+    assert len(same) == 1
+    off = quality.fit(docs, ratings.withColumn("grade", F.col("grade") + 7), 3)
+    assert quality.rate(docs, off, 2).filter("tail is not null").count() == 0
+    with pytest.raises(ValueError):
+        quality.fit(docs, ratings, 1)
 
 
 @pytest.mark.parametrize("docs_per_grade", [2000, 60])
@@ -534,11 +745,15 @@ def _contaminated(text, windows):
 
 
 def test_stages_keep_columns_and_edges(spark, small):
-    docs = docs_of(spark, *ODD, "the same words again and again in one text", "the same words again and again in one text").drop(*CLASHING)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    docs = cut(docs_of(spark, *ODD, "the same words again and again in one text", "the same words again and again in one text"))
+    expected = {"language_id": len(ODD) + 4 - 6, "exact_dedup": len(ODD) + 4 - 4, "near_dedup": len(ODD) + 4 - 2, "decontaminate": len(ODD) + 4}
+    for name, stage in corpus_pipeline.STAGES:
         after = stage(spark, docs, small)
-        assert after.columns == docs.columns and after.count() <= docs.count()
         assert stage(spark, docs.limit(0), small).count() == 0
+        if name == "bpe":
+            assert sorted(((r["doc_id"], r["n_tokens"]) for r in after.collect()), key=str) == sorted(((r["doc_id"], len(library(r["text"])[0])) for r in docs.collect()), key=str)
+        else:
+            assert after.columns == docs.columns and after.count() == expected[name], name
 
 
 def test_near_dedup_decides_by_row(spark):
