@@ -165,11 +165,13 @@ def quote_in(quote: Column, body: Column, least_words: int = 8) -> Column:
     return F.when(needle == "", False).otherwise(F.contains(hay, needle) | ((n >= least_words) & F.contains(hay, head)))
 
 
-# fixed values: words of obligation, openings that are no claims, number forms
+# fixed values: words of obligation, openings of sentences that claim nothing, units of a number
 OBLIGATION = r"(?i)\b(must|shall|may not|cannot|can not|is not permitted|are not permitted|is permitted|are permitted|is allowed|are allowed|is prohibited|are prohibited|requires?|required|maximum|minimum|no more than|no less than|up to|limited to|exceed)\b"
-NON_CLAIM = r"(?i)^\s*(?:the (?:excerpts?|bylaws?|documents?|provided)|i (?:cannot|could not|don't|do not)|this (?:depends|varies)|note that|however|based on|according to)\b"
+OPENINGS = ("the excerpt", "the excerpts", "the bylaw", "the bylaws", "the document", "the documents", "the provided", "i cannot", "i could not", "i don't", "i do not", "this depends", "this varies", "note that", "however", "based on", "according to")
+NUMBER_UNITS = ("%", "percent", "m", "mm", "cm", "metre", "metres", "meter", "meters", "ft", "feet", "foot", "in", "inches", "sq m", "sq. m", "square metre", "square metres", "square meter", "square meters")
+NON_CLAIM = rf"(?i)^\s*(?:{'|'.join(OPENINGS)})(?!\w)"
 MARKER = r"\[S(\d+)\]"
-NUMBER = r"\b\d+(?:[.,]\d+)?\s*(?:%|percent|m|mm|cm|metres?|meters?|ft|feet|foot|in|inches|sq\.?\s*m|square\s+met(?:re|er)s?)?"
+NUMBER = r"\b\d+(?:[.,]\d+)?\s*(?:" + "|".join(u.replace(".", r"\.").replace(" ", r"\s*") for u in sorted(NUMBER_UNITS, key=len, reverse=True)) + ")?"
 
 
 def uncited_claims(answer: Column) -> Column:
@@ -223,13 +225,17 @@ def degenerate_table(rows: Column) -> Column:
 
 
 def page_quality(text: Column, min_chars: int = 120) -> dict[str, Column]:
-    """How far a page's text layer can be trusted: n_chars, bad_ratio, plausibility, confidence."""
+    """How far a page's text layer can be trusted: n_chars, bad_ratio, plausibility, confidence.
+
+    Words are counted and never built: all runs of two letters and more, less those of over 40 and those of over 6 without a
+    vowel. The weights and bounds of the score are fixed values.
+    """
     body = strip(F.coalesce(text, F.lit("")))
     n = F.length(body)
     bad = F.regexp_count(body, F.lit("[\\x{FFFD}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]")) / F.greatest(n, F.lit(1))
-    words = F.regexp_extract_all(body, F.lit("[A-Za-z]{2,}"), F.lit(0))
-    plausible = F.filter(words, lambda w: (F.length(w) <= 40) & ((F.length(w) <= 6) | w.rlike("[aeiouyAEIOUY]")))
-    share = F.when(F.size(words) == 0, 0.0).otherwise(F.size(plausible) / F.size(words))
+    words = F.regexp_count(body, F.lit("[A-Za-z]{2,}+"))
+    odd = F.regexp_count(body, F.lit("(?<![A-Za-z])(?:[A-Za-z]{41,}+|[B-DF-HJ-NP-TV-XZb-df-hj-np-tv-xz]{7,}+(?![A-Za-z]))"))
+    share = F.when(words == 0, 0.0).otherwise((words - odd) / words)
     density = F.least(F.lit(1.0), n / max(1, 4 * min_chars))
     score = (
         F.when(n == 0, 0.0)
