@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docketspark.session import cut, kept
+
 METRICS = ("cosine", "l2", "ip")
 
 
@@ -131,20 +134,99 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    """Runs of a-z and 0-9 of the lower-cased text; none of the empty text."""
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+
+
+def n_tokens(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit("[a-z0-9]++"))
 
 
 def term_counts(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, size, term, tf) for the asked terms only: other tokens never leave the scan."""
-    wanted = F.array(*map(F.lit, sorted(set(terms))))
-    split = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"))
-    counted = split.select("id", F.size("ts").alias("size"), F.transform(wanted, lambda w: F.struct(w.alias("term"), F.size(F.filter("ts", lambda t: t == w)).alias("tf"))).alias("found"))
-    return counted.select("id", "size", F.inline("found"))
+    """(id, size, term, tf) for the asked terms only, counted in the scan: no token is built."""
+    low = F.lower(F.col(text_col))
+    found = [F.struct(F.lit(t).alias("term"), F.regexp_count(low, F.lit(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])")).alias("tf")) for t in sorted(set(terms))]
+    return docs.select(F.col(id_col).alias("id"), n_tokens(F.col(text_col)).alias("size"), F.inline(F.array(*found)))
+
+
+def stemmed(term: Column) -> Column:
+    """``light_stem`` as a column expression."""
+    out = term
+    for end, put in reversed(STEM_ENDS):
+        out = F.when(F.endswith(term, F.lit(end)) & (F.length(term) >= len(end) + 3), F.concat(F.substr(term, F.lit(1), F.length(term) - len(end)), F.lit(put))).otherwise(out)
+    return F.when(F.endswith(term, F.lit("ss")), term).otherwise(out)
+
+
+class TermIndex:
+    """Postings (bucket, term, id, tf, size) of a corpus, written once by buckets of terms, and its statistics.
+
+    A question reads its terms' postings and no text. ``stem``: an expression that terms go through, those of questions too.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, docs: DataFrame, key: tuple, id_col: str = "id", text_col: str = "text", stem: Callable[[Column], Column] | None = None):
+        spark, self.stem = docs.sparkSession, stem or (lambda t: t)
+
+        def postings() -> DataFrame:
+            ts = docs.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("ts"))
+            each = ts.select("id", F.size("ts").alias("size"), F.explode("ts").alias("term")).withColumn("term", self.stem(F.col("term")))
+            counted = each.groupBy("id", "size", "term").agg(F.count("*").alias("tf")).withColumn("bucket", self._bucket(F.col("term")))
+            # a bucket of terms is a folder; the files in it are dealt by term, so that one of a frequent term is no task's all
+            return counted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id")
+
+        def statistics() -> DataFrame:
+            return docs.agg(F.count("*").alias("n"), F.avg(n_tokens(F.col(text_col))).alias("mean"))
+
+        self.postings = kept(spark, (*key, "postings"), postings, "bucket")
+        self.statistics = kept(spark, (*key, "statistics"), statistics)
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.BUCKETS)).cast("int")
+
+    def frequencies(self, terms: DataFrame) -> DataFrame:
+        """(term, df) of the distinct ``terms`` (term)."""
+        return self._postings_of(terms).groupBy("term").agg(F.count("*").alias("df"))
+
+    def _postings_of(self, terms: DataFrame) -> DataFrame:
+        asked = terms.select("term").distinct().withColumn("bucket", self._bucket(F.col("term")))
+        return self.postings.join(asked, ["bucket", "term"])
+
+    def rarest(self, questions: DataFrame, most: int, least_df: int = 2) -> DataFrame:
+        """(query_id, term): of each stated row (query_id, an indexed id) its rarest terms that another row has."""
+        own = self.postings.join(questions.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "term")
+        counted = own.join(self.frequencies(own), "term").filter(F.col("df") >= least_df)
+        order = W.partitionBy("query_id").orderBy("df", "term")
+        return counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("query_id", "term")
+
+    def search(self, asked: DataFrame, k: int, allowed: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(query_id, id, score, rank): the best ``k`` by BM25 for every question of ``asked`` (query_id, term).
+
+        Statistics are of the whole corpus; ``allowed`` (id) says which rows may be found.
+        """
+        asked = asked.select("query_id", self.stem(F.col("term")).alias("term")).distinct()
+        found = self._postings_of(asked)
+        df = found.groupBy("term").agg(F.count("*").alias("df"))
+        n, mean = self.statistics.select("n").scalar(), self.statistics.select("mean").scalar()
+        idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
+        if allowed is not None:
+            found = found.join(allowed.select("id"), "id", "left_semi")
+        weighed = asked.join(df, "term")
+        scored = found.join(weighed, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
+        return best(scored, k)
+
+
+def best(scored: DataFrame, k: int, score: str = "score", tie: str = "id", by: str = "query_id") -> DataFrame:
+    """The best ``k`` of every question with their rank; ties by id."""
+    order = W.partitionBy(by).orderBy(F.desc(score), F.asc(tie))
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def bm25(docs: DataFrame, terms: list[str], k: int, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score, rank) by BM25 over the whole corpus' statistics."""
-    counts = term_counts(docs, terms, id_col, text_col)
+    """(id, score, rank) by BM25 without an index: one scan of the texts for the counts, which are written, not read twice."""
+    counts = cut(term_counts(docs, terms, id_col, text_col), "counts")
     corpus = counts.groupBy("term").agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
@@ -183,32 +265,56 @@ def prefilter(chunks: DataFrame, slugs: list[str] | None = None, in_force: bool
 
 
 def rerank(pool: DataFrame, score: Column, k: int, by: list[str], tie: str) -> DataFrame:
-    """The best ``k`` by a reranker's score; where it gives none the fused order holds."""
+    """The best ``k`` by a reranker's score. Scales are never mixed: where it gives a question's pool some null, the whole pool
+    keeps the fused order."""
     scored = pool.withColumn("rerank_score", score)
-    order = W.partitionBy(*by).orderBy(F.desc(F.coalesce("rerank_score", "fused_score")), F.asc(tie))
-    return scored.withColumn("final_score", F.coalesce("rerank_score", "fused_score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    failed = F.max(F.col("rerank_score").isNull()).over(W.partitionBy(*by))
+    final = scored.withColumn("failed", failed).withColumn("final_score", F.when(F.col("failed"), F.col("fused_score")).otherwise(F.col("rerank_score")))
+    order = W.partitionBy(*by).orderBy(F.desc("final_score"), F.asc(tie))
+    return final.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("failed")
+
+
+def term_overlap(terms: Column, body: Column) -> Column:
+    """The default reranker: the share of the question's terms that the body has."""
+    return F.size(F.array_intersect(terms, tokens(body))) / F.size(terms)
 
 
-def hybrid(chunks: DataFrame, query_vector: DataFrame, terms: list[str], dims: int, vector: str = "embedding", pool: int = 50, top: int = 5, rrf_k: int = 60) -> DataFrame:
-    """One question: dense and sparse top ``pool``, fused, reranked by how many terms a body has, top ``top``.
+def fused_rankings(vectors: DataFrame, index: TermIndex, questions: DataFrame, dims: int, vector: str = "embedding", pool: int = 50, rrf_k: int = 60, allowed: DataFrame | None = None) -> DataFrame:
+    """Dense and sparse top ``pool`` of every question, independent of each other, fused: the best ``pool`` with both sides' signals.
 
-    ``chunks``: chunk_id, body and the vector, filtered before. ``query_vector``: one row (chunk_id, vector).
+    ``vectors``: id and vector; ``questions``: query_id, the vector (or null) and terms array<string>; ``allowed``: id.
     """
-    dense = knn(chunks, query_vector, pool, dims, "chunk_id", vector).select(F.col("id").alias("chunk_id"), "score", "rank")
-    sparse = bm25(chunks, terms, pool, "chunk_id", "body").withColumnRenamed("id", "chunk_id")
-    fused = reciprocal_ranks(dense, sparse, ["chunk_id"], rrf_k).orderBy(F.desc("fused_score"), F.asc("chunk_id")).limit(pool)
-    bodies = chunks.select("chunk_id", "body").join(F.broadcast(fused), "chunk_id")  # ``pool`` rows
-    overlap = F.size(F.array_intersect(F.array(*map(F.lit, terms)), tokens(F.col("body")))) / F.lit(float(len(terms)))
-    ranked = rerank(bodies.withColumn("one", F.lit(1)), overlap, top, ["one"], "chunk_id")
-    return ranked.drop("one", "body")
+    rows = vectors if allowed is None else vectors.join(allowed.select("id"), "id", "left_semi")
+    dense = knn(rows, questions.select(F.col("query_id").alias("id"), vector).filter(F.col(vector).isNotNull()), pool, dims, "id", vector)
+    sparse = index.search(questions.select("query_id", F.explode("terms").alias("term")), pool, allowed)
+    return best(reciprocal_ranks(dense, sparse, ["query_id", "id"], rrf_k), pool, "fused_score")
+
+
+def hybrid(
+    chunks: DataFrame, vectors: DataFrame, index: TermIndex, questions: DataFrame, dims: int, vector: str = "embedding", pool: int = 50, top: int = 5, rrf_k: int = 60, filtered: bool = False, reranker: Callable[[Column, Column], Column] | None = term_overlap
+) -> DataFrame:
+    """Every question's best ``top``: both searches, fused, reranked; all signals kept.
+
+    ``chunks``: id, body, filtered before by ``prefilter`` (then say ``filtered``, and neither search leaves them).
+    ``reranker``: a score from (terms, body), null where it has none; None keeps the fused order.
+    """
+    fused = fused_rankings(vectors, index, questions, dims, vector, pool, rrf_k, chunks if filtered else None).withColumnRenamed("rank", "fused_rank")
+    if reranker is None:
+        return best(fused.withColumn("final_score", F.col("fused_score")), top, "final_score")
+    bodies = chunks.select("id", "body").join(fused, "id").join(questions.select("query_id", "terms"), "query_id")
+    return rerank(bodies, reranker(F.col("terms"), F.col("body")), top, ["query_id"], "id").drop("body", "terms")
 
 
 # --- cover density
 
 
+#: Plural and verb endings of English and what is put for them, in the order they are tried.
+STEM_ENDS = (("ies", "y"), ("sses", "ss"), ("ing", ""), ("edly", ""), ("ed", ""), ("ly", ""), ("s", ""))
+
+
 def light_stem(token: str) -> str:
     """A light English stemmer: plural and verb endings, by rule."""
-    for end, put in (("ies", "y"), ("sses", "ss"), ("ing", ""), ("edly", ""), ("ed", ""), ("ly", ""), ("s", "")):
+    for end, put in STEM_ENDS:
         if token.endswith(end) and len(token) - len(end) >= 3 and not token.endswith("ss"):
             return token[: -len(end)] + put
     return token
@@ -220,17 +326,29 @@ def cover_density(docs: DataFrame, terms: list[str], k: int, id_col: str = "id",
     A cover is a span from one occurrence to another that holds every term and no shorter one inside; its noise is the
     number of words between that are no terms.
     """
-    wanted = sorted({stem(t) for t in terms})
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("ts"))
+    wanted = {stem(t) for t in terms}
+    low = F.lower(F.col(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), low.alias("text"))
+    if stem is light_stem:  # a token begins as its stem does, but for the stem's last letter; texts without such are left in the JVM
+        for s in wanted:
+            rows = rows.filter(F.contains("text", F.lit(s[: max(1, len(s) - 1)])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
+        words = re.compile("[a-z0-9]+")
+        known: dict[str, str | None] = {}  # a token's stem if it is wanted
+
+        def look_up(token: str) -> str | None:
+            if len(known) > 200_000:
+                known.clear()
+            own = stem(token)
+            known[token] = own if own in wanted else None
+            return known[token]
+
         for batch in batches:
             ids, out = [], []
-            for i, ts in zip(batch.column("id").to_pylist(), batch.column("ts").to_pylist(), strict=True):
-                if len(known) > 200_000:
-                    known.clear()
-                hits = [(p, s) for p, t in enumerate(ts or []) if (s := known.get(t) or known.setdefault(t, stem(t))) in wanted]
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                stems = [known[t] if t in known else look_up(t) for t in words.findall(text or "")]
+                hits = [(p, s) for p, s in enumerate(stems) if s is not None]
                 last: dict[str, int] = {}
                 score, begin = 0.0, -1
                 for n, (p, s) in enumerate(hits):

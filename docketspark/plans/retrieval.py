@@ -49,9 +49,28 @@ _BM25 = f"""t AS (SELECT doc_id AS id, len({_TOKENS}) AS size, unnest([{', '.joi
        bm AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 50)"""
 
 
+def text_index(spark, d):
+    """The index over ``documents``: written by the first query that needs it, read by the others."""
+    return R.TermIndex(table(spark, d, "documents"), ("documents", d), "doc_id")
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS term FROM documents)
+       SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM t GROUP BY 1""")
+def term_index(spark, d):
+    """The index is built: every term with the rows and the places it occurs in."""
+    return text_index(spark, d).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+
+
 @query(f"WITH {_BM25} SELECT id, round(score, 6) AS score, rank FROM bm", rank="INTEGER")
 def bm25_topk(spark, d):
-    """The top 50 documents by BM25."""
+    """The top 50 documents by BM25, from the index."""
+    asked = spark.range(1).select(F.col("id").alias("query_id"), F.explode(F.array(*map(F.lit, TERMS))).alias("term"))
+    return text_index(spark, d).search(asked, 50).select("id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {_BM25} SELECT id, round(score, 6) AS score, rank FROM bm", rank="INTEGER")
+def bm25_scan(spark, d):
+    """The same without an index, by one scan of the texts."""
     return R.bm25(table(spark, d, "documents"), TERMS, 50, "doc_id").select("id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -63,37 +82,53 @@ def sparse_tf_topk(spark, d):
     return counts.orderBy(F.desc("tf"), F.asc("id")).limit(50)
 
 
-_DENSE = """q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 7),
-       dn AS (SELECT vec_id AS id, list_cosine_similarity(qv, embedding::DOUBLE[]) AS score, row_number() OVER (ORDER BY list_cosine_similarity(qv, embedding::DOUBLE[]) DESC, vec_id) AS rank
-              FROM embeddings CROSS JOIN q QUALIFY row_number() OVER (ORDER BY list_cosine_similarity(qv, embedding::DOUBLE[]) DESC, vec_id) <= 50)"""
-_FUSED = """f AS (SELECT coalesce(dn.id, bm.id) AS id, dn.rank AS dense_rank, bm.rank AS sparse_rank, coalesce(0.5 / (60 + dn.rank), 0) + coalesce(0.5 / (60 + bm.rank), 0) AS fused FROM dn FULL OUTER JOIN bm ON dn.id = bm.id)"""
-
-
-@query(f"WITH {_DENSE}, {_BM25}, {_FUSED} SELECT id, dense_rank, sparse_rank, round(fused, 9) AS fused FROM f ORDER BY fused DESC, id LIMIT 50", dense_rank="INTEGER", sparse_rank="INTEGER")
+def questions(spark, d):
+    """Every twentieth row as a question: its vector, and the six rarest terms of its text that another text has."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    terms = text_index(spark, d).rarest(asked, 6).groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))  # six at most
+    return vectors, asked.join(terms, "query_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+
+
+def _fused_sql(allowed: str) -> str:
+    return f"""tk AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents),
+       po AS (SELECT doc_id, term, count(*) AS tf FROM tk GROUP BY ALL),
+       sz AS (SELECT doc_id, len({_TOKENS}) AS size FROM documents),
+       st AS (SELECT count(*) AS n, avg(size) AS mean FROM sz),
+       df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+       ok AS ({allowed}),
+       qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0),
+       qt AS (SELECT query_id, term, df FROM qs JOIN po ON doc_id = query_id JOIN df USING (term) WHERE df >= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY df, term) <= 6),
+       s AS (SELECT query_id, po.doc_id AS id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score
+             FROM qt JOIN po USING (term) JOIN sz ON sz.doc_id = po.doc_id CROSS JOIN st WHERE po.doc_id IN (SELECT id FROM ok) GROUP BY 1, 2),
+       sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50),
+       d AS (SELECT query_id, vec_id AS id, list_cosine_similarity(qv, embedding::DOUBLE[]) AS score FROM qs CROSS JOIN embeddings WHERE vec_id IN (SELECT id FROM ok)),
+       dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50),
+       f AS (SELECT coalesce(dn.query_id, sr.query_id) AS query_id, coalesce(dn.id, sr.id) AS id, dn.rank AS dense_rank, sr.rank AS sparse_rank, coalesce(0.5::DOUBLE / (60 + dn.rank), 0) + coalesce(0.5::DOUBLE / (60 + sr.rank), 0) AS fused
+             FROM dn FULL OUTER JOIN sr ON dn.query_id = sr.query_id AND dn.id = sr.id),
+       p AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) <= 50)"""
+
+
+@query(f"WITH {_fused_sql('SELECT vec_id AS id FROM embeddings UNION SELECT doc_id FROM documents')} SELECT query_id, id, dense_rank, sparse_rank, round(fused, 9) AS fused FROM p", dense_rank="INTEGER", sparse_rank="INTEGER")
 def rrf_fusion(spark, d):
-    """Two rankings fused; rows of one side stay."""
-    rows = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    dense = R.knn(rows, rows.filter("id = 7"), 50, DIMS)
-    fused = R.reciprocal_ranks(dense, R.bm25(table(spark, d, "documents"), TERMS, 50, "doc_id"), ["id"])
-    return fused.select("id", "dense_rank", "sparse_rank", F.round("fused_score", 9).alias("fused")).orderBy(F.desc("fused"), F.asc("id")).limit(50)
-
-
-_HYBRID_DOCS = "SELECT doc_id, text FROM documents JOIN embeddings ON doc_id = vec_id WHERE lang IN ('en', 'fr') AND source <> 'src3'"
+    """Two rankings fused for every question; rows of one side stay."""
+    vectors, asked = questions(spark, d)
+    found = R.fused_rankings(vectors, text_index(spark, d), asked, DIMS)
+    return found.select("query_id", "id", "dense_rank", "sparse_rank", F.round("fused_score", 9).alias("fused"))
 
 
-@query(f"""WITH documents AS ({_HYBRID_DOCS}),
-       {_DENSE.replace('FROM embeddings CROSS JOIN q', 'FROM embeddings CROSS JOIN q WHERE vec_id IN (SELECT doc_id FROM documents)')}, {_BM25}, {_FUSED},
-       p AS (SELECT * FROM f ORDER BY round(fused, 12) DESC, id LIMIT 50),
-       z AS (SELECT p.*, len(list_intersect([{', '.join(f"'{t}'" for t in TERMS)}], {_TOKENS})) / {float(len(TERMS))} AS final FROM p JOIN documents ON doc_id = id)
-       SELECT id AS chunk_id, dense_rank, sparse_rank, round(fused, 9) AS fused, round(final, 6) AS final, row_number() OVER (ORDER BY final DESC, id) AS rank FROM z QUALIFY row_number() OVER (ORDER BY final DESC, id) <= 5""", dense_rank="INTEGER", sparse_rank="INTEGER", rank="INTEGER")
+@query(f"""WITH {_fused_sql("SELECT doc_id AS id FROM documents WHERE lang IN ('en', 'fr') AND source <> 'src3' AND n_chars BETWEEN 100 AND 20000")},
+       tm AS (SELECT query_id, list(term) AS terms FROM qt GROUP BY 1),
+       z AS (SELECT p.*, len(list_intersect(terms, {_TOKENS})) / len(terms)::DOUBLE AS final FROM p JOIN tm USING (query_id) JOIN documents ON doc_id = id)
+       SELECT query_id, id, dense_rank, sparse_rank, round(fused, 9) AS fused, round(final, 6) AS final, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) AS rank FROM z
+       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) <= 5""", dense_rank="INTEGER", sparse_rank="INTEGER", rank="INTEGER")
 def hybrid_retrieve(spark, d):
-    """Filters, dense and sparse top 50, fusion, rerank, top 5 with all signals kept."""
-    docs = table(spark, d, "documents").filter(F.col("lang").isin("en", "fr") & (F.col("source") != "src3"))
-    vectors = table(spark, d, "embeddings")
-    chunks = docs.join(vectors, docs["doc_id"] == vectors["vec_id"]).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"), "embedding")
-    asked = vectors.filter("vec_id = 7").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    found = R.hybrid(chunks, asked, TERMS, DIMS)
-    return found.select("chunk_id", "dense_rank", "sparse_rank", F.round("fused_score", 9).alias("fused"), F.round("final_score", 6).alias("final"), "rank")
+    """Every question: filters, dense and sparse top 50, fusion, rerank, top 5 with all signals kept."""
+    docs = table(spark, d, "documents")
+    chunks = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col("lang").alias("municipality_slug"), F.when(F.col("source") != "src3", "in_force").alias("document_status"), F.col("n_chars").alias("year"))
+    vectors, asked = questions(spark, d)
+    found = R.hybrid(R.prefilter(chunks, slugs=["en", "fr"], years=(100, 20_000)), vectors, text_index(spark, d), asked.filter(F.size("terms") > 0), DIMS, filtered=True)
+    return found.select("query_id", "id", "dense_rank", "sparse_rank", F.round("fused_score", 9).alias("fused"), F.round("final_score", 6).alias("final"), "rank")
 
 
 @query()

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,11 @@ def build_session(app_name: str = "docketspark", master: str | None = None, shuf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a driver temp folder only where it is unset (local runs, tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a driver temp folder only where it is unset and the master is local."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names the folder that driver and executors share; it is not set")
         found = "file://" + tempfile.mkdtemp(prefix="docketspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,10 +52,25 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the scratch tables written so far; call it when their results have been stored."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
+_KEPT: dict[tuple, tuple[SparkSession, str]] = {}
+
+
+def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
+    """A table that is made once an application and stays until it ends: an index over data that do not change."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _KEPT:
+        path = f"{shared_dir(spark)}/docketspark/kept-{uuid.uuid4().hex}"
+        writer = make().write
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        _KEPT[key] = (spark, path)
+    return spark.read.parquet(_KEPT[key][1])
+
+
+def release(everything: bool = False) -> None:
+    """Delete the scratch tables written so far, when the results that read them have been stored. Indexes stay, unless ``everything`` goes."""
+    gone = [*_SCRATCH, *(_KEPT.values() if everything else ())]
+    _SCRATCH.clear()
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
@@ -61,7 +79,7 @@ def release() -> None:
             return
 
 
-atexit.register(release)
+atexit.register(release, True)
 
 
 def ship(spark: SparkSession) -> None:
