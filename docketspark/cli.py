@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     c = commands.add_parser("validate", help="validation measures against their thresholds; exit 1 unless all blocking ones pass")
     c.add_argument("data")
     c.add_argument("--output", help="write the report as markdown")
-    c = commands.add_parser("health", help="which tables are there")
+    c = commands.add_parser("health", help="state of tables, vectors and plug-ins; exit 1 unless a question can be answered")
     c.add_argument("data")
     return p
 
@@ -45,20 +45,19 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = build_session()
     if args.command == "health":
-        out = []
-        for name in TABLES:
-            try:
-                out.append({"table": name, "ok": True, "columns": len(table(spark, args.data, name).columns)})
-            except AnalysisException:
-                out.append({"table": name, "ok": False, "columns": 0})
-        show(out)
-        return 0 if all(r["ok"] for r in out) else 1
+        from docketspark.functions import plugins
+        from docketspark.operators import health
+
+        components = health.check(spark, args.data, TABLES, embedder=plugins.hashing_embedder(), generator=plugins.extractive_generator())
+        total = health.roll_up(components).first().asDict()
+        show([*(r.asDict() for r in components.collect()), total])
+        return 0 if total["can_answer"] else 1
     if args.command == "validate":
-        from docketspark.operators.evaluation import milestone_passed, threshold_checks, validation_report
-        from docketspark.plans.answers import validation_runs
+        from docketspark.operators.evaluation import milestone_passed, threshold_checks
+        from docketspark.plans.answers import measures
         from docketspark.sources.files import markdown_report
 
-        checks = threshold_checks(validation_report(validation_runs(spark, args.data))).cache()
+        checks = threshold_checks(measures(spark, args.data)).cache()
         show([r.asDict() for r in checks.collect()])
         if args.output:
             with open(args.output, "w", encoding="utf-8") as f:

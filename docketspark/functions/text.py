@@ -227,8 +227,8 @@ def degenerate_table(rows: Column) -> Column:
 def page_quality(text: Column, min_chars: int = 120) -> dict[str, Column]:
     """How far a page's text layer can be trusted: n_chars, bad_ratio, plausibility, confidence.
 
-    Words are counted and never built: all runs of two letters and more, less those of over 40 and those of over 6 without a
-    vowel. The weights and bounds of the score are fixed values.
+    Words are counted by two patterns: all runs of two letters and more, and those of over 40 or of over 6 without a vowel.
+    The weights and bounds of the score are fixed values.
     """
     body = strip(F.coalesce(text, F.lit("")))
     n = F.length(body)

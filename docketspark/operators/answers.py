@@ -59,12 +59,13 @@ def confidence(chunks: DataFrame, answers: DataFrame) -> DataFrame:
         "source": F.bround("source", 3),
         "specificity": F.col("specificity"),
     }
-    total = F.lit(0.0)
+    # factors are thousandths and weights are tenths, so the sum is exact in ten-thousandths and its rounding has no accidents
+    total = F.lit(0)
     for name, weight in WEIGHTS.items():
-        total = total + weight * factors[name]
+        total = total + round(10 * weight) * F.round(factors[name] * 1000).cast("int")
     nothing = F.col("abstained") | F.col("n_chunks").isNull()
-    score = F.when(nothing, 0.0).otherwise(F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 3))
-    return rows.select("answer_id", F.when(nothing, 0.0).otherwise(total).alias("raw"), score.alias("score"), band(score, F.coalesce("cites_stale", F.lit(False))).alias("band"))
+    score = F.when(nothing, 0.0).otherwise(F.bround(F.least(F.lit(10_000), F.greatest(F.lit(0), total)) / 10.0, 0) / 1000)
+    return rows.select("answer_id", F.when(nothing, 0.0).otherwise(total / 10_000).alias("raw"), score.alias("score"), band(score, F.coalesce("cites_stale", F.lit(False))).alias("band"))
 
 
 def band(score: Column, capped: Column) -> Column:

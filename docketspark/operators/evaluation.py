@@ -10,6 +10,8 @@ from docketspark.operators.relational import nearest_rank
 # fixed values: acceptance thresholds
 THRESHOLDS = {
     "ingestion_success_rate": 1.0,
+    "documents_without_sections": 0,
+    "errors": 0,
     "stale_citations": 0,
     "citation_verification_rate": 0.95,
     "answers_with_citations": 0.90,
@@ -21,7 +23,7 @@ THRESHOLDS = {
     "answer_p95_ms": 30000,
     "embedding_throughput": 5.0,
 }
-AT_MOST = {"stale_citations", "false_abstention_rate", "retrieval_p95_ms", "answer_p95_ms"}
+AT_MOST = {"documents_without_sections", "errors", "stale_citations", "false_abstention_rate", "retrieval_p95_ms", "answer_p95_ms"}
 NOT_BLOCKING = {"retrieval_p95_ms", "answer_p95_ms", "embedding_throughput"}
 
 
@@ -79,16 +81,45 @@ def validation_report(runs: DataFrame) -> DataFrame:
     return report
 
 
+def ingestion_report(corpus: DataFrame) -> DataFrame:
+    """One row of measures over ingested documents (succeeded, n_sections, n_chunks, n_pages, n_ocr_pages, duration_s)."""
+    fine = F.coalesce("succeeded", F.lit(False))
+    chunks, pages = F.coalesce(F.sum("n_chunks"), F.lit(0)), F.coalesce(F.sum("n_pages"), F.lit(0))
+    seconds = F.coalesce(F.sum(F.when(fine, F.col("duration_s"))), F.lit(0.0))
+    return corpus.agg(
+        F.count("*").alias("documents_attempted"),
+        F.count_if(fine).alias("documents_ingested"),
+        rate(fine).alias("ingestion_success_rate"),
+        F.count_if(fine & (F.coalesce("n_sections", F.lit(0)) == 0)).alias("documents_without_sections"),
+        chunks.alias("total_chunks"),
+        pages.alias("total_pages"),
+        F.when(pages > 0, F.sum("n_ocr_pages") / pages).otherwise(0.0).alias("ocr_page_rate"),
+        F.when(seconds > 0, chunks / seconds).otherwise(0.0).alias("embedding_throughput"),
+    )
+
+
 def threshold_checks(report: DataFrame) -> DataFrame:
-    """A row a criterion that the one-row ``report`` has: name, value, passed, blocking."""
-    there = [n for n in THRESHOLDS if n in report.columns]
-    checks = [
-        F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value"), ((F.col(n) <= THRESHOLDS[n]) if n in AT_MOST else (F.col(n) >= THRESHOLDS[n])).alias("passed"), F.lit(n not in NOT_BLOCKING).alias("blocking")) for n in there
-    ]
-    if "errors" in report.columns:
-        checks.append(F.struct(F.lit("errors").alias("name"), F.col("errors").cast("double").alias("value"), (F.col("errors") == 0).alias("passed"), F.lit(True).alias("blocking")))
+    """A row a criterion: name, value, passed, blocking. What the one-row ``report`` does not measure has no value and fails."""
+    checks = []
+    for name, bound in THRESHOLDS.items():
+        value = F.col(name).cast("double") if name in report.columns else F.lit(None).cast("double")
+        passed = (value <= bound) if name in AT_MOST else (value >= bound)
+        checks.append(F.struct(F.lit(name).alias("name"), value.alias("value"), F.coalesce(passed, F.lit(False)).alias("passed"), F.lit(name not in NOT_BLOCKING).alias("blocking")))
+    if "uncovered_city_abstains" in report.columns:  # only where the suite asks about a city outside the corpus
+        value = F.col("uncovered_city_abstains").cast("double")
+        checks.append(F.struct(F.lit("uncovered_city_abstains").alias("name"), value.alias("value"), F.coalesce(value == 1, F.lit(False)).alias("passed"), F.lit(True).alias("blocking")))
     return report.select(F.inline(F.array(*checks)))
 
 
+def questions_for(questions: DataFrame, city: str) -> DataFrame:
+    """The questions that expect a city."""
+    return questions.filter(F.array_contains("expected_municipalities", city))
+
+
+def behavioural(questions: DataFrame) -> DataFrame:
+    """The questions to which declining, or asking back, is the right outcome."""
+    return questions.filter(F.coalesce("expect_abstention", F.lit(False)) | F.coalesce("expect_clarification", F.lit(False)))
+
+
 def milestone_passed(checks: DataFrame) -> DataFrame:
     return checks.agg(F.coalesce(F.bool_and(F.col("passed") | ~F.col("blocking")), F.lit(True)).alias("passed"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -158,32 +159,55 @@ def stemmed(term: Column) -> Column:
     return F.when(F.endswith(term, F.lit("ss")), term).otherwise(out)
 
 
+def counted_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, size, term, tf) of every text. A text is whole in its row, so its terms are counted there and nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = re.compile("[a-z0-9]+")
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            for start in range(0, len(ids), 256):
+                out_id, out_size, terms, tfs = [], [], [], []
+                for i, text in zip(ids[start : start + 256], batch.column("text").slice(start, 256).to_pylist(), strict=True):
+                    found = words.findall(text or "")
+                    counted = Counter(found)
+                    out_id.append(np.full(len(counted), i, np.int64))
+                    out_size.append(np.full(len(counted), len(found), np.int32))
+                    terms += counted
+                    tfs += counted.values()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_size)), pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], names=["id", "size", "term", "tf"])
+
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text"))
+    return rows.mapInArrow(run, "id long, size int, term string, tf int")
+
+
 class TermIndex:
     """Postings (bucket, term, id, tf, size) of a corpus, written once by buckets of terms, and its statistics.
 
     A question reads its terms' postings and no text. ``stem``: an expression that terms go through, those of questions too.
     """
 
-    BUCKETS = 64
-
-    def __init__(self, docs: DataFrame, key: tuple, id_col: str = "id", text_col: str = "text", stem: Callable[[Column], Column] | None = None):
-        spark, self.stem = docs.sparkSession, stem or (lambda t: t)
+    def __init__(self, docs: DataFrame, key: tuple, id_col: str = "id", text_col: str = "text", stem: Callable[[Column], Column] | None = None, buckets: int = 16):
+        """``buckets``: folders that terms are dealt to; one for some GB of postings is a good number."""
+        spark, self.stem, self.buckets = docs.sparkSession, stem or (lambda t: t), buckets
 
         def postings() -> DataFrame:
-            ts = docs.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("ts"))
-            each = ts.select("id", F.size("ts").alias("size"), F.explode("ts").alias("term")).withColumn("term", self.stem(F.col("term")))
-            counted = each.groupBy("id", "size", "term").agg(F.count("*").alias("tf")).withColumn("bucket", self._bucket(F.col("term")))
-            # a bucket of terms is a folder; the files in it are dealt by term, so that one of a frequent term is no task's all
+            counted = counted_terms(docs, id_col, text_col)
+            if stem:
+                counted = counted.withColumn("term", stem(F.col("term"))).groupBy("id", "size", "term").agg(F.sum("tf").alias("tf"))
+            counted = counted.withColumn("bucket", self._bucket(F.col("term")))
+            # a bucket's files are dealt by row, so that one frequent term is not all one task's
             return counted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id")
 
         def statistics() -> DataFrame:
-            return docs.agg(F.count("*").alias("n"), F.avg(n_tokens(F.col(text_col))).alias("mean"))
+            sizes = self.postings.groupBy().agg(F.sum("tf").alias("total")).scalar()
+            return docs.agg(F.count("*").alias("n"), F.count(text_col).alias("with_text")).select("n", (sizes / F.col("with_text")).alias("mean"))
 
         self.postings = kept(spark, (*key, "postings"), postings, "bucket")
         self.statistics = kept(spark, (*key, "statistics"), statistics)
 
     def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.BUCKETS)).cast("int")
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def frequencies(self, terms: DataFrame) -> DataFrame:
         """(term, df) of the distinct ``terms`` (term)."""
@@ -264,6 +288,21 @@ def prefilter(chunks: DataFrame, slugs: list[str] | None = None, in_force: bool
     return chunks.filter(keep)
 
 
+def in_collection(vectors: DataFrame, name, column: str = "collection") -> DataFrame:
+    """The vectors of one collection; where they are stored by collection, the others' files are not read."""
+    return vectors.filter(F.col(column) == name)
+
+
+def is_citable() -> Column:
+    """Whether a chunk can carry a citation of a clause: it has a city, a title and a section."""
+    filled = [F.coalesce(F.col(c), F.lit("")) != "" for c in ("municipality_slug", "document_title", "section_number")]
+    return filled[0] & filled[1] & filled[2]
+
+
+def is_current() -> Column:
+    return F.coalesce(F.col("document_status") == "in_force", F.lit(False))
+
+
 def rerank(pool: DataFrame, score: Column, k: int, by: list[str], tie: str) -> DataFrame:
     """The best ``k`` by a reranker's score. Scales are never mixed: where it gives a question's pool some null, the whole pool
     keeps the fused order."""

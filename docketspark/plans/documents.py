@@ -28,13 +28,13 @@ def distinct_citations(spark, d):
     return D.distinct_citations(lines, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
 
 
-@query("""SELECT vec_id, round(e1 / 2.0, 6) AS x0, round(e2 / 4.0, 6) AS y1 FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e1, CAST(embedding[2] AS DOUBLE) AS e2 FROM embeddings)""")
+@query("""SELECT vec_id, round(e1 / 2.0, 6) AS x0, round(e1 / 4.0, 6) AS y0, round(e2 / 2.0, 6) AS x1, round(e2 / 4.0, 6) AS y1 FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e1, CAST(embedding[2] AS DOUBLE) AS e2 FROM embeddings)""")
 def box_ratios(spark, d):
     """Boxes as shares of their page."""
     e = F.col("embedding")
     box = F.struct(e[0].cast("double").alias("x0"), e[0].cast("double").alias("y0"), e[1].cast("double").alias("x1"), e[1].cast("double").alias("y1"))
     r = states.as_ratios(box, F.lit(2.0), F.lit(4.0))
-    return table(spark, d, "embeddings").select("vec_id", F.round(r["x0"], 6).alias("x0"), F.round(r["y1"], 6).alias("y1"))
+    return table(spark, d, "embeddings").select("vec_id", *[F.round(r[c], 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 @query("SELECT coalesce(max(p_size) FILTER (WHERE p_brand = 'Brand#11' AND p_type LIKE 'E%'), 0) + 1 AS index_version FROM part")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docketspark.operators import fulltext
 from docketspark.operators import retrieval as R
 from docketspark.plans.registry import query
-from docketspark.session import table
+from docketspark.session import cut, spread, table
 
 DIMS, TERMS = 64, ["the", "tion", "ther", "that"]
 
@@ -33,6 +33,21 @@ query(_knn_sql("-list_distance(qv, v)"), "knn_l2", rank="INTEGER")(_knn("l2"))
 query(_knn_sql("list_inner_product(qv, v)"), "knn_ip", rank="INTEGER")(_knn("ip"))
 
 
+@query(_knn_sql("list_cosine_similarity(qv, v)").replace("AS v FROM embeddings", "AS v FROM embeddings WHERE label = 3"), rank="INTEGER")
+def knn_in_collection(spark, d):
+    """The ten nearest rows of one collection; labels stand for collections."""
+    rows = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return R.knn(R.in_collection(rows, 3, "label"), rows.filter("id % 20 = 0"), 10, DIMS).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""SELECT doc_id, coalesce(lang, '') <> '' AND coalesce(source, '') <> '' AND doc_id % 7 <> 0 AS citable, coalesce(lang = 'en', false) AS current FROM documents""")
+def citable_chunks(spark, d):
+    """Documents as chunks: which can carry a citation of a clause, which are in force."""
+    i = F.col("doc_id")
+    chunks = table(spark, d, "documents").select("doc_id", F.col("lang").alias("municipality_slug"), F.col("source").alias("document_title"), F.when(i % 14 == 0, "").when(i % 7 != 0, (i % 7).cast("string")).alias("section_number"), F.when(F.col("lang") == "en", "in_force").when(F.col("lang") == "fr", "repealed").alias("document_status"))
+    return chunks.select("doc_id", R.is_citable().alias("citable"), R.is_current().alias("current"))
+
+
 @query()
 def knn_ivf(spark, d):
     """The same by an index of inverted lists; its recall against the exact search is tested."""
@@ -51,7 +66,7 @@ _BM25 = f"""t AS (SELECT doc_id AS id, len({_TOKENS}) AS size, unnest([{', '.joi
 
 def text_index(spark, d):
     """The index over ``documents``: written by the first query that needs it, read by the others."""
-    return R.TermIndex(table(spark, d, "documents"), ("documents", d), "doc_id")
+    return R.TermIndex(spread(table(spark, d, "documents").select("doc_id", "text")), ("documents", d), "doc_id")
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS term FROM documents)
@@ -71,14 +86,14 @@ def bm25_topk(spark, d):
 @query(f"WITH {_BM25} SELECT id, round(score, 6) AS score, rank FROM bm", rank="INTEGER")
 def bm25_scan(spark, d):
     """The same without an index, by one scan of the texts."""
-    return R.bm25(table(spark, d, "documents"), TERMS, 50, "doc_id").select("id", F.round("score", 6).alias("score"), "rank")
+    return R.bm25(spread(table(spark, d, "documents").select("doc_id", "text")), TERMS, 50, "doc_id").select("id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '') AS ts FROM documents)
        SELECT doc_id AS id, len(list_filter(ts, lambda x: x IN ('the', 'that'))) AS tf FROM t ORDER BY tf DESC, id LIMIT 50""")
 def sparse_tf_topk(spark, d):
     """The top 50 documents by term frequency."""
-    counts = R.term_counts(table(spark, d, "documents"), ["the", "that"], "doc_id", "text").groupBy("id").agg(F.sum("tf").alias("tf"))
+    counts = R.term_counts(spread(table(spark, d, "documents").select("doc_id", "text")), ["the", "that"], "doc_id", "text").groupBy("id").agg(F.sum("tf").alias("tf"))
     return counts.orderBy(F.desc("tf"), F.asc("id")).limit(50)
 
 
@@ -87,7 +102,7 @@ def questions(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
     terms = text_index(spark, d).rarest(asked, 6).groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))  # six at most
-    return vectors, asked.join(terms, "query_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    return vectors, cut(asked.join(terms, "query_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))), "questions")
 
 
 def _fused_sql(allowed: str) -> str:
@@ -134,7 +149,7 @@ def hybrid_retrieve(spark, d):
 @query()
 def cover_density(spark, d):
     """Full-text rank by cover density; tested against a brute-force search for covers."""
-    return R.cover_density(table(spark, d, "documents"), ["the", "that"], 50, "doc_id")
+    return R.cover_density(spread(table(spark, d, "documents").select("doc_id", "text")), ["the", "that"], 50, "doc_id")
 
 
 @query(r"""WITH h AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS hay FROM documents)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docketspark.operators import sections as S
 from docketspark.plans.registry import query
 from docketspark.plans.text import rows, values
-from docketspark.session import table
+from docketspark.session import spread, table
 
 _LINES = [
     (1, 0, "CITY SIGN BYLAW", 1, 10.0, False),
@@ -71,16 +71,17 @@ def heading_forms(spark, d):
 @query()
 def section_chunks(spark, d):
     """Every document's lines as one section's body, cut into chunks; tested by the rules that chunks keep."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"))
     whole = docs.select("doc_id", F.lit(0).cast("long").alias("idx"), F.lit("1").alias("section_number"), F.col("source").alias("heading"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.coalesce("text", F.lit("")).alias("body"))
     return S.chunk_sections(whole, target=200, most=400, overlap=20).select("doc_id", "ordinal", "token_count", "chunk_type", F.sha2("body", 256).alias("hash"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, CAST(greatest(1, round_even(length(line) / 3.6, 0)) AS INTEGER) AS n
+@query("""WITH RECURSIVE l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, CAST(greatest(1, round_even(length(line) / 3.6, 0)) AS INTEGER) AS n
          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE line <> ''),
        g AS (SELECT doc_id, k, n AS held, 0 AS ordinal FROM l WHERE k = 1
              UNION ALL SELECT l.doc_id, l.k, CASE WHEN held + n > 150 THEN n ELSE held + n END, CASE WHEN held + n > 150 THEN ordinal + 1 ELSE ordinal END FROM g JOIN l ON l.doc_id = g.doc_id AND l.k = g.k + 1)
-       SELECT doc_id AS id, CAST(ordinal AS INTEGER) AS ordinal FROM g GROUP BY 1, 2""")
+       SELECT g.doc_id AS id, CAST(ordinal AS INTEGER) AS ordinal, CAST(greatest(1, round_even(length(string_agg(line, ' ' ORDER BY g.k)) / 3.6, 0)) AS INTEGER) AS n_tokens, sha256(string_agg(line, ' ' ORDER BY g.k)) AS hash
+       FROM g JOIN l ON l.doc_id = g.doc_id AND l.k = g.k GROUP BY 1, 2""")
 def greedy_chunks(spark, d):
     """Lines packed greedily to 150 tokens."""
-    return S.greedy_chunks(table(spark, d, "documents"), "doc_id", "text", 150).select("id", "ordinal")
+    return S.greedy_chunks(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 150).select("id", "ordinal", "n_tokens", F.sha2("body", 256).alias("hash"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketspark.functions import limits as L
 from docketspark.functions import text as T
 from docketspark.plans.registry import query
-from docketspark.session import table
+from docketspark.session import spread, table
 
 
 def rows(spark: SparkSession, schema: str, *values: tuple) -> DataFrame:
@@ -43,7 +43,7 @@ def token_estimate_and_hash(spark, d):
 def page_quality(spark, d):
     """Quality of every text layer."""
     q = T.page_quality(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", q["n_chars"].alias("n_chars"), F.round(q["plausibility"], 6).alias("plausibility"), q["confidence"].alias("confidence"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", q["n_chars"].alias("n_chars"), F.round(q["plausibility"], 6).alias("plausibility"), q["confidence"].alias("confidence"))
 
 
 @query(r"""SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g') <> '')) AS n_sentences FROM documents""")

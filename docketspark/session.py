@@ -96,6 +96,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its input has fewer splits than that, as a small table in one file has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import shutil
+import subprocess
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
@@ -71,6 +74,21 @@ def plain_text(content: bytes) -> list[tuple]:
     return [(page, k, line, None, None, None, None, None, None) for page, body in enumerate(content.decode().split("\f"), 1) for k, line in enumerate(body.split("\n"))]
 
 
+def probe_ocr(command: str = "tesseract", languages: tuple[str, ...] = ("eng",)) -> dict:
+    """Whether an OCR program is there, which of the wanted languages it has, and why it can't be used if so. Never raises."""
+    path = shutil.which(command)
+    if not path:
+        return {"available": False, "path": None, "languages": [], "reason": f"{command} is not installed"}
+    try:
+        done = subprocess.run([path, "--list-langs"], capture_output=True, text=True, timeout=10, check=False)
+    except (OSError, subprocess.TimeoutExpired) as e:
+        return {"available": False, "path": path, "languages": [], "reason": str(e)}
+    there = set((done.stdout + done.stderr).split())
+    missing = [x for x in languages if x not in there]
+    reason = f"exit code {done.returncode}" if done.returncode else f"no language data: {', '.join(missing)}" if missing else None
+    return {"available": reason is None, "path": path, "languages": [x for x in languages if x in there], "reason": reason}
+
+
 def prefer_ocr(pages: DataFrame, ocr: DataFrame, least: float = 0.5, cap: float = 0.75) -> DataFrame:
     """Pages with OCR text where that is strictly better and the page was below ``least``; OCR confidence is capped.
 
@@ -146,7 +164,7 @@ def markdown_report(checks: DataFrame, title: str) -> str:
     lines = [f"# {title}", "", "| Check | Value | Result |", "| --- | --- | --- |"]
     for r in checks.orderBy("name").collect():
         result = "pass" if r["passed"] else "FAIL" if r["blocking"] else "warn"
-        lines.append(f"| {r['name']} | {r['value']:g} | {result} |")
+        lines.append(f"| {r['name']} | {'not measured' if r['value'] is None else format(r['value'], 'g')} | {result} |")
     return "\n".join(lines) + "\n"
 
 

@@ -3,6 +3,7 @@
 import datetime
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -199,3 +200,52 @@ def test_web_queries(spark):
     got = [r[0] for r in df.select(fulltext.matches(F.col("t"), '"sign area" -roof')).collect()]
     assert got == [True, False, False]
     assert [r[0] for r in df.select(fulltext.matches(F.col("t"), " - ")).collect()] == [False] * 3
+
+
+def test_missing_measures_fail(spark):
+    report = spark.createDataFrame([(0, 0.95)], "stale_citations int, behaviour_accuracy double")
+    checks = {r["name"]: (r["value"], r["passed"], r["blocking"]) for r in E.threshold_checks(report).collect()}
+    assert set(checks) == set(E.THRESHOLDS) and checks["behaviour_accuracy"] == (0.95, True, True) and checks["ingestion_success_rate"] == (None, False, True)
+    assert not E.milestone_passed(E.threshold_checks(report)).first()[0]
+    asked = E.threshold_checks(report.withColumn("uncovered_city_abstains", F.lit(False)))
+    assert asked.filter("name = 'uncovered_city_abstains' and not passed and blocking").count() == 1
+
+
+def test_health(spark, small, tmp_path):
+    from docketspark.operators import health
+
+    good = health.check(spark, small, ("documents", "embeddings"), embedder=object(), generator=object())
+    assert health.roll_up(good).first()["can_answer"] and health.roll_up(good).first()["status"] == "ok"
+    less = health.check(spark, small, ("documents", "embeddings", "nothing"), embedder=object(), generator=object())
+    assert health.roll_up(less).first()["status"] == "degraded"
+    none = health.check(spark, str(tmp_path), ("documents", "embeddings"))
+    assert health.roll_up(none).first()["status"] == "unavailable" and not health.roll_up(none).first()["can_answer"]
+    assert not health.roll_up(good.filter("name != 'generator'")).first()["can_answer"]
+
+
+def test_a_reranker_that_fails_leaves_the_fused_order(spark):
+    pool = spark.createDataFrame([(1, 10, 0.3, 0.9), (1, 11, 0.2, None), (2, 10, 0.1, 0.5), (2, 11, 0.2, 0.1)], "q int, id int, fused_score double, s double")
+    got = {(r["q"], r["rank"]): (r["id"], r["final_score"]) for r in V.rerank(pool, F.col("s"), 2, ["q"], "id").collect()}
+    assert got == {(1, 1): (10, 0.3), (1, 2): (11, 0.2), (2, 1): (10, 0.5), (2, 2): (11, 0.1)}
+
+
+def test_term_index_with_stems(spark):
+    docs = spark.createDataFrame([(1, "Signs signed, cities"), (2, "city of nothing"), (3, None), (4, "...")], "id long, text string")
+    index = V.TermIndex(docs, ("stems",), stem=V.stemmed)
+    asked = spark.createDataFrame([(1, "sign"), (2, "cities")], "query_id long, term string")
+    assert {(r["query_id"], r["id"]) for r in index.search(asked, 5).collect()} == {(1, 1), (2, 1), (2, 2)}
+    assert {(r["query_id"], r["id"]) for r in index.search(asked, 5, docs.filter("id = 2")).collect()} == {(2, 2)}
+    words = ["cities", "classes", "class", "going", "is", "reportedly", "red", "signed"]
+    given = spark.createDataFrame([(w,) for w in words], "t string")
+    assert [r[0] for r in given.select(V.stemmed(F.col("t"))).collect()] == [V.light_stem(w) for w in words]
+
+
+def test_words_of_page_quality(spark):
+    from docketspark.functions.text import page_quality
+
+    odd = ["bcdfghj", "a" * 41, "bcdfghja", "x" * 41, "plain", "I", "sphynxs", "bcdfgh", "b1cdfghjkl", ""]
+    for w in odd:
+        words = re.findall("[A-Za-z]{2,}", w)
+        fine = [x for x in words if len(x) <= 40 and (len(x) <= 6 or re.search("[aeiouyAEIOUY]", x))]
+        got = spark.createDataFrame([(w,)], "t string").select(page_quality(F.col("t"))["plausibility"]).first()[0]
+        assert got == (len(fine) / len(words) if words else 0.0), w

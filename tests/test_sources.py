@@ -85,3 +85,15 @@ def test_report(spark):
     checks = spark.createDataFrame([("a", 1.0, True, True), ("b", 0.5, False, True), ("c", 0.5, False, False)], "name string, value double, passed boolean, blocking boolean")
     text = S.markdown_report(checks, "Report")
     assert "| b | 0.5 | FAIL |" in text and "| c | 0.5 | warn |" in text
+
+
+def test_ocr_probe_says_why(tmp_path):
+    from docketspark.sources.files import probe_ocr
+
+    assert probe_ocr("no-such-program") == {"available": False, "path": None, "languages": [], "reason": "no-such-program is not installed"}
+    for code, out in ((0, "eng"), (0, "deu"), (3, "eng")):
+        program = tmp_path / f"ocr{code}{out}"
+        program.write_text(f"#!/bin/sh\necho {out}\nexit {code}\n")
+        program.chmod(0o755)
+        found = probe_ocr(str(program))
+        assert found["available"] == (code == 0 and out == "eng") and (found["reason"] is None) == found["available"]
