@@ -72,11 +72,34 @@ def interval_join(points: DataFrame, spans: DataFrame, by: list[str], at: str, l
 
 
 def overlap_share(line: Column, box: Column) -> Column:
-    """Share of ``line``'s area that lies in ``box``; both are structs x0, y0, x1, y1. An empty line has share 0."""
+    """Share of ``line``'s area that lies in ``box``; both are structs x0, y0, x1, y1. An empty line has share 0, so has a null one and any in a null box."""
     wide = F.greatest(F.lit(0.0), F.least(line["x1"], box["x1"]) - F.greatest(line["x0"], box["x0"]))
     high = F.greatest(F.lit(0.0), F.least(line["y1"], box["y1"]) - F.greatest(line["y0"], box["y0"]))
     area = (line["x1"] - line["x0"]) * (line["y1"] - line["y0"])
-    return F.when(area > 0, wide * high / area).otherwise(0.0)
+    known = (box["x0"] + box["y0"] + box["x1"] + box["y1"]).isNotNull()  # least and greatest skip nulls
+    return F.when((area > 0) & known, wide * high / area).otherwise(0.0)
+
+
+def box_join(lines: DataFrame, boxes: DataFrame, by: list[str], line: str, box: str, cell: float, least: float = 0.5) -> DataFrame:
+    """Pairs of the same keys with at least the share ``least`` of the line's area in the box, as ``share``.
+
+    A line with half its width and height in a box has its centre there, so it is dealt to the one cell of its centre and a box to
+    all cells it touches: the join is on (keys, cell), forms no pair twice and none of distant boxes. ``cell`` is about a usual
+    box's side; larger boxes take more rows. Lines without an area, and null boxes, pair with nothing. ``least`` is 0.5 or more.
+    """
+    if least < 0.5:
+        raise ValueError("a line's centre tells its boxes only from a share of 0.5 on")
+
+    def at(x: Column) -> Column:
+        return F.floor(x / cell)
+
+    def cells(low: Column, high: Column) -> Column:
+        return F.sequence(at(low - cell / 1e6), at(high + cell / 1e6))  # a margin for rounding
+
+    a, b = F.col(line), F.col(box)
+    dealt = lines.filter((a["x1"] > a["x0"]) & (a["y1"] > a["y0"])).withColumns({"_x": at((a["x0"] + a["x1"]) / 2), "_y": at((a["y0"] + a["y1"]) / 2)})
+    spread = boxes.filter((b["x1"] >= b["x0"]) & (b["y1"] >= b["y0"])).withColumn("_x", F.explode(cells(b["x0"], b["x1"]))).withColumn("_y", F.explode(cells(b["y0"], b["y1"])))
+    return dealt.join(spread, [*by, "_x", "_y"]).drop("_x", "_y").withColumn("share", overlap_share(a, b)).filter(F.col("share") >= least)
 
 
 def conflict_groups(rows: DataFrame, by: list[str], source: str, title: str, position: str) -> DataFrame:

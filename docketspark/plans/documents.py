@@ -44,11 +44,11 @@ def next_index_version(spark, d):
     return D.next_version(made, "Brand#11", 1)
 
 
-@query("SELECT sha256(text) AS content_hash, count(*) AS n FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
+@query("SELECT sha256(text) AS content_hash, count(*) AS n FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en' AND text IS NOT NULL) GROUP BY 1")
 def contents_to_embed(spark, d):
     """Contents without a vector, each once, with the number of documents that will share it."""
     docs = table(spark, d, "documents").withColumnRenamed("text", "body")
-    known = docs.filter("doc_id % 3 = 0").select(F.sha2("body", 256).alias("content_hash"), F.lit("m").alias("model"))
+    known = docs.filter("lang = 'en' AND body IS NOT NULL").select(F.sha2("body", 256).alias("content_hash"), F.lit("m").alias("model"))
     new = D.to_embed(docs.select("body"), known, "m").select("content_hash")
     return docs.select(F.sha2("body", 256).alias("content_hash")).groupBy("content_hash").agg(F.count("*").alias("n")).join(new, "content_hash")
 

@@ -41,11 +41,11 @@ def document_subquery_counts(spark, d):
 @query("""SELECT l_orderkey, l_linenumber, o_orderdate, o_orderstatus, c_name, n_name, p.total AS section_total
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0
        LEFT JOIN nation ON c_nationkey = n_nationkey
-       LEFT JOIN (SELECT l_orderkey AS k, l_linenumber AS n, round(l_quantity * 2, 2) AS total FROM lineitem WHERE l_linenumber <= 2) p ON p.k = l_orderkey AND p.n = l_linenumber""")
+       LEFT JOIN (SELECT l_orderkey AS k, l_linenumber AS n, round(l_quantity * 2, 2) AS total FROM lineitem WHERE l_returnflag = 'N') p ON p.k = l_orderkey AND p.n = l_linenumber""")
 def provenance_join(spark, d):
     """Chunk with document (inner), municipality (left), section (left) and page (left, on a key of two columns)."""
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    pages = lines.filter("l_linenumber <= 2").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * 2, 2).alias("section_total"))
+    pages = lines.filter("l_returnflag = 'N'").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * 2, 2).alias("section_total"))
     out = lines.select("l_orderkey", "l_linenumber").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     out = out.join(table(spark, d, "customer").filter("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left")
     out = out.join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")  # a dimension of fixed size
@@ -53,10 +53,10 @@ def provenance_join(spark, d):
 
 
 @query("""SELECT doc_id, n_chars FROM documents WHERE lang IN ('en', 'fr') AND source <> 'src3' AND n_chars BETWEEN 200 AND 5000
-       AND NOT coalesce(doc_id % 7 = 0, false) ORDER BY n_chars DESC, doc_id LIMIT 50""")
+       AND NOT coalesce(lang = 'fr' AND source = 'src5', false) ORDER BY n_chars DESC, doc_id LIMIT 50""")
 def prefilter_topk(spark, d):
     """Slug, status, year-range and OCR filters before ranking, then the top 50 with a unique tie key."""
-    kept = table(spark, d, "documents").filter(F.col("lang").isin("en", "fr") & (F.col("source") != "src3") & F.col("n_chars").between(200, 5000) & ~F.coalesce(F.col("doc_id") % 7 == 0, F.lit(False)))
+    kept = table(spark, d, "documents").filter(F.col("lang").isin("en", "fr") & (F.col("source") != "src3") & F.col("n_chars").between(200, 5000) & ~F.coalesce((F.col("lang") == "fr") & (F.col("source") == "src5"), F.lit(False)))
     return R.top_k(kept.select("doc_id", "n_chars"), 50, F.desc("n_chars"), F.asc("doc_id"))
 
 
@@ -160,23 +160,22 @@ def range_join_page_section(spark, d):
 
 
 @query("""WITH b AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, abs(CAST(embedding[3] AS DOUBLE)) AS w, abs(CAST(embedding[4] AS DOUBLE)) AS h FROM embeddings),
-       l AS (SELECT * FROM b WHERE vec_id % 2 = 0), t AS (SELECT * FROM b WHERE vec_id % 10 = 1),
        p AS (SELECT l.vec_id AS line, t.vec_id AS tab, CASE WHEN l.w * l.h > 0 THEN
          greatest(0, least(l.a + l.w, t.a + 2 * t.w) - greatest(l.a, t.a)) * greatest(0, least(l.b + l.h, t.b + 2 * t.h) - greatest(l.b, t.b)) / ((l.a + l.w - l.a) * (l.b + l.h - l.b)) ELSE 0 END AS share
-         FROM l JOIN t ON l.label = t.label)
+         FROM b l JOIN b t ON l.label = t.label AND l.vec_id <> t.vec_id)
        SELECT line, tab, round(share, 6) AS share FROM p WHERE share >= 0.5""")
 def bbox_overlap_join(spark, d):
-    """Lines that lie by half or more in a table on their page."""
+    """Lines that lie by half or more in a table on their page: every vector is a line, and a table of twice its size."""
     e = F.col("embedding")
     base = table(spark, d, "embeddings").select("vec_id", "label", *[e[i].cast("double").alias(f"e{i}") for i in range(4)])
 
     def box(grow: int):
         return F.struct(F.col("e0").alias("x0"), F.col("e1").alias("y0"), (F.col("e0") + grow * F.abs("e2")).alias("x1"), (F.col("e1") + grow * F.abs("e3")).alias("y1"))
 
-    lines = base.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("line"), "label", box(1).alias("line_box"))
-    tables = base.filter("vec_id % 10 = 1").select(F.col("vec_id").alias("tab"), "label", box(2).alias("tab_box"))
-    share = R.overlap_share(F.col("line_box"), F.col("tab_box"))
-    return lines.join(tables, "label").withColumn("share", share).filter("share >= 0.5").select("line", "tab", F.round("share", 6).alias("share"))
+    lines = base.select(F.col("vec_id").alias("line"), "label", box(1).alias("line_box"))
+    tables = base.select(F.col("vec_id").alias("tab"), "label", box(2).alias("tab_box"))
+    found = R.box_join(lines, tables, ["label"], "line_box", "tab_box", 0.1).filter("line <> tab")
+    return found.select("line", "tab", F.round("share", 6).alias("share"))
 
 
 @query("""SELECT a.o_orderkey AS amendment, count(*) AS n_absorbing, max(b.o_orderdate) AS last_consolidation
@@ -190,14 +189,14 @@ def absorbed_amendments(spark, d):
     return a.join(b, "o_custkey").filter("o_orderdate >= own").groupBy("amendment").agg(F.count("*").alias("n_absorbing"), F.max("o_orderdate").alias("last_consolidation"))
 
 
-@query("""WITH z AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ids, list(o_orderstatus ORDER BY o_orderkey) FILTER (WHERE o_orderkey % 3 <> 0) AS st FROM orders GROUP BY 1)
+@query("""WITH z AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ids, list(o_orderstatus ORDER BY o_orderkey) FILTER (WHERE o_orderstatus <> 'P') AS st FROM orders GROUP BY 1)
        SELECT o_custkey, CAST(i AS INTEGER) AS pos, ids[i + 1] AS id, st[i + 1] AS status FROM (SELECT *, unnest(range(0, least(len(ids), coalesce(len(st), 0)))) AS i FROM z)""")
 def positional_zip(spark, d):
     """Ids and values zipped by position, the longer list cut: ranked rows joined on their position."""
     orders = table(spark, d, "orders")
     w = W.partitionBy("o_custkey").orderBy("o_orderkey")
     left = orders.select("o_custkey", (F.row_number().over(w) - 1).alias("pos"), F.col("o_orderkey").alias("id"))
-    right = orders.filter("o_orderkey % 3 <> 0").select("o_custkey", (F.row_number().over(w) - 1).alias("pos"), F.col("o_orderstatus").alias("status"))
+    right = orders.filter("o_orderstatus <> 'P'").select("o_custkey", (F.row_number().over(w) - 1).alias("pos"), F.col("o_orderstatus").alias("status"))
     return left.join(right, ["o_custkey", "pos"]).select("o_custkey", "pos", "id", "status")
 
 
@@ -215,11 +214,11 @@ def acceptable_retrieved(spark, d):
 
 
 @query("""WITH u AS (SELECT s_suppkey, CAST(s_acctbal AS DOUBLE) AS s_acctbal FROM supplier),
-       c AS (SELECT l_suppkey AS s_suppkey, l_extendedprice AS s_acctbal FROM lineitem WHERE l_suppkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) = 1)
+       c AS (SELECT l_suppkey AS s_suppkey, l_extendedprice AS s_acctbal FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) = 1)
        SELECT * FROM c UNION ALL SELECT * FROM u WHERE s_suppkey NOT IN (SELECT s_suppkey FROM c)""")
 def upsert_latest(spark, d):
     """Vectors and cached lookups written on conflict: the last change of a key wins."""
-    changes = table(spark, d, "lineitem").filter("l_suppkey % 3 = 0").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_extendedprice").alias("s_acctbal"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("at"))
+    changes = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_extendedprice").alias("s_acctbal"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("at"))
     target = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("s_acctbal"))
     return R.upsert(target, changes, ["s_suppkey"], F.col("at"))
 

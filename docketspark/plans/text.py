@@ -105,6 +105,13 @@ def slugify_names(spark, d):
     return given.select("name", T.qualify(F.col("name")).alias("qualified"), T.slugify(F.col("name")).alias("slug"))
 
 
+@query("""SELECT p_partkey, 'city-of-' || s AS qualified, s AS slug FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)""")
+def name_slugs(spark, d):
+    """Keys of all parts' names, with and without a prefix."""
+    name = F.concat(F.lit("City of "), F.col("p_name"), F.lit(" "), F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", T.qualify(name).alias("qualified"), T.slugify(name).alias("slug"))
+
+
 _SCALARS = [
     (1, "123 Main Street North, Unit 4", "123 main st n unit 4"),
     (2, "45-A Élan Boulevard", "45 a elan blvd"),
@@ -138,6 +145,15 @@ def loose_dates(spark, d):
     return rows(spark, "text string", *[x[:1] for x in _DATES]).select("text", T.parse_date(F.col("text")).alias("day"))
 
 
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS long_day, CAST(o_orderdate AS DATE) AS short_day, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, nullif(ltrim(CAST(o_orderkey AS VARCHAR), '0'), '') AS key FROM orders""")
+def order_dates_read(spark, d):
+    """All orders' dates written out in three forms and read back, and their numbers written as bylaws write them."""
+    day, number = F.col("o_orderdate"), F.col("o_orderkey")
+    forms = {"long_day": "MMMM d, yyyy", "short_day": "d MMM yyyy", "month": "MMMM yyyy"}
+    key = T.bylaw_key(F.format_string("%010d-%d", number, F.year(day)))
+    return table(spark, d, "orders").select("o_orderkey", *[T.parse_date(F.date_format(day, f)).alias(n) for n, f in forms.items()], key.alias("key"))
+
+
 _NUMBERS = [("4451", "4451", None), ("04451-2019", "4451", None), ("13743–2020", "13743", None), ("0", None, None), ("iv", "iv", 4), ("XIX", "XIX", 19), ("mcmxc", "mcmxc", 1990), ("abc", "abc", None)]
 
 

@@ -249,3 +249,23 @@ def test_words_of_page_quality(spark):
         fine = [x for x in words if len(x) <= 40 and (len(x) <= 6 or re.search("[aeiouyAEIOUY]", x))]
         got = spark.createDataFrame([(w,)], "t string").select(page_quality(F.col("t"))["plausibility"]).first()[0]
         assert got == (len(fine) / len(words) if words else 0.0), w
+
+
+def test_box_join_finds_what_all_pairs_find(spark):
+    rng = random.Random(5)
+    side = [0.0, 0.05, 0.1, 0.2, 0.4]
+
+    def box():
+        x, y = rng.choice([0.0, -0.3, 0.1, rng.uniform(-1, 1)]), rng.choice([0.0, 0.2, rng.uniform(-1, 1)])
+        return x, y, x + rng.choice(side), y + rng.choice(side)
+
+    lines = [(i, i % 2, box()) for i in range(150)] + [(900, 0, None), (901, None, (0.0, 0.0, 1.0, 1.0))]
+    tables = [(i, i % 2, box()) for i in range(150)] + [(900, 0, None), (901, 1, (-3.0, -3.0, 3.0, 3.0))]
+    kind = "x0 double, y0 double, x1 double, y1 double"
+    a, b = spark.createDataFrame(lines, f"line int, page int, lb struct<{kind}>"), spark.createDataFrame(tables, f"tab int, page int, tb struct<{kind}>")
+    every = a.join(b, "page").withColumn("share", R.overlap_share(F.col("lb"), F.col("tb"))).filter("share >= 0.5")
+    found = R.box_join(a, b, ["page"], "lb", "tb", 0.1)
+    pick = lambda d: sorted((r.line, r.tab, r.share) for r in d.select("line", "tab", "share").collect())
+    assert pick(found) == pick(every) and len(pick(found)) > 150
+    with pytest.raises(ValueError):
+        R.box_join(a, b, ["page"], "lb", "tb", 0.1, 0.4)
