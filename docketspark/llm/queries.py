@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketspark.llm import divergence, resample
 from docketspark.llm.common import prepare
 from docketspark.session import ship, table
 
@@ -208,3 +209,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rate(docs, fit(docs, ratings, n_grades=3), level=2, carry=["doc_id"])
     kept = F.coalesce(F.col("tail") >= 0.5, F.lit(True))
     return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "expected_grade", F.col("tail").alias("p_best"), kept.alias("kept"))
+
+
+@_query("op11_source_divergence", divergence.ORACLE)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against the other sources of its language, and its most over-used terms."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@_query("op13_resample", resample.ORACLE)
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight for the benchmark's distribution of words, its score, and its rank if it is drawn."""
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
