@@ -222,3 +222,11 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight for the benchmark's distribution of words, its score, and its rank if it is drawn."""
     found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@_query("op12_embedding_dedup")
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links to vectors of its label and its component."""
+    from docketspark.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
