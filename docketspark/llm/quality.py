@@ -7,14 +7,15 @@ repeats the run before. A feature's value is the log odds ratio with which it te
 from those below, the mean of the thresholds by their lesser side; so a few telling words stand out of a long text. A text's values are scaled to
 length one over its known features.
 
-The fit takes about ``docs_per_grade`` rated documents of each grade, by a hash of the id, and of each at most ``longest``
-bytes, a stretch at a place that the hash gives; both are parameters, and the documents that the fold holds out are never
-among them. A sampled document weighs as many as it stands for, its grade's ratings by those sampled, so the thresholds
-follow the grades' shares among all ratings, whatever their number. Scoring reads every whole text.
+The fit takes of each grade the ``docs_per_grade`` rated documents with the least hashes of their ids, each once a grade however
+often it was rated, and of each at most ``longest`` bytes, a stretch at a place that the hash gives; both are parameters, and the
+documents that the fold holds out are never among them. A sampled document weighs its own ratings, times its grade's ratings by
+those sampled, so the thresholds follow the grades' shares among all ratings, whatever their number. Scoring reads every whole text.
 
 Defined cases: null or empty text has no features and gets the thresholds' prior; no ratings: expected grade null, tail null,
-kept; ratings that are null or not of 0 to ``n_grades`` - 1 are not learned from; a document rated twice counts twice; equal
-texts have equal results; a text of any length is read whole, in pieces of 1 MB; an empty table gives no rows.
+kept; ratings that are null, not of 0 to ``n_grades`` - 1 or of no document are not learned from; a document rated twice counts
+twice; of documents that share an id the one with the least stretch is learned from; a grade without ratings keeps its threshold
+next to its neighbour's; the fit does not depend on the order of rows or files; equal texts have equal results; a text of any length is read whole, in pieces of 1 MB; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketspark.llm.common import append_columns, ended_buffer, filled, long_text, mix, pieces, slices, word_hashes
+from docketspark.session import cut
 
 LOG2_COLUMNS = 18
 LEAST_DOCS = 4  # of the sample, that a column must occur in
@@ -160,22 +163,24 @@ def grade_of(quality, toxic):
 
 
 def sample(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str, text_col: str, grade_col: str, docs_per_grade: int, longest: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Texts, their grades, and how many ratings of its grade each stands for."""
-    rated = ratings.select(F.col(id_col).alias("rated_id"), F.col(grade_col).alias("grade")).filter(F.col("rated_id").isNotNull() & F.col("grade").between(0, n_grades - 1))
-    counts = {int(r["grade"]): r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # one row a grade
-    if not counts:
-        return [], np.zeros(0, np.int64), np.zeros(0)
-    share = F.lit(0.0)
-    for grade, n in counts.items():
-        share = F.when(F.col("grade") == grade, min(1.0, docs_per_grade / n)).otherwise(share)
-    at = (F.xxhash64(F.lit("rated"), F.col("rated_id")) / F.lit(2.0**64)) + 0.5
-    chosen = rated.filter(at < share)  # about docs_per_grade a grade: the side to broadcast has a stated size
+    """Texts, their grades, and how many ratings of its grade each stands for; in an order that does not depend on partitions."""
+    rated = ratings.select(F.col(id_col).alias("rated_id"), F.col(grade_col).cast("int").alias("grade")).filter(F.col("rated_id").isNotNull() & F.col("grade").between(0, n_grades - 1))
+    once = rated.groupBy("rated_id", "grade").agg(F.count("*").alias("n"))  # a document with however many ratings is one row a grade
+    known = cut(once.join(docs.select(F.col(id_col).alias("rated_id")), "rated_id", "left_semi"), "rated")
+    counts = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.sum("n").alias("n")).collect()}  # one row a grade
+    order = W.partitionBy("grade").orderBy(F.xxhash64(F.lit("rated"), "rated_id"), "rated_id")
+    # the least hashes of each grade: docs_per_grade * n_grades rows at most, which is the size of what is broadcast
+    chosen = cut(known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= docs_per_grade), "chosen")
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     start = F.pmod(F.xxhash64(F.lit("place"), "rated_id"), F.greatest(F.octet_length("raw") - longest, F.lit(0)) + 1).cast("int") + 1
     texts = docs.select(F.col(id_col).alias("rated_id"), raw.alias("raw"))
-    got = texts.join(F.broadcast(chosen), "rated_id").select(F.substring("raw", start, F.lit(longest)).alias("raw"), "grade").limit(4 * docs_per_grade * len(counts)).collect()
-    sampled = Counter(int(r["grade"]) for r in got)
-    return [bytes(r["raw"]) for r in got], np.array([r["grade"] for r in got], np.int64), np.array([counts[int(r["grade"])] / sampled[int(r["grade"])] for r in got])
+    pieces_of = texts.join(F.broadcast(chosen), "rated_id").select("grade", "place", "n", F.substring("raw", start, F.lit(longest)).alias("raw"))
+    # where documents share an id, one of them stands for it
+    got = pieces_of.groupBy("grade", "place", "n").agg(F.min("raw").alias("raw")).orderBy("grade", "place").collect()
+    sampled = Counter()
+    for r in got:
+        sampled[r["grade"]] += r["n"]
+    return [bytes(r["raw"]) for r in got], np.array([r["grade"] for r in got], np.int64), np.array([r["n"] * (counts[r["grade"]] / sampled[r["grade"]]) for r in got])
 
 
 class Model:
