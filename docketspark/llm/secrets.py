@@ -8,14 +8,16 @@ capitals, where most letters are in words of three letters and more that reach `
 a letter are numbers. Spans of the patterns stay whatever the test says; a run that overlaps one is not reported again.
 
 Defined cases: null text is empty and has no spans; spans are in code points, end exclusive; spans that begin together are
-in the order of ``KINDS``; texts and runs of any length are scanned whole, in time that is linear in them; repeated rows are
-scanned each; an empty table gives no rows; extra columns are ignored.
+in the order of ``KINDS``; texts and runs of any length are scanned whole, and a text's runs are told from its spans by a search
+in their order, so time grows as the text does; repeated rows are scanned each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -73,12 +75,18 @@ def is_identifier(run: str, count_tokens, most_ratio: float = MOST_RATIO) -> boo
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]], count_tokens, most_ratio: float = MOST_RATIO, runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str]]:
+    """The runs that no span of ``base`` (in order of starts) overlaps and that have too few characters a token."""
+    starts = [s for s, _, _ in base]
+    reach = list(itertools.accumulate((e for _, e, _ in base), max))  # the furthest end so far
+
+    def free(start: int, end: int) -> bool:
+        before = bisect.bisect_left(starts, end)
+        return not before or reach[before - 1] <= start
+
     return [
         (start, end, "random")
         for start, end in (candidate_runs(text) if runs is None else runs)
-        if all(end <= s or e <= start for s, e, _ in base)
-        and (end - start) < most_ratio * count_tokens(text[start:end])
-        and not is_identifier(text[start:end], count_tokens, most_ratio)
+        if free(start, end) and (end - start) < most_ratio * count_tokens(text[start:end]) and not is_identifier(text[start:end], count_tokens, most_ratio)
     ]
 
 
