@@ -7,8 +7,9 @@ for listed though it is not goes into level 1, and so on in turn, until a level
 key universe membership is then exact. Level 0 is sized by the rules and the number of urls so that about as many false
 positives as rules are expected, so all levels stay in proportion to the rule list.
 
-Rules are a list in a program or, however many, a table (host, path, action). What grows with the rules is the filter, some
-bytes a rule; what is written into the plan is the rules' shape alone: the most labels of a host and the paths' lengths.
+Rules are a list in a program or a table (host, path, action). What grows with the rules is the filter, some 35 bits a rule,
+which every executor holds (a million rules: 4 MB); what is written into the plan is the rules' shape alone: the most labels of
+a host and the paths' lengths.
 
 Defined cases: null url, or one without ``://``: host and path are empty and no rule fits; urls of any length are judged, by
 as many candidate keys as the rules' shape has; rules' hosts are lower-cased (A-Z), null hosts or paths are empty; a rule with
@@ -143,13 +144,18 @@ def candidates(host: Column, path: Column, labels: int, lengths: list[int]) -> C
     parts = F.split(host, r"\.")
     n = F.size(parts)
     hosts = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(labels))), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "."))
-    paths = F.filter(F.array(*[F.substring(path, 1, m) for m in lengths]), lambda p: F.array_contains(F.array(*[F.lit(m) for m in lengths]), F.length(p)))
-    pairs = F.flatten(F.transform(hosts, lambda h: F.transform(F.array_distinct(paths), lambda p: F.struct((-F.length(h) - F.length(p)).alias("long"), (-F.length(h)).alias("host"), F.concat(h, F.lit("\x00"), p).alias("key")))))
+    fitting = F.filter(F.lit(lengths), lambda m: m <= F.length(path))
+    paths = F.transform(fitting, lambda m: F.substring(path, F.lit(1), m))
+    pairs = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct((-F.length(h) - F.length(p)).alias("long"), (-F.length(h)).alias("host"), F.concat(h, F.lit("\x00"), p).alias("key")))))
     return F.transform(F.array_sort(pairs), lambda x: x["key"])
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """One row per page: id, host, path, rule (host and path of the one that decides, or null), verdict."""
+    """One row per page: id, host, path, rule (host and path of the one that decides, or null), verdict.
+
+    Candidate keys are rows, beside one row of the page itself, so the plan holds each cascade once, whatever the rules' shape.
+    Keys that are not listed go no further; what is shuffled is a page's narrow row and the keys that its rules have.
+    """
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if isinstance(rules, list):
         rules = rule_table(pages.sparkSession, rules) if rules else None
@@ -157,13 +163,17 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, id_col: str = "p
     shape = listed.agg(F.count("*").alias("n"), F.count_if(F.col("action") == "allow").alias("n_allow"), F.max("labels").alias("labels"), F.sort_array(F.collect_set("length")).alias("lengths")).first() if listed is not None else None
     if shape is None or not shape["n"]:
         return rows.select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    rows = rows.select("id", "host", "path", candidates(F.col("host"), F.col("path"), shape["labels"], shape["lengths"]).alias("keys"))
-    per_url = shape["labels"] * len(shape["lengths"])
+    rows = cut(rows.withColumn("page", F.monotonically_increasing_id()), "urls")  # a number of its own, once written
+    keys_of = candidates(F.col("host"), F.col("path"), shape["labels"], shape["lengths"])
+    asked = rows.select("page", F.posexplode(keys_of).alias("place", "key"))
     keys = listed.select("key")
-    cascade = Cascade.build(keys, rows.select(F.explode("keys").alias("key")), shape["n"], pages.count() * per_url)
+    cascade = Cascade.build(keys, asked.select("key"), shape["n"], rows.count() * shape["labels"] * len(shape["lengths"]))
     # the rules' actions are a second, small membership question: which listed keys allow?
     allows = Cascade.build(listed.filter(F.col("action") == "allow").select("key"), keys, shape["n_allow"], shape["n"], first_seed=1000)
-    # unrolled over the candidates, of which the rules' shape bounds the number: levels are subqueries, which lambdas can't hold
-    at = [F.get("keys", F.lit(i)) for i in range(per_url)]
-    found = rows.select("id", "host", "path", F.coalesce(*[F.when(k.isNotNull() & cascade.lists(k), k) for k in at]).alias("key"))
-    return found.select("id", "host", "path", F.translate("key", "\x00", "").alias("rule"), F.when(F.col("key").isNull(), F.lit(default)).when(allows.lists(F.col("key")), "allow").otherwise("block").alias("verdict"))
+    found = asked.filter(cascade.lists(F.col("key"))).select("page", F.struct("place", "key").alias("hit"))
+    whole = rows.select("page", F.lit(None).cast(found.schema["hit"].dataType).alias("hit"), F.struct("id", "host", "path").alias("row"))
+    together = whole.unionByName(found.withColumn("row", F.lit(None).cast(whole.schema["row"].dataType)))
+    # the first of a page's listed keys decides; min and max pass over null
+    judged = together.groupBy("page").agg(F.min("hit").alias("hit"), F.max("row").alias("row")).select("row.*", F.col("hit.key").alias("key"))
+    verdict = F.when(F.col("key").isNull(), F.lit(default)).when(allows.lists(F.col("key")), "allow").otherwise("block")
+    return judged.select("id", "host", "path", F.translate("key", "\x00", "").alias("rule"), verdict.alias("verdict"))
