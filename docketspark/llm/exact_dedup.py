@@ -1,9 +1,9 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash of the surviving groups only.
 
-Two scans of the texts and no shuffle of them. The first scan keeps (length, prefix hash) and finds, with partial
-aggregation, the pairs that occur more than once; they become a bitmap sized by their number, of 8 MB at most. The second scan
-computes the full SHA-256 where the bitmap lets a row pass; all other rows are known to be alone. What is shuffled are
-narrow rows: id, length, two hashes. A hot group is aggregated map-side, and the join back to its rows is one whose
+Three scans of the texts and no shuffle of them. The first finds, with partial aggregation, the lengths that occur more than once;
+they become a bitmap sized by their number, of 8 MB at most. The second hashes the prefixes of the texts that it lets pass, and the
+pairs of length and prefix that occur more than once become the next bitmap. The third computes the full SHA-256 where both let
+a row pass; all other rows are known to be alone. What is shuffled are narrow rows: id, length, two hashes. A hot group is aggregated map-side, and the join back to its rows is one whose
 skewed partitions adaptive execution splits.
 
 Defined cases: a null text equals the empty text; of rows that repeat the same id and text one stays; a null id never
@@ -23,19 +23,25 @@ PREFIX_CHARS = 256
 
 
 def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, digest_all: bool = False) -> DataFrame:
-    """Narrow rows (id, n_bytes, prefix, survives, full): ``full`` is null where length and prefix already tell a text from all others.
+    """Narrow rows (id, n_bytes, prefix, survives, full): ``prefix`` is null where the length, and ``full`` where length and prefix,
+    already tell a text from all others.
 
     ``digest_all`` also fills ``full`` for the rows that are alone, for callers that report it.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    shape = [F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix")]
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    length = F.octet_length(body).cast("long")
+    of_length = F.xxhash64("n_bytes")
+    lengths = cut(docs.select(length.alias("n_bytes")).groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes"), "lengths")
+    log2_lengths = bits_for(lengths.count())
+    # each stage reads of a text what the one before left in doubt: its length, its prefix, all of it
+    shared = docs.select(F.col(id_col).alias("id"), length.alias("n_bytes"), body.alias("body")).withColumn("shared", in_bitmap(bitmap(lengths, of_length, log2_lengths).scalar(), of_length, log2_lengths))
+    rows = shared.withColumn("prefix", F.when(F.col("shared"), F.xxhash64(F.substring("body", 1, prefix_chars))))
     key = F.xxhash64("n_bytes", "prefix")
-    repeated = cut(docs.select(*shape).groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes", "prefix"), "shapes")
+    repeated = cut(rows.filter("shared").groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes", "prefix"), "shapes")
     log2_bits = bits_for(repeated.count())
-    rows = docs.select(F.col(id_col).alias("id"), *shape, text.alias("body"))
-    survives: Column = in_bitmap(bitmap(repeated, key, log2_bits).scalar(), key, log2_bits)
+    survives: Column = F.col("shared") & in_bitmap(bitmap(repeated, key, log2_bits).scalar(), key, log2_bits)
     full = F.sha2("body", 256)
-    return rows.select("id", "n_bytes", "prefix", survives.alias("survives"), (full if digest_all else F.when(survives, full)).alias("full"))
+    return rows.withColumn("survives", survives).select("id", "n_bytes", "prefix", "survives", (full if digest_all else F.when(F.col("survives"), full)).alias("full"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
