@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketspark.session import cut, kept
+from docketspark.operators.postings import TermIndex, best
+from docketspark.session import cut
 
 METRICS = ("cosine", "l2", "ip")
+PASS = 1024
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -29,25 +30,39 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 def scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     """[query, row], greater is nearer: cosine similarity, minus the L2 distance, or the inner product."""
+    product = queries @ rows.T
     if metric == "ip":
-        return queries @ rows.T
+        return product
     if metric == "l2":
-        return -np.sqrt(((queries[:, None, :] - rows[None, :, :]) ** 2).sum(2))
+        return -np.sqrt(np.maximum((queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * product, 0))
     norms = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
     with np.errstate(invalid="ignore", divide="ignore"):
-        return queries @ rows.T / norms
+        return product / norms
 
 
-def knn(rows: DataFrame, queries: DataFrame, k: int, dims: int, id_col: str = "id", vector: str = "embedding", metric: str = "cosine", block: int = 256) -> DataFrame:
+def _nearest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of each query's best rows, ties by id; distances of those that may be among the best are measured again, by differences."""
+    found = scores(queries, rows, metric)
+    found = np.where(np.isnan(found), -np.inf, found)
+    if metric == "l2" and len(rows):
+        some = np.argsort(-found, 1, kind="stable")[:, : k + 8]
+        exact = -np.sqrt(((queries[:, None, :] - rows[some]) ** 2).sum(2))
+        return np.where(np.isnan(exact), -np.inf, exact), ids[some]
+    return found, np.broadcast_to(ids, found.shape)
+
+
+def knn(rows: DataFrame, queries: DataFrame, k: int, dims: int, id_col: str = "id", vector: str = "embedding", metric: str = "cosine", block: int = PASS) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest rows of every stated query, ties by id.
 
-    The queries are read in blocks, each sent once and scored against all rows; every task keeps its own best ``k`` a query,
-    so what is shuffled does not depend on the number of rows a task holds. Vectors of another width never match.
+    Queries are read in passes of ``block``, each sent once and scored against all rows; every task keeps its own best ``k`` a query,
+    so what is shuffled does not depend on the number of rows a task holds. Where there are several passes, each writes its
+    result, so neither driver nor plan grows with the queries. Vectors of another width never match.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
     spark = rows.sparkSession
     given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
 
     def best_of(some: list) -> DataFrame:
         sent = spark.sparkContext.broadcast(([q for q, _ in some], np.array([v for _, v in some], np.float64)))
@@ -58,68 +73,30 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, dims: int, id_col: str = "i
             for batch in batches:
                 ids = batch.column("id").to_numpy()
                 for start in range(0, len(ids), 1024):
-                    found = scores(q, matrix(batch.column("v").slice(start, 1024), dims), metric)
-                    top_s = np.concatenate([top_s, np.where(np.isnan(found), -np.inf, found)], 1)
-                    top_i = np.concatenate([top_i, np.broadcast_to(ids[start : start + 1024], found.shape)], 1)
-                    order = np.lexsort((top_i, -top_s), axis=1)[:, :k]
-                    top_s, top_i = np.take_along_axis(top_s, order, 1), np.take_along_axis(top_i, order, 1)
+                    found, who = _nearest(q, matrix(batch.column("v").slice(start, 1024), dims), ids[start : start + 1024], k, metric)
+                    top_s, top_i = np.concatenate([top_s, found], 1), np.concatenate([top_i, who], 1)
+                    best_first = np.lexsort((top_i, -top_s), axis=1)[:, :k]
+                    top_s, top_i = np.take_along_axis(top_s, best_first, 1), np.take_along_axis(top_i, best_first, 1)
             n = top_s.shape[1]
             keep = np.isfinite(top_s).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)[keep], pa.int64()), pa.array(top_i.ravel()[keep]), pa.array(top_s.ravel()[keep])], names=["query_id", "id", "score"])
 
-        return given.mapInArrow(run, "query_id long, id long, score double")
+        found = given.mapInArrow(run, "query_id long, id long, score double")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    out, some = None, []
+    done, some = [], []
     for r in queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).toLocalIterator():
         if len(r["v"]) != dims:
             raise ValueError(f"query {r['id']} has {len(r['v'])} dimensions, the index has {dims}")
         some.append((r["id"], r["v"]))
         if len(some) == block:
-            out, some = best_of(some) if out is None else out.unionByName(best_of(some)), []
-    if some or out is None:
-        if not some:
-            return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-        out = best_of(some) if out is None else out.unionByName(best_of(some))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-class IvfIndex:
-    """Inverted lists: rows by nearest centroid, centroids fitted on a bounded sample (``most_sample`` rows)."""
-
-    def __init__(self, rows: DataFrame, dims: int, lists: int = 16, id_col: str = "id", vector: str = "embedding", most_sample: int = 4096, rounds: int = 12):
-        self.dims, self.id_col, self.vector = dims, id_col, vector
-        taken = rows.select(F.col(vector).alias("v")).filter(F.size("v") == dims).orderBy(F.xxhash64(id_col)).limit(most_sample).toArrow()
-        points = matrix(taken["v"].combine_chunks(), dims)
-        points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
-        rng = np.random.default_rng(7)
-        self.centroids = points[rng.choice(len(points), min(lists, len(points)), replace=False)]
-        for _ in range(rounds):
-            own = (points @ self.centroids.T).argmax(1)
-            for c in range(len(self.centroids)):
-                if (own == c).any():
-                    mean = points[own == c].mean(0)
-                    self.centroids[c] = mean / max(np.linalg.norm(mean), 1e-12)
-        self.rows = self._assign(rows, 1)
-
-    def _assign(self, rows: DataFrame, n: int) -> DataFrame:
-        sent, dims = rows.sparkSession.sparkContext.broadcast(self.centroids), self.dims
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                order = np.argsort(-(np.nan_to_num(matrix(batch.column("v"), dims)) @ sent.value.T), axis=1, kind="stable")[:, :n]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "v", "lists"])
-
-        kind = rows.schema[self.vector].dataType.simpleString()
-        found = rows.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.vector).alias("v")).mapInArrow(run, f"id long, v {kind}, lists array<int>")
-        return found.select("id", "v", F.explode("lists").alias("list"))
-
-    def search(self, queries: DataFrame, k: int, probes: int = 4) -> DataFrame:
-        """As ``knn`` by cosine, over the ``probes`` nearest lists of each query only."""
-        asked = self._assign(queries, probes).select(F.col("id").alias("query_id"), F.col("v").alias("q"), "list")
-        pairs = self.rows.join(asked, "list").select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("score"))
-        order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-        return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            done.append(cut(best_of(some), "knn").inputFiles())
+            some = []
+    if not done:
+        return best_of(some) if some else spark.createDataFrame([], "query_id long, id long, score double, rank int")
+    if some:
+        done.append(cut(best_of(some), "knn").inputFiles())
+    return spark.read.schema("query_id long, id long, score double, rank int").parquet(*[path for files in done for path in files])
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -151,103 +128,6 @@ def term_counts(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -
     return docs.select(F.col(id_col).alias("id"), n_tokens(F.col(text_col)).alias("size"), F.inline(F.array(*found)))
 
 
-def stemmed(term: Column) -> Column:
-    """``light_stem`` as a column expression."""
-    out = term
-    for end, put in reversed(STEM_ENDS):
-        out = F.when(F.endswith(term, F.lit(end)) & (F.length(term) >= len(end) + 3), F.concat(F.substr(term, F.lit(1), F.length(term) - len(end)), F.lit(put))).otherwise(out)
-    return F.when(F.endswith(term, F.lit("ss")), term).otherwise(out)
-
-
-def counted_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, term, tf) of every text. A text is whole in its row, so its terms are counted there and nothing is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = re.compile("[a-z0-9]+")
-        for batch in batches:
-            ids = batch.column("id").to_pylist()
-            for start in range(0, len(ids), 256):
-                out_id, out_size, terms, tfs = [], [], [], []
-                for i, text in zip(ids[start : start + 256], batch.column("text").slice(start, 256).to_pylist(), strict=True):
-                    found = words.findall(text or "")
-                    counted = Counter(found)
-                    out_id.append(np.full(len(counted), i, np.int64))
-                    out_size.append(np.full(len(counted), len(found), np.int32))
-                    terms += counted
-                    tfs += counted.values()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_size)), pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], names=["id", "size", "term", "tf"])
-
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(run, "id long, size int, term string, tf int")
-
-
-class TermIndex:
-    """Postings (bucket, term, id, tf, size) of a corpus, written once by buckets of terms, and its statistics.
-
-    A question reads its terms' postings and no text. ``stem``: an expression that terms go through, those of questions too.
-    """
-
-    def __init__(self, docs: DataFrame, key: tuple, id_col: str = "id", text_col: str = "text", stem: Callable[[Column], Column] | None = None, buckets: int = 16):
-        """``buckets``: folders that terms are dealt to; one for some GB of postings is a good number."""
-        spark, self.stem, self.buckets = docs.sparkSession, stem or (lambda t: t), buckets
-
-        def postings() -> DataFrame:
-            counted = counted_terms(docs, id_col, text_col)
-            if stem:
-                counted = counted.withColumn("term", stem(F.col("term"))).groupBy("id", "size", "term").agg(F.sum("tf").alias("tf"))
-            counted = counted.withColumn("bucket", self._bucket(F.col("term")))
-            # a bucket's files are dealt by row, so that one frequent term is not all one task's
-            return counted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id")
-
-        def statistics() -> DataFrame:
-            sizes = self.postings.groupBy().agg(F.sum("tf").alias("total")).scalar()
-            return docs.agg(F.count("*").alias("n"), F.count(text_col).alias("with_text")).select("n", (sizes / F.col("with_text")).alias("mean"))
-
-        self.postings = kept(spark, (*key, "postings"), postings, "bucket")
-        self.statistics = kept(spark, (*key, "statistics"), statistics)
-
-    def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
-
-    def frequencies(self, terms: DataFrame) -> DataFrame:
-        """(term, df) of the distinct ``terms`` (term)."""
-        return self._postings_of(terms).groupBy("term").agg(F.count("*").alias("df"))
-
-    def _postings_of(self, terms: DataFrame) -> DataFrame:
-        asked = terms.select("term").distinct().withColumn("bucket", self._bucket(F.col("term")))
-        return self.postings.join(asked, ["bucket", "term"])
-
-    def rarest(self, questions: DataFrame, most: int, least_df: int = 2) -> DataFrame:
-        """(query_id, term): of each stated row (query_id, an indexed id) its rarest terms that another row has."""
-        own = self.postings.join(questions.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "term")
-        counted = own.join(self.frequencies(own), "term").filter(F.col("df") >= least_df)
-        order = W.partitionBy("query_id").orderBy("df", "term")
-        return counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("query_id", "term")
-
-    def search(self, asked: DataFrame, k: int, allowed: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """(query_id, id, score, rank): the best ``k`` by BM25 for every question of ``asked`` (query_id, term).
-
-        Statistics are of the whole corpus; ``allowed`` (id) says which rows may be found.
-        """
-        asked = asked.select("query_id", self.stem(F.col("term")).alias("term")).distinct()
-        found = self._postings_of(asked)
-        df = found.groupBy("term").agg(F.count("*").alias("df"))
-        n, mean = self.statistics.select("n").scalar(), self.statistics.select("mean").scalar()
-        idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
-        if allowed is not None:
-            found = found.join(allowed.select("id"), "id", "left_semi")
-        weighed = asked.join(df, "term")
-        scored = found.join(weighed, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
-        return best(scored, k)
-
-
-def best(scored: DataFrame, k: int, score: str = "score", tie: str = "id", by: str = "query_id") -> DataFrame:
-    """The best ``k`` of every question with their rank; ties by id."""
-    order = W.partitionBy(by).orderBy(F.desc(score), F.asc(tie))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def bm25(docs: DataFrame, terms: list[str], k: int, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score, rank) by BM25 without an index: one scan of the texts for the counts, which are written, not read twice."""
     counts = cut(term_counts(docs, terms, id_col, text_col), "counts")
@@ -342,63 +222,3 @@ def hybrid(
         return best(fused.withColumn("final_score", F.col("fused_score")), top, "final_score")
     bodies = chunks.select("id", "body").join(fused, "id").join(questions.select("query_id", "terms"), "query_id")
     return rerank(bodies, reranker(F.col("terms"), F.col("body")), top, ["query_id"], "id").drop("body", "terms")
-
-
-# --- cover density
-
-
-#: Plural and verb endings of English and what is put for them, in the order they are tried.
-STEM_ENDS = (("ies", "y"), ("sses", "ss"), ("ing", ""), ("edly", ""), ("ed", ""), ("ly", ""), ("s", ""))
-
-
-def light_stem(token: str) -> str:
-    """A light English stemmer: plural and verb endings, by rule."""
-    for end, put in STEM_ENDS:
-        if token.endswith(end) and len(token) - len(end) >= 3 and not token.endswith("ss"):
-            return token[: -len(end)] + put
-    return token
-
-
-def cover_density(docs: DataFrame, terms: list[str], k: int, id_col: str = "id", text_col: str = "text", stem=light_stem) -> DataFrame:
-    """(id, score, rank): all terms must occur; each minimal cover of them adds 1 / (its noise + 1).
-
-    A cover is a span from one occurrence to another that holds every term and no shorter one inside; its noise is the
-    number of words between that are no terms.
-    """
-    wanted = {stem(t) for t in terms}
-    low = F.lower(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), low.alias("text"))
-    if stem is light_stem:  # a token begins as its stem does, but for the stem's last letter; texts without such are left in the JVM
-        for s in wanted:
-            rows = rows.filter(F.contains("text", F.lit(s[: max(1, len(s) - 1)])))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = re.compile("[a-z0-9]+")
-        known: dict[str, str | None] = {}  # a token's stem if it is wanted
-
-        def look_up(token: str) -> str | None:
-            if len(known) > 200_000:
-                known.clear()
-            own = stem(token)
-            known[token] = own if own in wanted else None
-            return known[token]
-
-        for batch in batches:
-            ids, out = [], []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                stems = [known[t] if t in known else look_up(t) for t in words.findall(text or "")]
-                hits = [(p, s) for p, s in enumerate(stems) if s is not None]
-                last: dict[str, int] = {}
-                score, begin = 0.0, -1
-                for n, (p, s) in enumerate(hits):
-                    last[s] = n
-                    if len(last) == len(wanted) and (first := min(last.values())) > begin:
-                        begin = first
-                        score += 1.0 / (1 + (p - hits[first][0]) - (n - first))
-                if score:
-                    ids.append(i)
-                    out.append(score)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.float64())], names=["id", "score"])
-
-    found = rows.mapInArrow(run, "id long, score double").select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), F.asc("id")).limit(k)
-    return found.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), F.asc("id"))))

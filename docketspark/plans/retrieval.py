@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from docketspark.operators import fulltext
 from docketspark.operators import retrieval as R
+from docketspark.operators.ann import VectorIndex
+from docketspark.operators.postings import english
 from docketspark.plans.registry import query
 from docketspark.session import cut, spread, table
 
@@ -50,9 +52,10 @@ def citable_chunks(spark, d):
 
 @query()
 def knn_ivf(spark, d):
-    """The same by an index of inverted lists; its recall against the exact search is tested."""
-    rows = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    found = R.IvfIndex(rows, DIMS).search(rows.filter("id % 20 = 0"), 10, probes=12)
+    """The same by an index of lists and residual product codes; its recall against the exact search is tested."""
+    vectors = table(spark, d, "embeddings")
+    rows = vectors.withColumnRenamed("vec_id", "id")
+    found = VectorIndex(rows.select("id", "embedding"), DIMS, ("embeddings", d), source=vectors).search(rows.filter("id % 20 = 0"), 10)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -66,7 +69,8 @@ _BM25 = f"""t AS (SELECT doc_id AS id, len({_TOKENS}) AS size, unnest([{', '.joi
 
 def text_index(spark, d):
     """The index over ``documents``: written by the first query that needs it, read by the others."""
-    return R.TermIndex(spread(table(spark, d, "documents").select("doc_id", "text")), ("documents", d), "doc_id")
+    docs = table(spark, d, "documents")
+    return R.TermIndex(spread(docs.select("doc_id", "text")), ("documents", d), "doc_id", source=docs)
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS term FROM documents)
@@ -146,14 +150,49 @@ def hybrid_retrieve(spark, d):
     return found.select("query_id", "id", "dense_rank", "sparse_rank", F.round("fused_score", 9).alias("fused"), F.round("final_score", 6).alias("final"), "rank")
 
 
-@query()
+@query(f"""WITH tk AS (SELECT doc_id, unnest({_TOKENS}) AS term, generate_subscripts({_TOKENS}, 1) AS p FROM documents),
+       df AS (SELECT term, count(DISTINCT doc_id) AS df FROM tk GROUP BY 1),
+       qt AS (SELECT query_id, term FROM (SELECT DISTINCT vec_id AS query_id, term, df FROM embeddings JOIN tk ON doc_id = vec_id JOIN df USING (term) WHERE vec_id % 20 = 0 AND df >= 2)
+              QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY df, term) <= 2),
+       h AS (SELECT query_id, doc_id AS id, term, p FROM qt JOIN tk USING (term)),
+       a AS (SELECT query_id, id, p, term, lag(p) OVER w AS p0, lag(term) OVER w AS t0 FROM h WINDOW w AS (PARTITION BY query_id, id ORDER BY p)),
+       s AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (p - p0)), 9) AS score FROM a WHERE t0 <> term GROUP BY 1, 2)
+       SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s
+       WHERE query_id IN (SELECT query_id FROM qt GROUP BY 1 HAVING count(*) = 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""", rank="INTEGER")
 def cover_density(spark, d):
-    """Full-text rank by cover density; tested against a brute-force search for covers."""
-    return R.cover_density(spread(table(spark, d, "documents").select("doc_id", "text")), ["the", "that"], 50, "doc_id")
+    """Every twentieth document's two rarest terms as a question: the ten texts in which both stand nearest together, from the index."""
+    index = text_index(spark, d)
+    asked = index.rarest(table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id")), 2)
+    both = asked.join(asked.groupBy("query_id").agg(F.count("*").alias("n")).filter("n = 2"), "query_id")
+    return index.cover_density(both, 10, own_terms=True).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+WEB = ['"of the" that -is OR der', "the -that", '-the -der', '"in the" OR "of the" OR "de la"', "and", '"the and"']
+
+
+@query(rf"""WITH h AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS hay FROM documents)
+       SELECT 0::BIGINT AS query_id, doc_id FROM h WHERE (contains(hay, ' of the ') AND contains(hay, ' that ') AND NOT contains(hay, ' is ')) OR contains(hay, ' der ')
+       UNION ALL SELECT 1, doc_id FROM h WHERE contains(hay, ' the ') AND NOT contains(hay, ' that ')
+       UNION ALL SELECT 2, doc_id FROM h WHERE NOT contains(hay, ' the ') AND NOT contains(hay, ' der ')
+       UNION ALL SELECT 3, doc_id FROM h WHERE contains(hay, ' in the ') OR contains(hay, ' of the ') OR contains(hay, ' de la ')
+       UNION ALL SELECT 4, doc_id FROM h WHERE contains(hay, ' and ')
+       UNION ALL SELECT 5, doc_id FROM h WHERE contains(hay, ' the and ')""")
+def web_match(spark, d):
+    """Six web-style queries at once, from the index: intersections, phrases by adjacent positions, negations, unions."""
+    return text_index(spark, d).match(list(enumerate(WEB))).select("query_id", F.col("id").alias("doc_id"))
 
 
 @query(r"""WITH h AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS hay FROM documents)
        SELECT doc_id FROM h WHERE (contains(hay, ' of the ') AND contains(hay, ' that ') AND NOT contains(hay, ' is ')) OR contains(hay, ' der ')""")
 def fulltext_match(spark, d):
-    """Documents that satisfy a web-style query with a phrase, a negation and an alternative."""
-    return table(spark, d, "documents").filter(fulltext.matches(F.col("text"), '"of the" that -is OR der')).select("doc_id")
+    """Documents that satisfy a web-style query, by a scan of the texts."""
+    return table(spark, d, "documents").filter(fulltext.matches(F.col("text"), WEB[0])).select("doc_id")
+
+
+@query()
+def english_ranking(spark, d):
+    """The same by English stems without stop words; tested against a brute-force search."""
+    docs = table(spark, d, "documents")
+    index = R.TermIndex(spread(docs.select("doc_id", "text")), ("documents", d), "doc_id", term_of=english, source=docs)
+    asked = index.rarest(table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id")), 2)
+    return index.cover_density(asked, 10, own_terms=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
@@ -10,7 +11,10 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
 _SCRATCH: list[tuple[SparkSession, str]] = []
@@ -52,29 +56,56 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_KEPT: dict[tuple, tuple[SparkSession, str]] = {}
+_KEPT: dict[tuple, tuple[SparkSession, str, StructType]] = {}
 
 
-def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
-    """A table that is made once an application and stays until it ends: an index over data that do not change."""
-    key = (spark.sparkContext.applicationId, *key)
-    if key not in _KEPT:
-        path = f"{shared_dir(spark)}/docketspark/kept-{uuid.uuid4().hex}"
-        writer = make().write
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        _KEPT[key] = (spark, path)
-    return spark.read.parquet(_KEPT[key][1])
+def fingerprint(df: DataFrame) -> str:
+    """Tells one state of a table's files from another, by their names, sizes and times; empty for rows that are in no files."""
+    try:
+        files = df.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("long")).alias("file"))
+    except AnalysisException:
+        return ""
+    found = files.distinct().agg(F.count("*").alias("n"), F.bit_xor("file").alias("all")).first()
+    return f"{found['n']}:{found['all']}"
+
+
+def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], partition_by: str | None = None, path: str | None = None) -> DataFrame:
+    """A table made once: for the application, in its shared folder; or under ``path``, where it stays and later applications find it.
+
+    ``key`` says what it holds; where it has a fingerprint of the data, other data make another table.
+    """
+    name = hashlib.sha256(repr(key).encode()).hexdigest()[:32]
+    own = (spark.sparkContext.applicationId, path, *key)
+    if own not in _KEPT:
+        at = f"{path.rstrip('/')}/{name}" if path else f"{shared_dir(spark)}/docketspark/kept-{uuid.uuid4().hex}"
+        made = make()
+        if not path or not exists(spark, f"{at}/_SUCCESS"):
+            writer = made.write.mode("overwrite")
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(at)
+        _KEPT[own] = (spark, at, made.schema)
+    _, at, schema = _KEPT[own]
+    return spark.read.schema(schema).parquet(at)
+
+
+def _file_system(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, found = _file_system(spark, path)
+    return system.exists(found)
 
 
 def release(everything: bool = False) -> None:
-    """Delete the scratch tables written so far, when the results that read them have been stored. Indexes stay, unless ``everything`` goes."""
-    gone = [*_SCRATCH, *(_KEPT.values() if everything else ())]
+    """Delete the scratch tables written so far, when the results that read them have been stored. Indexes stay, unless ``everything`` goes;
+    those with a path of their own stay in any case."""
+    gone = [*_SCRATCH, *(found[:2] for key, found in _KEPT.items() if everything and key[1] is None)]
     _SCRATCH.clear()
     for spark, path in gone:
         try:
-            jvm = spark.sparkContext._jvm
-            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+            system, found = _file_system(spark, path)
+            system.delete(found, True)
         except Exception:  # noqa: BLE001 - at exit the JVM may be gone already
             return
 

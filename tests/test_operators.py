@@ -54,26 +54,6 @@ def test_knn_in_blocks_equals_brute_force_and_ignores_other_widths(spark):
     assert V.knn(df, df.filter("id < 0"), 3, 4).count() == 0
 
 
-def test_inverted_lists_recall(spark, small):
-    vectors = spark.read.parquet(f"{small}/embeddings.parquet").withColumnRenamed("vec_id", "id")
-    asked = vectors.filter("id % 20 = 0")
-    exact = {(r["query_id"], r["id"]) for r in V.knn(vectors, asked, 10, 64).collect()}
-    found = {(r["query_id"], r["id"]) for r in V.IvfIndex(vectors, 64).search(asked, 10, probes=12).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
-
-
-def test_cover_density_against_brute_force(spark):
-    random.seed(5)
-    docs = [(i, " ".join(random.choice("abcd") for _ in range(random.randint(0, 14)))) for i in range(60)]
-    got = {r["id"]: r["score"] for r in V.cover_density(spark.createDataFrame(docs, "id long, text string"), ["a", "b"], 100).collect()}
-    for i, text in docs:
-        ts = text.split()
-        covers = [(p, q) for p, q in itertools.combinations(range(len(ts)), 2) if {"a", "b"} <= set(ts[p : q + 1])]
-        least = [c for c in covers if not any(d != c and c[0] <= d[0] and d[1] <= c[1] for d in covers)]
-        score = sum(1 / (1 + sum(t not in "ab" for t in ts[p : q + 1])) for p, q in least)
-        assert got.get(i, 0.0) == pytest.approx(score)
-
-
 def test_nearest_rank_on_small_groups(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 21)] + [("b", 5.0), ("c", None)], "g string, v double")
     assert rows(R.nearest_rank(df, ["g"], "v", {"p95": 0.95, "p50": 0.5})) == [("a", 20, 20.0, 11.0), ("b", 1, 5.0, 5.0)]
@@ -229,17 +209,6 @@ def test_a_reranker_that_fails_leaves_the_fused_order(spark):
     assert got == {(1, 1): (10, 0.3), (1, 2): (11, 0.2), (2, 1): (10, 0.5), (2, 2): (11, 0.1)}
 
 
-def test_term_index_with_stems(spark):
-    docs = spark.createDataFrame([(1, "Signs signed, cities"), (2, "city of nothing"), (3, None), (4, "...")], "id long, text string")
-    index = V.TermIndex(docs, ("stems",), stem=V.stemmed)
-    asked = spark.createDataFrame([(1, "sign"), (2, "cities")], "query_id long, term string")
-    assert {(r["query_id"], r["id"]) for r in index.search(asked, 5).collect()} == {(1, 1), (2, 1), (2, 2)}
-    assert {(r["query_id"], r["id"]) for r in index.search(asked, 5, docs.filter("id = 2")).collect()} == {(2, 2)}
-    words = ["cities", "classes", "class", "going", "is", "reportedly", "red", "signed"]
-    given = spark.createDataFrame([(w,) for w in words], "t string")
-    assert [r[0] for r in given.select(V.stemmed(F.col("t"))).collect()] == [V.light_stem(w) for w in words]
-
-
 def test_words_of_page_quality(spark):
     from docketspark.functions.text import page_quality
 
