@@ -22,7 +22,8 @@ from docketspark.functions.words import occurrences
 from docketspark.operators.fulltext import parse
 from docketspark.session import cut, fingerprint, kept
 
-FILE_BYTES = 8 << 20  # of text whose postings go to one file
+FILE_BYTES = 2 << 20  # of text whose postings go to one bucket
+PART_BYTES = 128 << 20  # of text whose postings go to one file of a bucket, once there are the most buckets
 MOST_BUCKETS = 4096
 MOST_LOOKED_UP = 2000
 
@@ -68,7 +69,7 @@ class TermIndex:
 
         stored = kept(spark, (*key, "shape"), shape, path=path).first()
         self.buckets = stored["buckets"]
-        parts = max(1, math.ceil(stored["bytes"] / (self.buckets * file_bytes)))
+        parts = max(1, math.ceil(stored["bytes"] / (self.buckets * max(file_bytes, PART_BYTES))))
 
         def postings() -> DataFrame:
             found = postings_of(docs, id_col, text_col, term_of).withColumn("bucket", self._bucket(F.col("term")))

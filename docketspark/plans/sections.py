@@ -68,9 +68,41 @@ def heading_forms(spark, d):
     return rows(spark, "line string", *[x[:1] for x in _HEADS]).select("line", S.heading(F.col("line")).alias("h")).select("line", "h.kind", "h.number", "h.heading", "h.level")
 
 
-@query()
+def _n(x: str) -> str:
+    return f"CAST(greatest(1, round_even(length({x}) / 3.6, 0)) AS INTEGER)"
+
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(rf"""WITH RECURSIVE b AS (SELECT doc_id, '[1 ' || source || ']' || chr(10) AS prefix, trim(text, {_BLANK}) AS body FROM documents WHERE trim(coalesce(text, ''), {_BLANK}) <> ''),
+       pa AS (SELECT doc_id, pi, trim(p, {_BLANK}) AS p FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pi FROM (SELECT doc_id, string_split_regex(body, '\n\s*\n') AS ps FROM b WHERE {_n('body')} > 400)) WHERE trim(p, {_BLANK}) <> ''),
+       se AS (SELECT doc_id, pi, 0 AS si, p AS unit FROM pa WHERE {_n('p')} <= 200
+              UNION ALL SELECT doc_id, pi, generate_subscripts(ss, 1), trim(unnest(ss), {_BLANK}) FROM (SELECT doc_id, pi, string_split(regexp_replace(p, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ss FROM pa WHERE {_n('p')} > 200)),
+       u AS (SELECT doc_id, row_number() OVER w AS k, unit, {_n('unit')} AS n, sum({_n('unit')}) OVER w AS c FROM se WHERE unit <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pi, si)),
+       cs AS (SELECT doc_id, list(c ORDER BY k) AS c FROM u GROUP BY 1),
+       f AS (SELECT doc_id, 0::BIGINT AS k, 1::BIGINT AS a, 0::BIGINT AS z, false AS fresh, 0::BIGINT AS ea, 0::BIGINT AS ez FROM cs
+             UNION ALL
+             SELECT doc_id, k, CASE WHEN n > 400 THEN k + 1 WHEN flush THEN coalesce(list_max(list_filter(range(a, z + 1), lambda x: c[z] - coalesce(c[x - 1], 0) > 20)), a) ELSE a END, CASE WHEN n > 400 THEN k ELSE k END, n <= 400,
+                    CASE WHEN (flush OR n > 400) AND fresh AND z >= a THEN a ELSE 0 END, CASE WHEN (flush OR n > 400) AND fresh AND z >= a THEN z ELSE 0 END
+             FROM (SELECT f.doc_id, u.k, u.n, f.a, f.z, f.fresh, cs.c, f.z >= f.a AND (cs.c[f.z] - coalesce(cs.c[f.a - 1], 0)) + u.n > 200 AS flush FROM f JOIN u ON u.doc_id = f.doc_id AND u.k = f.k + 1 JOIN cs ON cs.doc_id = f.doc_id)),
+       e AS (SELECT doc_id, k, 0 AS part, ea, ez FROM f WHERE ez > 0
+             UNION ALL SELECT doc_id, k + 1, 0, a, z FROM f WHERE fresh AND z >= a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1 AND k = (SELECT max(k) FROM u WHERE u.doc_id = f.doc_id)),
+       w AS (SELECT doc_id, k, n, list_filter(string_split_regex(unit, '\s+'), lambda x: x <> '') AS ws FROM u WHERE n > 400),
+       h AS (SELECT doc_id, k, unnest(range(0, len(ws), st)) AS x, ws, st FROM (SELECT doc_id, k, ws, greatest(1, CAST(floor(len(ws) * 200 / n::DOUBLE) AS BIGINT)) AS st FROM w)),
+       pk AS (SELECT e.doc_id, e.k, 0 AS part, string_agg(unit, ' ' ORDER BY u.k) AS body FROM e JOIN u ON u.doc_id = e.doc_id AND u.k BETWEEN e.ea AND e.ez GROUP BY 1, 2, 3
+              UNION ALL SELECT doc_id, k, 1 + x, array_to_string(ws[x + 1 : x + st], ' ') FROM h),
+       o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, part) AS i, body, {_n('body')} AS n FROM pk),
+       m AS (SELECT doc_id, i, body, n, 1 AS chunk FROM o WHERE i = 1
+             UNION ALL SELECT doc_id, i, CASE WHEN joins THEN body || ' ' || more ELSE more END, CASE WHEN joins THEN {_n("body || ' ' || more")} ELSE more_n END, CASE WHEN joins THEN chunk ELSE chunk + 1 END
+             FROM (SELECT m.doc_id, o.i, m.body, o.body AS more, o.n AS more_n, m.chunk, o.n < 25 AND m.n + o.n <= 400 AS joins FROM m JOIN o ON o.doc_id = m.doc_id AND o.i = m.i + 1)),
+       r AS (SELECT doc_id, chunk, last(body ORDER BY i) AS body, last(n ORDER BY i) AS n FROM m GROUP BY 1, 2),
+       many AS (SELECT doc_id FROM o GROUP BY 1 HAVING count(*) > 1)
+       SELECT doc_id, 0 AS ordinal, {_n('body')} AS token_count, 'prose' AS chunk_type, sha256(prefix || body) AS hash FROM b WHERE {_n('body')} <= 400
+       UNION ALL SELECT doc_id, 0, {_n('body')}, 'parent', sha256(prefix || body) FROM b WHERE doc_id IN (FROM many)
+       UNION ALL SELECT doc_id, CASE WHEN doc_id IN (FROM many) THEN chunk ELSE chunk - 1 END, r.n, 'prose', sha256(prefix || r.body) FROM r JOIN b USING (doc_id)""", ordinal="INTEGER", token_count="INTEGER")
 def section_chunks(spark, d):
-    """Every document's lines as one section's body, cut into chunks; tested by the rules that chunks keep."""
+    """Every document's lines as one section's body, cut into chunks: parents, packed pieces with overlap, hard cuts, merged tails."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"))
     whole = docs.select("doc_id", F.lit(0).cast("long").alias("idx"), F.lit("1").alias("section_number"), F.col("source").alias("heading"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.coalesce("text", F.lit("")).alias("body"))
     return S.chunk_sections(whole, target=200, most=400, overlap=20).select("doc_id", "ordinal", "token_count", "chunk_type", F.sha2("body", 256).alias("hash"))

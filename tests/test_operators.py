@@ -166,6 +166,32 @@ def test_chunks_hold_their_sections(spark):
     assert {r["section_idx"] for r in got} == {0, 1}
 
 
+def test_chunks_join_across_sections_and_take_tables_whole(spark):
+    schema = "doc_id long, idx long, section_number string, heading string, level int, full_path string, page_start int, page_end int, body string"
+    rows_of = [
+        (1, 0, "5", "Signs", 1, "5", 1, 1, "A first rule of some length. " * 8),
+        (1, 1, "5", "Signs", 1, "5", 2, 2, "Short end."),  # the same heading again, on the next page
+        (1, 2, "6", "Walls", 1, "6", 2, 4, "Tiny."),
+        (1, 3, "6.1", "Walls", 2, "6 > 6.1", 3, 3, "Tiny too."),
+        (2, 0, "1", "Other", 1, "1", 1, 1, "Alone."),
+        (3, 0, "1", "Empty", 1, "1", 1, 1, None),
+    ]
+    tables = spark.createDataFrame([(1, 3, 0, "Areas", "| a |"), (1, 2, 0, None, "| b |"), (1, 9, 0, "", "| c |"), (3, 1, 0, None, "| d |")], "doc_id long, page_number int, ordinal int, caption string, markdown string")
+    got = S.chunk_sections(spark.createDataFrame(rows_of, schema).repartition(4), target=100, most=150, overlap=0, least=12, tables=tables).collect()
+    assert [r["section_idx"] for r in sorted(got, key=lambda r: (r["doc_id"], r["ordinal"]))] == [0, 2, 3, 2, 3, None, 0, 0]
+    by_doc = {d: [(r["ordinal"], r["chunk_type"], r["body"], r["page_start"], r["page_end"]) for r in sorted(got, key=lambda r: r["ordinal"]) if r["doc_id"] == d] for d in (1, 2, 3)}
+    assert by_doc[1] == [
+        (0, "prose", "[5 Signs]\n" + ("A first rule of some length. " * 8).strip() + " Short end.", 1, 2),
+        (1, "prose", "[6 Walls]\nTiny.", 2, 4),
+        (2, "prose", "[6.1 Walls]\nTiny too.", 3, 3),
+        (3, "table", "| b |", 2, 2),
+        (4, "table", "Areas\n| a |", 3, 3),
+        (5, "table", "| c |", 9, 9),
+    ]
+    assert by_doc[2] == [(0, "prose", "[1 Other]\nAlone.", 1, 1)] and by_doc[3] == [(0, "table", "| d |", 1, 1)]
+    assert S.chunk_sections(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_dates_and_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, line_no int, text string, page_number int, font_size double, is_bold boolean")
     assert S.parse_sections(empty).count() == 0
