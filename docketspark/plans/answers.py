@@ -9,7 +9,7 @@ from docketspark.operators import evaluation as E
 from docketspark.operators import health as H
 from docketspark.operators import lineage as LN
 from docketspark.plans.registry import query
-from docketspark.plans.text import rows, values
+from docketspark.plans.text import each, each_sql
 from docketspark.session import table
 
 
@@ -90,24 +90,24 @@ def confidence_score(spark, d):
 
 
 _RUNS = [
-    (1, True, False, True, False, 3, 0, False, True, False, "out_of_scope"),
-    (2, False, True, True, False, 3, 0, False, True, False, "needs_clarification"),
-    (3, False, False, False, False, 3, 0, False, True, False, "index_not_ready"),
-    (4, False, False, True, True, 3, 0, False, True, False, "no_relevant"),
-    (5, False, False, True, False, 0, 2, False, True, False, "only_outdated"),
-    (6, False, False, True, False, 0, 0, False, True, False, "no_relevant"),
-    (7, False, False, True, False, 3, 0, True, True, False, "conflicting_amendments"),
-    (8, False, False, True, False, 3, 0, False, False, False, "generation_unavailable"),
-    (9, False, False, True, False, 3, 0, False, True, True, "unverified"),
-    (10, False, False, True, False, 3, 0, False, True, False, "answered"),
+    (True, False, True, False, 3, 0, False, True, False, "out_of_scope"),
+    (False, True, True, False, 3, 0, False, True, False, "needs_clarification"),
+    (False, False, False, False, 3, 0, False, True, False, "index_not_ready"),
+    (False, False, True, True, 3, 0, False, True, False, "no_relevant"),
+    (False, False, True, False, 0, 2, False, True, False, "only_outdated"),
+    (False, False, True, False, 0, 0, False, True, False, "no_relevant"),
+    (False, False, True, False, 3, 0, True, True, False, "conflicting_amendments"),
+    (False, False, True, False, 3, 0, False, False, False, "generation_unavailable"),
+    (False, False, True, False, 3, 0, False, True, True, "unverified"),
+    (False, False, True, False, 3, 0, False, True, False, "answered"),
 ]
 
 
-@query(f"SELECT * FROM (VALUES {values(*[(r[0], r[-1]) for r in _RUNS])}) t(id, outcome)")
+@query(f"SELECT key, outcome FROM {each_sql('outcome', *[r[-1:] for r in _RUNS])}")
 def answer_outcomes(spark, d):
-    """Outcomes of runs, in the order of the rules."""
-    schema = "id int, out_of_scope boolean, ambiguous boolean, index_ready boolean, retrieval_failed boolean, n_chunks int, n_outdated int, conflict boolean, generated boolean, abstained boolean"
-    return rows(spark, schema, *[r[:-1] for r in _RUNS]).select("id", A.outcome().alias("outcome"))
+    """Outcomes of customers' runs, in the order of the rules."""
+    schema = "out_of_scope boolean, ambiguous boolean, index_ready boolean, retrieval_failed boolean, n_chunks int, n_outdated int, conflict boolean, generated boolean, abstained boolean"
+    return each(spark, d, schema, *[r[:-1] for r in _RUNS]).select("key", A.outcome().alias("outcome"))
 
 
 def scored_cases(spark, d):

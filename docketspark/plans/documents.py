@@ -1,4 +1,4 @@
-"""Documents' life over literal rows and the star schema."""
+"""Documents' life over the star schema."""
 
 from __future__ import annotations
 
@@ -8,17 +8,17 @@ from docketspark.functions import plugins, states
 from docketspark.operators import documents as D
 from docketspark.operators import retrieval as V
 from docketspark.plans.registry import query
-from docketspark.plans.text import rows, values
+from docketspark.plans.text import each, each_sql, every, every_sql
 from docketspark.session import table
 
-_STATES = [(1, "indexed", None, "ready", True), (2, "ocr", None, "processing", False), (3, "chunked", "boom", "failed", True), (4, "nonsense", None, "pending", False), (5, "sections", "", "processing", True)]
+_STATES = [("indexed", None, "ready", True), ("ocr", None, "processing", False), ("chunked", "boom #", "failed", True), ("nonsense", None, "pending", False), ("sections", "", "processing", True)]
 
 
-@query(f"SELECT * FROM (VALUES {values(*[(i, s, st, at) for i, s, _, st, at in _STATES])}) t(id, stage, state, sectioned)")
+@query(f"SELECT key, state, sectioned FROM {each_sql('state, sectioned', *[x[2:] for x in _STATES])}")
 def document_states(spark, d):
-    """States of documents and whether they came as far as sections."""
-    given = rows(spark, "id int, stage string, error string", *[x[:3] for x in _STATES])
-    return given.select("id", "stage", states.document_state(F.col("stage"), F.col("error")).alias("state"), states.is_at_least(F.col("stage"), F.lit("sections")).alias("sectioned"))
+    """States of customers' documents and whether they came as far as sections."""
+    given = each(spark, d, "stage string, error string", *[x[:2] for x in _STATES])
+    return given.select("key", states.document_state(F.col("stage"), F.col("error")).alias("state"), states.is_at_least(F.col("stage"), F.lit("sections")).alias("sectioned"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber) = 1""")
@@ -53,16 +53,19 @@ def contents_to_embed(spark, d):
     return docs.select(F.sha2("body", 256).alias("content_hash")).groupBy("content_hash").agg(F.count("*").alias("n")).join(new, "content_hash")
 
 
-_META_A = [(1, "surrey", None, ["1", "2"]), (2, None, "T", [])]
-_META_B = [(1, "delta", "B", ["2", "3"]), (3, "hope", "H", ["9"])]
+_META_A = [("surrey #", None, "1,#"), (None, "T #", ""), (None, None, None)]
+_META_B = [("delta", "B #", "#,3"), (None, None, None), ("hope #", "H", "9")]
 
 
-@query(f"SELECT * FROM (VALUES {values((1, 'surrey', 'B', '1,2,3'), (2, None, 'T', ''), (3, 'hope', 'H', '9'))}) t(id, slug, title, amends)")
+@query(f"SELECT key, slug, title, amends FROM {each_sql('slug, title, amends', ('surrey #', 'B #', '1,#,3'), (None, 'T #', ''), ('hope #', 'H', '9'))}")
 def merged_metadata(spark, d):
-    """Metadata of two sources, the first one's fields before the second's."""
-    schema = "id int, slug string, title string, amends array<string>"
-    merged = D.merge_metadata(rows(spark, schema, *_META_A), rows(spark, schema, *_META_B), "id", ("amends",))
-    return merged.select("id", "slug", "title", F.array_join("amends", ",").alias("amends"))
+    """Metadata of customers' documents from two sources, the first one's fields before the second's; each source lacks some rows."""
+
+    def source(position, *written):
+        given = each(spark, d, "slug string, title string, amends string", *written).filter(F.col("key") % 3 != position)
+        return given.withColumn("amends", F.filter(F.split(F.coalesce("amends", F.lit("")), ","), lambda x: x != ""))
+
+    return D.merge_metadata(source(2, *_META_A), source(1, *_META_B), "key", ("amends",)).select("key", "slug", "title", F.array_join("amends", ",").alias("amends"))
 
 
 @query()
@@ -73,12 +76,14 @@ def embed_documents(spark, d):
 
 
 _ASKED = [(1, "How high may a pylon sign be?"), (2, "Is a permit required?"), (3, "Anything?")]
-_FOUND = [(1, 1, 11, "A pylon sign must not exceed 7.5 m. More follows.", "Bylaw A", "5.3", 4), (1, 2, 12, "Other text.", "Bylaw A", "5.4", 5), (2, 1, 13, "A permit is required for all signs.", "Bylaw B", None, 1)]
+_FOUND = [(1, 1, 11, "A pylon sign must not exceed #.5 m. More follows.", "Bylaw A", "5.3", 4), (1, 2, 12, "Other text.", "Bylaw A", "5.4", 5), (2, 1, 13, "A permit is required for all # signs.", "Bylaw B", None, 1)]
 
 
-@query(f"SELECT * FROM (VALUES {values((1, 'A pylon sign must not exceed 7.5 m. [S1]', 1, False, 'answered'), (2, 'A permit is required for all signs. [S1]', 1, False, 'answered'), (3, '', 0, False, 'no_relevant'))}) t(question_id, answer, n_valid, abstain, outcome)")
+@query(f"SELECT key * 10 + question AS question_id, answer, n_valid, abstain, outcome FROM {every_sql('question, answer, n_valid, abstain, outcome', (1, 'A pylon sign must not exceed #.5 m. [S1]', 1, False, 'answered'), (2, 'A permit is required for all # signs. [S1]', 1, False, 'answered'), (3, '', 0, False, 'no_relevant'))}", question_id="BIGINT")
 def answer_questions(spark, d):
-    """Questions answered end to end with the extractive default."""
-    questions = rows(spark, "question_id int, question string", *_ASKED)
-    found = rows(spark, "question_id int, rank int, chunk_id int, body string, document_title string, section_number string, page_number int", *_FOUND)
+    """Suppliers' questions answered end to end with the extractive default."""
+    number = F.col("key") * 10 + F.col("question_id")
+    questions = every(spark, d, "question_id int, question string", *_ASKED).withColumn("question_id", number).drop("key")
+    found = every(spark, d, "question_id int, rank int, chunk_id int, body string, document_title string, section_number string, page_number int", *_FOUND)
+    found = found.withColumn("question_id", number).withColumn("chunk_id", F.col("key") * 100 + F.col("chunk_id")).drop("key")
     return D.answer(questions, found).select("question_id", "answer", F.col("n_valid").cast("int").alias("n_valid"), "abstain", "outcome")

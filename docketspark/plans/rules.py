@@ -1,4 +1,4 @@
-"""Questions, addresses, metadata, zoning and compliance over literal rows: the tables hold no bylaws."""
+"""Questions, addresses, metadata, zoning and compliance over texts that customers and parts write: the tables hold no bylaws."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from docketspark.operators import compliance as C
 from docketspark.operators import places as P
 from docketspark.plans.registry import query
-from docketspark.plans.text import rows, values
+from docketspark.plans.text import each, each_sql, rows, values
+from docketspark.session import table
 
 _QUESTIONS = [
     ("What are the sign rules in Langley?", "definition", "", "langley", "", ""),
@@ -24,61 +25,67 @@ _QUESTIONS = [
 ]
 
 
-@query(f"SELECT * FROM (VALUES {values(*_QUESTIONS)}) t(question, intent, cities, ambiguous, sign_types, zones)")
+@query(f"SELECT * FROM {each_sql('intent, cities, ambiguous, sign_types, zones', *[x[1:] for x in _QUESTIONS])}")
 def route_questions(spark, d):
-    """Intent, cities, ambiguous names, sign types and zones of questions."""
-    found = P.route(rows(spark, "question string", *[x[:1] for x in _QUESTIONS]))
-    return found.select("question", "intent", *[F.array_join(c, ",").alias(c) for c in ("cities", "ambiguous", "sign_types", "zones")])
+    """Intent, cities, ambiguous names, sign types and zones of customers' questions."""
+    found = P.route(each(spark, d, "question string", *[x[:1] for x in _QUESTIONS]))
+    return found.select("key", "intent", *[F.array_join(c, ",").alias(c) for c in ("cities", "ambiguous", "sign_types", "zones")])
 
 
 _ADDRESSES = [
-    ("123 Main Street, Burnaby", "resolved", "burnaby", "123 Main Street", ""),
-    ("123 Burnaby Street, Vancouver", "resolved", "vancouver", "123 Burnaby Street", ""),
-    ("100 Esplanade, City of North Vancouver", "resolved", "north-vancouver-city", "100 Esplanade", ""),
-    ("123 Main Street, Langley", "ambiguous_municipality", None, None, "City of Langley|Township of Langley"),
+    ("# Main Street, Burnaby", "resolved", "burnaby", "# Main Street", ""),
+    ("# Burnaby Street, Vancouver", "resolved", "vancouver", "# Burnaby Street", ""),
+    ("# Esplanade, City of North Vancouver", "resolved", "north-vancouver-city", "# Esplanade", ""),
+    ("# Main Street, Langley", "ambiguous_municipality", None, None, "City of Langley|Township of Langley"),
     ("Main Street, Burnaby", "no_civic_number", None, None, ""),
-    ("123 Main Street", "no_municipality", None, None, ""),
-    ("12-3456 Oak Ave, Surrey, BC V3T 1A1", "resolved", "surrey", "12-3456 Oak Ave", ""),
+    ("# Main Street", "no_municipality", None, None, ""),
+    ("12-3# Oak Ave, Surrey, BC V3T 1A1", "resolved", "surrey", "12-3# Oak Ave", ""),
 ]
 
 
-@query(f"SELECT * FROM (VALUES {values(*_ADDRESSES)}) t(address, outcome, municipality_slug, street_address, candidates)")
+@query(f"SELECT * FROM {each_sql('outcome, municipality_slug, street_address, candidates', *[x[1:] for x in _ADDRESSES])}")
 def parse_addresses(spark, d):
-    """Addresses and their four outcomes."""
-    found = P.parse_addresses(rows(spark, "address string", *[x[:1] for x in _ADDRESSES]))
-    return found.select("address", "outcome", "municipality_slug", "street_address", F.array_join("candidates", "|").alias("candidates"))
+    """Customers' addresses and their four outcomes."""
+    found = P.parse_addresses(each(spark, d, "address string", *[x[:1] for x in _ADDRESSES]))
+    return found.select("key", "outcome", "municipality_slug", "street_address", F.array_join("candidates", "|").alias("candidates"))
 
 
-_COVER = "CITY OF COQUITLAM\nSIGN BYLAW NO. 4451, 2019\nConsolidated for convenience to July 15, 2021\n"
+_COVER = "CITY OF COQUITLAM\nSIGN BYLAW NO. 4#, 2019\nConsolidated for convenience to July 15, 2021\n"
 _META = [
-    (1, "a.pdf", _COVER, "coquitlam", "4451", 2021, "2021-07-15", "consolidated", "", "", 1.0),
-    (2, "burnaby_sign_bylaw_13743_2020.pdf", "", "burnaby", "13743", 2020, None, "unknown", "", "", 0.68),
-    (3, "x.pdf", "District of Saanich\nA bylaw to amend the Sign Bylaw No. 8789. Adopted on March 3, 2018. This repeals Bylaw No. 77.", "saanich", "8789", 2018, None, "amendment", "", "77", 0.96),
+    (1, "a.pdf", _COVER, "coquitlam", "4#", 2021, "2021-07-15", "consolidated", "", "", 1.0),
+    (2, "burnaby_sign_bylaw_13#_2020.pdf", "", "burnaby", "13#", 2020, None, "unknown", "", "", 0.68),
+    (3, "x.pdf", "District of Saanich\nA bylaw to amend the Sign Bylaw No. 8#. Adopted on March 3, 2018. This repeals Bylaw No. 77.", "saanich", "8#", 2018, None, "amendment", "", "77", 0.96),
     (4, "y.pdf", "Surrey and Richmond and Delta", None, None, None, None, "unknown", "", "", 0.0),
 ]
 
 
-@query(f"SELECT id, municipality_slug, bylaw_number, CAST(year AS INTEGER) AS year, CAST(consolidation_date AS DATE) AS consolidation_date, doc_type, amends, repeals, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES {values(*[(i, *r) for i, _, _, *r in _META])}) t(id, municipality_slug, bylaw_number, year, consolidation_date, doc_type, amends, repeals, confidence)")
+@query(f"SELECT key, municipality_slug, bylaw_number, CAST(year AS INTEGER) AS year, CAST(consolidation_date AS DATE) AS consolidation_date, doc_type, amends, repeals, CAST(confidence AS DOUBLE) AS confidence FROM {each_sql('municipality_slug, bylaw_number, year, consolidation_date, doc_type, amends, repeals, confidence', *[x[3:] for x in _META])}")
 def document_metadata(spark, d):
-    """Identity of documents from their first pages and file names."""
-    found = P.detect_metadata(rows(spark, "id int, filename string, page_texts array<string>", *[(i, f, [t]) for i, f, t, *_ in _META]))
-    return found.select("id", "municipality_slug", "bylaw_number", "year", "consolidation_date", "doc_type", F.array_join("amends", ",").alias("amends"), F.array_join("repeals", ",").alias("repeals"), "confidence")
+    """Identity of documents from their first pages and file names, which customers' numbers stand in."""
+    given = each(spark, d, "filename string, page string", *[x[1:3] for x in _META])
+    found = P.detect_metadata(given.select("key", "filename", F.array("page").alias("page_texts")))
+    return found.select("key", "municipality_slug", "bylaw_number", "year", "consolidation_date", "doc_type", F.array_join("amends", ",").alias("amends"), F.array_join("repeals", ",").alias("repeals"), "confidence")
 
 
-_LOOKUPS = [("surrey", "1 main st", "resolved", "C-1"), ("surrey", "2 main st", "resolved", "R-2"), ("surrey", "3 main st", "stale", "R-3"), ("surrey", "4 main st", "not_found", None), ("hope", "5 main st", "stale", "R-5"), ("hope", "6 main st", "unsupported", None), (None, "7 main st", "unsupported", None), ("surrey", "8 main st", "not_found", None)]
+_LOOKUPS = [("surrey", "resolved", "C-#"), ("surrey", "resolved", "R-#"), ("surrey", "stale", "S-#"), ("surrey", "not_found", None), ("hope", "stale", "H-#"), ("hope", "unsupported", None), (None, "unsupported", None), ("surrey", "not_found", None)]
 
 
-@query(f"SELECT * FROM (VALUES {values(*_LOOKUPS)}) t(municipality_slug, normalized_address, outcome, zone)")
+@query(f"SELECT municipality_slug, CAST(key AS VARCHAR) || ' main st' AS normalized_address, outcome, zone FROM {each_sql('municipality_slug, outcome, zone', *_LOOKUPS)}")
 def zoning_outcomes(spark, d):
-    """Zoning lookups: fresh and stale cache, verified and unverified providers, ambiguous answers."""
+    """Zoning lookups of customers' addresses: fresh and stale cache, verified and unverified providers, ambiguous answers."""
     now = datetime.datetime(2024, 1, 31)
-    old = now - datetime.timedelta(days=1)
-    new = now + datetime.timedelta(days=1)
-    asked = rows(spark, "municipality_slug string, normalized_address string", *[x[:2] for x in _LOOKUPS])
-    cache = rows(spark, "municipality_slug string, normalized_address string, zone string, expires_at timestamp", ("surrey", "1 main st", "C-1", new), ("surrey", "3 main st", "R-3", old), ("hope", "5 main st", "R-5", old))
+    day = datetime.timedelta(days=1)
+    kind, number = F.col("key") % len(_LOOKUPS), (F.col("key") % 900 + 100).cast("string")
+    asked = each(spark, d, "municipality_slug string", *[x[:1] for x in _LOOKUPS]).withColumn("normalized_address", F.concat(F.col("key").cast("string"), F.lit(" main st")))
+
+    def of(letter, *kinds):
+        return asked.filter(kind.isin(*kinds)).select("municipality_slug", "normalized_address", F.concat(F.lit(letter), number).alias("zone"))
+
+    fresh, stale, gone = of("C-", 0).withColumn("expires_at", F.lit(now + day)), of("S-", 2), of("H-", 4)
+    cache = fresh.unionByName(stale.unionByName(gone).withColumn("expires_at", F.lit(now - day)))
     providers = rows(spark, "municipality_slug string, verified boolean", ("surrey", True), ("hope", False))
-    answers = rows(spark, "municipality_slug string, normalized_address string, zone string", ("surrey", "2 main st", "R-2"), ("hope", "6 main st", "R-6"), ("surrey", "8 main st", "A"), ("surrey", "8 main st", "B"))
-    return P.zoning_lookup(asked, cache, providers, answers, F.lit(now))
+    answers = of("R-", 1, 5, 7).unionByName(of("B-", 7))
+    return P.zoning_lookup(asked.select("municipality_slug", "normalized_address"), cache, providers, answers, F.lit(now))
 
 
 _CHUNKS = [

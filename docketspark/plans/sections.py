@@ -1,4 +1,4 @@
-"""Sections and chunks over literal lines and over ``documents``' lines."""
+"""Sections and chunks over lines that suppliers write and over ``documents``' lines."""
 
 from __future__ import annotations
 
@@ -6,22 +6,22 @@ from pyspark.sql import functions as F
 
 from docketspark.operators import sections as S
 from docketspark.plans.registry import query
-from docketspark.plans.text import rows, values
+from docketspark.plans.text import each, each_sql, every, every_sql
 from docketspark.session import spread, table
 
 _LINES = [
     (1, 0, "CITY SIGN BYLAW", 1, 10.0, False),
     (1, 1, "PART IV — GENERAL", 1, 10.0, False),
     (1, 2, "This part is general.", 1, 10.0, False),
-    (1, 3, "5.3 Fascia Signs", 1, 10.0, False),
+    (1, 3, "5.3 Fascia Signs #", 1, 10.0, False),
     (1, 4, "5.3 metres from the property line", 1, 10.0, False),
-    (1, 5, "(a) placed on a wall", 2, 10.0, False),
+    (1, 5, "(a) placed on # walls", 2, 10.0, False),
     (1, 6, "(b) lit from inside", 2, 10.0, False),
     (1, 7, "more of b", 2, 10.0, False),
     (1, 8, "(iii) never moving", 2, 10.0, False),
     (1, 9, "Page 3", 3, 10.0, False),
     (1, 10, "5.3.1 Maximum Area", 3, 10.0, False),
-    (1, 11, "A sign shall not exceed 9.3 m2.", 3, 10.0, False),
+    (1, 11, "A sign shall not exceed #.3 m2.", 3, 10.0, False),
     (1, 12, "SCHEDULE A — MAXIMUM SIGN AREA", 4, 10.0, False),
     (1, 13, "Appendices and other things", 4, 12.0, True),
     (1, 14, "text of the schedule", 4, 10.0, False),
@@ -29,43 +29,44 @@ _LINES = [
 ]
 _SECTIONS = [
     (1, 0, "Part 4", "GENERAL", 1, -1, "Part 4", 1, 1, 0, "This part is general."),
-    (1, 1, "5.3", "Fascia Signs", 3, 0, "Part 4 > 5.3", 1, 1, 0, "5.3 metres from the property line"),
-    (1, 2, "(a)", "placed on a wall", 4, 1, "Part 4 > 5.3 > (a)", 2, 2, 0, ""),
+    (1, 1, "5.3", "Fascia Signs #", 3, 0, "Part 4 > 5.3", 1, 1, 0, "5.3 metres from the property line"),
+    (1, 2, "(a)", "placed on # walls", 4, 1, "Part 4 > 5.3 > (a)", 2, 2, 0, ""),
     (1, 3, "(b)", "lit from inside", 4, 1, "Part 4 > 5.3 > (b)", 2, 2, 1, "more of b"),
     (1, 4, "(iii)", "never moving", 5, 3, "Part 4 > 5.3 > (b) > (iii)", 2, 3, 0, "Page 3"),
-    (1, 5, "5.3.1", "Maximum Area", 4, 1, "Part 4 > 5.3 > 5.3.1", 3, 3, 2, "A sign shall not exceed 9.3 m2."),
+    (1, 5, "5.3.1", "Maximum Area", 4, 1, "Part 4 > 5.3 > 5.3.1", 3, 3, 2, "A sign shall not exceed #.3 m2."),
     (1, 6, "Schedule A", "MAXIMUM SIGN AREA", 1, -1, "Schedule A", 4, 4, 1, ""),
     (1, 7, "", "Appendices and other things", 2, 6, "Schedule A > Appendices and other things", 4, 4, 0, "text of the schedule"),
 ]
 _SCHEMA = "doc_id long, line_no int, text string, page_number int, font_size double, is_bold boolean"
 
 
-@query(f"SELECT * FROM (VALUES {values(*_SECTIONS)}) t(doc_id, idx, section_number, heading, level, parent_index, full_path, page_start, page_end, ordinal, body)", doc_id="BIGINT", idx="BIGINT")
+@query(f"SELECT key * 10 + doc AS doc_id, idx, section_number, heading, level, parent_index, full_path, page_start, page_end, ordinal, body FROM {every_sql('doc, idx, section_number, heading, level, parent_index, full_path, page_start, page_end, ordinal, body', *_SECTIONS)}", doc_id="BIGINT", idx="BIGINT")
 def section_tree(spark, d):
-    """The tree of a small bylaw: siblings stay siblings, text before the first heading belongs to none."""
-    return S.parse_sections(rows(spark, _SCHEMA, *_LINES))
+    """The tree of every supplier's small bylaw: siblings stay siblings, text before the first heading belongs to none."""
+    lines = every(spark, d, _SCHEMA, *_LINES)
+    return S.parse_sections(lines.withColumn("doc_id", F.col("key") * 10 + F.col("doc_id")).drop("key"))
 
 
 _HEADS = [
     ("PART IV — GENERAL", "part", "Part 4", "GENERAL", 1),
     ("DIVISION 2 Signs", "division", "Division 2", "Signs", 2),
     ("Appendix B2: Tables", "schedule", "Schedule B2", "Tables", 1),
-    ("5.3.1 Maximum Area", "numbered", "5.3.1", "Maximum Area", 4),
+    ("5.3.# Maximum Area", "numbered", "5.3.#", "Maximum Area", 4),
     ("5.3 metres from the line", None, None, None, None),
     ("7 Section 4 applies", None, None, None, None),
     ("12 Signs and", None, None, None, None),
-    ("(a) first", "alpha", "(a)", "first", 90),
+    ("(a) first #", "alpha", "(a)", "first #", 90),
     ("(iv) second", "alpha", "(iv)", "second", 90),
     ("(xiv) third", "roman", "(xiv)", "third", 91),
-    ("Page 12", None, None, None, None),
+    ("Page #", None, None, None, None),
     ("plain words", None, None, None, None),
 ]
 
 
-@query(f"SELECT line, kind, number, heading, CAST(level AS INTEGER) AS level FROM (VALUES {values(*_HEADS)}) t(line, kind, number, heading, level)")
+@query(f"SELECT key, kind, number, heading, CAST(level AS INTEGER) AS level FROM {each_sql('kind, number, heading, level', *[x[1:] for x in _HEADS])}")
 def heading_forms(spark, d):
-    """Heading forms and what only looks like one."""
-    return rows(spark, "line string", *[x[:1] for x in _HEADS]).select("line", S.heading(F.col("line")).alias("h")).select("line", "h.kind", "h.number", "h.heading", "h.level")
+    """Heading forms and what only looks like one, in lines that customers' numbers stand in."""
+    return each(spark, d, "line string", *[x[:1] for x in _HEADS]).select("key", S.heading(F.col("line")).alias("h")).select("key", "h.kind", "h.number", "h.heading", "h.level")
 
 
 def _n(x: str) -> str:

@@ -1,4 +1,4 @@
-"""Text functions over ``documents``, and over literal rows where the tables hold no such text."""
+"""Text functions over ``documents``, and over texts that the rows of other tables write where ``documents`` holds no such text."""
 
 from __future__ import annotations
 
@@ -29,6 +29,38 @@ def values(*rows_: tuple) -> str:
     return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows_)
 
 
+def _number(key):
+    return (key % 900 + 100).cast("string")  # three digits
+
+
+def each(spark: SparkSession, d: str, schema: str, *written: tuple, name: str = "customer", key: str = "c_custkey") -> DataFrame:
+    """Every row of a table writes one of the texts, by its number: key and the columns of ``schema``; ``#`` is a number of three digits of its own."""
+    given = rows(spark, f"position int, {schema}", *[(i, *x) for i, x in enumerate(written)])
+    joined = table(spark, d, name).select(F.col(key).alias("key")).join(F.broadcast(given), F.col("key") % len(written) == F.col("position"))  # a few texts
+    return joined.select("key", *[F.replace(f.name, F.lit("#"), _number(F.col("key"))).alias(f.name) if f.dataType.typeName() == "string" else f.name for f in given.schema[1:]])
+
+
+def each_sql(names: str, *expected: tuple, name: str = "customer", key: str = "c_custkey") -> str:
+    """What is expected of every row, as a subquery of key and ``names``."""
+    columns = names.split(", ")
+    text = [c if not any(isinstance(x[i], str) for x in expected) else f"replace({c}, '#', CAST({key} % 900 + 100 AS VARCHAR)) AS {c}" for i, c in enumerate(columns)]
+    return f"(SELECT {key} AS key, {', '.join(text)} FROM {name} JOIN (VALUES {values(*[(i, *x) for i, x in enumerate(expected)])}) t(position, {names}) ON {key} % {len(expected)} = position)"
+
+
+def every(spark: SparkSession, d: str, schema: str, *written: tuple, name: str = "supplier", key: str = "s_suppkey") -> DataFrame:
+    """Every row of a table writes all of the rows; ``#`` as above."""
+    given = rows(spark, schema, *written)
+    all_of = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(x, given.schema, strict=True)]) for x in written])
+    out = table(spark, d, name).select(F.col(key).alias("key"), F.inline(all_of))
+    return out.select("key", *[F.replace(f.name, F.lit("#"), _number(F.col("key"))).alias(f.name) if f.dataType.typeName() == "string" else f.name for f in given.schema])
+
+
+def every_sql(names: str, *expected: tuple, name: str = "supplier", key: str = "s_suppkey") -> str:
+    columns = names.split(", ")
+    text = [c if not any(isinstance(x[i], str) for x in expected) else f"replace({c}, '#', CAST({key} % 900 + 100 AS VARCHAR)) AS {c}" for i, c in enumerate(columns)]
+    return f"(SELECT {key} AS key, {', '.join(text)} FROM {name} CROSS JOIN (VALUES {values(*expected)}) t({names}))"
+
+
 @query("""SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE CAST(greatest(1, round_even(length(text) / 3.6, 0)) AS INTEGER) END AS n_tokens, sha256(text) AS hash FROM documents""")
 def token_estimate_and_hash(spark, d):
     """Estimated tokens and content hash of every document."""
@@ -63,46 +95,45 @@ def quote_verification(spark, d):
 
 
 _LIMITS = [
-    (1, "The maximum height of a pylon sign is 7.5 m.", "", 7.5, "m", False),
-    (2, "Sign area shall not exceed 0.2 square metres per metre of building frontage.", "", 0.2, "m2", True),
-    (3, "Window signs shall not exceed 25 percent of the window area.", "", 25.0, "%", False),
-    (4, "Maximum sign area shall be as set out in Schedule B.", "", None, None, None),
-    (5, "Freestanding signs shall be located between 2.4 and 4.5 metres from the property line.", "", None, None, None),
-    (6, "A fascia sign shall not exceed 9.3 square metres.", "m", None, None, None),
-    (7, "The area shall not exceed 9.3 m².", "", 9.3, "m2", False),
-    (8, "The height shall not exceed 9,3 metres.", "", 9.3, "m", False),
-    (9, "Coverage up to 25% of the glazing.", "", 25.0, "%", False),
-    (10, "A sign shall not exceed 1,000 square feet.", "", 1000.0, "ft2", False),
-    (11, "See Part 3 in accordance with section 4; the height must not exceed 6 m.", "m,ft", 6.0, "m", False),
-    (12, "", "", None, None, None),
+    ("The maximum height of a pylon sign is #.5 m.", "", "#.5", "m", False),
+    ("Sign area shall not exceed 0.# square metres per metre of building frontage.", "", "0.#", "m2", True),
+    ("Window signs shall not exceed # percent of the window area.", "", "#", "%", False),
+    ("Maximum sign area shall be as set out in Schedule B.", "", None, None, None),
+    ("Freestanding signs shall be located between #.4 and 4.5 metres from the property line.", "", None, None, None),
+    ("A fascia sign shall not exceed #.3 square metres.", "m", None, None, None),
+    ("The area shall not exceed #.3 m².", "", "#.3", "m2", False),
+    ("The height shall not exceed #,3 metres.", "", "#.3", "m", False),
+    ("Coverage up to #% of the glazing.", "", "#", "%", False),
+    ("A sign shall not exceed #,000 square feet.", "", "#000", "ft2", False),
+    ("See Part 3 in accordance with section 4; the height must not exceed # m.", "m,ft", "#", "m", False),
+    ("", "", None, None, None),
 ]
 
 
-@query(f"SELECT id, value, unit, is_ratio FROM (VALUES {values(*[(i, v, u, r) for i, _, _, v, u, r in _LIMITS])}) t(id, value, unit, is_ratio)", value="DOUBLE")
+@query(f"SELECT key, value, unit, is_ratio FROM {each_sql('value, unit, is_ratio', *[x[2:] for x in _LIMITS])}", value="DOUBLE")
 def extract_limits(spark, d):
-    """Limits of literal rule sentences."""
-    given = rows(spark, "id int, text string, units string", *[x[:3] for x in _LIMITS])
+    """Limits of rule sentences that customers' numbers stand in."""
+    given = each(spark, d, "text string, units string", *[x[:2] for x in _LIMITS])
     found = L.extract_limit(F.col("text"), F.filter(F.split("units", ","), lambda u: u != ""))
-    return given.select("id", found.alias("f")).select("id", "f.value", "f.unit", "f.is_ratio")
+    return given.select("key", found.alias("f")).select("key", "f.value", "f.unit", "f.is_ratio")
 
 
 _NAMES = [
-    ("City of Coquitlam", "city-of-coquitlam", "coquitlam"),
-    ("COQUITLAM", "coquitlam", "coquitlam"),
+    ("City of Coquitlam #", "city-of-coquitlam-#", "coquitlam-#"),
+    ("COQUITLAM #", "coquitlam-#", "coquitlam-#"),
     ("Coquitlam, B.C.", "coquitlam", "coquitlam"),
-    ("Township of Langley", "township-of-langley", "langley"),
-    ("Montréal-Ouest", "montreal-ouest", "montreal-ouest"),
+    ("Township of Langley/#", "township-of-langley-#", "langley-#"),
+    ("Montréal-Ouest  #", "montreal-ouest-#", "montreal-ouest-#"),
     ("The Corporation of Delta", "the-corporation-of-delta", "delta"),
-    ("Hudson's Hope", "hudson-s-hope", "hudson-s-hope"),
+    ("Hudson's Hope #", "hudson-s-hope-#", "hudson-s-hope-#"),
     ("  Fort St. John, British Columbia", "fort-st-john", "fort-st-john"),
 ]
 
 
-@query(f"SELECT * FROM (VALUES {values(*_NAMES)}) t(name, qualified, slug)")
+@query(f"SELECT key, qualified, slug FROM {each_sql('qualified, slug', *[x[1:] for x in _NAMES])}")
 def slugify_names(spark, d):
     """Keys of names with and without the incorporation prefix."""
-    given = rows(spark, "name string", *[x[:1] for x in _NAMES])
-    return given.select("name", T.qualify(F.col("name")).alias("qualified"), T.slugify(F.col("name")).alias("slug"))
+    return each(spark, d, "name string", *[x[:1] for x in _NAMES]).select("key", T.qualify(F.col("name")).alias("qualified"), T.slugify(F.col("name")).alias("slug"))
 
 
 @query("""SELECT p_partkey, 'city-of-' || s AS qualified, s AS slug FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)""")
@@ -112,17 +143,17 @@ def name_slugs(spark, d):
     return table(spark, d, "part").select("p_partkey", T.qualify(name).alias("qualified"), T.slugify(name).alias("slug"))
 
 
-_SCALARS = [
-    (1, "123 Main Street North, Unit 4", "123 main st n unit 4"),
-    (2, "45-A Élan Boulevard", "45 a elan blvd"),
-    (3, "9 Northwest Parkway", "9 nw pkwy"),
+_STREETS = [
+    ("# Main Street North, Unit 4", "# main st n unit 4"),
+    ("#-A Élan Boulevard", "# a elan blvd"),
+    ("9 Northwest Parkway, Suite #", "9 nw pkwy suite #"),
 ]
 
 
-@query(f"SELECT * FROM (VALUES {values(*_SCALARS)}) t(id, address, key)")
+@query(f"SELECT key, address_key FROM {each_sql('address_key', *[x[1:] for x in _STREETS])}")
 def address_keys(spark, d):
-    """Cache keys of addresses."""
-    return rows(spark, "id int, address string", *[x[:2] for x in _SCALARS]).select("id", "address", T.normalise_address(F.col("address")).alias("key"))
+    """Cache keys of customers' addresses."""
+    return each(spark, d, "address string", *[x[:1] for x in _STREETS]).select("key", T.normalise_address(F.col("address")).alias("address_key"))
 
 
 _DATES = [
@@ -139,10 +170,10 @@ _DATES = [
 ]
 
 
-@query(f"SELECT text, CAST(day AS DATE) AS day FROM (VALUES {values(*_DATES)}) t(text, day)")
+@query(f"SELECT key, CAST(day AS DATE) AS day FROM {each_sql('day', *[x[1:] for x in _DATES])}")
 def loose_dates(spark, d):
-    """Dates as bylaws write them."""
-    return rows(spark, "text string", *[x[:1] for x in _DATES]).select("text", T.parse_date(F.col("text")).alias("day"))
+    """Dates as bylaws write them, one of each customer."""
+    return each(spark, d, "text string", *[x[:1] for x in _DATES]).select("key", T.parse_date(F.col("text")).alias("day"))
 
 
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS long_day, CAST(o_orderdate AS DATE) AS short_day, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, nullif(ltrim(CAST(o_orderkey AS VARCHAR), '0'), '') AS key FROM orders""")
@@ -154,41 +185,50 @@ def order_dates_read(spark, d):
     return table(spark, d, "orders").select("o_orderkey", *[T.parse_date(F.date_format(day, f)).alias(n) for n, f in forms.items()], key.alias("key"))
 
 
-_NUMBERS = [("4451", "4451", None), ("04451-2019", "4451", None), ("13743–2020", "13743", None), ("0", None, None), ("iv", "iv", 4), ("XIX", "XIX", 19), ("mcmxc", "mcmxc", 1990), ("abc", "abc", None)]
+_NUMBERS = [("#", "#", None), ("0#-2019", "#", None), ("#–2020", "#", None), ("0", None, None), ("iv", "iv", 4), ("XIX", "XIX", 19), ("mcmxc", "mcmxc", 1990), ("abc", "abc", None)]
 
 
-@query(f"SELECT raw, key, CAST(roman AS INTEGER) AS roman FROM (VALUES {values(*_NUMBERS)}) t(raw, key, roman)")
+@query(f"SELECT key, bylaw, CAST(roman AS INTEGER) AS roman FROM {each_sql('bylaw, roman', *[x[1:] for x in _NUMBERS])}")
 def bylaw_numbers(spark, d):
     """Bylaw numbers for comparing, and roman numerals."""
-    return rows(spark, "raw string", *[x[:1] for x in _NUMBERS]).select("raw", T.bylaw_key(F.col("raw")).alias("key"), T.roman(F.col("raw")).alias("roman"))
+    return each(spark, d, "raw string", *[x[:1] for x in _NUMBERS]).select("key", T.bylaw_key(F.col("raw")).alias("bylaw"), T.roman(F.col("raw")).alias("roman"))
 
 
 _ANSWERS = [
-    (1, "Signs must not exceed 9.3 m [S1]. The permit is required. However, fees may vary.", "The height is 9.3 m.", "The permit is required.", ""),
-    (2, "The limit is 6 m in 2019.", "A height of 16 metres applies.", "", "6 m"),
-    (3, "The sign shall be 7.5 m and 2.0 m. Based on this it must stop.", "At most 7.5 m", "The sign shall be 7.5 m and 2.0 m.", "2.0 m"),
-    (4, "It may be 5 m.", "", "", ""),
+    ("Signs must not exceed #.3 m [S1]. The permit is required. However, fees may vary.", "The height is #.3 m.", "The permit is required.", ""),
+    ("The limit is # m in 2019.", "A height of 1# metres applies.", "", "# m"),
+    ("The sign shall be #.5 m and 2.0 m. Based on this it must stop.", "At most #.5 m", "The sign shall be #.5 m and 2.0 m.", "2.0 m"),
+    ("It may be # m.", "", "", ""),
 ]
 
 
-@query(f"SELECT * FROM (VALUES {values(*[(i, u, n) for i, _, _, u, n in _ANSWERS])}) t(id, uncited, ungrounded)")
+@query(f"SELECT key, uncited, ungrounded FROM {each_sql('uncited, ungrounded', *[x[2:] for x in _ANSWERS])}")
 def number_grounding(spark, d):
-    """Uncited claims and ungrounded numbers of answers."""
-    given = rows(spark, "id int, answer string, cited string", *[x[:3] for x in _ANSWERS])
-    return given.select("id", F.array_join(T.uncited_claims(F.col("answer")), "|").alias("uncited"), F.array_join(T.ungrounded_numbers(F.col("answer"), F.col("cited")), "|").alias("ungrounded"))
+    """Uncited claims and ungrounded numbers of answers that customers' numbers stand in."""
+    given = each(spark, d, "answer string, cited string", *[x[:2] for x in _ANSWERS])
+    return given.select("key", F.array_join(T.uncited_claims(F.col("answer")), "|").alias("uncited"), F.array_join(T.ungrounded_numbers(F.col("answer"), F.col("cited")), "|").alias("ungrounded"))
+
+
+_REPLIES = [('```json\n{"answer": "x#", "n": #}\n```', "x#", "#"), ('so {"answer": "y#"} it is', "y#", None), ("no object #", None, None), ('{"n": #, "answer": "}"}', "}", "#")]
 
 
-@query("""SELECT * FROM (VALUES ('```json\n{"answer": "x", "n": 3}\n```', 'x', 3), ('so {"answer": "y"} it is', 'y', NULL), ('no object', NULL, NULL)) t(reply, answer, n)""".replace("\n", "' || chr(10) || '"))
+@query(f"SELECT key, answer, n FROM {each_sql('answer, n', *[x[1:] for x in _REPLIES])}", n="INTEGER")
 def tolerant_json(spark, d):
     """A model's reply read whatever stands around its object."""
-    given = rows(spark, "reply string", ('```json\n{"answer": "x", "n": 3}\n```',), ('so {"answer": "y"} it is',), ("no object",))
     found = F.from_json(T.json_object(F.col("reply")), "answer string, n int")
-    return given.select("reply", found["answer"].alias("answer"), found["n"].alias("n"))
+    return each(spark, d, "reply string", *[x[:1] for x in _REPLIES]).select("key", found["answer"].alias("answer"), found["n"].alias("n"))
+
+
+_GRIDS = [
+    ("Zone;Max/C-#; #.3~ m/C-2", "| Zone | Max |~| --- | --- |~| C-# | #.3 m |~| C-2 |  |", False),
+    ("only #", "| only # |~| --- |", True),
+    ("a;b;c/;;/;#;", "| a | b | c |~| --- | --- | --- |~|  |  |  |~|  | # |  |", False),
+]
 
 
-@query("""SELECT 1 AS id, '| Zone | Max |' || chr(10) || '| --- | --- |' || chr(10) || '| C-1 | 9.3 m |' || chr(10) || '| C-2 |  |' AS markdown, false AS degenerate
-       UNION ALL SELECT 2, '| only |' || chr(10) || '| --- |', true""")
+@query(f"SELECT key, replace(markdown, '~', chr(10)) AS markdown, degenerate FROM {each_sql('markdown, degenerate', *[x[1:] for x in _GRIDS])}")
 def table_markdown(spark, d):
-    """Tables as markdown, and those too poor to keep."""
-    given = rows(spark, "id int, rows array<array<string>>", (1, [["Zone", "Max"], ["C-1", " 9.3\n m"], ["C-2"]]), (2, [["only"]]))
-    return given.select("id", T.render_markdown(F.col("rows")).alias("markdown"), T.degenerate_table(F.col("rows")).alias("degenerate"))
+    """Tables that customers' numbers stand in as markdown, and those too poor to keep."""
+    grid = F.transform(F.split(F.replace("grid", F.lit("~"), F.lit("\n")), "/"), lambda r: F.split(r, ";"))
+    given = each(spark, d, "grid string", *[x[:1] for x in _GRIDS]).withColumn("rows", grid)
+    return given.select("key", T.render_markdown(F.col("rows")).alias("markdown"), T.degenerate_table(F.col("rows")).alias("degenerate"))
