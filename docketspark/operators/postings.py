@@ -1,9 +1,10 @@
 """A stored index of postings with positions, and what is answered from it without a text being read: BM25, phrases and
 web-style queries, and rank by cover density.
 
-Postings are (bucket, term, id, tf, size, positions), in folders by bucket of the term, sorted by term. Buckets and files are as many as
-the texts' bytes ask for. Terms that a question has are looked up by bucket where they are few, so only their folders are
-read; more are joined. A frequent term's rows are dealt over its bucket's files by id.
+Postings are stored in blocks (bucket, term, number of texts, packed ids, counts, sizes and positions), in folders by bucket of the
+term, sorted by term. A block is a term in some MB of texts, so a frequent term has few rows, each of bounded size. Buckets and files
+are as many as the texts' bytes ask for. Terms that a question has are looked up by bucket where they are few, so only their
+folders are read; more are joined. A frequent term's blocks are dealt over its bucket's files.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketspark.functions.stem import STOP, english_stem
+from docketspark.functions.varint import deltas, pack, runs, sums, unpack, unzigzag, zigzag
 from docketspark.functions.words import occurrences
 from docketspark.operators.fulltext import parse
 from docketspark.session import cut, fingerprint, kept
@@ -33,19 +35,58 @@ def english(word: str) -> str | None:
     return None if word in STOP else english_stem(word)
 
 
-def postings_of(docs: DataFrame, id_col: str, text_col: str, term_of: Callable[[str], str | None] | None = None) -> DataFrame:
-    """(id, size, term, tf, positions) of every text. A text is whole in its row, so its terms meet there and nothing is shuffled."""
+BLOCKS = "term string, n int, total long, ids binary, tfs binary, sizes binary, places binary"
+
+
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, term_of: Callable[[str], str | None] | None = None) -> DataFrame:
+    """Blocks of postings: a term's texts in some MB of texts. A text is whole in its row, so its terms meet there, and what is shuffled
+    is packed: ids and positions as differences, with the counts and the texts' sizes, in as many bytes as each number needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("id").to_numpy(), batch.column("text").cast(pa.string()).fill_null("")
             for first, found in occurrences(texts, term_of):
-                doc = first + found.doc
-                tf = np.diff(found.offsets).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(found.sizes[found.doc].astype(np.int32)), found.term(), pa.array(tf), found.positions()], names=["id", "size", "term", "tf", "positions"])
+                own = ids[first + found.doc]
+                order = np.lexsort((own, found.code))
+                tf = np.diff(found.offsets)[order]
+                begins, posting = runs(tf)
+                places = found.places[found.offsets[:-1][order][posting] + np.arange(int(tf.sum())) - begins[posting]]
+                codes, n = np.unique(found.code, return_counts=True)
+                total = np.add.reduceat(tf, np.cumsum(n) - n) if len(n) else n
+                steps = deltas(own[order], n)
+                steps = np.where(np.isin(np.arange(len(steps)), np.cumsum(n) - n), zigzag(steps).view(np.int64), steps)
+                terms = pa.array(found.terms, pa.string()).take(pa.array(codes))
+                packed = [pack(steps, n), pack(tf, n), pack(found.sizes[found.doc][order], n), pack(deltas(places.astype(np.int64), tf), total)]
+                yield pa.RecordBatch.from_arrays([terms, pa.array(n, pa.int32()), pa.array(total, pa.int64()), *packed], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(run, "id long, size int, term string, tf int, positions array<int>")
+    return rows.mapInArrow(run, BLOCKS)
+
+
+def opened(blocks: DataFrame, positions: bool = False) -> DataFrame:
+    """(term, id, tf, size), and maybe positions, a row a posting."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                yield _opened(batch.slice(start, 64), positions)
+
+    columns = ["term", "n", "ids", "tfs", "sizes", *(["places"] if positions else [])]
+    return blocks.select(*columns).mapInArrow(run, "term string, id long, tf int, size int" + ", positions array<int>" * positions)
+
+
+def _opened(batch: pa.RecordBatch, positions: bool) -> pa.RecordBatch:
+    n = batch.column("n").to_numpy().astype(np.int64)
+    begins, block = runs(n)
+    steps = unpack(batch.column("ids"))
+    steps[begins] = unzigzag(steps[begins])
+    tf = unpack(batch.column("tfs"))
+    columns = [batch.column("term").take(pa.array(block)), pa.array(sums(steps, n)), pa.array(tf, pa.int32()), pa.array(unpack(batch.column("sizes")), pa.int32())]
+    if positions:
+        ends = np.zeros(len(tf) + 1, np.int32)
+        np.cumsum(tf, out=ends[1:])
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(sums(unpack(batch.column("places")), tf), pa.int32())))
+    return pa.RecordBatch.from_arrays(columns, names=["term", "id", "tf", "size", "positions"][: len(columns)])
 
 
 def best(scored: DataFrame, k: int, score: str = "score", tie: str = "id", by: str = "query_id") -> DataFrame:
@@ -72,14 +113,14 @@ class TermIndex:
         parts = max(1, math.ceil(stored["bytes"] / (self.buckets * max(file_bytes, PART_BYTES))))
 
         def postings() -> DataFrame:
-            found = postings_of(docs, id_col, text_col, term_of).withColumn("bucket", self._bucket(F.col("term")))
-            return found.repartition(self.buckets * parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions("bucket", "term", "id")
+            found = blocks_of(docs, id_col, text_col, term_of).withColumn("bucket", self._bucket(F.col("term")))
+            return found.repartition(self.buckets * parts, "bucket", F.pmod(F.xxhash64("ids"), F.lit(parts))).sortWithinPartitions("bucket", "term")
 
         def sizes() -> DataFrame:
             words = F.regexp_count(F.lower(F.col(text_col)), F.lit("[a-z0-9]++"))
             return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), words.cast("int").alias("size"))
 
-        self.postings = kept(spark, (*key, "postings"), postings, "bucket", path)
+        self.blocks = kept(spark, (*key, "blocks"), postings, "bucket", path)
         self.sizes = kept(spark, (*key, "sizes"), sizes, path=path)  # null where there is no text
         self.statistics = kept(spark, (*key, "statistics"), lambda: self.sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean")), path=path)
 
@@ -104,17 +145,26 @@ class TermIndex:
         asked = asked.select("query_id", "term")
         return (asked if own_terms else self.terms(asked)).distinct()
 
-    def of_terms(self, terms: DataFrame) -> DataFrame:
-        """The postings of the distinct ``terms`` (term). Up to ``MOST_LOOKED_UP`` are looked up in their buckets; more are joined."""
+    @property
+    def postings(self) -> DataFrame:
+        """(term, id, tf, size) of all texts."""
+        return opened(self.blocks)
+
+    def of_terms(self, terms: DataFrame, positions: bool = False) -> DataFrame:
+        """The postings of the distinct ``terms`` (term)."""
+        return opened(self._blocks_of(terms), positions)
+
+    def _blocks_of(self, terms: DataFrame) -> DataFrame:
+        """Up to ``MOST_LOOKED_UP`` terms are looked up in their buckets; more are joined."""
         asked = terms.select("term").distinct()
         few = asked.limit(MOST_LOOKED_UP + 1).withColumn("bucket", self._bucket(F.col("term"))).collect()
         if len(few) > MOST_LOOKED_UP:
-            return self.postings.join(asked.withColumn("bucket", self._bucket(F.col("term"))), ["bucket", "term"])
-        return self.postings.filter(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted(r["term"] for r in few)))
+            return self.blocks.join(asked.withColumn("bucket", self._bucket(F.col("term"))), ["bucket", "term"])
+        return self.blocks.filter(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted(r["term"] for r in few)))
 
     def frequencies(self, terms: DataFrame) -> DataFrame:
         """(term, df) of the distinct ``terms`` (term)."""
-        return self.of_terms(terms).groupBy("term").agg(F.count("*").alias("df"))
+        return self._blocks_of(terms).groupBy("term").agg(F.sum("n").alias("df"))
 
     def rarest(self, questions: DataFrame, most: int, least_df: int = 2) -> DataFrame:
         """(query_id, term): of each stated row (query_id, an indexed id) its rarest terms that another row has."""
@@ -129,8 +179,7 @@ class TermIndex:
         Statistics are of the whole corpus; ``allowed`` (id) says which rows may be found; ``own_terms``: the terms are the index's already.
         """
         asked = self._asked(asked, own_terms)
-        found = self.of_terms(asked)
-        df = found.groupBy("term").agg(F.count("*").alias("df"))
+        found, df = self.of_terms(asked), self.frequencies(asked)
         n, mean = self.statistics.select("n").scalar(), self.statistics.select("mean").scalar()
         idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
@@ -162,7 +211,7 @@ class TermIndex:
         """
         asked = cut(self.clauses(queries), "clauses")
         keys = ["query_id", "branch", "clause", "negated", "id"]
-        hits = self.of_terms(asked).select("term", "id", "positions").join(F.broadcast(asked), "term")  # the stated queries' words
+        hits = self.of_terms(asked, positions=True).select("term", "id", "positions").join(F.broadcast(asked), "term")  # the stated queries' words
         if allowed is not None:
             hits = hits.join(allowed.select("id"), "id", "left_semi")
         begins = F.transform("positions", lambda p: p - F.col("place"))
@@ -190,7 +239,7 @@ class TermIndex:
         """
         asked = cut(self._asked(asked, own_terms), "asked")
         sizes = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-        hits = self.of_terms(asked).select("term", "id", "positions")
+        hits = self.of_terms(asked, positions=True).select("term", "id", "positions")
         if allowed is not None:
             hits = hits.join(allowed.select("id"), "id", "left_semi")
         lists = hits.join(asked, "term").groupBy("query_id", "id").agg(F.collect_list("positions").alias("lists"))  # a list a term of the question

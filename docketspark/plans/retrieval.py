@@ -77,7 +77,7 @@ def text_index(spark, d):
        SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM t GROUP BY 1""")
 def term_index(spark, d):
     """The index is built: every term with the rows and the places it occurs in."""
-    return text_index(spark, d).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    return text_index(spark, d).blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("n"))
 
 
 @query(f"WITH {_BM25} SELECT id, round(score, 6) AS score, rank FROM bm", rank="INTEGER")

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docketspark.functions import varint as VI
 from docketspark.functions import words as WD
 from docketspark.functions.stem import english_stem
 from docketspark.operators import fulltext
@@ -61,14 +62,28 @@ def test_occurrences_of_long_texts_are_those_of_short_ones(monkeypatch):
     assert listed() == whole
 
 
+def test_numbers_are_packed_and_come_back():
+    rng = np.random.default_rng(6)
+    counts = np.array([3, 0, 1, 500, 0, 2])
+    values = np.concatenate([rng.integers(0, 200, 400), rng.integers(0, 2**62, 103), [0, 127, 128]])
+    packed = VI.pack(values, counts)
+    assert VI.unpack(packed).tolist() == values.tolist() and [len(VI.unpack(packed[i : i + 1])) for i in range(6)] == counts.tolist()
+    assert VI.unpack(VI.pack(values[:0], counts[:0])).tolist() == []
+    signed = np.array([0, -1, 1, -(2**62), 2**62, -5])
+    assert VI.unzigzag(VI.unpack(VI.pack(VI.zigzag(signed), np.array([6])))).tolist() == signed.tolist()
+    rising = np.sort(rng.integers(-1000, 1000, 506))
+    assert VI.sums(VI.deltas(rising, counts), counts).tolist() == rising.tolist()
+
+
 def test_index_with_stems_and_stop_words(spark):
-    docs = spark.createDataFrame([*enumerate(TEXTS), (None, "sign")], "id long, text string")
+    docs = spark.createDataFrame([*enumerate(TEXTS), (None, "sign"), (-(2**60), "zz"), (2**60, "zz zz")], "id long, text string")
     index = TermIndex(docs, ("stems",), term_of=english)
-    assert {r["term"] for r in index.postings.collect()} == {"sign", "citi", "noth", "a1", "b2"}
+    assert {r["term"] for r in index.postings.collect()} == {"sign", "citi", "noth", "a1", "b2", "zz"}
     asked = spark.createDataFrame([(1, "sign"), (2, "cities"), (3, "the"), (4, "none")], "query_id long, term string")
     assert {(r["query_id"], r["id"]) for r in index.search(asked, 5).collect()} == {(1, 3), (1, 5), (1, 6), (2, 3), (2, 4)}
     assert {(r["query_id"], r["id"]) for r in index.search(asked, 5, docs.filter("id = 4")).collect()} == {(2, 4)}
-    assert {(r["query_id"], r["id"]) for r in index.match([(1, "signs -city"), (2, '"sign of the signs"'), (3, "the"), (4, "nothing OR b2"), (5, "-sign")]).collect()} == {(1, 5), (1, 6), (4, 4), (4, 7), *((5, i) for i in (0, 1, 2, 4, 7)), (2, 6)}
+    assert {(r["query_id"], r["id"]) for r in index.match([(1, "signs -city"), (2, '"sign of the signs"'), (3, "the"), (4, "nothing OR b2"), (5, "-sign")]).collect()} == {(1, 5), (1, 6), (4, 4), (4, 7), *((5, i) for i in (0, 1, 2, 4, 7, -(2**60), 2**60)), (2, 6)}
+    assert {(r["id"], r["tf"], r["size"]) for r in index.postings.filter("term = 'zz'").collect()} == {(-(2**60), 1, 1), (2**60, 2, 2)}
     assert TermIndex(docs.limit(0), ("no rows",)).search(asked, 5).count() == 0
 
 
