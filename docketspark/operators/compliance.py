@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketspark.functions.limits import extract_limit
+from docketspark.operators.postings import TermIndex
+from docketspark.operators.retrieval import tokens
+from docketspark.session import cut
 
 _AREA, _LENGTH, _NONE = ("m2", "ft2"), ("m", "ft"), ()
 _FASCIA = ("fascia sign", "wall sign", "maximum sign area")
@@ -75,16 +78,37 @@ def governing_limits(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     return stated.groupBy(*key).agg(F.min_by(F.struct("chunk_id", "limit"), order).alias("best")).select(*key, "best.chunk_id", "best.limit")
 
 
-def check(specs: DataFrame, chunks: DataFrame) -> DataFrame:
+def limits_by_search(index: TermIndex, asked: DataFrame, chunks: DataFrame, top: int = 5, overrides: DataFrame | None = None) -> DataFrame:
+    """The same from an index: for every (slug, sign_type, dimension, terms, units) a question, all at once, among the chunks of its city
+    that may be cited; of the best ``top`` the first that states a limit decides. No other body is read.
+
+    ``overrides`` (municipality_slug, sign_type, dimension, terms) are a city's own terms, which go before the rule's.
+    """
+    key = ["municipality_slug", "sign_type", "dimension"]
+    if overrides is not None:
+        own = overrides.select(*key, F.col("terms").alias("own_terms"))
+        asked = asked.join(own, key, "left").withColumn("terms", F.coalesce("own_terms", "terms")).drop("own_terms")
+    rules = cut(asked.select(*key, "terms", "units", F.xxhash64(*key).alias("query_id")), "rules")
+    said = F.concat_ws(" ", F.slice("terms", 1, 2), F.col("dimension"), F.replace("sign_type", F.lit("_"), F.lit(" ")))
+    words = rules.select("query_id", F.col("municipality_slug").alias("scope"), F.explode(tokens(said)).alias("term"))
+    found = cut(index.search(words, top, _citable(chunks).select(F.col("chunk_id").alias("id"), F.col("municipality_slug").alias("scope"))), "rule-chunks")
+    bodies = found.join(chunks.select(F.col("chunk_id").alias("id"), "body"), "id").join(rules, "query_id")
+    stated = bodies.withColumn("limit", extract_limit(F.col("body"), F.col("units"))).filter("limit is not null")
+    return stated.groupBy(*key).agg(F.min_by(F.struct(F.col("id").alias("chunk_id"), "limit"), "rank").alias("best")).select(*key, "best.chunk_id", "best.limit")
+
+
+def check(specs: DataFrame, chunks: DataFrame, index: TermIndex | None = None, overrides: DataFrame | None = None) -> DataFrame:
     """Verdicts of sign specs: spec_id, dimension, proposed, allowed, unit, chunk_id, verdict.
 
     ``specs``: spec_id, sign_type, municipality_slug, area, height, setback, frontage, in metres. Setbacks are least distances,
-    the others most; a dimension not proposed is not checked; nothing stated, or a ratio without frontage, is indeterminate.
+    the others most; a dimension not proposed is not checked; nothing stated, or a ratio without frontage, is indeterminate. With an
+    ``index`` over the chunks' bodies limits are searched for in it, else among all chunks of a city.
     """
     proposed = specs.select("spec_id", "sign_type", "municipality_slug", "frontage", F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("double").alias("proposed")) for d in NUMERIC]))).filter("proposed is not null")
     rules = F.broadcast(rule_locations(specs.sparkSession))  # a fixed list
     asked = proposed.join(rules, ["sign_type", "dimension"])
-    limits = governing_limits(asked.select("municipality_slug", "sign_type", "dimension", "terms", "units").distinct(), chunks)
+    wanted = asked.select("municipality_slug", "sign_type", "dimension", "terms", "units").distinct()
+    limits = governing_limits(wanted, chunks) if index is None else limits_by_search(index, wanted, chunks, overrides=overrides)
     rows = asked.drop("terms", "units", "is_ratio").join(limits, ["municipality_slug", "sign_type", "dimension"], "left")
     unit = F.col("limit.unit")
     metric = F.when(unit == "ft", 0.3048).when(unit == "ft2", 0.09290304).when(unit != "%", 1.0)
@@ -101,23 +125,34 @@ def worst(verdict: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, ("complies", "indeterminate", "exceeds"))), code + 1)
 
 
-def checklist(cities: DataFrame, chunks: DataFrame, top: int = 3) -> DataFrame:
-    """Per city and topic: found, and the first of the ``top`` chunks that has a term. Topics are a fixed list."""
+def checklist(cities: DataFrame, chunks: DataFrame, top: int = 3, index: TermIndex | None = None) -> DataFrame:
+    """Per city and topic: found, and the first of the ``top`` chunks that has a term. Topics are a fixed list.
+
+    With an ``index`` each (city, topic) is a question, and of its best ``top`` chunks the first that has one of the terms counts.
+    """
     topics = cities.select("municipality_slug", F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(t).alias("topic"), F.array(*map(F.lit, terms)).alias("terms")) for i, (t, terms) in enumerate(TOPICS)])))
-    rows = topics.join(_citable(chunks).select("municipality_slug", "chunk_id", "body"), "municipality_slug")
-    hits = rows.withColumn("hits", F.size(F.filter("terms", lambda t: F.contains(F.lower(F.col("body")), t)))).filter("hits > 0")
-    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("municipality_slug", "topic").orderBy(F.desc("hits"), "chunk_id"))).filter(F.col("rank") <= top)
+    has = F.size(F.filter("terms", lambda t: F.contains(F.lower(F.col("body")), t)))
+    if index is None:
+        rows = topics.join(_citable(chunks).select("municipality_slug", "chunk_id", "body"), "municipality_slug")
+        hits = rows.withColumn("hits", has).filter("hits > 0")
+        ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("municipality_slug", "topic").orderBy(F.desc("hits"), "chunk_id"))).filter(F.col("rank") <= top)
+    else:
+        asked = cut(topics.withColumn("query_id", F.xxhash64("municipality_slug", "topic")), "topics")
+        words = asked.select("query_id", F.col("municipality_slug").alias("scope"), F.explode(tokens(F.array_join("terms", " "))).alias("term"))
+        found = cut(index.search(words, top, _citable(chunks).select(F.col("chunk_id").alias("id"), F.col("municipality_slug").alias("scope"))), "topic-chunks")
+        ranked = found.join(chunks.select(F.col("chunk_id").alias("id"), "body"), "id").join(asked, "query_id").filter(has > 0).withColumnRenamed("id", "chunk_id")
     best = ranked.groupBy("municipality_slug", "topic").agg(F.min_by("chunk_id", "rank").alias("chunk_id"), F.count("*").alias("n_chunks"))
     return topics.select("municipality_slug", "position", "topic").join(best, ["municipality_slug", "topic"], "left").withColumn("found", F.col("chunk_id").isNotNull()).fillna(0, ["n_chunks"])
 
 
-def compare(cities: DataFrame, chunks: DataFrame, sign_type: str) -> DataFrame:
-    """Per dimension and city the limit; a dimension is comparable if two cities at least state one, all in the same unit and kind."""
+def compare(cities: DataFrame, chunks: DataFrame, sign_type: str, index: TermIndex | None = None) -> DataFrame:
+    """Per dimension and city the limit, and whether it is the lowest or highest of those known; a dimension is comparable if two cities
+    at least state one, all in the same unit and kind."""
     rules = rule_locations(cities.sparkSession).filter(F.col("sign_type") == sign_type).filter(F.col("dimension").isin(*NUMERIC))
     asked = cities.select("municipality_slug").join(F.broadcast(rules.drop("is_ratio")))  # a few dimensions for each city
-    limits = governing_limits(asked, chunks)
+    limits = governing_limits(asked, chunks) if index is None else limits_by_search(index, asked, chunks)
     rows = asked.select("municipality_slug", "dimension").join(limits, ["municipality_slug", "dimension"], "left").select("municipality_slug", "dimension", "limit.value", "limit.unit", "limit.is_ratio", "chunk_id")
-    w = W.partitionBy("dimension")
-    known = F.count("value").over(w)
-    same = (F.min("unit").over(w) == F.max("unit").over(w)) & (F.min("is_ratio").over(w) == F.max("is_ratio").over(w))
-    return rows.withColumn("comparable", (known >= 2) & F.coalesce(same, F.lit(False)))
+    of_all = rows.groupBy("dimension").agg(F.count("value").alias("known"), ((F.min("unit") == F.max("unit")) & (F.min("is_ratio") == F.max("is_ratio"))).alias("same"), F.min("value").alias("low"), F.max("value").alias("high"))
+    joined = rows.join(F.broadcast(of_all), "dimension")  # one row a dimension
+    comparable = (F.col("known") >= 2) & F.coalesce("same", F.lit(False))
+    return joined.select(*rows.columns, comparable.alias("comparable"), (comparable & F.coalesce(F.col("value") == F.col("low"), F.lit(False))).alias("lowest"), (comparable & F.coalesce(F.col("value") == F.col("high"), F.lit(False))).alias("highest"))

@@ -176,17 +176,21 @@ class TermIndex:
     def search(self, asked: DataFrame, k: int, allowed: DataFrame | None = None, k1: float = 1.2, b: float = 0.75, own_terms: bool = False) -> DataFrame:
         """(query_id, id, score, rank): the best ``k`` by BM25 for every question of ``asked`` (query_id, term).
 
-        Statistics are of the whole corpus; ``allowed`` (id) says which rows may be found; ``own_terms``: the terms are the index's already.
+        Statistics are of the whole corpus; ``allowed`` (id) says which rows may be found; where it and ``asked`` have a ``scope``, each
+        question finds those of its own scope. ``own_terms``: the terms are the index's already.
         """
+        scopes = asked.select("query_id", "scope").distinct() if "scope" in asked.columns else None
         asked = self._asked(asked, own_terms)
         found, df = self.of_terms(asked), self.frequencies(asked)
         n, mean = self.statistics.select("n").scalar(), self.statistics.select("mean").scalar()
         idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
-        if allowed is not None:
+        weighed, keys = asked.join(df, "term"), ["term"]
+        if scopes is not None:
+            found, weighed, keys = found.join(allowed.select("id", "scope"), "id"), weighed.join(scopes, "query_id"), ["term", "scope"]
+        elif allowed is not None:
             found = found.join(allowed.select("id"), "id", "left_semi")
-        weighed = asked.join(df, "term")
-        scored = found.join(weighed, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
+        scored = found.join(weighed, keys).groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
         return best(scored, k)
 
     # --- web-style queries

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docketspark.operators import fulltext
 from docketspark.operators import retrieval as R
 from docketspark.operators.ann import VectorIndex
+from docketspark.operators.answering import resolve
 from docketspark.operators.postings import english
 from docketspark.plans.registry import query
 from docketspark.session import cut, spread, table
@@ -196,3 +197,25 @@ def english_ranking(spark, d):
     index = R.TermIndex(spread(docs.select("doc_id", "text")), ("documents", d), "doc_id", term_of=english, source=docs)
     asked = index.rarest(table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id")), 2)
     return index.cover_density(asked, 10, own_terms=True)
+
+
+@query(f"""WITH tk AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents),
+       po AS (SELECT doc_id, term, count(*) AS tf FROM tk GROUP BY ALL), sz AS (SELECT doc_id, len({_TOKENS}) AS size FROM documents), st AS (SELECT count(*) AS n, avg(size) AS mean FROM sz), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+       qt AS (SELECT vec_id AS query_id, term, df FROM embeddings JOIN po ON doc_id = vec_id JOIN df USING (term) WHERE vec_id % 20 = 0 AND df >= 2 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY df, term) <= 2),
+       b AS (SELECT query_id, doc_id AS id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score FROM qt JOIN po USING (term) JOIN sz USING (doc_id) CROSS JOIN st GROUP BY 1, 2),
+       m AS (SELECT doc_id AS id, lang, source, CASE WHEN lang = 'en' AND source <> 'src3' THEN 'in_force' WHEN lang = 'fr' THEN 'superseded' ELSE 'repealed' END AS status FROM documents),
+       f AS (SELECT query_id, id, lang, source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b JOIN m USING (id) WHERE status = 'in_force' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5),
+       c AS (SELECT query_id, count(*) AS n_conflicts FROM (SELECT query_id FROM f GROUP BY query_id, lang, source HAVING count(DISTINCT id) >= 2) GROUP BY 1),
+       g AS (SELECT query_id, id, status, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b JOIN m USING (id) WHERE query_id NOT IN (SELECT query_id FROM f) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5),
+       o AS (SELECT query_id, string_agg('doc ' || id || ' (' || status || ')', '; ' ORDER BY rank) AS outdated FROM g WHERE status <> 'in_force' GROUP BY 1),
+       t AS (SELECT query_id, count(*) AS n_chunks, arg_min(id, rank) AS best FROM f GROUP BY 1)
+       SELECT query_id, CASE WHEN n_conflicts > 0 THEN 'conflicting_amendments' WHEN n_chunks > 0 THEN 'answered' WHEN outdated IS NOT NULL THEN 'only_outdated' ELSE 'no_relevant' END AS outcome, coalesce(n_chunks, 0) AS n_chunks, best, coalesce(n_conflicts, 0) AS n_conflicts, coalesce(outdated, '') AS outdated
+       FROM (SELECT DISTINCT query_id FROM qt) LEFT JOIN t USING (query_id) LEFT JOIN c USING (query_id) LEFT JOIN o USING (query_id)""")
+def question_outcomes(spark, d):
+    """Every twentieth document's two rarest terms as a question: answered, in conflict, found only out of force by a second retrieval, or not found."""
+    docs, index = table(spark, d, "documents"), text_index(spark, d)
+    status = F.when((F.col("lang") == "en") & (F.col("source") != "src3"), "in_force").when(F.col("lang") == "fr", "superseded").otherwise("repealed")
+    chunks = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("municipality_slug"), F.col("source").alias("section_number"), F.col("doc_id").alias("document_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("document_title"), status.alias("document_status"))
+    asked = index.rarest(table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id")), 2)
+    found = resolve(index, chunks, asked, own_terms=True)
+    return found.withColumn("outdated", F.array_join("outdated", "; "))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from docketspark.operators import compliance as C
 from docketspark.operators import places as P
+from docketspark.operators.postings import TermIndex
 from docketspark.plans.registry import query
-from docketspark.plans.text import each, each_sql, rows, values
+from docketspark.plans.text import each, each_sql, rows
 from docketspark.session import table
 
 _QUESTIONS = [
@@ -88,47 +89,77 @@ def zoning_outcomes(spark, d):
     return P.zoning_lookup(asked.select("municipality_slug", "normalized_address"), cache, providers, answers, F.lit(now))
 
 
-_CHUNKS = [
-    (1, "surrey", "in_force", False, "The maximum height of a pylon sign height is 7.5 m."),
-    (2, "surrey", "in_force", False, "Pylon sign setback: a setback of no more than 2 m from the property line applies, maximum 2 m."),
-    (3, "surrey", "superseded", False, "The maximum height of a pylon sign height is 1 m."),
-    (4, "surrey", "in_force", False, "Fascia sign area shall not exceed 0.2 square metres per metre of building frontage."),
-    (5, "burnaby", "in_force", False, "A pylon sign shall not exceed a maximum height of 20 feet."),
-    (6, "burnaby", "in_force", True, "A pylon sign shall not exceed a maximum height of 1 m."),
-    (7, "burnaby", "in_force", False, "A permit fee is payable. Heritage areas need design review."),
-    (8, "richmond", "in_force", False, "Each pylon sign has a maximum height of 6 m; drawings are required."),
-]
-_CHUNK_SCHEMA = "chunk_id int, municipality_slug string, document_status string, from_ocr boolean, body string"
-_SPECS = [(1, "pylon", "surrey", None, 7.0, 1.0, None), (2, "fascia", "surrey", 3.0, None, None, 20.0), (3, "fascia", "surrey", 3.0, None, None, None), (4, "pylon", "burnaby", None, 7.0, None, None), (5, "pylon", "hope", None, 7.0, None, None)]
-_VERDICTS = [(1, "height", 7.5, 1, "complies"), (1, "setback", 2.0, 2, "exceeds"), (2, "area", 4.0, 4, "complies"), (3, "area", None, 4, "indeterminate"), (4, "height", 6.096, 5, "exceeds"), (5, "height", None, None, "indeterminate")]
-
-
-@query(f"SELECT spec_id, dimension, CAST(allowed AS DOUBLE) AS allowed, chunk_id, verdict FROM (VALUES {values(*_VERDICTS)}) t(spec_id, dimension, allowed, chunk_id, verdict)")
+_BODY = """p_name || CASE p_partkey % 4 WHEN 0 THEN ': the maximum height of a pylon sign is ' || p_size || ' m.' WHEN 1 THEN ': a pylon sign keeps a setback of no more than ' || p_size || ' m from the property line.'
+         WHEN 2 THEN ': pylon sign area shall not exceed ' || p_size || ' square metres.' ELSE ': drawings, and a permit fee of ' || p_size || ' dollars.' END"""
+_BM25 = f"""ch AS (SELECT p_partkey AS id, p_brand AS city, p_size % 7 <> 0 AND p_size % 11 <> 0 AS ok, {_BODY} AS body, p_partkey % 4 AS kind, p_size AS size_m FROM part),
+       tk AS (SELECT id, unnest(list_filter(string_split_regex(lower(body), '[^a-z0-9]+'), lambda t: t <> '')) AS term FROM ch),
+       po AS (SELECT id, term, count(*) AS tf FROM tk GROUP BY ALL), sz AS (SELECT id, count(*) AS size FROM tk GROUP BY 1), st AS (SELECT count(*) AS n, avg(size) AS mean FROM sz), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+       s AS (SELECT city, q, id, kind, size_m, body, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score
+             FROM qs JOIN po USING (term) JOIN df USING (term) JOIN sz USING (id) JOIN ch USING (id) CROSS JOIN st WHERE ok GROUP BY ALL)"""
+_RULE_WORDS = "qs AS (SELECT q, unnest(ws) AS term FROM (VALUES ('height', ['pylon', 'sign', 'height', 'maximum']), ('setback', ['setback', 'property', 'line', 'pylon']), ('area', ['pylon', 'sign', 'freestanding', 'area'])) t(q, ws))"
+_LIMITS_SQL = f"""{_RULE_WORDS}, {_BM25},
+       r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY city, q ORDER BY score DESC, id) <= 5),
+       lim AS (SELECT city, q AS dimension, id AS chunk_id, size_m AS value, CASE q WHEN 'area' THEN 'm2' ELSE 'm' END AS unit FROM r WHERE CASE q WHEN 'area' THEN kind = 2 ELSE kind IN (0, 1) END
+               QUALIFY row_number() OVER (PARTITION BY city, q ORDER BY score DESC, id) = 1)"""
+_SPEC_SQL = "sp AS (SELECT s_suppkey AS spec_id, 'Brand#' || (s_suppkey % 27 + 1) AS city, unnest(['area', 'height', 'setback']) AS dimension, unnest([s_suppkey % 30, s_suppkey % 50, s_suppkey % 20])::DOUBLE AS proposed FROM supplier)"
+_CHECK_SQL = f"""{_LIMITS_SQL}, {_SPEC_SQL},
+       v AS (SELECT spec_id, dimension, CAST(value AS DOUBLE) AS allowed, chunk_id, CASE WHEN value IS NULL THEN 'indeterminate' WHEN CASE dimension WHEN 'setback' THEN proposed >= value ELSE proposed <= value END THEN 'complies' ELSE 'exceeds' END AS verdict
+             FROM sp LEFT JOIN lim USING (city, dimension))"""
+
+
+def rule_chunks(spark, d):
+    """Parts as chunks of rules, which their sizes stand in: the brand is the city, and some are out of force or read by OCR."""
+    size = F.col("p_size")
+    number = size.cast("string")
+    kind = F.col("p_partkey") % 4
+    said = (
+        F.when(kind == 0, F.concat(F.lit(": the maximum height of a pylon sign is "), number, F.lit(" m.")))
+        .when(kind == 1, F.concat(F.lit(": a pylon sign keeps a setback of no more than "), number, F.lit(" m from the property line.")))
+        .when(kind == 2, F.concat(F.lit(": pylon sign area shall not exceed "), number, F.lit(" square metres.")))
+        .otherwise(F.concat(F.lit(": drawings, and a permit fee of "), number, F.lit(" dollars.")))
+    )
+    status = F.when(size % 7 == 0, "superseded").otherwise("in_force")
+    parts = table(spark, d, "part")
+    chunks = parts.select(F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("municipality_slug"), status.alias("document_status"), (size % 11 == 0).alias("from_ocr"), F.concat("p_name", said).alias("body"))
+    return chunks, TermIndex(chunks, ("part rules", d), "chunk_id", "body", source=parts)
+
+
+def sign_specs(spark, d):
+    """Suppliers' proposed pylon signs."""
+    key = F.col("s_suppkey")
+    city = F.concat(F.lit("Brand#"), (key % 27 + 1).cast("string"))  # two of the cities have no rules
+    return table(spark, d, "supplier").select(key.alias("spec_id"), F.lit("pylon").alias("sign_type"), city.alias("municipality_slug"), (key % 30).cast("double").alias("area"), (key % 50).cast("double").alias("height"), (key % 20).cast("double").alias("setback"), F.lit(None).cast("double").alias("frontage"))
+
+
+@query(f"WITH {_CHECK_SQL} SELECT * FROM v")
 def compliance_check(spark, d):
-    """Proposed signs against the limits that chunks in force state."""
-    specs = rows(spark, "spec_id int, sign_type string, municipality_slug string, area double, height double, setback double, frontage double", *_SPECS)
-    return C.check(specs, rows(spark, _CHUNK_SCHEMA, *_CHUNKS)).select("spec_id", "dimension", F.round("allowed", 6).alias("allowed"), "chunk_id", "verdict")
+    """Suppliers' signs against the limits that each city's best chunks in force state, found in an index of all chunks."""
+    return C.check(sign_specs(spark, d), *rule_chunks(spark, d)).select("spec_id", "dimension", "allowed", "chunk_id", "verdict")
 
 
-@query(f"SELECT spec_id, verdict FROM (VALUES {values((1, 'exceeds'), (2, 'complies'), (3, 'indeterminate'), (4, 'exceeds'), (5, 'indeterminate'))}) t(spec_id, verdict)")
+@query(f"WITH {_CHECK_SQL} SELECT spec_id, CASE max(CASE verdict WHEN 'exceeds' THEN 2 WHEN 'indeterminate' THEN 1 ELSE 0 END) WHEN 2 THEN 'exceeds' WHEN 1 THEN 'indeterminate' ELSE 'complies' END AS verdict FROM v GROUP BY 1")
 def compliance_rollup(spark, d):
-    """The gravest verdict of each spec."""
-    specs = rows(spark, "spec_id int, sign_type string, municipality_slug string, area double, height double, setback double, frontage double", *_SPECS)
-    return C.check(specs, rows(spark, _CHUNK_SCHEMA, *_CHUNKS)).groupBy("spec_id").agg(C.worst(F.col("verdict")).alias("verdict"))
+    """The gravest verdict of each supplier's sign."""
+    return C.check(sign_specs(spark, d), *rule_chunks(spark, d)).groupBy("spec_id").agg(C.worst(F.col("verdict")).alias("verdict"))
 
 
-@query(f"SELECT * FROM (VALUES {values(*[('burnaby', t, t in ('fees', 'heritage'), 7 if t in ('fees', 'heritage') else None) for t, _ in C.TOPICS], *[('richmond', t, t == 'drawings', 8 if t == 'drawings' else None) for t, _ in C.TOPICS])}) t(municipality_slug, topic, found, chunk_id)")
-def permit_checklist(spark, d):
-    """What chunks in force say to the topics of a permit."""
-    cities = rows(spark, "municipality_slug string", ("burnaby",), ("richmond",))
-    return C.checklist(cities, rows(spark, _CHUNK_SCHEMA, *_CHUNKS)).select("municipality_slug", "topic", "found", "chunk_id")
+_TOPICS = ", ".join(f"('{t}', {[*dict.fromkeys(' '.join(terms).split())]!r}, {list(terms)!r})" for t, terms in C.TOPICS)
 
 
-_COMPARED = [("surrey", "height", 7.5, "m", False), ("richmond", "height", 6.0, "m", True), ("surrey", "setback", 2.0, "m", False), ("richmond", "setback", None, None, False), ("surrey", "area", None, None, False), ("richmond", "area", None, None, False)]
+@query(f"""WITH qs AS (SELECT q, unnest(ws) AS term FROM (VALUES {_TOPICS}) t(q, ws, terms)), {_BM25},
+       r AS (SELECT s.*, row_number() OVER (PARTITION BY city, s.q ORDER BY score DESC, id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY city, s.q ORDER BY score DESC, id) <= 3),
+       b AS (SELECT city, r.q, arg_min(id, rank) AS chunk_id FROM r JOIN (VALUES {_TOPICS}) t(q, ws, terms) ON t.q = r.q WHERE len(list_filter(terms, lambda t: contains(lower(body), t))) > 0 GROUP BY 1, 2)
+       SELECT c.city AS municipality_slug, t.q AS topic, chunk_id IS NOT NULL AS found, chunk_id FROM (SELECT DISTINCT p_brand AS city FROM part) c CROSS JOIN (VALUES {_TOPICS}) t(q, ws, terms) LEFT JOIN b ON b.city = c.city AND b.q = t.q""")
+def permit_checklist(spark, d):
+    """What each city's chunks in force say to the topics of a permit."""
+    chunks, index = rule_chunks(spark, d)
+    return C.checklist(chunks.select("municipality_slug").distinct(), chunks, index=index).select("municipality_slug", "topic", "found", "chunk_id")
 
 
-@query(f"SELECT municipality_slug, dimension, CAST(value AS DOUBLE) AS value, unit, dimension = 'height' AS comparable FROM (VALUES {values(*_COMPARED)}) t(municipality_slug, dimension, value, unit, comparable)")
+@query(f"""WITH {_LIMITS_SQL}, c AS (SELECT DISTINCT p_brand AS city FROM part),
+       a AS (SELECT city, dimension, value, unit, count(value) OVER w >= 2 AS many, min(value) OVER w AS low, max(value) OVER w AS high FROM c CROSS JOIN (VALUES ('area'), ('height'), ('setback')) t(dimension) LEFT JOIN lim USING (city, dimension) WINDOW w AS (PARTITION BY dimension))
+       SELECT city AS municipality_slug, dimension, CAST(value AS DOUBLE) AS value, unit, many AS comparable, coalesce(many AND value = low, false) AS lowest, coalesce(many AND value = high, false) AS highest FROM a""")
 def municipality_comparison(spark, d):
-    """Limits of two cities side by side."""
-    cities = rows(spark, "municipality_slug string", ("surrey",), ("richmond",))
-    return C.compare(cities, rows(spark, _CHUNK_SCHEMA, *_CHUNKS), "pylon").select("municipality_slug", "dimension", "value", "unit", "comparable")
+    """Limits of all cities side by side."""
+    chunks, index = rule_chunks(spark, d)
+    return C.compare(chunks.select("municipality_slug").distinct(), chunks, "pylon", index).select("municipality_slug", "dimension", "value", "unit", "comparable", "lowest", "highest")
