@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from docketspark.operators import relational as R
 from docketspark.plans.registry import query
-from docketspark.session import table
+from docketspark.session import scratch, table
+from docketspark.sources.keyed import KeyedTable, delete_cascade
 
 
 @query("""SELECT n_nationkey, n_name, coalesce(c.n, 0) AS n_documents FROM nation
@@ -285,3 +286,25 @@ def severity_rollup(spark, d):
     return rows.groupBy(F.col("n_regionkey").alias("region")).agg(
         F.bool_or(F.col("c_acctbal") < -900).alias("any_failing"), F.bool_and(F.col("c_acctbal") > -1000).alias("all_required"), F.when(code == 2, "exceeds").when(code == 1, "indeterminate").otherwise("complies").alias("verdict")
     )
+
+
+@query("""WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 50 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer
+         UNION ALL SELECT c_custkey + 10000000, 'new', c_acctbal FROM customer WHERE c_custkey % 70 = 0)
+       SELECT c_custkey, c_mktsegment, round(c_acctbal, 2) AS c_acctbal, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM t WHERE c_mktsegment <> 'MACHINERY' OR c_custkey % 3 <> 0""")
+def keyed_writes(spark, d):
+    """Customers and their orders as tables with keyed writes: some rows change, some are new, some go with their orders."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    parent = KeyedTable(spark, scratch(spark, "keyed-customers"), ["c_custkey"], 16)
+    child = KeyedTable(spark, scratch(spark, "keyed-orders"), ["c_custkey"], 16)
+    parent.create(customers)
+    child.create(orders)
+    changed = customers.filter("c_custkey % 50 = 0").select("c_custkey", F.lit("changed").alias("c_mktsegment"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    stale = changed.select("c_custkey", F.lit("stale").alias("c_mktsegment"), "c_acctbal")
+    new = customers.filter("c_custkey % 70 = 0").select((F.col("c_custkey") + 10_000_000).alias("c_custkey"), F.lit("new").alias("c_mktsegment"), "c_acctbal")
+    parent.upsert(changed.unionByName(stale), F.when(F.col("c_mktsegment") == "stale", 0).otherwise(1))
+    parent.insert_ignore(new.unionByName(stale))
+    delete_cascade(parent.read().filter("c_mktsegment = 'MACHINERY' and c_custkey % 3 = 0").select("c_custkey"), parent, [child])
+    counts = child.read().groupBy("c_custkey").agg(F.count("*").alias("n_orders"))
+    left = parent.read().join(counts, "c_custkey", "left")
+    return left.select("c_custkey", "c_mktsegment", F.round("c_acctbal", 2).alias("c_acctbal"), F.coalesce("n_orders", F.expr("0L")).alias("n_orders"))

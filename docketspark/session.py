@@ -56,6 +56,13 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, deleted with the scratch tables."""
+    path = f"{shared_dir(spark)}/docketspark/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
 _KEPT: dict[tuple, tuple[SparkSession, str, StructType]] = {}
 
 
