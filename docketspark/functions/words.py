@@ -67,10 +67,10 @@ class Occurrences:
         return pa.ListArray.from_arrays(pa.array(self.offsets), pa.array(self.places))
 
 
-def occurrences(texts: pa.Array, term_of: Callable[[str], str | None] | None = None) -> Iterator[tuple[int, Occurrences]]:
-    """For slices of ``texts`` (lower-cased, no nulls) the first row and the occurrences. ``term_of``: a word's term, null to leave it out;
+def occurrences(texts: pa.Array, term_of: Callable[[str], str | None] | None = None, most: int | None = None) -> Iterator[tuple[int, Occurrences]]:
+    """For slices of ``texts`` (lower-cased, no nulls) of at most ``most`` bytes the first row and the occurrences. ``term_of``: a word's term, null to leave it out;
     left out words count in positions and sizes."""
-    for i, j in slices(texts):
+    for i, j in slices(texts, most or SLICE_BYTES):
         codes: dict[str, int] = {}
 
         def numbered(words: pa.Array, codes: dict[str, int] = codes) -> np.ndarray:

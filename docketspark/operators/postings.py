@@ -26,6 +26,7 @@ from docketspark.session import cut, fingerprint, kept
 
 FILE_BYTES = 2 << 20  # of text whose postings go to one bucket
 PART_BYTES = 128 << 20  # of text whose postings go to one file of a bucket, once there are the most buckets
+BLOCK_BYTES = 8 << 20  # of text whose postings of a term are one block
 MOST_BUCKETS = 4096
 MOST_LOOKED_UP = 2000
 
@@ -45,7 +46,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, term_of: Callable[[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("id").to_numpy(), batch.column("text").cast(pa.string()).fill_null("")
-            for first, found in occurrences(texts, term_of):
+            for first, found in occurrences(texts, term_of, BLOCK_BYTES):
                 own = ids[first + found.doc]
                 order = np.lexsort((own, found.code))
                 tf = np.diff(found.offsets)[order]

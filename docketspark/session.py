@@ -87,7 +87,7 @@ def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], partiti
         at = f"{path.rstrip('/')}/{name}" if path else f"{shared_dir(spark)}/docketspark/kept-{uuid.uuid4().hex}"
         made = make()
         if not path or not exists(spark, f"{at}/_SUCCESS"):
-            writer = made.write.mode("overwrite")
+            writer = made.write.mode("overwrite").option("compression", "zstd")
             (writer.partitionBy(partition_by) if partition_by else writer).parquet(at)
         _KEPT[own] = (spark, at, made.schema)
     _, at, schema = _KEPT[own]
