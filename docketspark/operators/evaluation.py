@@ -47,6 +47,37 @@ def score_cases(cases: DataFrame) -> DataFrame:
     return rows.withColumn("passed", passed)
 
 
+def case_flags(cases: DataFrame) -> DataFrame:
+    """What an answer did, from the answer itself: has_expected, has_forbidden, behaved.
+
+    ``cases``: answer, expected_answer_contains array, must_not_contain array, should_abstain, should_ask_clarification, abstained,
+    asked_clarification. Texts are looked for without regard to case; no answer is the empty one. A case that is to be answered fails
+    if the system declined or asked back.
+    """
+    said = F.lower(F.coalesce("answer", F.lit("")))
+    none = F.array().cast("array<string>")
+
+    def holds(x: Column) -> Column:
+        return F.contains(said, F.lower(x))
+
+    expected = F.forall(F.coalesce("expected_answer_contains", none), holds)
+    forbidden = F.exists(F.coalesce("must_not_contain", none), holds)
+    right = F.when(F.col("should_ask_clarification"), F.col("asked_clarification")).when(F.col("should_abstain"), F.col("abstained")).otherwise(~F.col("abstained") & ~F.col("asked_clarification"))
+    return cases.withColumns({"has_expected": expected, "has_forbidden": forbidden, "behaved": right})
+
+
+def scope_precision(retrieved: Column, expected: Column) -> Column:
+    """The share of retrieved municipalities that a question is about; null where it is about none or nothing was retrieved."""
+    there = F.filter(retrieved, lambda x: F.array_contains(expected, x))
+    return F.when((F.size(expected) > 0) & (F.size(retrieved) > 0), F.size(there) / F.size(retrieved))
+
+
+def scope_leaks(runs: DataFrame) -> DataFrame:
+    """The questions for which another municipality's text was retrieved: question_id, precision, leaked (sorted)."""
+    found = runs.withColumn("precision", scope_precision(F.col("retrieved_municipalities"), F.col("expected_municipalities"))).filter("precision < 1")
+    return found.select("question_id", "precision", F.array_sort(F.array_except("retrieved_municipalities", "expected_municipalities")).alias("leaked"))
+
+
 def suite_report(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     return scored.groupBy(*(by or [])).agg(
         F.count("*").alias("n"), rate(F.col("passed")).alias("pass_rate"), rate(F.col("retrieval_ok")).alias("retrieval_accuracy"), rate(F.col("behaved")).alias("behaviour_accuracy"), F.coalesce(F.avg("precision"), F.lit(0.0)).alias("citation_accuracy"),
@@ -71,13 +102,15 @@ def validation_report(runs: DataFrame) -> DataFrame:
         rate(F.col("citations") > 0, F.col("outcome") == "answered").alias("answers_with_citations"),
         F.count_if(F.col("n_stale") > 0).alias("stale_citations"),
         F.coalesce(F.avg("retrieval_precision"), F.lit(0.0)).alias("retrieval_precision"),
+        rate(F.col("abstained")).alias("abstention_rate"),
         rate(F.col("abstained"), F.col("expect_abstention")).alias("correct_abstention_rate"),
         rate(F.col("abstained"), ~F.col("expect_abstention")).alias("false_abstention_rate"),
         rate(F.col("behaved")).alias("behaviour_accuracy"),
     )
-    for column, name in (("retrieval_ms", "retrieval_p95_ms"), ("total_ms", "answer_p95_ms")):
-        p = nearest_rank(runs.filter(fine & (F.col(column) > 0)).withColumn("_all", F.lit(1)), ["_all"], column, {name: 0.95}).select(name)
-        report = report.withColumn(name, F.coalesce(p.scalar(), F.lit(0)))
+    for column, name in (("retrieval_ms", "retrieval"), ("total_ms", "answer")):
+        shares = {f"{name}_p50_ms": 0.50, f"{name}_p95_ms": 0.95}
+        p = nearest_rank(runs.filter(fine & (F.col(column) > 0)).withColumn("_all", F.lit(1)), ["_all"], column, shares)
+        report = report.withColumns({n: F.coalesce(p.select(n).scalar(), F.lit(0)) for n in shares})
     return report
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docketspark.session import cut
+
 
 def coverage(catalogue: DataFrame, facts: DataFrame, key: str, fact_key: str, counted: Column, name: str = "n") -> DataFrame:
     """Every catalogue row with the number of facts that satisfy ``counted``, 0 where there is none."""
@@ -45,19 +47,58 @@ def weighted_mode(rows: DataFrame, by: list[str], value: Column, weight: Column,
     return best
 
 
-def nearest_rank(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+SORTED = 1 << 20  # distinct values of a group that one task may order
+BINS = 1024
+
+
+def nearest_rank(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], most_sorted: int = SORTED) -> DataFrame:
     """Nearest-rank percentiles: element ``min(n - 1, floor(n * p))`` of the sorted values, without collecting a group.
 
-    Ranks come from a window over (group, value) counts, so a hot group is pre-aggregated before it is ordered.
+    Values are counted first, so repeats never move. Groups of up to ``most_sorted`` different values are ranked by a window over these
+    counts. If there are larger ones, ranks are selected by histograms of ``BINS`` bins that are refined around each rank, so no
+    task orders a group. Not a number and null do not count.
     """
-    given = rows.filter(F.col(value).isNotNull())
-    counts = given.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    order = W.partitionBy(*by).orderBy(value)
+    v = F.col(value)
+    given = rows.filter(v.isNotNull() & ~F.isnan(v.cast("double")))
+    counts = cut(given.groupBy(*by, v.alias("_v")).agg(F.count("*").alias("_c")), "counts")
+    totals = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.count("*").alias("_different"))
+    if (totals.agg(F.max("_different").alias("most")).first()["most"] or 0) > most_sorted:
+        return _selected(counts, cut(totals.drop("_different"), "totals"), by, shares)
+    order = W.partitionBy(*by).orderBy("_v")
     placed = counts.withColumn("_upto", F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(W.partitionBy(*by)))
-    picks = [F.min(F.when(F.col("_upto") >= F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1), F.col(value))).alias(name) for name, p in shares.items()]
+    picks = [F.min(F.when(F.col("_upto") >= F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1), F.col("_v"))).alias(name) for name, p in shares.items()]
     return placed.groupBy(*by).agg(F.max("_n").alias("n"), *picks)
 
 
+def _selected(counts: DataFrame, totals: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """The ranks by refinement: of each (group, share) a range that holds its rank, and how many values lie below the range.
+
+    A round counts a range's values in equal bins and goes on with the one that holds the rank, from its least to its greatest value, so
+    it ends when these are one. What a round shuffles is bins, added up before they move.
+    """
+    places = F.inline(F.array(*[F.struct(F.lit(name).alias("_share"), F.least(F.col("n"), F.floor(F.col("n") * p) + 1).alias("_rank")) for name, p in shares.items()]))
+    bounds = counts.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    key = [*by, "_share"]
+    state = cut(totals.select(*by, places).join(bounds, by).withColumn("_below", F.expr("0L")), "ranges")
+    while True:
+        wide = state.filter("_low < _high")
+        if wide.isEmpty():
+            break
+        low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
+        # halves keep the difference of the largest doubles finite
+        at = F.floor((F.col("_v").cast("double") / 2 - low / 2) / (high / 2 - low / 2) * BINS)
+        inside = counts.join(wide, by).filter(F.col("_v").between(F.col("_low"), F.col("_high"))).withColumn("_bin", F.least(F.greatest(at, F.lit(0)), F.lit(BINS - 1)))
+        bins = inside.groupBy(*key, "_rank", "_below", "_bin").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        order = W.partitionBy(*key).orderBy("_bin")
+        upto = F.col("_below") + F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0))
+        found = bins.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_c") < F.col("_rank")))
+        columns = state.columns
+        narrowed = found.withColumn("_below", F.col("_upto") - F.col("_c")).select(*columns)
+        state = cut(state.filter("_low >= _high").unionByName(narrowed), "ranges")
+    picks = [F.max(F.when(F.col("_share") == name, F.col("_low"))).alias(name) for name in shares]
+    return totals.join(state.groupBy(*by).agg(*picks), by).select(*by, "n", *shares)
+
+
 def interval_join(points: DataFrame, spans: DataFrame, by: list[str], at: str, low: str, high: str, depth: str, tie: str, width: int) -> DataFrame:
     """Each point with the deepest span that contains it, the first of equal depth; points without one stay.
 

@@ -8,6 +8,7 @@ from docketspark.operators import answers as A
 from docketspark.operators import evaluation as E
 from docketspark.operators import health as H
 from docketspark.operators import lineage as LN
+from docketspark.operators import relational as R
 from docketspark.plans.registry import query
 from docketspark.plans.text import each, each_sql
 from docketspark.session import table
@@ -206,3 +207,34 @@ _P95 = "(SELECT vs[least(len(vs), CAST(floor(len(vs) * 0.95) AS BIGINT) + 1)] FR
 def validation_thresholds(spark, d):
     """Validation measures against the acceptance thresholds."""
     return E.threshold_checks(measures(spark, d)).select("name", F.round("value", 6).alias("value"), "passed", "blocking")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS question_id, list(l_shipmode_ ORDER BY l_linenumber) AS retrieved, ['R'] AS expected FROM (SELECT *, l_returnflag AS l_shipmode_ FROM lineitem) GROUP BY 1 HAVING l_orderkey % 3 <> 0)
+       SELECT question_id, round(len(list_filter(retrieved, lambda x: x = 'R')) / len(retrieved), 6) AS precision, array_to_string(list_sort(list_distinct(list_filter(retrieved, lambda x: x <> 'R'))), ',') AS leaked FROM r WHERE len(list_filter(retrieved, lambda x: x = 'R')) < len(retrieved)""")
+def scope_leaks(spark, d):
+    """Orders as questions about the city R, their lines' flags as the cities of what was retrieved: those with text of other cities."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("question_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]).alias("retrieved_municipalities"))
+    expected = F.when(F.col("question_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("R")))  # some are about no city
+    found = E.scope_leaks(lines.withColumn("expected_municipalities", expected))
+    return found.select("question_id", F.round("precision", 6).alias("precision"), F.array_join("leaked", ",").alias("leaked"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, coalesce(text, '') AS answer, upper(lang) AS word, coalesce(source, '') AS forbidden, toxic = 1 AS should_abstain, quality = 0 AND toxic = 0 AS should_ask, coalesce(n_chars, 0) < 200 AS abstained, coalesce(n_chars, 0) BETWEEN 200 AND 300 AS asked FROM documents JOIN labels USING (doc_id))
+       SELECT doc_id, contains(lower(answer), lower(word)) AS has_expected, contains(lower(answer), lower(forbidden)) OR contains(lower(answer), 'the') AS has_forbidden, CASE WHEN should_ask THEN asked WHEN should_abstain THEN abstained ELSE NOT abstained AND NOT asked END AS behaved FROM c""")
+def case_flags(spark, d):
+    """Documents as answers to rated cases: the flags that scoring needs, from the answers' texts."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    n = F.coalesce("n_chars", F.lit(0))
+    cases = docs.select(
+        "doc_id", F.col("text").alias("answer"), F.array(F.upper("lang")).alias("expected_answer_contains"), F.array(F.coalesce("source", F.lit("")), F.lit("THE")).alias("must_not_contain"), (F.col("toxic") == 1).alias("should_abstain"),
+        ((F.col("quality") == 0) & (F.col("toxic") == 0)).alias("should_ask_clarification"), (n < 200).alias("abstained"), n.between(200, 300).alias("asked_clarification"),
+    )
+    return E.case_flags(cases).select("doc_id", "has_expected", "has_forbidden", "behaved")
+
+
+@query("""WITH p AS (SELECT l_returnflag AS flag, list_sort(list(l_extendedprice)) AS vs FROM lineitem GROUP BY 1)
+       SELECT flag, len(vs) AS n, vs[least(len(vs), CAST(floor(len(vs) * 0.5) AS BIGINT) + 1)] AS p50, vs[least(len(vs), CAST(floor(len(vs) * 0.95) AS BIGINT) + 1)] AS p95, vs[len(vs)] AS p100 FROM p""")
+def percentiles_selected(spark, d):
+    """Percentiles of all lines' prices by histograms that are refined around each rank; no task orders a group."""
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return R.nearest_rank(rows, ["flag"], "l_extendedprice", {"p50": 0.5, "p95": 0.95, "p100": 1.0}, most_sorted=1000)

@@ -59,6 +59,24 @@ def test_nearest_rank_on_small_groups(spark):
     assert rows(R.nearest_rank(df, ["g"], "v", {"p95": 0.95, "p50": 0.5})) == [("a", 20, 20.0, 11.0), ("b", 1, 5.0, 5.0)]
 
 
+@pytest.mark.parametrize("most_sorted", [1 << 20, 0], ids=["window", "selection"])
+def test_ranks_on_hard_values(spark, most_sorted):
+    rng = random.Random(2)
+    groups = {
+        "spread": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(400)],
+        "same": [7.25] * 50,
+        "ends": [-1.7e308, 1.7e308, 0.0],
+        "near": [1.0 + k * 2.0**-52 for k in range(300)],
+        "one": [5.0],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan")), ("none", None)], "g string, v double").repartition(3)
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["g"]: tuple(r)[1:] for r in R.nearest_rank(df, ["g"], "v", shares, most_sorted).collect()}
+    assert got == {g: (len(vs), *(sorted(vs)[min(len(vs) - 1, int(len(vs) * p))] for p in shares.values())) for g, vs in groups.items()}
+    whole = df.filter("g = 'one' and v = 5").select("g", F.lit(2**40).cast("long").alias("v"))
+    assert R.nearest_rank(whole, ["g"], "v", {"p": 0.5}, most_sorted).first()["p"] == 2**40
+
+
 def test_interval_join_takes_the_deepest_and_keeps_the_unmatched(spark):
     spans = spark.createDataFrame([(1, 0, 100, 1, 0), (1, 40, 60, 2, 1), (1, 50, 55, 2, 2)], "doc int, low int, high int, level int, idx int")
     points = spark.createDataFrame([(1, 52), (1, 5), (1, 500), (2, 5)], "doc int, page int")
