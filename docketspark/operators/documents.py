@@ -12,7 +12,6 @@ from docketspark.functions import plugins
 from docketspark.functions import text as T
 from docketspark.operators import answers as A
 from docketspark.operators import verify as Q
-from docketspark.operators.relational import overlap_share
 
 
 def lookup(rows: DataFrame, key: str, value) -> DataFrame:
@@ -20,14 +19,6 @@ def lookup(rows: DataFrame, key: str, value) -> DataFrame:
     return rows.filter(F.col(key) == value).limit(1)
 
 
-def prose_lines(lines: DataFrame, tables: DataFrame, least: float = 0.5) -> DataFrame:
-    """Lines that do not lie, by half or more, in a table of their page. ``box``: struct x0, y0, x1, y1."""
-    boxes = tables.select("document_id", "page_number", F.col("box").alias("table_box"))
-    keyed = lines.withColumn("_line", F.monotonically_increasing_id())
-    inside = keyed.join(boxes, ["document_id", "page_number"]).filter(overlap_share(F.col("box"), F.col("table_box")) >= least)
-    return lines.join(inside.select("document_id", "page_number", "line_no").distinct(), ["document_id", "page_number", "line_no"], "left_anti")
-
-
 def override(old: Column, given: Column) -> Column:
     """A person's entry where it is not blank, else what is there."""
     return F.coalesce(F.nullif(T.strip(given), F.lit("")), old)

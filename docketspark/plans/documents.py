@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketspark.functions import plugins, states
 from docketspark.operators import documents as D
 from docketspark.operators import retrieval as V
+from docketspark.operators import tables as TB
 from docketspark.plans.registry import query
 from docketspark.plans.text import each, each_sql, every, every_sql
-from docketspark.session import table
+from docketspark.session import cut, table
 
 _STATES = [("indexed", None, "ready", True), ("ocr", None, "processing", False), ("chunked", "boom #", "failed", True), ("nonsense", None, "pending", False), ("sections", "", "processing", True)]
 
@@ -87,3 +89,33 @@ def answer_questions(spark, d):
     found = every(spark, d, "question_id int, rank int, chunk_id int, body string, document_title string, section_number string, page_number int", *_FOUND)
     found = found.withColumn("question_id", number).withColumn("chunk_id", F.col("key") * 100 + F.col("chunk_id")).drop("key")
     return D.answer(questions, found).select("question_id", "answer", F.col("n_valid").cast("int").alias("n_valid"), "abstain", "outcome")
+
+
+def order_pages(spark, d):
+    """Orders as pages: a heading, a grid with a part, a quantity and mostly a price in each row, set unevenly, and a last line."""
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")  # line numbers repeat
+    lines = table(spark, d, "lineitem").withColumn("k", F.row_number().over(order))
+    page = [F.col("l_orderkey").alias("document_id"), F.lit(1).alias("page_number")]
+
+    def line(no, text, x0, y0, x1, y1):
+        box = F.struct(*[F.lit(v).cast("double").alias(n) if not hasattr(v, "cast") else v.cast("double").alias(n) for n, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))])
+        return F.struct(F.lit(no).cast("long").alias("line_no") if not hasattr(no, "cast") else no.cast("long").alias("line_no"), text.alias("text"), box.alias("box"))
+
+    k, shift = F.col("k"), F.col("l_partkey") % 5
+    top = 20 + 20 * k + shift
+    cells = [line(10 * k + 1, F.concat(F.lit(" p"), F.col("l_partkey").cast("string")), 5 + shift, top, 60, top + 12), line(10 * k + 2, F.col("l_quantity").cast("long").cast("string"), 100, top + 1, 140 - shift, top + 9)]
+    price = line(10 * k + 3, F.concat(F.lit("$"), F.col("l_suppkey").cast("string"), F.lit("|x")), 200 + shift, top, 260, top + 11)
+    grid = lines.select(*page, F.inline(F.array(*cells))).unionByName(lines.filter("l_tax > 0").select(*page, F.inline(F.array(price))))
+    fixed = [line(0, F.lit("An order of lines"), 0, 0, 300, 12), line(1, F.lit("Part"), 0, 20, 40, 30), line(2, F.lit("Qty"), 100, 20, 130, 30), line(3, F.lit("Price  each"), 205, 20, 250, 30), line(9999, F.lit("End"), 0, 5000, 300, 5010)]
+    return grid.unionByName(lines.select("l_orderkey").distinct().select(*page, F.inline(F.array(*fixed))))
+
+
+@query("""SELECT l_orderkey AS document_id, 0 AS ordinal, count(*) + 1 AS n_rows, 'Part,Qty,Price each' AS headers, 2 AS n_prose,
+       '| Part | Qty | Price each |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| p' || l_partkey || ' | ' || CAST(l_quantity AS BIGINT) || ' | ' || CASE WHEN l_tax > 0 THEN '$' || l_suppkey || '\\|x' ELSE '' END || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS markdown
+       FROM lineitem GROUP BY 1""", ordinal="INTEGER", n_rows="INTEGER")
+def lifted_tables(spark, d):
+    """The table of every order's page, lifted from its lines' boxes, and the number of lines that are left as prose."""
+    lines = order_pages(spark, d)
+    found = cut(TB.lift_tables(lines), "tables")
+    prose = TB.prose_lines(lines, found).groupBy("document_id").agg(F.count("*").cast("int").alias("n_prose"))
+    return found.join(prose, "document_id").select("document_id", "ordinal", F.size("rows").alias("n_rows"), F.array_join("headers", ",").alias("headers"), "n_prose", "markdown")
