@@ -48,33 +48,75 @@ def _any(phrases, group: str = "?:") -> str:
     return f"({group}{'|'.join(forms)})"
 
 
-#: What may stand between a phrase and what it speaks of: half a line of words, eight, without a number or a stop.
-_WORDS = r"(?:[^\s\d.;]+\s+){0,8}?"
-_VALUE = r"(\d+(?:,\d{3})*(?:[.,]\d+)?)\s*"
-_UNIT = _any(UNITS, "") + r"(?!\w)"
-LIMIT = rf"(?i)\b{_any(MAXIMUM)}[\s:,(]+{_WORDS}{_VALUE}{_UNIT}"
-RATIO = rf"(?i){_VALUE}{_UNIT}\s*{_any(EACH)}\s*(?:lin\w+\s+)?{_any(LENGTHS)}\s+{_WORDS}{_any(FRONTAGE)}"
-DEFERRAL = rf"(?i)\b{_any(ELSEWHERE)}\s+{_WORDS}{_any(PLACES)}\b"
+_QUANTITY = r"(?i)(\d+(?:,\d{3})*(?:[.,]\d+)?)\s*" + _any(UNITS, "") + r"(?!\w)"
+#: How many words before or behind a quantity may hold the phrase that makes it a limit: half a line.
+NEAR = 9
+
+
+def _has(words: Column, phrases: tuple[str, ...], at_start: bool = False) -> Column:
+    """Whether words that are joined by blanks, with one at either end, hold one of the phrases; or begin with it."""
+    return F.exists(F.array(*[F.lit(f" {p} ") for p in phrases]), lambda p: F.startswith(words, p) if at_start else F.contains(words, p))
+
+
+def _spoken(text: Column) -> Column:
+    """Lower-cased words, joined by blanks, with one at either end; a slash is a word."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("/"), F.lit(" / ")), r"[^\p{L}\p{N}/%-]+", " ")), F.lit(" "))
+
+
+def _first_words(spoken: Column, n: int) -> Column:
+    return F.concat(F.substring_index(spoken, " ", n + 1), F.lit(" "))
+
+
+def _last_words(spoken: Column, n: int) -> Column:
+    return F.concat(F.lit(" "), F.substring_index(spoken, " ", -n - 1))
+
+
+def limits_in(sentence: Column) -> Column:
+    """array<struct<raw, unit, is_ratio>> of a sentence's limits, in order.
+
+    Quantities part the sentence. One is a limit if, among the last words before it and behind any other number or stop, there is a phrase
+    that sets a maximum; and one of the frontage if the words behind it begin with a word of measure and go on to a length and a frontage.
+    """
+    units = F.create_map(*[F.lit(v) for pair in UNITS.items() for v in pair])
+    between = F.split(sentence, _QUANTITY)
+    found = F.zip_with(F.regexp_extract_all(sentence, F.lit(_QUANTITY), F.lit(1)), F.regexp_extract_all(sentence, F.lit(_QUANTITY), F.lit(2)), lambda raw, unit: F.struct(raw.alias("raw"), F.try_element_at(units, F.regexp_replace(F.lower(unit), r"\s+", " ")).alias("unit")))
+
+    def judged(x: Column, i: Column) -> Column:
+        before = _last_words(_spoken(F.regexp_replace(F.get(between, i), r"(?s)^.*[\d.;]", "")), NEAR)
+        behind = _first_words(_spoken(F.get(between, i + 1)), NEAR)
+        ratio = _has(behind, EACH, at_start=True) & _has(behind, LENGTHS) & _has(behind, FRONTAGE)
+        return F.struct(x["raw"].alias("raw"), x["unit"].alias("unit"), ratio.alias("is_ratio"), (ratio | _has(before, MAXIMUM)).alias("is_limit"))
+
+    return F.filter(F.transform(found, judged), lambda x: x["is_limit"] & x["unit"].isNotNull())
+
+
+def defers(sentence: Column) -> Column:
+    """Whether a sentence says that the limit stands elsewhere: soon after a phrase of reference comes a part of a document."""
+    spoken = _spoken(sentence)
+
+    def refers(phrase: Column) -> Column:
+        return F.exists(F.slice(F.split(spoken, phrase), 2, 1000), lambda rest: _has(_first_words(F.concat(F.lit(" "), rest), NEAR), PLACES))
+
+    return F.exists(F.array(*[F.lit(f" {p} ") for p in ELSEWHERE]), refers)
+
+
 RANGE = r"(?i)\bbetween\s+\d\S*\s+(?:[a-z²]+\s+)?and\s+\d"
 
 
 def extract_limit(text: Column, expected: Column | None = None) -> Column:
     """struct(value, unit, is_ratio, sentence) of the first sentence that states a limit in an expected unit, else null.
 
-    ``m²`` is read as m2; ``25%`` counts; ``1,000`` is a thousand, ``9,3`` has a decimal comma. Sentences that refer to
-    another place or give a range state none.
+    A limit that is a ratio of the frontage goes before the sentence's others. ``m²`` is read as m2; ``25%`` counts; ``1,000`` is a thousand,
+    ``9,3`` has a decimal comma. Sentences that refer to another place or give a range state none.
     """
-    units = F.create_map(*[F.lit(v) for pair in UNITS.items() for v in pair])
-
-    def found(sentence: Column, pattern: str, ratio: bool) -> Column:
-        raw = F.regexp_extract(sentence, pattern, 1)
-        plain = F.when(raw.rlike(r"^\d{1,3}(?:,\d{3})+"), F.replace(raw, F.lit(","), F.lit(""))).otherwise(F.replace(raw, F.lit(","), F.lit(".")))
-        unit = F.try_element_at(units, F.regexp_replace(F.lower(F.regexp_extract(sentence, pattern, 2)), r"\s+", " "))
-        right = F.lit(True) if expected is None else (F.size(expected) == 0) | F.array_contains(expected, unit)
-        return F.when((raw != "") & unit.isNotNull() & right, F.struct(plain.try_cast("double").alias("value"), unit.alias("unit"), F.lit(ratio).alias("is_ratio"), sentence.alias("sentence")))
 
     def of(sentence: Column) -> Column:
-        return F.when(~sentence.rlike(DEFERRAL) & ~sentence.rlike(RANGE), F.coalesce(found(sentence, RATIO, True), found(sentence, LIMIT, False)))
+        right = F.filter(limits_in(sentence), lambda x: F.lit(True) if expected is None else (F.size(expected) == 0) | F.array_contains(expected, x["unit"]))
+        first = F.coalesce(F.get(F.filter(right, lambda x: x["is_ratio"]), F.lit(0)), F.get(right, F.lit(0)))
+        return F.when(~defers(sentence) & ~sentence.rlike(RANGE), F.struct(first.alias("limit"), sentence.alias("sentence")))
 
     readable = F.replace(F.coalesce(text, F.lit("")), F.lit("²"), F.lit("2"))
-    return F.get(F.filter(F.transform(clauses(readable), of), lambda x: x.isNotNull()), F.lit(0))
+    found = F.get(F.filter(F.transform(clauses(readable), of), lambda x: x["limit"].isNotNull()), F.lit(0))
+    raw = found["limit"]["raw"]
+    plain = F.when(raw.rlike(r"^\d{1,3}(?:,\d{3})+"), F.replace(raw, F.lit(","), F.lit(""))).otherwise(F.replace(raw, F.lit(","), F.lit(".")))
+    return F.when(found.isNotNull(), F.struct(plain.try_cast("double").alias("value"), found["limit"]["unit"].alias("unit"), found["limit"]["is_ratio"].alias("is_ratio"), found["sentence"].alias("sentence")))
