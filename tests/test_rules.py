@@ -58,6 +58,21 @@ def test_checklists_and_comparisons(spark, chunks, index, searched):
         assert compared["surrey", "setback"][:2] == (2.0, False) and compared["richmond", "setback"] == (None, False, False, False)
 
 
+def test_references_of_document_heads(spark):
+    from docketspark.operators.places import references
+
+    texts = {
+        "A bylaw to amend the City's Sign Bylaw No. 8789-2018.": [("8789-2018", True, False, False)],
+        "As amended by Bylaw 12 and amendment No. 13. Bylaw No. 5": [("12", False, True, False), ("13", False, True, False), ("5", False, False, False)],
+        "This repeals, in whole, By-law number 77; Bylaw 78 stays": [("77", False, False, True), ("78", False, False, False)],
+        "Repealing bylaw # 9": [("9", False, False, True)],
+        "No. 4 of the year": [("4", False, False, False)],
+        "nothing": [],
+    }
+    given = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r[0]: [tuple(x) for x in r[1]] for r in given.select("t", references(F.col("t"))).collect()} == texts
+
+
 def test_a_citys_own_terms_go_first(spark, chunks, index, specs):
     own = spark.createDataFrame([("burnaby", "pylon", "height", ["heritage", "design review"])], "municipality_slug string, sign_type string, dimension string, terms array<string>")
     wanted = spark.createDataFrame([("burnaby", "pylon", "height", ["pylon sign height", "maximum height"], ["m", "ft"]), ("surrey", "pylon", "height", ["pylon sign height"], ["m"])], "municipality_slug string, sign_type string, dimension string, terms array<string>, units array<string>")
