@@ -102,7 +102,7 @@ class TermIndex:
     def __init__(self, docs: DataFrame, key: tuple, id_col: str = "id", text_col: str = "text", term_of: Callable[[str], str | None] | None = None, source: DataFrame | None = None, path: str | None = None, file_bytes: int = FILE_BYTES):
         """``term_of``: a word's term, or None to leave the word out; questions' words go through it too. ``source``: the files' table, whose
         names, sizes and times tell one state of the data from another. ``path``: where the index stays after the application."""
-        spark, self.term_of = docs.sparkSession, term_of
+        spark, self.term_of, self._known = docs.sparkSession, term_of, None
         key = (*key, getattr(term_of, "__qualname__", ""), fingerprint(source if source is not None else docs))
         volume = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes"))
 
@@ -146,6 +146,13 @@ class TermIndex:
         asked = asked.select("query_id", "term")
         return (asked if own_terms else self.terms(asked)).distinct()
 
+    def _measures(self) -> tuple[int, float]:
+        """The number of rows and the mean size of texts; read once."""
+        if self._known is None:
+            row = self.statistics.first()
+            self._known = (row["n"], row["mean"] or 0.0)
+        return self._known
+
     @property
     def postings(self) -> DataFrame:
         """(term, id, tf, size) of all texts."""
@@ -182,8 +189,9 @@ class TermIndex:
         """
         scopes = asked.select("query_id", "scope").distinct() if "scope" in asked.columns else None
         asked = self._asked(asked, own_terms)
-        found, df = self.of_terms(asked), self.frequencies(asked)
-        n, mean = self.statistics.select("n").scalar(), self.statistics.select("mean").scalar()
+        blocks = self._blocks_of(asked)
+        found, df = opened(blocks), blocks.groupBy("term").agg(F.sum("n").alias("df"))
+        n, mean = map(F.lit, self._measures())
         idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
         weighed, keys = asked.join(df, "term"), ["term"]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketspark.operators.postings import TermIndex, best
+from docketspark.operators.postings import MOST_LOOKED_UP, TermIndex, best
 from docketspark.session import cut
 
 METRICS = ("cosine", "l2", "ip")
@@ -220,5 +220,8 @@ def hybrid(
     fused = fused_rankings(vectors, index, questions, dims, vector, pool, rrf_k, chunks if filtered else None).withColumnRenamed("rank", "fused_rank")
     if reranker is None:
         return best(fused.withColumn("final_score", F.col("fused_score")), top, "final_score")
-    bodies = chunks.select("id", "body").join(fused, "id").join(questions.select("query_id", "terms"), "query_id")
+    fused = cut(fused, "fused")
+    few = fused.select("id").distinct().limit(MOST_LOOKED_UP + 1).collect()
+    wanted = chunks.filter(F.col("id").isin([r["id"] for r in few])) if len(few) <= MOST_LOOKED_UP else chunks  # few bodies are looked up, not scanned for
+    bodies = wanted.select("id", "body").join(fused, "id").join(questions.select("query_id", "terms"), "query_id")
     return rerank(bodies, reranker(F.col("terms"), F.col("body")), top, ["query_id"], "id").drop("body", "terms")

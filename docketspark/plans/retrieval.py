@@ -137,6 +137,14 @@ def rrf_fusion(spark, d):
     return found.select("query_id", "id", "dense_rank", "sparse_rank", F.round("fused_score", 9).alias("fused"))
 
 
+def hybrid_answers(spark, d, vectors, asked):
+    """The filters, searches, fusion and rerank of ``hybrid_retrieve`` for the questions given."""
+    docs = table(spark, d, "documents")
+    chunks = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col("lang").alias("municipality_slug"), F.when(F.col("source") != "src3", "in_force").alias("document_status"), F.col("n_chars").alias("year"))
+    found = R.hybrid(R.prefilter(chunks, slugs=["en", "fr"], years=(100, 20_000)), vectors, text_index(spark, d), asked.filter(F.size("terms") > 0), DIMS, filtered=True)
+    return found.select("query_id", "id", "dense_rank", "sparse_rank", F.round("fused_score", 9).alias("fused"), F.round("final_score", 6).alias("final"), "rank")
+
+
 @query(f"""WITH {_fused_sql("SELECT doc_id AS id FROM documents WHERE lang IN ('en', 'fr') AND source <> 'src3' AND n_chars BETWEEN 100 AND 20000")},
        tm AS (SELECT query_id, list(term) AS terms FROM qt GROUP BY 1),
        z AS (SELECT p.*, len(list_intersect(terms, {_TOKENS})) / len(terms)::DOUBLE AS final FROM p JOIN tm USING (query_id) JOIN documents ON doc_id = id)
@@ -144,11 +152,7 @@ def rrf_fusion(spark, d):
        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) <= 5""", dense_rank="INTEGER", sparse_rank="INTEGER", rank="INTEGER")
 def hybrid_retrieve(spark, d):
     """Every question: filters, dense and sparse top 50, fusion, rerank, top 5 with all signals kept."""
-    docs = table(spark, d, "documents")
-    chunks = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col("lang").alias("municipality_slug"), F.when(F.col("source") != "src3", "in_force").alias("document_status"), F.col("n_chars").alias("year"))
-    vectors, asked = questions(spark, d)
-    found = R.hybrid(R.prefilter(chunks, slugs=["en", "fr"], years=(100, 20_000)), vectors, text_index(spark, d), asked.filter(F.size("terms") > 0), DIMS, filtered=True)
-    return found.select("query_id", "id", "dense_rank", "sparse_rank", F.round("fused_score", 9).alias("fused"), F.round("final_score", 6).alias("final"), "rank")
+    return hybrid_answers(spark, d, *questions(spark, d))
 
 
 @query(f"""WITH tk AS (SELECT doc_id, unnest({_TOKENS}) AS term, generate_subscripts({_TOKENS}, 1) AS p FROM documents),
