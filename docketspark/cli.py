@@ -1,4 +1,5 @@
-"""``spark-submit docketspark/cli.py``: list and run queries, report evaluations, check the tables' health. ``--json`` for machines."""
+"""``spark-submit docketspark/cli.py``: ask questions, ingest folders, list and run queries, report evaluations, check the tables' health.
+``--json`` for machines."""
 
 from __future__ import annotations
 
@@ -23,6 +24,16 @@ def parser() -> argparse.ArgumentParser:
     c = commands.add_parser("validate", help="validation measures against their thresholds; exit 1 unless all blocking ones pass")
     c.add_argument("data")
     c.add_argument("--output", help="write the report as markdown")
+    c = commands.add_parser("ask", help="answer a question from the documents: the best excerpts, and an answer that cites them; exit 1 without one")
+    c.add_argument("data")
+    c.add_argument("question")
+    c.add_argument("--top", type=int, default=5, help="excerpts to answer from")
+    c.add_argument("--index", help="folder in which the index stays")
+    c = commands.add_parser("eval", help="suite measures by language and the pass rate of each confidence band")
+    c.add_argument("data")
+    c = commands.add_parser("ingest", help="store the files of a folder that are not stored yet, each content once")
+    c.add_argument("folder")
+    c.add_argument("into")
     c = commands.add_parser("health", help="state of tables, vectors and plug-ins; exit 1 unless a question can be answered")
     c.add_argument("data")
     return p
@@ -63,6 +74,25 @@ def main(argv: list[str] | None = None) -> int:
             with open(args.output, "w", encoding="utf-8") as f:
                 f.write(markdown_report(checks, "Validation"))
         return 0 if milestone_passed(checks).first()[0] else 1
+    if args.command == "ask":
+        from docketspark.operators.answering import ask
+
+        excerpts, answer = ask(spark, table(spark, args.data, "documents"), args.question, args.top, args.index)
+        show([*(r.asDict() for r in excerpts.orderBy("rank").collect()), found := answer.first().asDict()])
+        return 0 if found["outcome"] == "answered" else 1
+    if args.command == "eval":
+        from docketspark.operators import evaluation as E
+        from docketspark.plans.answers import scored_cases
+
+        scored = scored_cases(spark, args.data)
+        show([r.asDict() for report in (E.suite_report(scored, ["lang"]), E.calibration(scored)) for r in report.collect()])
+        return 0
+    if args.command == "ingest":
+        from docketspark.streaming.ingest import ingest, new_files
+
+        ingest(new_files(spark, args.folder), f"{args.into}/known", f"{args.into}/checkpoint", lambda rows: rows.write.mode("append").parquet(f"{args.into}/files")).awaitTermination()
+        show([{"stored": spark.read.parquet(f"{args.into}/files").count()}])
+        return 0
     if args.query not in plans.QUERIES:
         print(f"no query {args.query}", file=sys.stderr)
         return 2

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketspark.operators.postings import TermIndex
+from docketspark.operators.documents import answer
+from docketspark.operators.postings import TermIndex, english
 from docketspark.operators.relational import conflict_groups
 from docketspark.operators.retrieval import is_current
 from docketspark.session import cut
@@ -34,3 +35,19 @@ def resolve(index: TermIndex, chunks: DataFrame, asked: DataFrame, k: int = 5, o
     rows = asked.select("query_id").distinct().join(top, "query_id", "left").join(speak, "query_id", "left").join(outdated, "query_id", "left")
     outcome = F.when(F.col("n_conflicts") > 0, "conflicting_amendments").when(F.col("n_chunks") > 0, "answered").when(F.col("outdated").isNotNull(), "only_outdated").otherwise("no_relevant")
     return rows.select("query_id", outcome.alias("outcome"), F.coalesce("n_chunks", F.expr("0L")).alias("n_chunks"), "best", F.coalesce("n_conflicts", F.expr("0L")).alias("n_conflicts"), F.coalesce("outdated", F.array().cast("array<string>")).alias("outdated"))
+
+
+def ask(spark: SparkSession, documents: DataFrame, question: str, top: int = 5, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """A question in words: its best excerpts by English stems (rank, chunk_id, score, body), and the answer made of them, verified.
+
+    ``path``: where the index stays. Without a word that the index knows nothing is found.
+    """
+    index = TermIndex(documents.select(id_col, text_col), ("ask",), id_col, text_col, english, documents, path)
+    terms = index.clauses([(0, question)]).filter("not negated").select("query_id", "term")
+    found = cut(index.search(terms, top, own_terms=True), "asked")
+    ids = [r["id"] for r in found.select("id").collect()]  # top at most
+    bodies = documents.filter(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(found, "id")
+    none = F.lit(None)
+    retrieved = bodies.select(F.col("query_id").alias("question_id"), "rank", F.col("id").alias("chunk_id"), "body", F.concat(F.lit("Document "), F.col("id").cast("string")).alias("document_title"), none.cast("string").alias("section_number"), none.cast("int").alias("page_number"))
+    asked = spark.createDataFrame([(0, question)], "question_id long, question string")
+    return bodies.select("rank", F.col("id").alias("chunk_id"), "score", F.substring("body", 1, 160).alias("body")), answer(asked, retrieved)

@@ -168,6 +168,37 @@ def prefilter(chunks: DataFrame, slugs: list[str] | None = None, in_force: bool
     return chunks.filter(keep)
 
 
+#: Where each column of what a citation needs comes from: chunk, document, municipality, section, page.
+PROVENANCE = {
+    "c": {"chunk_id": "id", "body": "body", "chunk_type": "chunk_type", "page_number": "page_number", "page_end": "page_end"},
+    "d": {
+        "document_id": "id", "document_title": "title", "bylaw_number": "bylaw_number", "document_status": "status",
+        "consolidation_date": "consolidation_date", "last_amendment_date": "last_amendment_date", "effective_date": "effective_date",
+    },
+    "m": {"municipality_slug": "canonical_slug", "municipality_name": "name"},
+    "s": {"section_number": "section_number", "section_path": "full_path", "section_heading": "heading"},
+    "p": {"from_ocr": "was_ocred", "extraction_confidence": "extraction_confidence", "page_width": "width", "page_height": "height"},
+}
+
+
+def with_provenance(chunks: DataFrame, documents: DataFrame, municipalities: DataFrame, sections: DataFrame, pages: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks with the 21 columns of provenance, and ``extra`` ones of their own: every retrieval projects these and no others.
+
+    A chunk without a document goes; municipality, section and page may be missing. A page is told by document and number. Only the
+    columns named here are read.
+    """
+
+    def part(rows: DataFrame, letter: str, *keys: str) -> DataFrame:
+        own = {v: k for k, v in PROVENANCE[letter].items()}
+        return rows.select(*[F.col(c).alias(own[c]) for c in own], *[F.col(k).alias(f"_{letter}_{k}") for k in keys])
+
+    rows = part(chunks, "c", "document_id", "section_id", *extra).join(part(documents, "d", "municipality_id"), F.col("_c_document_id") == F.col("document_id"))
+    rows = rows.join(part(municipalities, "m", "id"), F.col("_d_municipality_id") == F.col("_m_id"), "left").join(part(sections, "s", "id"), F.col("_c_section_id") == F.col("_s_id"), "left")
+    at = (F.col("_c_document_id") == F.col("_p_document_id")) & (F.col("page_number") == F.col("_p_page_number"))
+    joined = rows.join(part(pages, "p", "document_id", "page_number"), at, "left")
+    return joined.select(*[name for columns in PROVENANCE.values() for name in columns], *[F.col(f"_c_{k}").alias(k) for k in extra])
+
+
 def in_collection(vectors: DataFrame, name, column: str = "collection") -> DataFrame:
     """The vectors of one collection; where they are stored by collection, the others' files are not read."""
     return vectors.filter(F.col(column) == name)

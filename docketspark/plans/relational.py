@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketspark.operators import relational as R
+from docketspark.operators.retrieval import with_provenance
 from docketspark.plans.registry import query
 from docketspark.session import scratch, table
 from docketspark.sources.keyed import KeyedTable, delete_cascade
@@ -53,6 +54,27 @@ def provenance_join(spark, d):
     return out.join(pages, ["l_orderkey", "l_linenumber"], "left").select("l_orderkey", "l_linenumber", "o_orderdate", "o_orderstatus", "c_name", "n_name", "section_total")
 
 
+@query("""WITH pg AS (SELECT l_orderkey, l_linenumber, bool_or(l_returnflag = 'R') AS ocr, min(l_discount) AS conf, max(l_quantity) AS w, min(l_tax) AS h FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)
+       SELECT l_orderkey * 10 + l_linenumber AS chunk_id, l_linestatus AS body, l_returnflag AS chunk_type, l_linenumber AS page_number, l_linenumber + 1 AS page_end, o_orderkey AS document_id, o_orderpriority AS document_title, CAST(o_orderkey % 977 AS VARCHAR) AS bylaw_number,
+         CASE o_orderstatus WHEN 'F' THEN 'in_force' WHEN 'O' THEN 'unknown' ELSE 'superseded' END AS document_status, CAST(o_orderdate AS DATE) AS consolidation_date, CAST(o_orderdate AS DATE) + 30 AS last_amendment_date, CAST(o_orderdate AS DATE) - 30 AS effective_date,
+         'city-' || c_custkey AS municipality_slug, c_name AS municipality_name, p_brand AS section_number, p_brand || ' > ' || p_type AS section_path, p_name AS section_heading, ocr AS from_ocr, round(conf, 2) AS extraction_confidence, w AS page_width, round(h, 2) AS page_height
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON p_partkey = l_partkey LEFT JOIN pg USING (l_orderkey, l_linenumber)""")
+def provenance_projection(spark, d):
+    """Lines as chunks with the 21 columns of provenance: orders as documents, customers as cities, parts as sections; some of each are missing."""
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    day = F.to_date("o_orderdate")
+    chunks = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_linestatus").alias("body"), F.col("l_returnflag").alias("chunk_type"), F.col("l_linenumber").alias("page_number"), (F.col("l_linenumber") + 1).alias("page_end"), F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("section_id"))
+    status = F.when(F.col("o_orderstatus") == "F", "in_force").when(F.col("o_orderstatus") == "O", "unknown").otherwise("superseded")
+    documents = orders.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), (F.col("o_orderkey") % 977).cast("string").alias("bylaw_number"), status.alias("status"), day.alias("consolidation_date"),
+        F.date_add(day, 30).alias("last_amendment_date"), F.date_sub(day, 30).alias("effective_date"), F.col("o_custkey").alias("municipality_id"),
+    )
+    cities = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.concat(F.lit("city-"), F.col("c_custkey").cast("string")).alias("canonical_slug"), F.col("c_name").alias("name"))
+    sections = table(spark, d, "part").filter("p_size > 5").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("section_number"), F.concat("p_brand", F.lit(" > "), "p_type").alias("full_path"), F.col("p_name").alias("heading"))
+    pages = lines.filter("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_number")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("was_ocred"), F.round(F.min("l_discount"), 2).alias("extraction_confidence"), F.max("l_quantity").alias("width"), F.round(F.min("l_tax"), 2).alias("height"))
+    return with_provenance(chunks, documents, cities, sections, pages)
+
+
 @query("""SELECT doc_id, n_chars FROM documents WHERE lang IN ('en', 'fr') AND source <> 'src3' AND n_chars BETWEEN 200 AND 5000
        AND NOT coalesce(lang = 'fr' AND source = 'src5', false) ORDER BY n_chars DESC, doc_id LIMIT 50""")
 def prefilter_topk(spark, d):
