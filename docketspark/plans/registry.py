@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketspark.session import ship
+from docketspark.session import ship, usual_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +26,7 @@ def query(sql: str | None = None, name: str | None = None, **types: str):
 
         @functools.wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            usual_batches(spark)
             ship(spark)
             return f(spark, sf_dir)
 

@@ -56,6 +56,28 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+_BEFORE: dict[str, str | None] = {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches so small that batches of long texts, which both sides hold outside the heap, fit beside it; until ``usual_batches``."""
+    for key, value in _BATCHES.items():
+        if spark.conf.get(key, None) != value:
+            _BEFORE[key] = spark.conf.get(key, None)
+            spark.conf.set(key, value)
+
+
+def usual_batches(spark: SparkSession) -> None:
+    """The session's own batches again, where ``small_batches`` has changed them."""
+    for key, value in _BEFORE.items():
+        if value is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, value)
+    _BEFORE.clear()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder, deleted with the scratch tables."""
     path = f"{shared_dir(spark)}/docketspark/{name}-{uuid.uuid4().hex}"
