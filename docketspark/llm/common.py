@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docketspark.session import small_batches
+
 SLICE_BYTES = 1 << 20
 
 _CACHES: dict[str, dict] = {}
@@ -44,9 +46,8 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches so small that batches of long texts, which both sides hold outside the heap, fit beside it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Small Arrow batches, for the operators' texts; the catalogue's other queries set the session's own again."""
+    small_batches(spark)
 
 
 def lean(run: Callable) -> Callable:

@@ -273,3 +273,17 @@ def test_rules_of_many_shapes_keep_the_plan_small(spark):
         fits = [listed[h, p] for k in range(len(labels)) if (h := ".".join(labels[k:])) for m in range(len(path) + 2) if (p := ("/" + path)[:m]) and (h, p) in listed]
         best = max(fits, key=lambda r: (len(r.host + r.path), len(r.host)), default=None)
         assert got[i] == (best and best.host + best.path, best.action if best else "allow"), url
+
+
+def test_batches_of_the_operators_do_not_stay(spark, small):
+    from docketspark.llm.queries import QUERIES
+    from docketspark.plans import QUERIES as OTHERS
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    OTHERS["coverage_counts"](spark, small)
+    before = spark.conf.get(key)
+    QUERIES["op2_exact_dedup"](spark, small)
+    assert spark.conf.get(key) == "256"
+    OTHERS["coverage_counts"](spark, small)
+    assert spark.conf.get(key) == before != "256"
+    prepare(spark)
