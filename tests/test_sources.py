@@ -47,20 +47,57 @@ def test_suite_round_trip(spark, tmp_path):
     assert S.read_suite(spark, str(tmp_path / "out")).count() == 2
 
 
-def test_connectors(spark):
-    providers = spark.createDataFrame([("surrey", "arcgis", {"endpoint": "e", "address_field": "a", "zone_field": "z"}, True), ("hope", "arcgis", {"endpoint": "e"}, True), ("delta", "socrata", {}, False)], "municipality_slug string, kind string, config map<string,string>, verified boolean")
-    asked = spark.createDataFrame([("surrey", "1 main st"), ("surrey", "2 main st"), ("hope", "1 main st"), ("delta", "1 main st")], "municipality_slug string, normalized_address string")
-
-    def fetch(kind, config, address):
-        return [{"a": "1 MAIN ST", "z": "C-1"}, {"a": "1 MAIN STREET", "z": "C-2"}] if address.startswith("1") else [{"a": "2 main st", "z": "A"}, {"a": "2 MAIN ST", "z": "B"}]
-
-    got = {(r[0], r[1]): (r[2], r[3]) for r in Z.lookup(asked, providers, fetch).collect()}
-    assert got == {("surrey", "1 main st"): ("C-1", 1.0), ("surrey", "2 main st"): (None, None), ("hope", "1 main st"): (None, None), ("delta", "1 main st"): (None, None)}
-    assert Z.build("nothing", {}) is None
+CONFIG = {"dataset": "d", "address_field": "addr", "zone_field": "zone"}
+
+
+def test_connectors(spark, tmp_path):
+    import zoning_fixture as Z0
+
+    spark.sparkContext.addPyFile(Z0.__file__)
+    at = {k: f"{tmp_path}/{k}/__" for k in ("arcgis", "opendatasoft", "socrata", "down", "points", "bare")}
+    by_point = {"dataset": "d", "zone_field": "zone"}
+    made = [("surrey", "arcgis", CONFIG | {"endpoint": at["arcgis"]}, True), ("hope", "opendatasoft", CONFIG | {"endpoint": at["opendatasoft"]}, True), ("delta", "socrata", CONFIG | {"endpoint": at["socrata"]}, True)]
+    made += [("down", "arcgis", CONFIG | {"endpoint": at["down"]}, True), ("unverified", "arcgis", CONFIG | {"endpoint": at["arcgis"]}, False), ("points", "opendatasoft", by_point | {"endpoint": at["points"]}, True), ("half", "arcgis", {"endpoint": "e"}, True)]
+    providers = spark.createDataFrame(made, "municipality_slug string, kind string, config map<string,string>, verified boolean")
+    cities = [m[0] for m in made] + ["nowhere"]
+    asked = spark.createDataFrame([(c, a) for c in cities for a in ("1 main st", "5 main st", "91 o'neil av", "90 o'neil av", "77 main st", None)], "municipality_slug string, normalized_address string")
+    for k in at:
+        (tmp_path / k).touch()
+
+    def locate(address):
+        return (0.0, 0.0) if address.startswith("1 ") else None
+
+    got = {(r[0], r[1]): (r[2], r[3]) for r in Z.lookup(asked, providers, Z0.serve, locate).filter("zone is not null").collect()}
+    assert got == {(c, a): (z, 1.0) for c in ("surrey", "hope", "delta") for a, z in (("1 main st", "C-1"), ("91 o'neil av", "A-1"))} | {("points", "1 main st"): ("C-1", 0.85)}
+    assert Z.lookup(asked, providers).filter("zone is not null").count() == 0
+    assert Z.build("nothing", {}) is None and Z.zone_of("opendatasoft", by_point | {"endpoint": at["bare"]}, "1 main st", Z0.serve) is None
     spark.dataSource.register(Z.StaticZoning)
     assert [tuple(r) for r in spark.read.format("static_zoning").option("surrey|1 main st", "C-1").load().collect()] == [("surrey", "1 main st", "C-1")]
 
 
+def test_records_of_services_page_by_page(spark, tmp_path):
+    import zoning_fixture as Z0
+
+    spark.sparkContext.addPyFile(Z0.__file__)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(Z.ZoningRecords)
+    providers = [{"municipality_slug": k, "kind": k, "config": CONFIG | {"endpoint": f"{tmp_path}/{k}/__"}} for k in ("arcgis", "opendatasoft", "socrata")]
+
+    def load():
+        return spark.read.format("zoning_records").options(providers=json.dumps(providers), fetch="zoning_fixture:serve", page_rows="10").load()
+
+    def sent(k):
+        log = tmp_path / f"{k}.log"
+        return log.read_text().splitlines() if log.exists() else []
+
+    everything = load().collect()
+    assert sorted(tuple(r)[1:] for r in everything if r[0] == "socrata") == sorted((a, z or None) for a, z in Z0.PARCELS)
+    assert len(everything) == 3 * len(Z0.PARCELS) and [len(sent(k)) for k in ("arcgis", "opendatasoft", "socrata")] == [3, 3, 3]
+    one = load().filter("municipality_slug = 'arcgis' and address = '5 MAIN ST'").collect()
+    assert sorted(r["zone"] for r in one) == ["C-5", "R-1"]
+    assert [len(sent(k)) for k in ("arcgis", "opendatasoft", "socrata")] == [4, 3, 3] and "5 MAIN ST" in sent("arcgis")[-1]
+
+
 def test_stream_ingests_each_content_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
