@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketspark.functions import plugins, states
+from docketspark.functions import text as T
 from docketspark.operators import documents as D
 from docketspark.operators import retrieval as V
 from docketspark.operators import tables as TB
@@ -119,3 +120,32 @@ def lifted_tables(spark, d):
     found = cut(TB.lift_tables(lines), "tables")
     prose = TB.prose_lines(lines, found).groupBy("document_id").agg(F.count("*").cast("int").alias("n_prose"))
     return found.join(prose, "document_id").select("document_id", "ordinal", F.size("rows").alias("n_rows"), F.array_join("headers", ",").alias("headers"), "n_prose", "markdown")
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source, lang, coalesce(n_chars, 0) // 3000 + 1 AS page FROM documents)
+       SELECT doc_id, CASE WHEN length(text) <= 320 THEN text WHEN contains(substr(text, 1, 320), '. ') THEN regexp_extract(substr(text, 1, 320), '(?s)^(.*\.) ', 1) ELSE substr(text, 1, 320) END AS opening,
+         CASE WHEN length(text) <= 60 THEN text ELSE substr(text, 1, 59) || '…' END AS short, concat_ws(', ', 'Bylaw No. ' || source, 's. ' || lang, 'p. ' || page) AS label, 'documents/' || doc_id || '#page=' || page AS link FROM d""")
+def citation_texts(spark, d):
+    """What a citation of every document shows: its opening sentences, a short form, a label and a link to its last page."""
+    docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("page", (F.floor(F.coalesce("n_chars", F.lit(0)) / 3000) + 1).cast("int"))
+    text = F.col("text")
+    return docs.select("doc_id", T.first_sentences(text).alias("opening"), T.truncate(text, 60).alias("short"), T.citation_label(F.col("source"), F.col("lang"), F.col("page")).alias("label"), states.deep_link(F.col("doc_id"), F.col("page")).alias("link"))
+
+
+@query("""SELECT p_partkey, trim(regexp_replace(lower(p_name || '.' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS model, trim(regexp_replace(lower(p_name || '.' || p_type), '[^a-z0-9]+', '-', 'g'), '-') || '__c' || p_size || '__v' || p_partkey % 9 AS collection, p_size || '.' || p_partkey % 9 AS section FROM part""")
+def collection_names(spark, d):
+    """Parts as models: the names of models and of their collections, and section numbers as an evaluation compares them."""
+    parts = table(spark, d, "part")
+    model, version, size = F.concat(F.lit("org/"), "p_name", F.lit("."), "p_type"), F.col("p_partkey") % 9, F.col("p_size")
+    written = F.concat(F.element_at(F.array(*map(F.lit, ("Section ", " sec. ", "s. ", ""))), (F.col("p_partkey") % 4 + 1).cast("int")), size.cast("string"), F.lit("."), version.cast("string"), F.lit(". "))
+    return parts.select("p_partkey", T.model_slug(model).alias("model"), states.collection_name(model, size, version).alias("collection"), T.eval_section(written).alias("section"))
+
+
+@query("""SELECT o_custkey AS parent, o_orderkey AS child, o_orderpriority AS relation_type, CASE WHEN o_orderkey % 5 = 0 THEN 'human' ELSE 'rule' END AS detected_by, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'processing' ELSE 'failed' END AS state FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 2 = 0""")
+def rebuilt_edges(spark, d):
+    """Orders as edges of lineage that are detected anew: those that a person entered stay, others that are not found again go."""
+    orders = table(spark, d, "orders")
+    by = F.when(F.col("o_orderkey") % 5 == 0, "human").otherwise("rule")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
+    existing = orders.select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("child"), F.col("o_orderpriority").alias("relation_type"), by.alias("detected_by"), states.job_state(status).alias("state"))
+    return D.rebuild_edges(existing, existing.filter("child % 2 = 0").withColumn("detected_by", F.lit("rule")))
