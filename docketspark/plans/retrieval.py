@@ -137,11 +137,11 @@ def rrf_fusion(spark, d):
     return found.select("query_id", "id", "dense_rank", "sparse_rank", F.round("fused_score", 9).alias("fused"))
 
 
-def hybrid_answers(spark, d, vectors, asked):
-    """The filters, searches, fusion and rerank of ``hybrid_retrieve`` for the questions given."""
+def hybrid_answers(spark, d, vectors, asked, index=None):
+    """The filters, searches, fusion and rerank of ``hybrid_retrieve`` for the questions given; ``index``: one that is open already."""
     docs = table(spark, d, "documents")
     chunks = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col("lang").alias("municipality_slug"), F.when(F.col("source") != "src3", "in_force").alias("document_status"), F.col("n_chars").alias("year"))
-    found = R.hybrid(R.prefilter(chunks, slugs=["en", "fr"], years=(100, 20_000)), vectors, text_index(spark, d), asked.filter(F.size("terms") > 0), DIMS, filtered=True)
+    found = R.hybrid(R.prefilter(chunks, slugs=["en", "fr"], years=(100, 20_000)), vectors, index or text_index(spark, d), asked.filter(F.size("terms") > 0), DIMS, filtered=True)
     return found.select("query_id", "id", "dense_rank", "sparse_rank", F.round("fused_score", 9).alias("fused"), F.round("final_score", 6).alias("final"), "rank")
 
 
