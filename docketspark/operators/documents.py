@@ -39,9 +39,9 @@ def rebuild_edges(existing: DataFrame, detected: DataFrame) -> DataFrame:
     return by_hand.unionByName(detected.join(by_hand.select(*key), key, "left_anti").select(*existing.columns))
 
 
-def distinct_citations(citations: DataFrame, by: str, order: str) -> DataFrame:
-    """Citations without repeats of chunk and the first 80 characters of the quote; the first one stays."""
-    w = W.partitionBy(by, "chunk_id", F.substring("quote", 1, 80)).orderBy(order)
+def distinct_citations(citations: DataFrame, by: str, *order: str) -> DataFrame:
+    """Citations without repeats of chunk and the first 80 characters of the quote; the first one in ``order`` stays, which has to be a whole order."""
+    w = W.partitionBy(by, "chunk_id", F.substring("quote", 1, 80)).orderBy(*order)
     return citations.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 

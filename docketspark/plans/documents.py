@@ -26,9 +26,10 @@ def document_states(spark, d):
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber) = 1""")
 def distinct_citations(spark, d):
-    """An order's lines as citations: of those with one flag and status the first stays."""
-    lines = table(spark, d, "lineitem").withColumn("chunk_id", F.col("l_returnflag")).withColumn("quote", F.col("l_linestatus"))
-    return D.distinct_citations(lines, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    """An order's lines as citations: of those with one flag and status the first stays; of lines of one number, the one that stands first in the table."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", F.col("l_returnflag").alias("chunk_id"), F.col("l_linestatus").alias("quote"), *place)
+    return D.distinct_citations(lines, "l_orderkey", "l_linenumber", "file", "row").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
 
 
 @query("""SELECT vec_id, round(e1 / 2.0, 6) AS x0, round(e1 / 4.0, 6) AS y0, round(e2 / 2.0, 6) AS x1, round(e2 / 4.0, 6) AS y1 FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e1, CAST(embedding[2] AS DOUBLE) AS e2 FROM embeddings)""")
