@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketspark.functions.text import clauses
+from docketspark.functions.text import bound, clauses
 
 # fixed values: unit spellings and the canonical unit
 UNITS = {
@@ -78,26 +78,27 @@ def limits_in(sentence: Column) -> Column:
     that sets a maximum; and one of the frontage if the words behind it begin with a word of measure and go on to a length and a frontage.
     """
     units = F.create_map(*[F.lit(v) for pair in UNITS.items() for v in pair])
-    between = F.split(sentence, _QUANTITY)
     found = F.zip_with(F.regexp_extract_all(sentence, F.lit(_QUANTITY), F.lit(1)), F.regexp_extract_all(sentence, F.lit(_QUANTITY), F.lit(2)), lambda raw, unit: F.struct(raw.alias("raw"), F.try_element_at(units, F.regexp_replace(F.lower(unit), r"\s+", " ")).alias("unit")))
 
-    def judged(x: Column, i: Column) -> Column:
+    def judged(x: Column, i: Column, between: Column) -> Column:
         before = _last_words(_spoken(F.regexp_replace(F.get(between, i), r"(?s)^.*[\d.;]", "")), NEAR)
         behind = _first_words(_spoken(F.get(between, i + 1)), NEAR)
-        ratio = _has(behind, EACH, at_start=True) & _has(behind, LENGTHS) & _has(behind, FRONTAGE)
-        return F.struct(x["raw"].alias("raw"), x["unit"].alias("unit"), ratio.alias("is_ratio"), (ratio | _has(before, MAXIMUM)).alias("is_limit"))
+        ratio = bound(behind, lambda words: _has(words, EACH, at_start=True) & _has(words, LENGTHS) & _has(words, FRONTAGE))
+        limit = bound(before, lambda words: _has(words, MAXIMUM))
+        return bound(ratio, lambda r: F.struct(x["raw"].alias("raw"), x["unit"].alias("unit"), r.alias("is_ratio"), (r | limit).alias("is_limit")))
 
-    return F.filter(F.transform(found, judged), lambda x: x["is_limit"] & x["unit"].isNotNull())
+    every = bound(F.split(sentence, _QUANTITY), lambda between: F.transform(found, lambda x, i: judged(x, i, between)))
+    return F.filter(every, lambda x: x["is_limit"] & x["unit"].isNotNull())
 
 
 def defers(sentence: Column) -> Column:
     """Whether a sentence says that the limit stands elsewhere: soon after a phrase of reference comes a part of a document."""
-    spoken = _spoken(sentence)
 
-    def refers(phrase: Column) -> Column:
-        return F.exists(F.slice(F.split(spoken, phrase), 2, 1000), lambda rest: _has(_first_words(F.concat(F.lit(" "), rest), NEAR), PLACES))
+    def refers(spoken: Column, phrase: Column) -> Column:
+        behind = F.slice(F.split(spoken, phrase), 2, 1000)
+        return F.contains(spoken, phrase) & F.exists(behind, lambda rest: bound(_first_words(F.concat(F.lit(" "), rest), NEAR), lambda words: _has(words, PLACES)))
 
-    return F.exists(F.array(*[F.lit(f" {p} ") for p in ELSEWHERE]), refers)
+    return bound(_spoken(sentence), lambda spoken: F.exists(F.array(*[F.lit(f" {p} ") for p in ELSEWHERE]), lambda phrase: refers(spoken, phrase)))
 
 
 RANGE = r"(?i)\bbetween\s+\d\S*\s+(?:[a-z²]+\s+)?and\s+\d"
@@ -110,13 +111,18 @@ def extract_limit(text: Column, expected: Column | None = None) -> Column:
     ``9,3`` has a decimal comma. Sentences that refer to another place or give a range state none.
     """
 
+    def first(right: Column) -> Column:
+        return F.coalesce(F.get(F.filter(right, lambda x: x["is_ratio"]), F.lit(0)), F.get(right, F.lit(0)))
+
     def of(sentence: Column) -> Column:
         right = F.filter(limits_in(sentence), lambda x: F.lit(True) if expected is None else (F.size(expected) == 0) | F.array_contains(expected, x["unit"]))
-        first = F.coalesce(F.get(F.filter(right, lambda x: x["is_ratio"]), F.lit(0)), F.get(right, F.lit(0)))
-        return F.when(~defers(sentence) & ~sentence.rlike(RANGE), F.struct(first.alias("limit"), sentence.alias("sentence")))
+        return F.when(~defers(sentence) & ~sentence.rlike(RANGE), F.struct(bound(right, first).alias("limit"), sentence.alias("sentence")))
+
+    def read(found: Column) -> Column:
+        raw = found["limit"]["raw"]
+        plain = F.when(raw.rlike(r"^\d{1,3}(?:,\d{3})+"), F.replace(raw, F.lit(","), F.lit(""))).otherwise(F.replace(raw, F.lit(","), F.lit(".")))
+        return F.when(found.isNotNull(), F.struct(plain.try_cast("double").alias("value"), found["limit"]["unit"].alias("unit"), found["limit"]["is_ratio"].alias("is_ratio"), found["sentence"].alias("sentence")))
 
     readable = F.replace(F.coalesce(text, F.lit("")), F.lit("²"), F.lit("2"))
-    found = F.get(F.filter(F.transform(clauses(readable), of), lambda x: x["limit"].isNotNull()), F.lit(0))
-    raw = found["limit"]["raw"]
-    plain = F.when(raw.rlike(r"^\d{1,3}(?:,\d{3})+"), F.replace(raw, F.lit(","), F.lit(""))).otherwise(F.replace(raw, F.lit(","), F.lit(".")))
-    return F.when(found.isNotNull(), F.struct(plain.try_cast("double").alias("value"), found["limit"]["unit"].alias("unit"), found["limit"]["is_ratio"].alias("is_ratio"), found["sentence"].alias("sentence")))
+    found = F.filter(F.transform(clauses(readable), of), lambda x: x["limit"].isNotNull())
+    return bound(F.get(found, F.lit(0)), read)

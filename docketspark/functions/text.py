@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"(?U)\s"
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is evaluated once a row, however often ``f`` uses it: inside lambdas and branches Spark shares nothing."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(x, rf"(?U)^\s+|\s+$", "")

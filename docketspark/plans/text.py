@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketspark.functions import limits as L
 from docketspark.functions import text as T
 from docketspark.plans.registry import query
-from docketspark.session import spread, table
+from docketspark.session import dealt, spread, table
 
 
 def rows(spark: SparkSession, schema: str, *values: tuple) -> DataFrame:
@@ -36,7 +36,7 @@ def _number(key):
 def each(spark: SparkSession, d: str, schema: str, *written: tuple, name: str = "customer", key: str = "c_custkey") -> DataFrame:
     """Every row of a table writes one of the texts, by its number: key and the columns of ``schema``; ``#`` is a number of three digits of its own."""
     given = rows(spark, f"position int, {schema}", *[(i, *x) for i, x in enumerate(written)])
-    joined = table(spark, d, name).select(F.col(key).alias("key")).join(F.broadcast(given), F.col("key") % len(written) == F.col("position"))  # a few texts
+    joined = dealt(table(spark, d, name).select(F.col(key).alias("key"))).join(F.broadcast(given), F.col("key") % len(written) == F.col("position"))  # a few texts
     return joined.select("key", *[F.replace(f.name, F.lit("#"), _number(F.col("key"))).alias(f.name) if f.dataType.typeName() == "string" else f.name for f in given.schema[1:]])
 
 
@@ -51,7 +51,7 @@ def every(spark: SparkSession, d: str, schema: str, *written: tuple, name: str =
     """Every row of a table writes all of the rows; ``#`` as above."""
     given = rows(spark, schema, *written)
     all_of = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(x, given.schema, strict=True)]) for x in written])
-    out = table(spark, d, name).select(F.col(key).alias("key"), F.inline(all_of))
+    out = dealt(table(spark, d, name).select(F.col(key).alias("key"))).select("key", F.inline(all_of))
     return out.select("key", *[F.replace(f.name, F.lit("#"), _number(F.col("key"))).alias(f.name) if f.dataType.typeName() == "string" else f.name for f in given.schema])
 
 

@@ -162,6 +162,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores in any case: for rows of a few bytes that much is done with. They are so many a file that the file's
+    splits, and its row groups still more, are fewer than the cores."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

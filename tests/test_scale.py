@@ -2,7 +2,10 @@
 
 import datetime
 
+from pyspark.sql import functions as F
+
 from docketspark import plans
+from docketspark.functions.limits import extract_limit
 
 
 def test_of_tied_lines_the_first_of_the_table_stays(spark, tmp_path):
@@ -18,3 +21,9 @@ def test_of_tied_lines_the_first_of_the_table_stays(spark, tmp_path):
         next((tmp_path / f"made-{part}").glob("part-*.parquet")).rename(folder / f"part-{part}.parquet")
     got = {r["l_orderkey"]: r["l_partkey"] for r in plans.QUERIES["distinct_citations"](spark, str(tmp_path)).collect()}
     assert got[1] == 0 and got[2] == 2 and len(got) == 899
+
+
+def test_a_limit_is_read_by_an_expression_of_bounded_size(spark):
+    rows = spark.createDataFrame([("The height shall not exceed 5 m.",)], "t string")
+    plan = rows.select(extract_limit(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") <= 4
