@@ -111,10 +111,12 @@ MONTH_FORMATS = ("d MMMM yyyy", "d MMM yyyy")
 
 def parse_date(x: Column) -> Column:
     """A date in one of the usual forms; a month alone is its first day."""
-    cleaned = F.regexp_replace(squeeze(x), r"\.$", "")
-    cased = F.initcap(cleaned)
-    tries = [F.try_to_date(cased, f) for f in DATE_FORMATS] + [F.try_to_date(F.concat(F.lit("1 "), cased), f) for f in MONTH_FORMATS]
-    return F.coalesce(*tries)
+
+    def read(cased: Column) -> Column:
+        tries = [F.try_to_date(cased, f) for f in DATE_FORMATS] + [F.try_to_date(F.concat(F.lit("1 "), cased), f) for f in MONTH_FORMATS]
+        return F.when(cased.rlike("[0-9]"), F.coalesce(*tries))  # every form has digits, and a form that fails costs most
+
+    return bound(F.initcap(F.regexp_replace(squeeze(x), r"\.$", "")), read)
 
 
 def bylaw_key(x: Column) -> Column:

@@ -5,7 +5,10 @@ import datetime
 from pyspark.sql import functions as F
 
 from docketspark import plans
+from docketspark.functions import registry
+from docketspark.functions import text as T
 from docketspark.functions.limits import extract_limit
+from docketspark.operators import places
 
 
 def test_of_tied_lines_the_first_of_the_table_stays(spark, tmp_path):
@@ -27,3 +30,19 @@ def test_a_limit_is_read_by_an_expression_of_bounded_size(spark):
     rows = spark.createDataFrame([("The height shall not exceed 5 m.",)], "t string")
     plan = rows.select(extract_limit(F.col("t")))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract_all") <= 4
+
+
+def test_a_date_is_read_from_one_cleaned_text(spark):
+    rows = spark.createDataFrame([("march 3, 2018.",), ("July  15 2021",), ("May 2020",), ("no day",), ("",), (None,), ("2021/7/5",)], "t string")
+    dates = rows.select(T.parse_date(F.col("t")).alias("day"))
+    assert [r[0] for r in dates.collect()] == [datetime.date(2018, 3, 3), datetime.date(2021, 7, 15), datetime.date(2020, 5, 1), None, None, None, datetime.date(2021, 7, 5)]
+    assert dates._jdf.queryExecution().analyzed().toString().count("initcap") == 1
+
+
+def test_places_are_scanned_once_a_text(spark):
+    r = registry.registry()
+    assert r is registry.registry()
+    for text in ("Surrey and Richmond, then Langley", "City of North Vancouver", "", "nowhere"):
+        assert r.named(text) == (r.find(text), r.unresolved(text), r.last(text))
+    head = spark.createDataFrame([("Adopted on March 3, 2018",)], "t string").select(places.dated(F.col("t"), places.ADOPTED).alias("day"))
+    assert head.first()[0] == datetime.date(2018, 3, 3)
