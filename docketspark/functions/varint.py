@@ -28,7 +28,11 @@ def pack(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def unpack(column: pa.Array) -> np.ndarray:
     """All values of the binaries, one after the other."""
-    data = np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint8)
+    column = column.cast(pa.large_binary())
+    if not len(column) or column.buffers()[2] is None:
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
     last = np.flatnonzero(data < 128)
     first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
     width = last - first + 1

@@ -7,10 +7,7 @@ holds the bytes and what the operator keeps of it, not the arrays in between.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import functools
-import gc
 import math
 from collections.abc import Callable, Iterator
 
@@ -21,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docketspark.session import small_batches
+from docketspark.session import lean, small_batches
 
 SLICE_BYTES = 1 << 20
 
@@ -50,21 +47,6 @@ def prepare(spark: SparkSession) -> None:
     small_batches(spark)
 
 
-def lean(run: Callable) -> Callable:
-    """A task's function that gives memory back when it ends: workers outlive tasks, and what they hold adds to the executor's."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())
-        try:
-            yield from run(batches)
-        finally:
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-    return wrapped
-
-
 def filled(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The texts as one plain string array, null as the empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -22,13 +22,16 @@ from docketspark.functions.stem import STOP, english_stem
 from docketspark.functions.varint import deltas, pack, runs, sums, unpack, unzigzag, zigzag
 from docketspark.functions.words import occurrences
 from docketspark.operators.fulltext import parse
-from docketspark.session import cut, fingerprint, kept
+from docketspark.session import cut, fingerprint, kept, lean, small_batches, usual_batches
 
 FILE_BYTES = 2 << 20  # of text whose postings go to one bucket
 PART_BYTES = 128 << 20  # of text whose postings go to one file of a bucket, once there are the most buckets
 BLOCK_BYTES = 8 << 20  # of text whose postings of a term are one block
 MOST_BUCKETS = 4096
 MOST_LOOKED_UP = 2000
+MOST_SENT = 1 << 18  # terms, or ids of questions, that are sent to all tasks, so that the index is not shuffled
+PAIRS = 1 << 20  # of a question and a text, by one term, that are a task's
+OPENED = 1 << 18  # postings, or positions, that are opened at once
 
 
 def english(word: str) -> str | None:
@@ -61,28 +64,60 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, term_of: Callable[[st
                 yield pa.RecordBatch.from_arrays([terms, pa.array(n, pa.int32()), pa.array(total, pa.int64()), *packed], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(run, BLOCKS)
+    return rows.mapInArrow(lean(run), BLOCKS)
+
+
+def _portions(counts: np.ndarray, most: int = OPENED) -> Iterator[tuple[int, int]]:
+    """Row ranges whose counts add up to at most ``most``; a row of more has a range of its own."""
+    ends = np.cumsum(counts)
+    start = 0
+    while start < len(counts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, stop
+        start = stop
 
 
 def opened(blocks: DataFrame, positions: bool = False) -> DataFrame:
-    """(term, id, tf, size), and maybe positions, a row a posting."""
+    """(term, id, tf, size), and maybe positions, a row a posting. As many blocks are opened at once as have some postings, or positions,
+    so what a worker holds does not grow with the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                yield _opened(batch.slice(start, 64), positions)
+            for start, stop in _portions(batch.column("total" if positions else "n").to_numpy().astype(np.int64)):
+                yield _opened(batch.slice(start, stop - start), positions)
 
-    columns = ["term", "n", "ids", "tfs", "sizes", *(["places"] if positions else [])]
-    return blocks.select(*columns).mapInArrow(run, "term string, id long, tf int, size int" + ", positions array<int>" * positions)
+    columns = ["term", "n", "ids", "tfs", "sizes", *(["total", "places"] if positions else [])]
+    return blocks.select(*columns).mapInArrow(lean(run), "term string, id long, tf int, size int" + ", positions array<int>" * positions)
 
 
-def _opened(batch: pa.RecordBatch, positions: bool) -> pa.RecordBatch:
+def terms_of(blocks: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, term) of the texts of ``ids`` alone: the other postings are passed over where the blocks are opened."""
+    sent = blocks.sparkSession.sparkContext.broadcast(np.array(sorted(ids), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in _portions(batch.column("n").to_numpy().astype(np.int64)):
+                some = batch.slice(start, stop - start)
+                found, block = _ids(some)
+                own = np.isin(found, sent.value)
+                yield pa.RecordBatch.from_arrays([pa.array(found[own]), some.column("term").take(pa.array(block[own]))], names=["id", "term"])
+
+    return blocks.select("term", "n", "ids").mapInArrow(lean(run), "id long, term string")
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all postings, and of each the number of its block."""
     n = batch.column("n").to_numpy().astype(np.int64)
     begins, block = runs(n)
     steps = unpack(batch.column("ids"))
     steps[begins] = unzigzag(steps[begins])
+    return sums(steps, n), block
+
+
+def _opened(batch: pa.RecordBatch, positions: bool) -> pa.RecordBatch:
+    ids, block = _ids(batch)
     tf = unpack(batch.column("tfs"))
-    columns = [batch.column("term").take(pa.array(block)), pa.array(sums(steps, n)), pa.array(tf, pa.int32()), pa.array(unpack(batch.column("sizes")), pa.int32())]
+    columns = [batch.column("term").take(pa.array(block)), pa.array(ids), pa.array(tf, pa.int32()), pa.array(unpack(batch.column("sizes")), pa.int32())]
     if positions:
         ends = np.zeros(len(tf) + 1, np.int32)
         np.cumsum(tf, out=ends[1:])
@@ -103,6 +138,7 @@ class TermIndex:
         """``term_of``: a word's term, or None to leave the word out; questions' words go through it too. ``source``: the files' table, whose
         names, sizes and times tell one state of the data from another. ``path``: where the index stays after the application."""
         spark, self.term_of, self._known = docs.sparkSession, term_of, None
+        usual_batches(spark)
         key = (*key, getattr(term_of, "__qualname__", ""), fingerprint(source if source is not None else docs))
         volume = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes"))
 
@@ -124,6 +160,7 @@ class TermIndex:
         self.blocks = kept(spark, (*key, "blocks"), postings, "bucket", path)
         self.sizes = kept(spark, (*key, "sizes"), sizes, path=path)  # null where there is no text
         self.statistics = kept(spark, (*key, "statistics"), lambda: self.sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean")), path=path)
+        small_batches(spark, few_rows=False)  # blocks of frequent terms are large
 
     def _bucket(self, term):
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
@@ -163,11 +200,13 @@ class TermIndex:
         return opened(self._blocks_of(terms), positions)
 
     def _blocks_of(self, terms: DataFrame) -> DataFrame:
-        """Up to ``MOST_LOOKED_UP`` terms are looked up in their buckets; more are joined."""
+        """Up to ``MOST_LOOKED_UP`` terms are looked up in their buckets, up to ``MOST_SENT`` sent to the blocks; more are joined."""
         asked = terms.select("term").distinct()
         few = asked.limit(MOST_LOOKED_UP + 1).withColumn("bucket", self._bucket(F.col("term"))).collect()
         if len(few) > MOST_LOOKED_UP:
-            return self.blocks.join(asked.withColumn("bucket", self._bucket(F.col("term"))), ["bucket", "term"])
+            asked = asked.withColumn("bucket", self._bucket(F.col("term")))
+            sent = asked.limit(MOST_SENT + 1).count() <= MOST_SENT
+            return self.blocks.join(F.broadcast(asked) if sent else asked, ["bucket", "term"])
         return self.blocks.filter(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted(r["term"] for r in few)))
 
     def frequencies(self, terms: DataFrame) -> DataFrame:
@@ -176,7 +215,10 @@ class TermIndex:
 
     def rarest(self, questions: DataFrame, most: int, least_df: int = 2) -> DataFrame:
         """(query_id, term): of each stated row (query_id, an indexed id) its rarest terms that another row has."""
-        own = cut(self.postings.join(questions.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "term"), "own-terms")
+        ids = questions.select(F.col("query_id").cast("long").alias("id")).distinct()
+        few = [r["id"] for r in ids.filter("id IS NOT NULL").limit(MOST_SENT + 1).collect()]
+        found = terms_of(self.blocks, few) if len(few) <= MOST_SENT else self.postings.join(ids, "id", "left_semi")
+        own = cut(found.select(F.col("id").alias("query_id"), "term"), "own-terms")
         counted = own.join(self.frequencies(own), "term").filter(F.col("df") >= least_df)
         order = W.partitionBy("query_id").orderBy("df", "term")
         return counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("query_id", "term")
@@ -190,16 +232,18 @@ class TermIndex:
         scopes = asked.select("query_id", "scope").distinct() if "scope" in asked.columns else None
         asked = self._asked(asked, own_terms)
         blocks = self._blocks_of(asked)
-        found, df = opened(blocks), blocks.groupBy("term").agg(F.sum("n").alias("df"))
+        weighed, keys = cut(asked.join(blocks.groupBy("term").agg(F.sum("n").alias("df")), "term"), "weighed"), ["term"]
+        rows, pairs = weighed.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+        # dealt by text, a question's rows of a text meet where they are made, and each task keeps its own best: pairs are not moved
+        found = opened(blocks).repartition(max(math.ceil(pairs / PAIRS), blocks.sparkSession.sparkContext.defaultParallelism), "id")
         n, mean = map(F.lit, self._measures())
         idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
-        weighed, keys = asked.join(df, "term"), ["term"]
         if scopes is not None:
             found, weighed, keys = found.join(allowed.select("id", "scope"), "id"), weighed.join(scopes, "query_id"), ["term", "scope"]
         elif allowed is not None:
             found = found.join(allowed.select("id"), "id", "left_semi")
-        scored = found.join(weighed, keys).groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
+        scored = found.join(F.broadcast(weighed) if rows <= MOST_SENT else weighed, keys).groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
         return best(scored, k)
 
     # --- web-style queries

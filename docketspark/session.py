@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import hashlib
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +64,11 @@ _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.ex
 _BEFORE: dict[str, str | None] = {}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches so small that batches of long texts, which both sides hold outside the heap, fit beside it; until ``usual_batches``."""
+def small_batches(spark: SparkSession, few_rows: bool = True) -> None:
+    """Arrow batches so small that batches of long texts, which both sides hold outside the heap, fit beside it; until ``usual_batches``.
+    Without ``few_rows`` only their bytes are bounded."""
     for key, value in _BATCHES.items():
-        if spark.conf.get(key, None) != value:
+        if (few_rows or "Records" not in key) and spark.conf.get(key, None) != value:
             _BEFORE[key] = spark.conf.get(key, None)
             spark.conf.set(key, value)
 
@@ -78,6 +83,21 @@ def usual_batches(spark: SparkSession) -> None:
     _BEFORE.clear()
 
 
+def lean(run: Callable) -> Callable:
+    """A task's function that gives memory back when it ends: workers outlive tasks, and what they hold adds to the executor's."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder, deleted with the scratch tables."""
     path = f"{shared_dir(spark)}/docketspark/{name}-{uuid.uuid4().hex}"

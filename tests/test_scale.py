@@ -2,13 +2,15 @@
 
 import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docketspark import plans
 from docketspark.functions import registry
 from docketspark.functions import text as T
 from docketspark.functions.limits import extract_limit
-from docketspark.operators import places
+from docketspark.functions.varint import pack, unpack
+from docketspark.operators import places, postings
 
 
 def test_of_tied_lines_the_first_of_the_table_stays(spark, tmp_path):
@@ -46,3 +48,29 @@ def test_places_are_scanned_once_a_text(spark):
         assert r.named(text) == (r.find(text), r.unresolved(text), r.last(text))
     head = spark.createDataFrame([("Adopted on March 3, 2018",)], "t string").select(places.dated(F.col("t"), places.ADOPTED).alias("day"))
     assert head.first()[0] == datetime.date(2018, 3, 3)
+
+
+def test_blocks_are_opened_in_bounded_portions_and_only_for_the_asked(spark):
+    docs = spark.createDataFrame([(i, f"common word{i % 50} other{i % 7} common") for i in range(400)], "id long, text string").coalesce(2)
+    blocks = postings.blocks_of(docs, "id", "text").cache()
+    want = sorted((r.term, r.id, r.tf, r.size) for r in postings.opened(blocks).collect())
+    assert len(want) == 1200 and want[0] == ("common", 0, 2, 4)
+    assert list(postings._portions(np.array([5, 1, 1, 9, 1]), 4)) == [(0, 1), (1, 3), (3, 4), (4, 5)]
+    some = [3, 53, 399]
+    assert sorted((r.term, r.id) for r in postings.terms_of(blocks, some).collect()) == [(t, i) for t, i, _, _ in want if i in some]
+
+
+def test_a_search_moves_no_pairs_of_questions_and_texts(spark):
+    docs = spark.createDataFrame([(i, f"common word{i % 5} own{i}") for i in range(100)], "id long, text string")
+    index = postings.TermIndex(docs, ("pairs",))
+    asked = spark.createDataFrame([(q, t) for q in range(4) for t in ("common", f"word{q}")], "query_id long, term string")
+    found = index.search(asked, 30)
+    rows = found.collect()
+    assert len(rows) == 120 and {(r.query_id, r.id % 5) for r in rows if r["rank"] <= 20} == {(q, q) for q in range(4)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and ", id#" not in "".join(x for x in plan.splitlines() if "hashpartitioning(query_id" in x).split("ENSURE")[0]
+
+
+def test_unpack_reads_slices(spark):
+    packed = pack(np.array([1, 300, 5, 70000, 2]), np.array([2, 0, 2, 1]))
+    assert unpack(packed).tolist() == [1, 300, 5, 70000, 2] and unpack(packed.slice(1, 2)).tolist() == [5, 70000] and unpack(packed.slice(1, 1)).tolist() == []
