@@ -216,14 +216,17 @@ def json_object(x: Column) -> Column:
 
 def render_markdown(rows: Column) -> Column:
     """A table, its first row the header, as markdown; ragged rows are filled up."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
 
-    def line(r):
+    def line(r, width):
         cells = F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.replace(squeeze(F.coalesce(c, F.lit(""))), F.lit("|"), F.lit("\\|")))
         return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
-    return F.array_join(F.concat(F.array(line(F.element_at(rows, 1))), F.array(rule), F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n")
+    def table(width):
+        rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
+        lines = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: line(r, width))
+        return F.array_join(F.concat(F.array(line(F.element_at(rows, 1), width)), F.array(rule), lines), "\n")
+
+    return bound(F.array_max(F.transform(rows, lambda r: F.size(r))), table)
 
 
 def degenerate_table(rows: Column) -> Column:

@@ -24,8 +24,7 @@ def looks_numeric(x: Column) -> Column:
 
 def has_header(rows: Column) -> Column:
     """Whether the first row reads as labels: of its cells that are filled at most half are numbers."""
-    filled = F.filter(F.element_at(rows, 1), lambda c: c != "")
-    return (F.size(filled) > 0) & (2 * F.size(F.filter(filled, looks_numeric)) <= F.size(filled))
+    return T.bound(F.filter(F.element_at(rows, 1), lambda c: c != ""), lambda filled: (F.size(filled) > 0) & (2 * F.size(F.filter(filled, looks_numeric)) <= F.size(filled)))
 
 
 def _sweep(by: list[str], low: str, high: str, name: str, gap: float = 0.0) -> tuple[Column, Column]:
@@ -69,7 +68,7 @@ def lift_tables(lines: DataFrame, min_rows: int = 2, min_columns: int = 2, gap:
 
     def row_of(band: Column) -> Column:
         own = F.map_from_entries(F.transform(F.filter("cells", lambda x: x["band"] == band), lambda x: F.struct(x["column"], x["text"])))
-        return F.transform(F.sequence(F.lit(1).cast("long"), F.col("columns")), lambda k: F.coalesce(F.try_element_at(own, k), F.lit("")))
+        return T.bound(own, lambda texts: F.transform(F.sequence(F.lit(1).cast("long"), F.col("columns")), lambda k: F.coalesce(F.try_element_at(texts, k), F.lit(""))))
 
     rows = found.withColumn("rows", F.transform(bands, row_of))
     order = W.partitionBy(*PAGE).orderBy(F.col("box")["y0"], F.col("box")["x0"])

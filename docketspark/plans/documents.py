@@ -107,9 +107,11 @@ def order_pages(spark, d):
     top = 20 + 20 * k + shift
     cells = [line(10 * k + 1, F.concat(F.lit(" p"), F.col("l_partkey").cast("string")), 5 + shift, top, 60, top + 12), line(10 * k + 2, F.col("l_quantity").cast("long").cast("string"), 100, top + 1, 140 - shift, top + 9)]
     price = line(10 * k + 3, F.concat(F.lit("$"), F.col("l_suppkey").cast("string"), F.lit("|x")), 200 + shift, top, 260, top + 11)
-    grid = lines.select(*page, F.inline(F.array(*cells))).unionByName(lines.filter("l_tax > 0").select(*page, F.inline(F.array(price))))
     fixed = [line(0, F.lit("An order of lines"), 0, 0, 300, 12), line(1, F.lit("Part"), 0, 20, 40, 30), line(2, F.lit("Qty"), 100, 20, 130, 30), line(3, F.lit("Price  each"), 205, 20, 250, 30), line(9999, F.lit("End"), 0, 5000, 300, 5010)]
-    return grid.unionByName(lines.select("l_orderkey").distinct().select(*page, F.inline(F.array(*fixed))))
+    # a line's boxes, and with an order's first line those of the page, are made in one pass over the lines
+    none = F.array().cast("array<struct<line_no: bigint, text: string, box: struct<x0: double, y0: double, x1: double, y1: double>>>")
+    drawn = F.concat(F.array(*cells), F.when(F.col("l_tax") > 0, F.array(price)).otherwise(none), F.when(k == 1, F.array(*fixed)).otherwise(none))
+    return lines.select(*page, F.inline(drawn))
 
 
 @query("""SELECT l_orderkey AS document_id, 0 AS ordinal, count(*) + 1 AS n_rows, 'Part,Qty,Price each' AS headers, 2 AS n_prose,

@@ -74,3 +74,12 @@ def test_a_search_moves_no_pairs_of_questions_and_texts(spark):
 def test_unpack_reads_slices(spark):
     packed = pack(np.array([1, 300, 5, 70000, 2]), np.array([2, 0, 2, 1]))
     assert unpack(packed).tolist() == [1, 300, 5, 70000, 2] and unpack(packed.slice(1, 2)).tolist() == [5, 70000] and unpack(packed.slice(1, 1)).tolist() == []
+
+
+def test_pages_of_orders_are_drawn_in_one_pass(spark, small):
+    from docketspark.plans.documents import order_pages
+
+    pages = order_pages(spark, small)
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Union" not in plan
+    assert pages.filter("line_no = 9999").count() == pages.select("document_id").distinct().count()
