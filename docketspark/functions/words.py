@@ -67,30 +67,36 @@ class Occurrences:
         return pa.ListArray.from_arrays(pa.array(self.offsets), pa.array(self.places))
 
 
-def occurrences(texts: pa.Array, term_of: Callable[[str], str | None] | None = None, most: int | None = None) -> Iterator[tuple[int, Occurrences]]:
-    """For slices of ``texts`` (lower-cased, no nulls) of at most ``most`` bytes the first row and the occurrences. ``term_of``: a word's term, null to leave it out;
-    left out words count in positions and sizes."""
+def encoded(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, list[pa.DictionaryArray], np.ndarray]]:
+    """For slices of ``texts`` (lower-cased, no nulls) of at most ``most`` bytes the first row, all words in order and the number of words of each row. Words are
+    parts with a dictionary each; a text longer than a slice is in several, so what is held beside them does not grow with it."""
     for i, j in slices(texts, most or SLICE_BYTES):
-        codes: dict[str, int] = {}
-
-        def numbered(words: pa.Array, codes: dict[str, int] = codes) -> np.ndarray:
-            coded = words.dictionary_encode()
-            own = []
-            for word in coded.dictionary.to_pylist():
-                term = word if term_of is None else term_of(word)
-                own.append(-1 if term is None else codes.setdefault(term, len(codes)))
-            return np.array(own, np.int64)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-
         raw = texts[i].as_buffer() if j - i == 1 else b""
         if len(raw) > SLICE_BYTES:
-            code = np.concatenate([numbered(spelled(np.append(part, np.uint8(10)))[1]) for part in _pieces(np.frombuffer(raw, np.uint8), SLICE_BYTES)])
-            doc, place, sizes = np.zeros(len(code), np.int64), np.arange(len(code)), np.array([len(code)])
+            parts = [spelled(np.append(part, np.uint8(10)))[1].dictionary_encode() for part in _pieces(np.frombuffer(raw, np.uint8), SLICE_BYTES)]
+            yield i, parts, np.array([sum(map(len, parts))])
         else:
             joined = pc.binary_join_element_wise(texts.slice(i, j - i), pa.scalar(""), pa.scalar("\n"))
             offsets = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1].astype(np.int64)
             starts, words = spelled(np.frombuffer(joined.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
-            bounds = np.searchsorted(starts, offsets - offsets[0])
-            sizes = np.diff(bounds)
-            doc = np.repeat(np.arange(j - i), sizes)
-            code, place = numbered(words), np.arange(len(starts)) - bounds[doc]
-        yield i, Occurrences(doc, code, place, list(codes), sizes)
+            yield i, [words.dictionary_encode()], np.diff(np.searchsorted(starts, offsets - offsets[0]))
+
+
+def numbered(parts: list[pa.DictionaryArray], term_of: Callable[[str], str | None] | None = None) -> tuple[np.ndarray, pa.Array]:
+    """Of every word of ``parts`` the number of its term, -1 where ``term_of`` leaves it out, and the terms; each different word is asked for once."""
+    whole = pa.chunked_array(parts, pa.dictionary(pa.int32(), pa.string())).unify_dictionaries()
+    code = np.concatenate([part.indices.to_numpy() for part in whole.chunks] or [np.zeros(0, np.int32)])
+    words = whole.chunk(0).dictionary if whole.num_chunks else pa.array([], pa.string())
+    if term_of is None:
+        return code, words
+    terms = pa.array([term_of(word) for word in words.to_pylist()], pa.string()).dictionary_encode()
+    return pc.fill_null(terms.indices, -1).to_numpy()[code], terms.dictionary
+
+
+def occurrences(texts: pa.Array, term_of: Callable[[str], str | None] | None = None, most: int | None = None) -> Iterator[tuple[int, Occurrences]]:
+    """For slices of ``texts`` (lower-cased, no nulls) of at most ``most`` bytes the first row and the occurrences. ``term_of``: a word's term, null to leave it out;
+    left out words count in positions and sizes."""
+    for i, parts, sizes in encoded(texts, most):
+        code, terms = numbered(parts, term_of)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        yield i, Occurrences(doc, code, np.arange(len(code)) - (np.cumsum(sizes) - sizes)[doc], terms.to_pylist(), sizes)

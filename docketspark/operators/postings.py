@@ -14,24 +14,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketspark.functions.stem import STOP, english_stem
 from docketspark.functions.varint import deltas, pack, runs, sums, unpack, unzigzag, zigzag
-from docketspark.functions.words import occurrences
+from docketspark.functions.words import encoded, numbered
 from docketspark.operators.fulltext import parse
 from docketspark.session import cut, fingerprint, kept, lean, small_batches, usual_batches
 
 FILE_BYTES = 2 << 20  # of text whose postings go to one bucket
 PART_BYTES = 128 << 20  # of text whose postings go to one file of a bucket, once there are the most buckets
 BLOCK_BYTES = 8 << 20  # of text whose postings of a term are one block
+READ_BYTES = 1 << 20  # of text whose words are found at once
 MOST_BUCKETS = 4096
 MOST_LOOKED_UP = 2000
 MOST_SENT = 1 << 18  # terms, or ids of questions, that are sent to all tasks, so that the index is not shuffled
 PAIRS = 1 << 20  # of a question and a text, by one term, that are a task's
-OPENED = 1 << 18  # postings, or positions, that are opened at once
+OPENED = 1 << 18  # postings, or positions, that are opened, or packed, at once
 
 
 def english(word: str) -> str | None:
@@ -44,27 +46,53 @@ BLOCKS = "term string, n int, total long, ids binary, tfs binary, sizes binary,
 
 def blocks_of(docs: DataFrame, id_col: str, text_col: str, term_of: Callable[[str], str | None] | None = None) -> DataFrame:
     """Blocks of postings: a term's texts in some MB of texts. A text is whole in its row, so its terms meet there, and what is shuffled
-    is packed: ids and positions as differences, with the counts and the texts' sizes, in as many bytes as each number needs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column("id").to_numpy(), batch.column("text").cast(pa.string()).fill_null("")
-            for first, found in occurrences(texts, term_of, BLOCK_BYTES):
-                own = ids[first + found.doc]
-                order = np.lexsort((own, found.code))
-                tf = np.diff(found.offsets)[order]
-                begins, posting = runs(tf)
-                places = found.places[found.offsets[:-1][order][posting] + np.arange(int(tf.sum())) - begins[posting]]
-                codes, n = np.unique(found.code, return_counts=True)
-                total = np.add.reduceat(tf, np.cumsum(n) - n) if len(n) else n
-                steps = deltas(own[order], n)
-                steps = np.where(np.isin(np.arange(len(steps)), np.cumsum(n) - n), zigzag(steps).view(np.int64), steps)
-                terms = pa.array(found.terms, pa.string()).take(pa.array(codes))
-                packed = [pack(steps, n), pack(tf, n), pack(found.sizes[found.doc][order], n), pack(deltas(places.astype(np.int64), tf), total)]
-                yield pa.RecordBatch.from_arrays([terms, pa.array(n, pa.int32()), pa.array(total, pa.int64()), *packed], names=[x.split()[0] for x in BLOCKS.split(", ")])
+    is packed: ids and positions as differences, with the counts and the texts' sizes, in as many bytes as each number needs.
 
+    Of a block's texts four bytes a word are held, whatever batches they come in; their words are found in slices and packed in portions.
+    """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(lean(run), BLOCKS)
+    return rows.mapInArrow(lean(lambda batches: _blocks(batches, term_of)), BLOCKS)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], term_of: Callable[[str], str | None] | None) -> Iterator[pa.RecordBatch]:
+    parts, words, ids, held = [], [], [], 0
+    for batch in batches:
+        own, texts = batch.column("id").to_numpy(), batch.column("text").cast(pa.string()).fill_null("")
+        for first, found, sizes in encoded(texts, READ_BYTES):
+            length = pc.sum(pc.binary_length(texts.slice(first, len(sizes)))).as_py() + 8 * len(sizes)  # with the ids, so that rows are bounded too
+            if held and held + length > BLOCK_BYTES:
+                yield from _packed(parts, words, ids, term_of)
+                parts, words, ids, held = [], [], [], 0
+            parts += found
+            words.append(sizes)
+            ids.append(own[first : first + len(sizes)])
+            held += length
+    if ids:
+        yield from _packed(parts, words, ids, term_of)
+
+
+def _packed(parts: list[pa.DictionaryArray], words: list[np.ndarray], ids: list[np.ndarray], term_of: Callable[[str], str | None] | None) -> Iterator[pa.RecordBatch]:
+    """The blocks of some rows, some terms at a time: ``parts`` are the rows' words in order, ``words`` how many each row has."""
+    code, terms = numbered(parts, term_of)
+    sizes, ids = np.concatenate(words), np.concatenate(ids)
+    begins = np.cumsum(sizes) - sizes
+    order = np.argsort(code, kind="stable")
+    total = np.bincount(code + 1, minlength=len(terms) + 1)
+    at, total = int(total[0]), total[1:]
+    for start, stop in _portions(total):
+        word = order[at : at + int(total[start:stop].sum())]
+        at += len(word)
+        row = np.searchsorted(begins, word, "right") - 1
+        term = np.repeat(np.arange(start, stop), total[start:stop])
+        by = np.lexsort((ids[row], term))
+        row, place = row[by], (word - begins[row])[by]
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+        tf, row, n = np.diff(np.append(first, len(term))), row[first], np.bincount(term[first] - start)
+        steps = deltas(ids[row], n)
+        heads = np.cumsum(n) - n
+        steps[heads] = zigzag(steps[heads]).view(np.int64)
+        packed = [pack(steps, n), pack(tf, n), pack(sizes[row], n), pack(deltas(place, tf), total[start:stop])]
+        yield pa.RecordBatch.from_arrays([terms[start:stop], pa.array(n, pa.int32()), pa.array(total[start:stop], pa.int64()), *packed], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
 
 def _portions(counts: np.ndarray, most: int = OPENED) -> Iterator[tuple[int, int]]:
@@ -139,6 +167,7 @@ class TermIndex:
         names, sizes and times tell one state of the data from another. ``path``: where the index stays after the application."""
         spark, self.term_of, self._known = docs.sparkSession, term_of, None
         usual_batches(spark)
+        small_batches(spark, few_rows=False)  # of long texts, and of blocks of frequent terms
         key = (*key, getattr(term_of, "__qualname__", ""), fingerprint(source if source is not None else docs))
         volume = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes"))
 
@@ -160,7 +189,6 @@ class TermIndex:
         self.blocks = kept(spark, (*key, "blocks"), postings, "bucket", path)
         self.sizes = kept(spark, (*key, "sizes"), sizes, path=path)  # null where there is no text
         self.statistics = kept(spark, (*key, "statistics"), lambda: self.sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean")), path=path)
-        small_batches(spark, few_rows=False)  # blocks of frequent terms are large
 
     def _bucket(self, term):
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
