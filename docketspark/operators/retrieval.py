@@ -185,17 +185,19 @@ def with_provenance(chunks: DataFrame, documents: DataFrame, municipalities: Dat
     """Chunks with the 21 columns of provenance, and ``extra`` ones of their own: every retrieval projects these and no others.
 
     A chunk without a document goes; municipality, section and page may be missing. A page is told by document and number. Only the
-    columns named here are read.
+    columns named here are read. Chunks are moved while they are narrow, the shortest columns joined first; a municipality meets its
+    documents, which are fewer.
     """
 
     def part(rows: DataFrame, letter: str, *keys: str) -> DataFrame:
         own = {v: k for k, v in PROVENANCE[letter].items()}
         return rows.select(*[F.col(c).alias(own[c]) for c in own], *[F.col(k).alias(f"_{letter}_{k}") for k in keys])
 
-    rows = part(chunks, "c", "document_id", "section_id", *extra).join(part(documents, "d", "municipality_id"), F.col("_c_document_id") == F.col("document_id"))
-    rows = rows.join(part(municipalities, "m", "id"), F.col("_d_municipality_id") == F.col("_m_id"), "left").join(part(sections, "s", "id"), F.col("_c_section_id") == F.col("_s_id"), "left")
     at = (F.col("_c_document_id") == F.col("_p_document_id")) & (F.col("page_number") == F.col("_p_page_number"))
-    joined = rows.join(part(pages, "p", "document_id", "page_number"), at, "left")
+    rows = part(chunks, "c", "document_id", "section_id", *extra).join(part(pages, "p", "document_id", "page_number"), at, "left")
+    rows = rows.join(part(sections, "s", "id"), F.col("_c_section_id") == F.col("_s_id"), "left")
+    placed = part(documents, "d", "municipality_id").join(part(municipalities, "m", "id"), F.col("_d_municipality_id") == F.col("_m_id"), "left")
+    joined = rows.join(placed, F.col("_c_document_id") == F.col("document_id"))
     return joined.select(*[name for columns in PROVENANCE.values() for name in columns], *[F.col(f"_c_{k}").alias(k) for k in extra])
 
 

@@ -13,7 +13,7 @@ from docketspark.functions import registry
 from docketspark.functions import text as T
 from docketspark.functions.limits import extract_limit
 from docketspark.functions.varint import pack, unpack
-from docketspark.operators import places, postings
+from docketspark.operators import places, postings, retrieval
 
 
 def test_of_tied_lines_the_first_of_the_table_stays(spark, tmp_path):
@@ -110,3 +110,24 @@ def test_a_block_is_built_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert postings_of == 600 * 2000 and peak < 80 << 20
+
+
+def test_chunks_are_moved_before_they_are_wide(spark):
+    chunks = spark.createDataFrame([(1, "a", "t", 1, 1, 10, 5, 1.5), (2, "b", "t", 2, 3, 10, None, 2.5), (3, "c", "t", 1, 1, 11, 6, 3.5), (4, "d", "t", 1, 1, 99, 5, 4.5), (5, "e", "t", None, 1, 12, 5, None)], "id long, body string, chunk_type string, page_number int, page_end int, document_id long, section_id long, score double")
+    documents = spark.createDataFrame([(10, 7), (11, 8), (12, None)], "id long, municipality_id long").selectExpr("*", "concat('doc-', id) AS title", "'1' AS bylaw_number", "'in_force' AS status", *[f"DATE'2020-01-01' AS {c}" for c in ("consolidation_date", "last_amendment_date", "effective_date")])
+    cities = spark.createDataFrame([(7, "seven", "Seven")], "id long, canonical_slug string, name string")
+    sections = spark.createDataFrame([(5, "5", "5 > a", "A")], "id long, section_number string, full_path string, heading string")
+    pages = spark.createDataFrame([(10, 1, True, 0.5, 1.0, 2.0), (11, 2, False, 0.5, 1.0, 2.0)], "document_id long, page_number int, was_ocred boolean, extraction_confidence double, width double, height double")
+    found = retrieval.with_provenance(chunks, documents, cities, sections, pages, ("score",))
+    assert len(found.columns) == 22
+    rows = sorted((r.chunk_id, r.document_title, r.municipality_slug, r.section_number, r.from_ocr, r.score) for r in found.collect())
+    assert rows == [(1, "doc-10", "seven", "5", True, 1.5), (2, "doc-10", "seven", None, None, 2.5), (3, "doc-11", None, None, None, 3.5), (5, "doc-12", None, "5", None, None)]
+
+    def joins(node):
+        if node.nodeName() == "Join":
+            yield node.condition().toString(), node.output().mkString(" ")
+        for k in range(node.children().size()):
+            yield from joins(node.children().apply(k))
+
+    of = {letter: out for condition, out in joins(found._jdf.queryExecution().optimizedPlan()) for letter in "msp" if f"_{letter}_" in condition}
+    assert "body" not in of["m"] and "document_title" not in of["s"] + of["p"] and "section_path" not in of["p"]
