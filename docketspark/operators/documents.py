@@ -40,8 +40,8 @@ def rebuild_edges(existing: DataFrame, detected: DataFrame) -> DataFrame:
 
 
 def distinct_citations(citations: DataFrame, by: str, *order: str) -> DataFrame:
-    """Citations without repeats of chunk and the first 80 characters of the quote; the first one in ``order`` stays, which has to be a whole order."""
-    w = W.partitionBy(by, "chunk_id", F.substring("quote", 1, 80)).orderBy(*order)
+    """Citations without repeats of chunk and the first 80 characters of the quote; the first one in ``order`` stays, which has to be a whole order; nulls stand last."""
+    w = W.partitionBy(by, "chunk_id", F.substring("quote", 1, 80)).orderBy(*map(F.asc_nulls_last, order))
     return citations.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 

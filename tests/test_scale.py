@@ -3,9 +3,11 @@
 import datetime
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from compare import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
 from docketspark import plans
@@ -31,6 +33,17 @@ def test_of_tied_lines_the_first_of_the_table_stays(spark, tmp_path):
     assert got[1] == 0 and got[2] == 2 and len(got) == 899
 
 
+def test_a_line_without_number_stands_last(spark, tmp_path):
+    rows = [(1, 10, None), (1, 11, 2), (2, 20, None), (2, 21, None), (3, 30, 2), (3, 31, 1), (3, 32, 1)]
+    lines = spark.createDataFrame([(*r, "R", "F", datetime.datetime(2020, 1, 1)) for r in rows], "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_shipdate timestamp")
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.sql("SET threads=1")  # on one thread it takes the first of the lines that its ORDER BY leaves open
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = spark_rows(plans.QUERIES["distinct_citations"](spark, str(tmp_path)))
+    assert got == duck_rows(con.sql(plans.ORACLE_SQL["distinct_citations"])) and {r[2] for r in got[1]} == {"11", "20", "31"}
+
+
 def test_a_limit_is_read_by_an_expression_of_bounded_size(spark):
     rows = spark.createDataFrame([("The height shall not exceed 5 m.",)], "t string")
     plan = rows.select(extract_limit(F.col("t")))._jdf.queryExecution().analyzed().toString()
