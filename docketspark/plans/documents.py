@@ -12,7 +12,7 @@ from docketspark.operators import retrieval as V
 from docketspark.operators import tables as TB
 from docketspark.plans.registry import query
 from docketspark.plans.text import each, each_sql, every, every_sql
-from docketspark.session import cut, table
+from docketspark.session import table
 
 _STATES = [("indexed", None, "ready", True), ("ocr", None, "processing", False), ("chunked", "boom #", "failed", True), ("nonsense", None, "pending", False), ("sections", "", "processing", True)]
 
@@ -119,10 +119,8 @@ def order_pages(spark, d):
        FROM lineitem GROUP BY 1""", ordinal="INTEGER", n_rows="INTEGER")
 def lifted_tables(spark, d):
     """The table of every order's page, lifted from its lines' boxes, and the number of lines that are left as prose."""
-    lines = order_pages(spark, d)
-    found = cut(TB.lift_tables(lines), "tables")
-    prose = TB.prose_lines(lines, found).groupBy("document_id").agg(F.count("*").cast("int").alias("n_prose"))
-    return found.join(prose, "document_id").select("document_id", "ordinal", F.size("rows").alias("n_rows"), F.array_join("headers", ",").alias("headers"), "n_prose", "markdown")
+    found = TB.lift_tables(order_pages(spark, d))
+    return found.select("document_id", "ordinal", F.size("rows").alias("n_rows"), F.array_join("headers", ",").alias("headers"), F.col("n_prose").cast("int").alias("n_prose"), "markdown")
 
 
 @query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source, lang, coalesce(n_chars, 0) // 3000 + 1 AS page FROM documents)

@@ -1,8 +1,12 @@
 """Tables lifted from boxes, against what a person sees on the page."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docketspark import plans
 from docketspark.operators import tables as TB
 
 SCHEMA = "document_id string, page_number int, line_no long, text string, box struct<x0: double, y0: double, x1: double, y1: double>"
@@ -46,6 +50,43 @@ def test_two_tables_and_numbers_first(spark):
     assert TB.lift_tables(lines, min_rows=3).count() == 1 and TB.lift_tables(lines, min_columns=3).count() == 1
 
 
+def test_pages_are_read_once_and_moved_once(spark, small):
+    found = plans.QUERIES["lifted_tables"](spark, small)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_lines_left_are_counted_with_the_tables(spark):
+    grid = [(v, 100 * c, y + 20 * r, 100 * c + 40, y + 20 * r + 10) for y in (0, 200) for r in range(2) for c, v in enumerate("xyz")]
+    lines = page(spark, *grid, ("between", 0, 100, 300, 110), ("no box",), ("flat", 0, 5, 0, 5))
+    lines = lines.unionByName(page(spark, ("prose only", 0, 0, 9, 9), page_number=2))
+    found = TB.lift_tables(lines)
+    assert [(r["ordinal"], r["n_prose"]) for r in found.orderBy("ordinal").collect()] == [(0, 3), (1, 3)]
+    assert TB.prose_lines(lines, found).groupBy("page_number").count().orderBy("page_number").collect() == [(1, 3), (2, 1)]
+
+
+@pytest.mark.parametrize("portion", [1, 7, 50])
+def test_a_page_of_any_length_is_lifted_in_portions(monkeypatch, portion):
+    rng, rows = random.Random(3), []
+    for p, n in enumerate([1, 400, 3, 150]):
+        lines = sorted((8.0 * rng.randrange(n // 2 + 1), float(rng.randrange(0, 300, 10))) for _ in range(n))
+        rows += [("d", p, i + 1, n + 2, rng.choice(["a", "", "b|c", "1"]), y, x, y + 5, x + rng.choice([20, 90])) for i, (y, x) in enumerate(lines)]
+    names = ["document_id", "page_number", "n", "of", "text", "y0", "x0", "y1", "x1"]
+    whole = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+
+    def lifted(batches):
+        return pa.Table.from_batches(TB._lift(iter(batches), 2, 2, 1.0)).to_pylist()
+
+    once = lifted([whole])
+    assert len(once) > 20 and [t["ordinal"] for t in once if t["page_number"] == 1] == list(range(sum(t["page_number"] == 1 for t in once)))
+    held, concat = [], pa.concat_batches
+    monkeypatch.setattr(TB, "PORTION", portion)
+    monkeypatch.setattr(TB.pa, "concat_batches", lambda batches: held.append(sum(b.num_rows for b in batches)) or concat(batches))
+    assert lifted(whole.slice(i, portion) for i in range(0, whole.num_rows, portion)) == once
+    assert max(held) < 150
+
+
 @pytest.mark.parametrize(("text", "expected"), [("1,000", True), ("$5", True), ("25 %", True), ("-3.5", True), ("", False), ("%", False), ("9.3 m", False), ("1e3", True)])
 def test_what_looks_numeric(spark, text, expected):
     assert spark.createDataFrame([(text,)], "t string").select(TB.looks_numeric(F.col("t"))).first()[0] is expected
