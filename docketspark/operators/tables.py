@@ -17,16 +17,20 @@ from pyspark.sql import functions as F
 
 from docketspark.functions import text as T
 from docketspark.operators.relational import box_join
-from docketspark.session import lean
+from docketspark.session import lean, short_rows
 
 PAGE = ["document_id", "page_number"]
 PORTION = 1 << 13  # lines that are swept at once, at least
 
 
+# fixed values: how all begin that Spark reads as a number; what does not is not tried, since each failure costs an exception
+BEGINS_NUMBER = r"(?i)^[\x00-\x20]*[+-]?(\.?[0-9]|inf|nan)"
+
+
 def looks_numeric(x: Column) -> Column:
     """Whether a cell is a number but for separators of thousands, percent and dollar signs."""
     plain = T.strip(F.regexp_replace(x, "[,%$]", ""))
-    return (plain != "") & plain.try_cast("double").isNotNull()
+    return T.bound(plain, lambda p: F.when(p.rlike(BEGINS_NUMBER), p.try_cast("double").isNotNull()).otherwise(False))
 
 
 def has_header(rows: Column) -> Column:
@@ -176,6 +180,7 @@ def lift_tables(lines: DataFrame, min_rows: int = 2, min_columns: int = 2, gap:
     columns are none. Cells are the texts of their lines, from left to right and top to bottom; what is missing is the empty string.
     ``n_prose`` is the number of the page's lines that are in none of its tables.
     """
+    short_rows(lines.sparkSession)
     b = F.col("box")
     area = (b["x1"] > b["x0"]) & (b["y1"] > b["y0"])
     boxed = lines.select(*PAGE, "line_no", T.squeeze(F.coalesce("text", F.lit(""))).alias("text"), *[F.when(area, b[c].cast("double")).alias(c) for c in ("y0", "x0", "y1", "x1")])

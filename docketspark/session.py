@@ -64,13 +64,26 @@ _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.ex
 _BEFORE: dict[str, str | None] = {}
 
 
+_BY_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(2**31 - 1)}
+
+
+def _set_batches(spark: SparkSession, settings: dict[str, str]) -> None:
+    for key, value in settings.items():
+        if spark.conf.get(key, None) != value:
+            _BEFORE.setdefault(key, spark.conf.get(key, None))
+            spark.conf.set(key, value)
+
+
 def small_batches(spark: SparkSession, few_rows: bool = True) -> None:
     """Arrow batches so small that batches of long texts, which both sides hold outside the heap, fit beside it; until ``usual_batches``.
     Without ``few_rows`` only their bytes are bounded."""
-    for key, value in _BATCHES.items():
-        if (few_rows or "Records" not in key) and spark.conf.get(key, None) != value:
-            _BEFORE[key] = spark.conf.get(key, None)
-            spark.conf.set(key, value)
+    _set_batches(spark, {key: value for key, value in _BATCHES.items() if few_rows or "Records" not in key})
+
+
+def short_rows(spark: SparkSession) -> None:
+    """Arrow batches by number of rows alone, until ``usual_batches``: for rows so short that to ask for a batch's bytes after each costs more
+    than the row."""
+    _set_batches(spark, _BY_ROWS)
 
 
 def usual_batches(spark: SparkSession) -> None:

@@ -90,3 +90,21 @@ def test_a_page_of_any_length_is_lifted_in_portions(monkeypatch, portion):
 @pytest.mark.parametrize(("text", "expected"), [("1,000", True), ("$5", True), ("25 %", True), ("-3.5", True), ("", False), ("%", False), ("9.3 m", False), ("1e3", True)])
 def test_what_looks_numeric(spark, text, expected):
     assert spark.createDataFrame([(text,)], "t string").select(TB.looks_numeric(F.col("t"))).first()[0] is expected
+
+
+def test_only_what_begins_as_a_number_is_tried(spark):
+    texts = ["inf", "-Infinity", "+iNF", "nan", "NaN", "1d", "0x1p3", "\x011", "+.5", ".5e3", ".", "e5", "India", "nano", "$ -7", "1_0", "٣", "--1", "Part", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_replace(F.regexp_replace("t", "[,%$]", ""), r"(?U)^\s+|\s+$", "")
+    got = rows.select("t", TB.looks_numeric(F.col("t")).alias("numeric"), plain.try_cast("double").isNotNull().alias("cast")).collect()
+    assert [r["t"] for r in got if bool(r["numeric"]) != r["cast"]] == [] and sum(r["cast"] for r in got) >= 9
+
+
+def test_batches_of_lines_are_counted_by_rows_until_the_next_query(spark, small):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    plans.QUERIES["box_ratios"](spark, small)
+    before = spark.conf.get(key)
+    plans.QUERIES["lifted_tables"](spark, small)
+    assert spark.conf.get(key) == str(2**31 - 1)
+    plans.QUERIES["box_ratios"](spark, small)
+    assert spark.conf.get(key) == before
